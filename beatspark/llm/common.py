@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: White space of the word rule `[^\x20\x09-\x0D]+`, as a Java regular expression.
 SPACES = r"[\x20\x09-\x0D]+"
+_local: str | None = None
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -19,10 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in `spark.checkpoint.dir`; only where none is set (local tests), a temporary one."""
+    global _local
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local = _local or "file://" + tempfile.mkdtemp(prefix="spark-")
     return root.rstrip("/")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import license_scan, packing, quality_rules, simhash
 from .common import table
 
 QUERIES = {}
@@ -26,3 +26,26 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("failed_bits").bitwiseAND(F.lit(base)) != 0).alias("base_failed"), "kept",
         "failed_bits",
     )
+
+
+@query
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(table(spark, sf_dir, "documents"), size=3, radius=2)
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    starts = F.transform("phrases", lambda s: s["first"])
+    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc.doc_id", F.col("n_words").cast("bigint").alias("n_words"), F.size("phrases").cast("bigint").alias("n_base"),
+        F.array_min(starts).cast("bigint").alias("first_word"), F.array_max(starts).cast("bigint").alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",
+    )
