@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, packing, quality_rules, simhash
+from . import license_scan, packing, quality_rules, simhash, warc
 from .common import table
 
 QUERIES = {}
@@ -49,3 +49,9 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_min(starts).cast("bigint").alias("first_word"), F.array_max(starts).cast("bigint").alias("last_word"),
         F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",
     )
+
+
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.reassemble(warc.read(spark, warc.archive(table(spark, sf_dir, "pages"), min_revisit=0)))
+    return back.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
