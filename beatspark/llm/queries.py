@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, packing, quality_rules, simhash, warc
-from .common import table
+from . import license_scan, mixing, packing, pu_quality, quality_rules, simhash, warc
+from .common import materialise, table
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +55,23 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.reassemble(warc.read(spark, warc.archive(table(spark, sf_dir, "pages"), min_revisit=0)))
     return back.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
+
+
+@query
+def op5_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    rows = materialise(mixing.measured(docs).select("doc_id", "source", "__source", "__tokens", "__place"), "places")
+    return mixing.copies(rows, mixing.plan(rows, repetitions=4.0)).select(
+        "doc_id", "source", F.col("__tokens").alias("n_tokens"), "weight", "exponent", "epochs", F.col("copies").cast("int").alias("copies")
+    )
+
+
+@query
+def op3_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    seen = pu_quality.fold(F.col("doc_id")) != 2
+    model = pu_quality.train(docs, labels.where(seen & (F.col("quality") == 1)), docs.where(seen))
+    held_out = F.coalesce(pu_quality.fold(F.col("id")) == 2, F.lit(False)).alias("held_out")
+    return pu_quality.score(docs, model).select(
+        F.col("id").alias("doc_id"), held_out, "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted")
+    )
