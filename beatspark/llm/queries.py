@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, mixing, packing, pu_quality, quality_rules, simhash, warc
+from . import ann, license_scan, mixing, packing, pu_quality, quality_rules, simhash, warc
 from .common import materialise, table
 
 QUERIES = {}
@@ -75,3 +75,10 @@ def op3_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.score(docs, model).select(
         F.col("id").alias("doc_id"), held_out, "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted")
     )
+
+
+@query
+def op4_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = ann.search(ann.index(vectors, k=10, recall=0.97), vectors.where("vec_id % 100 = 0"))
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
