@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, license_scan, mixing, packing, pu_quality, quality_rules, simhash, warc
+from . import ann, license_scan, mixing, packing, pu_quality, quality_rules, simhash, substring_dedup, warc
 from .common import materialise, table
 
 QUERIES = {}
@@ -82,3 +82,9 @@ def op4_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     found = ann.search(ann.index(vectors, k=10, recall=0.97), vectors.where("vec_id % 100 = 0"))
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.digest(substring_dedup.marked(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400))
+    return found.select("doc.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
