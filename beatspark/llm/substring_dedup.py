@@ -13,10 +13,10 @@ A string is then a suffix of one phrase (up to the trigger) followed by the pars
    of any run reach (`length - window + 1` bytes). A run alone in its group repeats nowhere.
 2. In groups of several, runs whose whole extent is equal (phrase suffix and parse) repeat as a whole.
 3. What is left are runs at the edge of a repeat. Their strings, and one of each class of equal runs in the same
-   group, are compared start by start by hash.
+   group, are compared start by start by hash: inside a task for groups of up to `CROWD` classes, as rows beyond.
 
-Each text goes through two joins by a 128-bit hash of itself, so neither ids nor their nulls or repeats matter, and
-equal texts have the same spans. Groups are counted by pre-aggregated sums and joined, never gathered: a passage or
+Each text goes through two joins, compressed, by a 128-bit hash of itself, so neither ids nor their nulls or repeats
+matter, and equal texts have the same spans. Groups are counted by pre-aggregated sums and joined, never gathered: a passage or
 a text that a third of all rows hold is split like any skewed join. Equality rests on two 64-bit hashes, of the parse
 and of the string.
 
@@ -30,12 +30,14 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import check_columns
+from .common import check_columns, materialise
 
 LENGTH = 400
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -43,10 +45,12 @@ _HIGH = np.uint64(0xFFFFFFFF00000000)
 _LOW = np.uint64(0x00000000FFFFFFFF)
 #: Bytes of texts that are parsed together.
 _TOGETHER = 1 << 20
+#: Classes of runs in a group that are compared inside one task, and about how many a task takes.
+CROWD, _BUCKET = 1000, 4000
 
 
 def window_of(length: int) -> int:
-    return max(1, min(length // 2, 2 * length // 5))
+    return max(1, length // 2)
 
 
 def runs(texts: list[bytes], length: int = LENGTH) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -113,46 +117,96 @@ def _parse(texts: DataFrame, length: int) -> DataFrame:
     return texts.where(F.octet_length("data") >= length).select("ka", "kb", "data").mapInArrow(run, "ka bigint, kb bigint, first int, last int, parse bigint, extent bigint")
 
 
-def _strings(asked: DataFrame, length: int) -> DataFrame:
-    """For texts with their `asked` runs (parse, first, last, open): the hash of each string that starts in them."""
-    hash_ = xxhash.xxh3_64_intdigest
+def _extents(asked: DataFrame, length: int) -> DataFrame:
+    """The bytes of the `asked` runs (parse, first, last, open, crowded) of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor()
         for batch in batches:
+            out = []
             for row in batch.to_pylist():
-                data = row["data"]
-                for r in row["asked"]:
-                    at = range(r["first"], r["last"] + 1)
-                    n = len(at)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, row["ka"])), pa.array(np.full(n, row["kb"])), pa.array(np.full(n, r["parse"])), pa.array(np.fromiter((hash_(data[p : p + length]) for p in at), "<u8", n).view("<i8")), pa.array(np.array(at, dtype=np.int32)), pa.array(np.full(n, r["open"]))],
-                        ["ka", "kb", "parse", "string", "at", "open"],
-                    )
+                data = open_.decompress(row["packed"])
+                out += [(row["ka"], row["kb"], r["parse"], r["first"], r["open"], r["crowded"], data[r["first"] : r["last"] + length]) for r in row["asked"]]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types], ["ka", "kb", "parse", "first", "open", "crowded", "bytes"])
+
+    return asked.select("ka", "kb", "packed", "asked").mapInArrow(run, "ka bigint, kb bigint, parse bigint, first int, open boolean, crowded boolean, bytes binary")
+
+
+def _strings(data: bytes, length: int) -> np.ndarray:
+    """Hashes of all strings of `length` bytes in the bytes of a run."""
+    n = len(data) - length + 1
+    return np.fromiter((xxhash.xxh3_64_intdigest(data[p : p + length]) for p in range(n)), "<u8", n)
+
+
+def _compare_groups(extents: DataFrame, n: int, length: int) -> DataFrame:
+    """Repeated strings (ka, kb, first, last) of open runs, whole groups of runs compared inside a task."""
+    buckets = max(1, -(-n // _BUCKET))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        hashes = [_strings(d, length) for d in pdf["bytes"]]
+        sizes = np.array([len(h) for h in hashes])
+        row = np.repeat(np.arange(len(pdf)), sizes)
+        at = np.concatenate([np.arange(k) for k in sizes]) + pdf["first"].to_numpy()[row]
+        # runs of other groups may share the bucket: the parse goes into the hash
+        mixed = np.concatenate(hashes) ^ (pdf["parse"].to_numpy().astype("<i8").view("<u8") * _MULTIPLIER)[row]
+        _, inverse, counts = np.unique(mixed, return_inverse=True, return_counts=True)
+        hit = (counts[inverse] > 1) & pdf["open"].to_numpy()[row]
+        row, at = row[hit], at[hit]
+        begins = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)))) if len(row) else np.zeros(0, dtype=int)
+        ends = np.concatenate((begins[1:], [len(row)])) - 1 if len(row) else begins
+        found = pdf.iloc[row[begins]]
+        return pd.DataFrame({"ka": found["ka"].to_numpy(), "kb": found["kb"].to_numpy(), "first": at[begins], "last": at[ends]})
+
+    return extents.withColumn("bucket", F.pmod(F.xxhash64("parse"), F.lit(buckets))).groupBy("bucket").applyInPandas(run, "ka bigint, kb bigint, first int, last int")
+
+
+def _compare_rows(extents: DataFrame, length: int) -> DataFrame:
+    """The same for groups of any size: each string is a row, counted and joined by its hash."""
 
-    return asked.select("ka", "kb", "data", "asked").mapInArrow(run, "ka bigint, kb bigint, parse bigint, string bigint, at int, open boolean")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                h = _strings(r["bytes"], length)
+                n = len(h)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, r["ka"])), pa.array(np.full(n, r["kb"])), pa.array(np.full(n, r["parse"])), pa.array(h.view("<i8")), pa.array(np.arange(r["first"], r["first"] + n, dtype=np.int32)), pa.array(np.full(n, r["open"]))],
+                    ["ka", "kb", "parse", "string", "at", "open"],
+                )
+
+    strings = extents.select("ka", "kb", "parse", "first", "open", "bytes").mapInArrow(run, "ka bigint, kb bigint, parse bigint, string bigint, at int, open boolean")
+    where = F.xxhash64("ka", "kb", "at")
+    found = strings.groupBy("parse", "string").agg(F.min(where).alias("lo"), F.max(where).alias("hi")).where("lo <> hi").select("parse", "string")
+    return strings.where("open").join(found, ["parse", "string"], "left_semi").select("ka", "kb", F.col("at").alias("first"), F.col("at").alias("last"))
+
+
+def _pack(data: pd.Series) -> pd.Series:
+    return data.map(zstandard.ZstdCompressor(level=3).compress)
 
 
 def spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """ka, kb and `covered`, the (start, end) of repeated stretches, for `texts` (ka, kb, data) that have any."""
+    """ka, kb and `covered`, the (first, end) of repeated stretches, for those of `texts` (ka, kb, data, packed) that have any."""
     parsed = _parse(texts, length)
     groups = parsed.groupBy("parse").agg(F.count("*").alias("n"), F.min("extent").alias("lo"), F.max("extent").alias("hi")).where("n > 1")
-    shared = parsed.join(groups.select("parse", (F.col("lo") != F.col("hi")).alias("mixed")), "parse")
+    shared = materialise(parsed.join(groups.select("parse", (F.col("lo") != F.col("hi")).alias("mixed")), "parse"), "shared_runs")
     alike = shared.where("NOT mixed").select("ka", "kb", "first", "last")
 
     mixed = shared.where("mixed")
     place = F.xxhash64("ka", "kb", "first")
     classes = mixed.groupBy("parse", "extent").agg(F.count("*").alias("n"), F.min(place).alias("one"))
-    named = mixed.join(classes, ["parse", "extent"])
+    sizes = classes.groupBy("parse").agg(F.count("*").alias("classes"))
+    named = mixed.join(classes.join(sizes, "parse"), ["parse", "extent"])
     repeated = named.where("n > 1").select("ka", "kb", "first", "last")
     # one run of each class has its strings compared
-    asked = named.where(place == F.col("one")).groupBy("ka", "kb").agg(F.collect_set(F.struct("parse", "first", "last", (F.col("n") == 1).alias("open"))).alias("asked"))
-    strings = _strings(texts.join(asked, ["ka", "kb"]), length)
-    where = F.xxhash64("ka", "kb", "at")
-    found = strings.groupBy("parse", "string").agg(F.min(where).alias("lo"), F.max(where).alias("hi")).where("lo <> hi").select("parse", "string")
-    edges = strings.where("open").join(found, ["parse", "string"], "left_semi").select("ka", "kb", F.col("at").alias("first"), F.col("at").alias("last"))
+    one = F.struct("parse", "first", "last", (F.col("n") == 1).alias("open"), (F.col("classes") > CROWD).alias("crowded"))
+    asked = named.where(place == F.col("one")).groupBy("ka", "kb").agg(F.collect_set(one).alias("asked"))
+    # equal texts stand for each other: any one row of a text gives the same bytes
+    extents = materialise(_extents(texts.select("ka", "kb", "packed").join(asked, ["ka", "kb"]).dropDuplicates(["ka", "kb"]), length), "edge_runs")
+    edges = _compare_groups(extents.where("NOT crowded"), extents.count(), length).union(_compare_rows(extents.where("crowded"), length))
 
     all_ = alike.union(repeated).union(edges).distinct()
-    return all_.groupBy("ka", "kb").agg(F.collect_list(F.struct("first", (F.col("last") + length).alias("end"))).alias("covered"))
+    covered = all_.groupBy("ka", "kb").agg(F.collect_list(F.struct("first", (F.col("last") + length).alias("end"))).alias("covered"))
+    return materialise(covered, "covered")
 
 
 def union(covered: list[dict]) -> list[tuple[int, int]]:
@@ -167,12 +221,13 @@ def union(covered: list[dict]) -> list[tuple[int, int]]:
 
 
 def marked(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
-    """Each row of `docs` as struct `doc`, its text's bytes as `data`, and `covered` (null where nothing repeats)."""
+    """Each row of `docs` as struct `doc`, its text's bytes zstd-compressed as `packed`, and `covered` (null where nothing repeats)."""
     check_columns(docs, text)
     data = F.coalesce(F.col(text).cast("string"), F.lit(""))
     doc = F.struct(*([F.col(c) for c in docs.columns if c != text] or [F.lit(0).alias("none")]))
     rows = docs.select(doc.alias("doc"), data.cast("binary").alias("data"), F.xxhash64(data).alias("ka"), F.xxhash64(F.lit(1), data).alias("kb"))
-    return rows.join(spans(rows, length), ["ka", "kb"], "left").select("doc", "data", "covered")
+    rows = rows.withColumn("packed", F.pandas_udf(_pack, "binary")("data"))
+    return rows.drop("data").join(spans(rows, length), ["ka", "kb"], "left").select("doc", "packed", "covered")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -182,7 +237,7 @@ def digest(found: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for data, covered in zip(batch.column(1), batch.column(2)):
-                data, cut, kept, at = data.as_py(), union(covered.as_py()), hashlib.sha256(), 0
+                data, cut, kept, at = zstandard.decompress(data.as_py()), union(covered.as_py()), hashlib.sha256(), 0
                 for a, b in cut:
                     kept.update(data[at:a])
                     at = b
@@ -192,7 +247,7 @@ def digest(found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     doc = found.schema["doc"].dataType.simpleString()
-    return found.select("doc", "data", "covered").mapInArrow(run, f"doc {doc}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return found.select("doc", "packed", "covered").mapInArrow(run, f"doc {doc}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def kept_text(found: DataFrame) -> DataFrame:
@@ -202,7 +257,7 @@ def kept_text(found: DataFrame) -> DataFrame:
         for batch in batches:
             kept = []
             for data, covered in zip(batch.column(1), batch.column(2)):
-                data, at, parts = data.as_py(), 0, []
+                data, at, parts = zstandard.decompress(data.as_py()), 0, []
                 for a, b in union(covered.as_py()):
                     parts.append(data[at:a].decode("utf-8", "ignore"))
                     at = b
@@ -210,7 +265,7 @@ def kept_text(found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], ["doc", "kept"])
 
     doc = found.schema["doc"].dataType.simpleString()
-    return found.select("doc", "data", "covered").mapInArrow(run, f"doc {doc}, kept string")
+    return found.select("doc", "packed", "covered").mapInArrow(run, f"doc {doc}, kept string")
 
 
 def dedup(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
