@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, license_scan, mixing, packing, pu_quality, quality_rules, simhash, substring_dedup, warc
+from . import ann, license_scan, mixing, ngram_lm, packing, pu_quality, quality_rules, simhash, substring_dedup, warc
 from .common import materialise, table
 
 QUERIES = {}
@@ -88,3 +88,10 @@ def op4_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.digest(substring_dedup.marked(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400))
     return found.select("doc.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op2_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(ngram_lm.fold(F.col("doc_id")) == 2, F.lit(False))
+    scored = ngram_lm.score(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
