@@ -32,7 +32,8 @@ from .common import check_columns, materialise
 
 SAMPLE = 20_000
 BRANCHES = 16
-LEAF_ROWS = 128
+#: Leaves of a tree, about: their number does not grow with the rows, so neither do a query's visits.
+LEAVES = 256
 CALIBRATION = 200
 BLOCK = 4096
 
@@ -158,7 +159,7 @@ def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     rows = materialise(least, "vectors")
     n = rows.count()
     some = rows.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(SAMPLE).toPandas()
-    tree = build_tree(_matrix(some["v"]) if len(some) else np.zeros((0, size)), LEAF_ROWS * min(1.0, SAMPLE / max(n, 1)))
+    tree = build_tree(_matrix(some["v"]) if len(some) else np.zeros((0, size)), max(8, min(n, SAMPLE) / LEAVES))
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
