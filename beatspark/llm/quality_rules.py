@@ -74,10 +74,10 @@ def _covered(windows: Column) -> Column:
 
 def _window_hashes(w: Column) -> Column:
     """64-bit hash of each window of `WINDOW` words. A false match needs two of one text's windows to collide."""
-    return F.when(
-        F.size(w) >= WINDOW,
-        F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)])),
-    ).otherwise(F.array().cast("array<bigint>"))
+    return _let(w, lambda v: F.when(
+        F.size(v) >= WINDOW,
+        F.transform(F.sequence(F.lit(0), F.size(v) - WINDOW), lambda i: F.xxhash64(*[F.get(v, i + k) for k in range(WINDOW)])),
+    ).otherwise(F.array().cast("array<bigint>")))
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -142,4 +142,6 @@ def ablation(book: DataFrame, policy: str = "web-1", rules: tuple[Rule, ...] = R
 def filter_documents(docs: DataFrame, policy: str = "web-1", text: str = "text") -> DataFrame:
     """The rows of `docs` that a policy keeps, with the columns of `docs`."""
     row = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("__row"), F.col(text).alias("__doc_text"))
-    return apply_policy(ledger(row, text="__doc_text"), policy).where("kept").select("__row.*")
+    # the bits go through a generator: a filter on them is not pushed into the rules, which would then run many times
+    bits = ledger(row, text="__doc_text").select("__row", F.explode(F.array("failed_bits")).alias("bits"))
+    return bits.where(F.col("bits").bitwiseAND(F.lit(policy_mask(policy))) == 0).select("__row.*")

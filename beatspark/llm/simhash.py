@@ -17,6 +17,7 @@ result; other columns are ignored by `fingerprints`. A null id keeps its row, an
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,9 +88,11 @@ def _distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def links(fps: DataFrame, radius: int = 2) -> DataFrame:
+def links(fps: DataFrame, radius: int = 2, by: tuple[str, ...] = ()) -> DataFrame:
     """Links (a, b) between distinct fingerprints of `fps` (column fp, each once) that join all pairs within `radius`.
 
+    With columns `by`, only rows equal in them meet, and each fingerprint is there once for each of their values.
+
     Small buckets give each of their pairs; large ones give stars whose every edge is a true link and that
     connect whatever a pairwise comparison would have connected.
     """
@@ -97,18 +100,19 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
         raise ValueError("radius: 0, 1 or 2")
     tables = masks(radius)
     spread = F.explode(F.array(*[F.struct(F.lit(v).alias("v"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for v, m in enumerate(tables)]))
-    keyed = fps.select("fp", spread.alias("t")).select("t.v", "t.key", "fp")
-    sized = keyed.groupBy("v", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = keyed.join(sized, ["v", "key"])
+    at = [*by, "v", "key"]
+    keyed = fps.select(*by, "fp", spread.alias("t")).select(*by, "t.v", "t.key", "fp")
+    sized = keyed.groupBy(*at).agg(F.count("*").alias("n")).where("n > 1")
+    members = keyed.join(sized, at)
 
-    small = members.where(F.col("n") <= PAIRWISE).groupBy("v", "key").agg(F.collect_list("fp").alias("all"))
+    small = members.where(F.col("n") <= PAIRWISE).groupBy(*at).agg(F.collect_list("fp").alias("all"))
     near = F.filter("all", lambda x: (x > F.col("a")) & (_distance(x, F.col("a")) <= radius))
-    pairs = small.select("all", F.explode("all").alias("a")).select("a", F.explode(near).alias("b"))
+    pairs = small.select(*by, "all", F.explode("all").alias("a")).select(*by, "a", F.explode(near).alias("b"))
 
     free = F.array(*[F.array(F.lit(0).cast("bigint"), *[F.lit(_signed(1 << i)) for i in range(BITS) if not m >> i & 1]) for m in tables])
-    hubs = members.where(F.col("n") > PAIRWISE).select("v", "key", "fp", F.explode(F.get(free, F.col("v"))).alias("flip"))
-    groups = hubs.groupBy("v", "key", F.col("fp").bitwiseXOR(F.col("flip")).alias("hub")).agg(F.min("fp").alias("a"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)
-    stars = groups.select("a", F.explode("all").alias("b")).where("a <> b")
+    hubs = members.where(F.col("n") > PAIRWISE).select(*at, "fp", F.explode(F.get(free, F.col("v"))).alias("flip"))
+    groups = hubs.groupBy(*at, F.col("fp").bitwiseXOR(F.col("flip")).alias("hub")).agg(F.min("fp").alias("a"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)
+    stars = groups.select(*by, "a", F.explode("all").alias("b")).where("a <> b")
     if radius == 1:
         stars = stars.where(_distance(F.col("a"), F.col("b")) <= 1)
     return pairs.union(stars).distinct()
@@ -145,3 +149,96 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     named = first.join(roots, first.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return found.join(named.join(least, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+
+
+# Near duplicates of a stated similarity: several fingerprints of single words find pairs, a sketch of five-word
+# shingles decides. Shingle fingerprints alone do not do here: texts of shingle similarity 0.8 differ in about ten of
+# 64 bits, where covering masks leave no bits to tell texts apart; their word fingerprints differ in two to five.
+
+#: Fingerprints of a text, and the count at which a word's weight is held.
+SEEDS, WORD_CAP = 8, 5
+#: Values of a sketch, a byte each. The estimate's standard error at 0.8 is 0.025; `ACCEPT` lies two below.
+SKETCH, SHINGLE, SIMILARITY, ACCEPT = 256, 5, 0.8, 0.75
+_random = np.random.default_rng(20240229)
+_FACTORS = _random.integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SEED_FACTORS = _random.integers(1, 1 << 63, SEEDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFT = np.uint64(32)
+
+
+def word_fingerprints(words: list[bytes]) -> np.ndarray:
+    """`SEEDS` fingerprints of a text's words, each weighted by its count up to `WORD_CAP`."""
+    counts = Counter(words)
+    weights = np.minimum(np.fromiter(counts.values(), np.int64, len(counts)), WORD_CAP)
+    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in counts), "<u8", len(counts))
+    out = np.zeros(SEEDS, dtype="<u8")
+    for k, factor in enumerate(_SEED_FACTORS):
+        x = (h ^ (h >> _SHIFT)) * factor
+        x ^= x >> _SHIFT
+        bits = np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        out[k] = np.packbits(2 * (weights @ bits) > weights.sum(), bitorder="little").view("<u8")[0]
+    return out
+
+
+def sketch(text: str | None, size: int = SHINGLE) -> bytes:
+    """A byte of each least value of `SKETCH` permutations of the shingles' hashes; no shingles: empty."""
+    joined, starts, ends = shingle_ends(text, size)
+    if not starts:
+        return b""
+    least = np.full(SKETCH, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(starts), 512):
+        h = np.fromiter((xxhash.xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts[at : at + 512], ends[at : at + 512])), np.uint64)
+        h = h ^ (h >> _SHIFT)
+        np.minimum(least, (h[:, None] * _FACTORS).min(axis=0), out=least)
+    return ((least ^ (least >> _SHIFT)) & np.uint64(255)).astype(np.uint8).tobytes()
+
+
+def _signatures(docs: DataFrame) -> DataFrame:
+    """node (hash of the text), fps and sketch of distinct texts with words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.as_py() for t in batch.column(1)]
+            fps = [word_fingerprints(t.encode("utf-8", "surrogatepass").lower().split()).view("<i8") for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.list_(pa.int64())), pa.array([sketch(t) for t in texts], pa.binary())], ["node", "fps", "sketch"])
+
+    texts = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("node", F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(run, "node bigint, fps array<bigint>, sketch binary").dropDuplicates(["node"])
+
+
+def _alike(pairs: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(n, SKETCH) for k in (2, 3))
+            estimate = ((x == y).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+            keep = pa.array(estimate >= ACCEPT)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    return pairs.mapInArrow(run, "a bigint, b bigint")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(node, root) of the texts of `docs` (node, text) that are near duplicates of others: shingle similarity 0.8."""
+    found = materialise(_signatures(docs), "signatures")
+    each = found.select("node", F.posexplode("fps").alias("seed", "fp"))
+    first = materialise(each.groupBy("seed", "fp").agg(F.min("node").alias("rep"), F.count("*").alias("n")), "word_fingerprints")
+    same = each.join(first.where("n > 1"), ["seed", "fp"]).select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    linked = links(first.select("seed", "fp"), 2, ("seed",))
+    named = lambda c: first.select("seed", F.col("fp").alias(c), F.col("rep").alias(f"{c}_rep"))
+    across = linked.join(named("a"), ["seed", "a"]).join(named("b"), ["seed", "b"]).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
+    pairs = same.union(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    sketches = lambda c: found.select(F.col("node").alias(c), F.col("sketch").alias(f"{c}_sketch"))
+    return components(_alike(pairs.join(sketches("a"), "a").join(sketches("b"), "b").select("a", "b", "a_sketch", "b_sketch")))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with one row of each group of exact and near copies: that with the smallest id (null last).
+
+    Texts without words are copies of each other only if they are equal.
+    """
+    check_columns(docs, id_col, text_col)
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("node"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("at"))
+    roots = materialise(near_duplicates(rows.select("node", "text")), "near_duplicates")
+    thin = rows.select("node", "id", "at").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), F.struct(F.col("id").isNull().alias("none"), "id", "at").alias("which"))
+    kept = thin.groupBy("root").agg(F.min("which").alias("which")).select(F.col("which.at").alias("at"))
+    return rows.select("row", "at").join(kept, "at", "left_semi").select("row.*")

@@ -46,7 +46,7 @@ _LOW = np.uint64(0x00000000FFFFFFFF)
 #: Bytes of texts that are parsed together.
 _TOGETHER = 1 << 20
 #: Classes of runs in a group that are compared inside one task, and about how many a task takes.
-CROWD, _BUCKET = 1000, 4000
+CROWD, _BUCKET = 10_000, 4000
 
 
 def window_of(length: int) -> int:
