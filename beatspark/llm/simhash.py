@@ -5,10 +5,10 @@ fingerprints within a radius of r bits by 2^(r+1)-1 structured masks: bit i gets
 and table v keeps the bits with an odd number of common ones in v and phi(i). The vectors of r differing bits span
 at most r of r+1 dimensions, so some v is orthogonal to all of them, and the pair agrees on all bits of its table.
 
-Work stays linear in a bucket: up to `PAIRWISE` members are compared directly; larger ones are split by hubs.
-Members of one bucket differ only in its free bits, so a pair within 2 bits has a common fingerprint within 1 bit
-of both; each member goes to all of these and each such group (of at most 65 members) is a star of true links. For
-other radii a large bucket is divided again by further masks. `components` joins links to connected components.
+Work stays linear in a bucket: up to `PAIRWISE` members are compared directly; members of larger ones go to hubs. A
+pair within 2 bits has a common fingerprint within 1 bit of both: each crowded fingerprint goes once to all 65 of
+these, and each such group (of at most 65 members) is a star of true links. `components` joins links to connected
+components.
 
 Defined results: null and empty texts have no shingle and fingerprint 0, linked like any other; fewer words than a
 shingle make one shingle of the whole sequence; repeated rows fall into one group; an empty table gives an empty
@@ -109,9 +109,10 @@ def links(fps: DataFrame, radius: int = 2, by: tuple[str, ...] = ()) -> DataFram
     near = F.filter("all", lambda x: (x > F.col("a")) & (_distance(x, F.col("a")) <= radius))
     pairs = small.select(*by, "all", F.explode("all").alias("a")).select(*by, "a", F.explode(near).alias("b"))
 
-    free = F.array(*[F.array(F.lit(0).cast("bigint"), *[F.lit(_signed(1 << i)) for i in range(BITS) if not m >> i & 1]) for m in tables])
-    hubs = members.where(F.col("n") > PAIRWISE).select(*at, "fp", F.explode(F.get(free, F.col("v"))).alias("flip"))
-    groups = hubs.groupBy(*at, F.col("fp").bitwiseXOR(F.col("flip")).alias("hub")).agg(F.min("fp").alias("a"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)
+    flips = F.explode(F.array(F.lit(0).cast("bigint"), *[F.lit(_signed(1 << i)) for i in range(BITS)])).alias("flip")
+    crowded = members.where(F.col("n") > PAIRWISE).select(*by, "fp").distinct()
+    hubs = crowded.select(*by, "fp", flips)
+    groups = hubs.groupBy(*by, F.col("fp").bitwiseXOR(F.col("flip")).alias("hub")).agg(F.min("fp").alias("a"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)
     stars = groups.select(*by, "a", F.explode("all").alias("b")).where("a <> b")
     if radius == 1:
         stars = stars.where(_distance(F.col("a"), F.col("b")) <= 1)
