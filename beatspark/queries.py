@@ -437,7 +437,7 @@ def a1_rr_stats(p):
     return joins.rr_stats(joins.rr_intervals(p))
 
 
-@query(f"WITH p AS ({fx.PEAKS_FX}), n AS ({fx.NUMERICS_FX}) SELECT p.caseid, peak_no, sbp, dbp FROM p JOIN n ON p.caseid = n.caseid AND n.bp_idx = CAST(round_even(sample_idx / 500.0 / 2.0, 0) AS INT)", source=None)
+@query(f"WITH p AS ({fx.PEAKS_FX}), n AS ({fx.NUMERICS_FX}) SELECT p.caseid, peak_no, round(sbp, 6) AS sbp, round(dbp, 6) AS dbp FROM p JOIN n ON p.caseid = n.caseid AND n.bp_idx = CAST(round_even(sample_idx / 500.0 / 2.0, 0) AS INT)", source=None)
 def j1_nearest_bp(spark, sf_dir):
     return joins.nearest_bp(fx.view(spark, sf_dir, fx.PEAKS_FX), fx.view(spark, sf_dir, fx.NUMERICS_FX)).select("caseid", "peak_no", "sbp", "dbp")
 
