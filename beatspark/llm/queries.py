@@ -95,3 +95,16 @@ def op2_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(ngram_lm.fold(F.col("doc_id")) == 2, F.lit(False))
     scored = ngram_lm.score(table(spark, sf_dir, "documents"), ~held_out)
     return scored.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+ORACLES["op9_quality_rules"] = r"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
+ w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+ g AS (SELECT id, i, count(*) OVER (PARTITION BY id, w[i:i + 4]) AS c FROM (SELECT id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM w WHERE len(w) >= 5)),
+ r AS (SELECT id, count(DISTINCT k) AS n FROM (SELECT id, unnest(generate_series(i, i + 4)) AS k FROM g WHERE c > 1) GROUP BY id),
+ m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines,
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, len(list_filter(w, lambda x: regexp_matches(x, '\pL'))) AS n_alpha_words,
+  len(list_filter(w, lambda x: regexp_matches(x, '^\PL*\p{Lu}\P{Ll}*\p{Lu}\P{Ll}*$'))) AS n_caps_words, len(list_distinct(w)) AS n_distinct_words, len(list_filter(w, lambda x: x = '|')) AS n_pipe_words FROM w LEFT JOIN r ON w.id = r.id),
+ b AS (SELECT *, @BITS@ AS failed_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & @BASE@ <> 0 AS base_failed, failed_bits & @POLICY@ = 0 AS kept, failed_bits FROM b
+""".replace("@BITS@", " + ".join(f"CASE WHEN {r.fails} THEN {1 << r.bit}::BIGINT ELSE 0 END" for r in quality_rules.RULES)).replace("@BASE@", str(quality_rules.policy_mask("base-1"))).replace("@POLICY@", str(quality_rules.policy_mask("web-1")))
