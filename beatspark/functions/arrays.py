@@ -66,3 +66,21 @@ def template_corr(a: Column, b: Column) -> Column:
 
 def trend_label(now: Column, later: Column, limit: float = 5.0) -> Column:
     return F.when(later - now < -limit, 0).when(later - now > limit, 2).when((later - now).isNotNull(), 1)
+
+
+def pulse_width_50(a: Column, fs: float = 500.0) -> Column:
+    """Milliseconds from the first rise through half height to the first fall after it; 0 where one is missing."""
+    n = minmax_normalise(a)
+    steps = F.transform(F.slice(n, 1, F.size(n) - 1), lambda x, i: F.struct((i + 1).alias("k"), (x < 0.5).alias("low"), (F.get(n, i + 1) >= 0.5).alias("high")))
+    rises, falls = F.filter(steps, lambda s: s["low"] & s["high"]), F.filter(steps, lambda s: ~s["low"] & ~s["high"])
+    rise = F.get(rises, F.lit(0))["k"]
+    fall = F.get(falls, F.lit(0))["k"]
+    return F.coalesce(F.when(fall > rise, (fall - rise) * 1000.0 / fs), F.lit(0.0))
+
+
+def segment_quality(a: Column) -> Column:
+    """Why a pulse segment is not usable; empty where it is."""
+    return (
+        F.when(F.size(a) < 20, "too_short").when(F.size(F.filter(a, lambda x: x.isNotNull())) == 0, "all_null")
+        .when(F.array_max(a) - F.array_min(a) < 1e-6, "flat").when(pop_std(a) < 3, "low_amplitude").when(F.size(F.array_distinct(a)) < 5, "saturated").otherwise("")
+    )

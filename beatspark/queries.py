@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from .functions import arrays
-from .operators import cleaning, evaluate, joins, modelprep, normalize, physiology, quality, stats
+from .functions import expr
+from .operators import cleaning, evaluate, joins, modelprep, normalize, physiology, quality, select, stats
 
 QUERIES, ORACLES = {}, {}
 B = f"WITH b AS ({fx.BEATS_FX})"
@@ -587,3 +588,80 @@ def a2_template_match(c):
     at = c.select("caseid", F.posexplode("ppg").alias("pos", "v")).groupBy("caseid", "pos").agg(F.median("v").alias("v"))
     template = at.groupBy("caseid").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("template"))
     return c.join(template, "caseid").select("cycle_index", arrays.template_corr(F.col("ppg"), F.col("template")).alias("r"))
+
+
+@query(f"{_C}, h AS (SELECT cycle_index, list_transform(ppg, lambda x: (x - list_min(ppg)) / (list_max(ppg) - list_min(ppg))) AS n FROM c), k AS (SELECT cycle_index, list_min(list_filter(generate_series(1, len(n) - 1), lambda i: n[i] < 0.5 AND n[i + 1] >= 0.5)) AS r, list_min(list_filter(generate_series(1, len(n) - 1), lambda i: n[i] >= 0.5 AND n[i + 1] < 0.5)) AS f FROM h) SELECT cycle_index, round(coalesce(CASE WHEN f > r THEN (f - r) * 1000.0 / 500 END, 0), 6) AS width FROM k", source=_CYCLES)
+def f9_pulse_width_50(c):
+    return c.select("cycle_index", arrays.pulse_width_50(F.col("ppg")).alias("width"))
+
+
+@query(f"{_C}, p AS (SELECT *, list_position(ppg, list_max(ppg)) AS pk FROM c), d AS (SELECT cycle_index, list_transform(generate_series(1, greatest(pk - 1, 1)), lambda i: ppg[i + 1] - ppg[i]) AS d FROM p) SELECT cycle_index, CAST(list_position(d, list_max(d)) - 1 AS BIGINT) AS at FROM d", source=_CYCLES)
+def f10_max_slope(c):
+    return c.select("cycle_index", arrays.max_slope(F.col("ppg")).cast("bigint").alias("at"))
+
+
+@query(f"{_C}, s AS (SELECT cycle_index, list_transform(ppg, lambda x: x * (cycle_index % 40)) AS a FROM c) SELECT cycle_index, CASE WHEN list_max(a) - list_min(a) < 1e-6 THEN 'flat' WHEN list_stddev_pop(a) < 3 THEN 'low_amplitude' WHEN len(list_distinct(a)) < 5 THEN 'saturated' ELSE '' END AS reason FROM s", source=_CYCLES)
+def p10_segment_quality(c):
+    return c.select("cycle_index", F.transform("ppg", lambda x: x * (F.col("cycle_index") % 40)).alias("a")).select("cycle_index", arrays.segment_quality(F.col("a")).alias("reason"))
+
+
+@query(f"{B} SELECT patient_id, cycle_index FROM b WHERE sbp_reference > dbp_reference AND bmi IS NOT NULL AND position IS NOT NULL AND dx IS NOT NULL")
+def p5_drop_incomplete(b):
+    return select.drop_incomplete(b).select("patient_id", "cycle_index")
+
+
+@query(f"WITH n AS ({fx.NUMERICS_FX}) SELECT caseid, bp_idx, round(coalesce(sbp, avg(sbp) OVER (PARTITION BY caseid)), 8) AS sbp FROM n", digits=8, source=fx.NUMERICS_FX)
+def p13_impute_mean(n):
+    return select.impute_mean(n, "sbp").select("caseid", "bp_idx", "sbp")
+
+
+@query(f"WITH p AS ({fx.PREDICTIONS_FX}) SELECT patient_id, CAST({_WEIGHT} AS DOUBLE) AS weight, count(*) AS n FROM p GROUP BY 1, 2", source=fx.PREDICTIONS_FX)
+def p15_bp_range_weight(p):
+    return p.groupBy("patient_id", evaluate.bp_range_weight("sbp_true", "dbp_true").alias("weight")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH n AS ({fx.NUMERICS_FX}) SELECT caseid, bp_idx, round(coalesce(dbp - lag(dbp) OVER (PARTITION BY caseid ORDER BY bp_idx), 0), 6) AS d FROM n", source=fx.NUMERICS_FX)
+def w5_first_difference(n):
+    return n.select("caseid", "bp_idx", select.first_difference("dbp", "caseid", "bp_idx").alias("d"))
+
+
+@query(f"WITH n AS ({fx.NUMERICS_FX}), s AS (SELECT caseid, bp_idx, abs(coalesce(dbp - lag(dbp) OVER (PARTITION BY caseid ORDER BY bp_idx), 0)) AS s FROM n) SELECT caseid, bp_idx, round(0.4 * avg(s) OVER w + 0.15 * max(s) OVER w, 8) AS threshold FROM s WINDOW w AS (PARTITION BY caseid ORDER BY bp_idx ROWS 999 PRECEDING)", digits=8, source=fx.NUMERICS_FX)
+def w4_adaptive_threshold(n):
+    return select.adaptive_threshold(n, "dbp").select("caseid", "bp_idx", "threshold")
+
+
+@query(f"WITH {_RR} SELECT caseid, peak_no, round(len_ms, 6) AS len_ms, round(hr, 6) AS hr FROM rr", source=fx.PEAKS_FX)
+def w6_rr_intervals(p):
+    return joins.rr_intervals(p).select("caseid", "peak_no", "len_ms", "hr")
+
+
+@query(f"{B} SELECT patient_id, count(*) AS n FROM b WHERE patient_id IN (SELECT DISTINCT patient_id FROM b ORDER BY 1 LIMIT 5) GROUP BY patient_id")
+def w15_first_patients(b):
+    return select.first_patients(b, 5).groupBy("patient_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{B}, {_N} SELECT count(*) FILTER (n < 600) AS n_short FROM n")
+def a50_short_patients(b):
+    return stats.samples_per_patient(b, 600).select("n_short")
+
+
+@query(f"{B} SELECT patient_id, cycle_index, round(greatest(40, least(100, hr_bpm)), 6) AS hr, round(round_even(amplitude_ratio_ra * 10, 0), 6) AS tenths FROM b")
+def f4_clip_round(b):
+    return b.select("patient_id", "cycle_index", expr.clip("hr_bpm", 40, 100).alias("hr"), expr.half_even(F.col("amplitude_ratio_ra") * 10).alias("tenths"))
+
+
+@query(f"{B}, n AS (SELECT patient_id, cycle_index, lead(sbp_reference) OVER (PARTITION BY patient_id ORDER BY timestamp, cycle_index) - sbp_reference AS d FROM b) SELECT patient_id, cycle_index, CASE WHEN d < -5 THEN 0 WHEN d > 5 THEN 2 ELSE 1 END AS trend FROM n WHERE d IS NOT NULL")
+def f13_trend_label(b):
+    later = F.lead("sbp_reference").over(normalize.Window.partitionBy("patient_id").orderBy("timestamp", "cycle_index"))
+    return b.withColumn("later", later).select("patient_id", "cycle_index", arrays.trend_label(F.col("sbp_reference"), F.col("later")).alias("trend")).where("trend IS NOT NULL")
+
+
+@query(f"WITH c AS ({fx.CASES_FX}) SELECT caseid, 'case_' || lpad(CAST(caseid AS VARCHAR), 5, '0') || '.npz' AS file, 'wave_' || replace(t, '/', '_') AS key FROM c, (VALUES ('SNUADC/ECG_II'), ('SNUADC/PLETH')) AS v(t)", source=fx.CASES_FX)
+def f2_key_names(c):
+    return select.storage_keys(c, ["SNUADC/ECG_II", "SNUADC/PLETH"])
+
+
+@query(f"{B}, f AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, {_r(c, 'sbp_reference')} AS r_sbp FROM b" for c in FEATURES) + ") SELECT feature, r_sbp, CAST(row_number() OVER (ORDER BY abs(r_sbp) DESC, feature) AS INT) AS place FROM f")
+def k3_sort_by_abs_corr(b):
+    r = rounded(stats.feature_bp_correlation(b, FEATURES).select("feature", "r_sbp"))
+    return r.withColumn("place", F.row_number().over(normalize.Window.orderBy(F.abs("r_sbp").desc(), "feature")))
