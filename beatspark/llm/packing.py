@@ -32,7 +32,7 @@ END_ID = 0
 #: Pieces that are packed together.
 GROUP = 50_000
 #: Words whose ids a worker remembers; beyond it the memory is emptied and filled anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_600_000
 #: Texts that a worker tokenises together.
 _TEXTS = 256
 
