@@ -17,7 +17,6 @@ result; other columns are ignored by `fingerprints`. A null id keeps its row, an
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -152,34 +151,23 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     return found.join(named.join(least, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
 
 
-# Near duplicates of a stated similarity: several fingerprints of single words find pairs, a sketch of five-word
-# shingles decides. Shingle fingerprints alone do not do here: texts of shingle similarity 0.8 differ in about ten of
-# 64 bits, where covering masks leave no bits to tell texts apart; their word fingerprints differ in two to five.
+# Near duplicates of a stated similarity: bands of a sketch of five-word shingles propose groups, which may be too wide
+# but lose no pair; inside them texts are compared by their sets of shingles, and only what that confirms is linked.
+# Shingle fingerprints do not do here: texts of shingle similarity 0.8 differ in about ten of 64 bits, where covering
+# masks leave no bits to tell texts apart.
 
-#: Fingerprints of a text, and the count at which a word's weight is held.
-SEEDS, WORD_CAP = 8, 5
-#: Values of a sketch, a byte each. The estimate's standard error at 0.8 is 0.025; `ACCEPT` lies two below.
-SKETCH, SHINGLE, SIMILARITY, ACCEPT = 256, 5, 0.8, 0.75
+#: Values of a sketch, a byte each, and values in a band: of pairs at 0.8, two in 10^9 agree on none of the 51 bands.
+SKETCH, SHINGLE, BAND = 256, 5, 5
+#: Texts are copies of each other from this share of common shingles. Pairs of estimates under `CANDIDATE` are not
+#: compared; the estimate's standard error at 0.8 is 0.025, `CANDIDATE` lies six below.
+SIMILARITY, CANDIDATE = (4, 5), 0.65
+#: Words of the texts of a group that one task compares; larger groups are dealt out by pairs of blocks.
+BLOCK = 1_000_000
 _random = np.random.default_rng(20240229)
 _FACTORS = _random.integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SEED_FACTORS = _random.integers(1, 1 << 63, SEEDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = np.uint64(32)
 
 
-def word_fingerprints(words: list[bytes]) -> np.ndarray:
-    """`SEEDS` fingerprints of a text's words, each weighted by its count up to `WORD_CAP`."""
-    counts = Counter(words)
-    weights = np.minimum(np.fromiter(counts.values(), np.int64, len(counts)), WORD_CAP)
-    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in counts), "<u8", len(counts))
-    out = np.zeros(SEEDS, dtype="<u8")
-    for k, factor in enumerate(_SEED_FACTORS):
-        x = (h ^ (h >> _SHIFT)) * factor
-        x ^= x >> _SHIFT
-        bits = np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        out[k] = np.packbits(2 * (weights @ bits) > weights.sum(), bitorder="little").view("<u8")[0]
-    return out
-
-
 def sketch(text: str | None, size: int = SHINGLE) -> bytes:
     """A byte of each least value of `SKETCH` permutations of the shingles' hashes; no shingles: empty."""
     joined, starts, ends = shingle_ends(text, size)
@@ -194,42 +182,116 @@ def sketch(text: str | None, size: int = SHINGLE) -> bytes:
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """node (hash of the text), fps and sketch of distinct texts with words."""
+    """node (hash of the text), n (number of words) and sketch of distinct texts with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_py() for t in batch.column(1)]
-            fps = [word_fingerprints(t.encode("utf-8", "surrogatepass").lower().split()).view("<i8") for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.list_(pa.int64())), pa.array([sketch(t) for t in texts], pa.binary())], ["node", "fps", "sketch"])
+            n = [len(t.encode("utf-8", "surrogatepass").split()) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([sketch(t) for t in texts], pa.binary())], ["node", "n", "sketch"])
 
     texts = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("node", F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "node bigint, fps array<bigint>, sketch binary").dropDuplicates(["node"])
+    return texts.mapInArrow(run, "node bigint, n bigint, sketch binary").dropDuplicates(["node"])
+
+
+def _bands(found: DataFrame) -> DataFrame:
+    """node, key: a row for each band of each sketch; the key holds the band's number and its values."""
+    count = SKETCH // BAND
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, SKETCH)[:, : count * BAND]
+            keys = values.reshape(-1, count, BAND).astype(np.int64) @ (np.int64(1) << (8 * np.arange(BAND))) + (np.arange(count) << (8 * BAND))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), count)), pa.array(keys.ravel())], ["node", "key"])
+
+    return found.select("node", "sketch").mapInArrow(run, "node bigint, key bigint")
 
 
 def _alike(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches are alike enough to compare the texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(n, SKETCH) for k in (2, 3))
             estimate = ((x == y).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
-            keep = pa.array(estimate >= ACCEPT)
+            keep = pa.array(estimate >= CANDIDATE)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     return pairs.mapInArrow(run, "a bigint, b bigint")
 
 
+def _candidates(found: DataFrame) -> DataFrame:
+    """Links (a, b) whose components hold every pair of near duplicates.
+
+    Bands with few texts give the pairs of alike sketches. Crowded bands give stars that nothing has checked: they
+    may join too much, which the comparison of the texts parts again, but never too little.
+    """
+    bands = _bands(found)
+    sized = materialise(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"), "bands")
+    members = bands.join(sized, "key")
+    small = members.where(F.col("n") <= PAIRWISE).groupBy("key").agg(F.collect_list("node").alias("all"))
+    pairs = small.select("all", F.explode("all").alias("a")).select("a", F.explode(F.filter("all", lambda x: x > F.col("a"))).alias("b")).distinct()
+    sketches = lambda c: found.select(F.col("node").alias(c), F.col("sketch").alias(f"{c}_sketch"))
+    alike = _alike(pairs.join(sketches("a"), "a").join(sketches("b"), "b").select("a", "b", "a_sketch", "b_sketch"))
+    stars = members.where((F.col("n") > PAIRWISE) & (F.col("node") > F.col("least"))).select(F.col("least").alias("a"), F.col("node").alias("b"))
+    return alike.union(stars.distinct())
+
+
+def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of the text's shingles."""
+    joined, starts, ends = shingle_ends(text, size)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts, ends)), np.uint64, len(starts)))
+
+
+def linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of positions that connect what all pairs of `sets` (distinct values, none empty) of Jaccard similarity
+    `SIMILARITY` would connect. A set is compared with all that no link has reached yet.
+    """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    each = np.split(flat, np.cumsum(sizes)[:-1])
+    p, q = SIMILARITY
+    waiting, reached, out = np.arange(len(sets)), [], []
+    marked = np.zeros(len(values), dtype=bool)
+    while len(waiting):
+        if reached:
+            x = reached.pop()
+        else:
+            x = int(waiting[0])
+            flat, waiting = flat[sizes[x] :], waiting[1:]
+            if not len(waiting):
+                break
+        marked[each[x]] = True
+        ends = np.cumsum(sizes[waiting])
+        common = np.add.reduceat(marked[flat], ends - sizes[waiting], dtype=np.int64)
+        marked[each[x]] = False
+        near = (p + q) * common >= p * (sizes[x] + sizes[waiting])
+        if near.any():
+            found = waiting[near].tolist()
+            out += [(x, y) for y in found]
+            reached += found
+            flat, waiting = flat[np.repeat(~near, sizes[waiting])], waiting[~near]
+    return out
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(node, root) of the texts of `docs` (node, text) that are near duplicates of others: shingle similarity 0.8."""
     found = materialise(_signatures(docs), "signatures")
-    each = found.select("node", F.posexplode("fps").alias("seed", "fp"))
-    first = materialise(each.groupBy("seed", "fp").agg(F.min("node").alias("rep"), F.count("*").alias("n")), "word_fingerprints")
-    same = each.join(first.where("n > 1"), ["seed", "fp"]).select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    linked = links(first.select("seed", "fp"), 2, ("seed",))
-    named = lambda c: first.select("seed", F.col("fp").alias(c), F.col("rep").alias(f"{c}_rep"))
-    across = linked.join(named("a"), ["seed", "a"]).join(named("b"), ["seed", "b"]).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
-    pairs = same.union(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    sketches = lambda c: found.select(F.col("node").alias(c), F.col("sketch").alias(f"{c}_sketch"))
-    return components(_alike(pairs.join(sketches("a"), "a").join(sketches("b"), "b").select("a", "b", "a_sketch", "b_sketch")))
+    wide = materialise(components(_candidates(found)).join(found.select("node", "n"), "node"), "candidates")
+    blocks = wide.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+    own = wide.join(blocks, "root").select("node", "root", "blocks", F.pmod(F.xxhash64("node", "root"), "blocks").alias("own"))
+    # All pairs of blocks hold all pairs of texts.
+    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("bigint"))).otherwise(F.array_remove(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), F.col("own"))))
+    tiles = own.select("node", "root", "own", other.alias("other")).select("node", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    texts = docs.join(wide.select("node"), "node", "left_semi").dropDuplicates(["node"])
+
+    def run(group: pa.Table) -> pa.Table:
+        nodes = group.column("node").to_numpy()
+        pairs = np.array(linked([shingles(t.as_py()) for t in group.column("text")]), dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": nodes[pairs[:, 0]], "b": nodes[pairs[:, 1]]})
+
+    return components(tiles.join(texts, "node").select("root", "i", "j", "node", "text").groupBy("root", "i", "j").applyInArrow(run, "a bigint, b bigint"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -92,6 +92,50 @@ def test_near_duplicates(spark):
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(frame).collect()) == [1, 4, 5, 7]
 
 
+def kept_by_brute_force(rows):
+    """The least id of each component of pairs of exact five-word Jaccard similarity 0.8 and more."""
+    sets = []
+    for _, t in rows:
+        w = t.lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                parent[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[find(k)] = min(i, least.get(find(k), i))
+    return sorted(least.values())
+
+
+def kept_near(spark, rows):
+    return sorted(r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+
+
+@pytest.mark.parametrize("limit,block", [(24, 1_000_000), (2, 1_000_000), (2, 700)])
+def test_near_duplicates_of_one_word_bag(spark, monkeypatch, limit, block):
+    """Near copies among texts of the same words in other orders, whatever text is the least of their group."""
+    monkeypatch.setattr(simhash, "PAIRWISE", limit)
+    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+    rng = np.random.default_rng(11)
+    words = [f"w{k}" for k in range(200)]
+    rows = []
+    for k in range(24):
+        order = list(rng.permutation(words))
+        near = order.copy()
+        near[100], near[101] = near[101], near[100]
+        rows += [(2 * k, " ".join(order)), (2 * k + 1, " ".join(near))]
+    assert kept_near(spark, rows) == kept_by_brute_force(rows) == [2 * k for k in range(24)]
+
+
 def test_lm(spark, odd):
     for rows, frame in ((texts(spark), spark.read.parquet(f"{SF}/documents.parquet")), (docs(odd), odd)):
         train = [i is None or zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows]
