@@ -136,6 +136,26 @@ def test_near_duplicates_of_one_word_bag(spark, monkeypatch, limit, block):
     assert kept_near(spark, rows) == kept_by_brute_force(rows) == [2 * k for k in range(24)]
 
 
+def changed_pairs(seed, pairs, words, changes):
+    """Pairs of texts of distinct words, `changes` words of the second replaced, far enough apart to hit five shingles each."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k in range(pairs):
+        text = [f"p{k}w{w}" for w in rng.permutation(words)]
+        other = text.copy()
+        for c in range(changes):
+            other[10 + 6 * c] += "x"
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(other))]
+    return rows
+
+
+def test_near_duplicates_at_the_threshold(spark):
+    """Every pair of similarity 0.80 to 0.83 is found."""
+    for seed, changes in ((12, 22), (13, 26)):
+        rows = changed_pairs(seed, 150, 1200, changes)
+        assert kept_near(spark, rows) == kept_by_brute_force(rows) == [2 * k for k in range(150)]
+
+
 def test_lm(spark, odd):
     for rows, frame in ((texts(spark), spark.read.parquet(f"{SF}/documents.parquet")), (docs(odd), odd)):
         train = [i is None or zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows]
