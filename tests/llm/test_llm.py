@@ -156,6 +156,13 @@ def test_near_duplicates_at_the_threshold(spark):
         assert kept_near(spark, rows) == kept_by_brute_force(rows) == [2 * k for k in range(150)]
 
 
+def test_near_duplicates_below_the_threshold(spark):
+    """No pair of similarity 0.75 to 0.79 is taken for a copy."""
+    for seed, changes in ((14, 28), (15, 33)):
+        rows = changed_pairs(seed, 40, 1200, changes)
+        assert kept_near(spark, rows) == kept_by_brute_force(rows) == list(range(80))
+
+
 def test_lm(spark, odd):
     for rows, frame in ((texts(spark), spark.read.parquet(f"{SF}/documents.parquet")), (docs(odd), odd)):
         train = [i is None or zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows]
