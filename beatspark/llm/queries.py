@@ -86,8 +86,8 @@ def op4_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substring_dedup.digest(substring_dedup.marked(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400))
-    return found.select("doc.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    found = substring_dedup.cut(substring_dedup.marked(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400))
+    return found.select("doc.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("kept").alias("text"))
 
 
 @query

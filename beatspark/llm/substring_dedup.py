@@ -1,24 +1,27 @@
 """Exact substring dedup by prefix-free parsing, to a fixed depth.
 
-A byte is removed where it lies in a string of `length` bytes that also starts anywhere else. Two such strings are
-neighbours in the suffix array of the corpus, cut off at depth `length`; only whether they are equal matters, so the
-order is kept as equality classes and never sorted as a whole.
+A byte is removed where it lies in a string of `length` bytes that also starts anywhere else, which is to say where the
+corpus order (its suffix array) has a neighbour with `length` bytes in common.
 
 Parsing: a rolling hash of 8 bytes is taken at every byte, and the first `window` places of each string of `length`
-bytes elect the smallest hash (leftmost of equal ones) as its trigger. Triggers cut the texts into phrases as in
-prefix-free parsing: the choice depends on the string alone, so equal strings have their trigger at the same place.
-A string is then a suffix of one phrase (up to the trigger) followed by the parse from the trigger on:
-
-1. All starts with one trigger form a run. Runs are grouped by the parse behind the trigger, as deep as all strings
-   of any run reach (`length - window + 1` bytes). A run alone in its group repeats nowhere.
-2. In groups of several, runs whose whole extent is equal (phrase suffix and parse) repeat as a whole.
-3. What is left are runs at the edge of a repeat. Their strings, and one of each class of equal runs in the same
-   group, are compared start by start by hash: inside a task for groups of up to `CROWD` classes, as rows beyond.
-
-Each text goes through two joins, compressed, by a 128-bit hash of itself, so neither ids nor their nulls or repeats
-matter, and equal texts have the same spans. Groups are counted by pre-aggregated sums and joined, never gathered: a passage or
-a text that a third of all rows hold is split like any skewed join. Equality rests on two 64-bit hashes, of the parse
-and of the string.
+bytes elect the smallest hash (leftmost of equal ones) as its trigger. All starts with one trigger form a run; its
+phrase reaches from the first of them up to the trigger, and the parse is what follows the trigger. The choice depends
+on the string alone, so equal strings have their trigger at the same place: a string is a suffix of one phrase, then
+the parse behind it.
+
+1. Runs are grouped by the parse, as deep as all strings of any run reach (`length - window + 1` bytes). A run alone in
+   its group repeats nowhere.
+2. In groups of several, runs whose whole extent is equal (phrase and parse) repeat as a whole.
+3. What is left are runs at the edge of a repeat. Of these and of one run of each class of equal ones, two orders are
+   made: the suffix order of the dictionary (distinct phrases, compared from their ends, with the lengths that
+   neighbours have in common) and the suffix order of the parses (with the same for their beginnings). The suffixes of
+   one length a of all phrases are intervals of the first order, the parses equal to depth `length - a` intervals of
+   the second; two strings are neighbours in corpus order to the full depth where they share both intervals.
+
+Groups of up to `CROWD` classes are ordered inside a task, many groups to a task; in larger ones each string is a row,
+counted and joined by its hash. Equal texts are parsed once; a text that is there twice is covered as a whole. Counts
+of groups are pre-aggregated, and rows meet them in joins that deal hot parses and classes out over many tasks
+(`spread_join`). Texts are told apart by 128 bits of hash, runs by two 64-bit hashes, of the parse and of the extent.
 
 Defined results: a null text is empty; texts shorter than `length` keep everything; of equal texts and passages no
 copy is kept; an empty table gives an empty result; other columns are passed through by `dedup`.
@@ -37,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import check_columns, materialise
+from .common import check_columns, materialise, spread_join
 
 LENGTH = 400
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -45,7 +48,7 @@ _HIGH = np.uint64(0xFFFFFFFF00000000)
 _LOW = np.uint64(0x00000000FFFFFFFF)
 #: Bytes of texts that are parsed together.
 _TOGETHER = 1 << 20
-#: Classes of runs in a group that are compared inside one task, and about how many a task takes.
+#: Classes of runs in a group that are ordered inside one task, and about how many a task takes.
 CROWD, _BUCKET = 10_000, 4000
 
 
@@ -83,11 +86,12 @@ def runs(texts: list[bytes], length: int = LENGTH) -> tuple[bytes, np.ndarray, n
     return joined, np.searchsorted(bases, begin, side="right") - 1, begin, starts[last], trigger[first]
 
 
-def _batches(batch: pa.RecordBatch, text: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of a batch with about `_TOGETHER` bytes of text."""
+def _batches(batch: pa.RecordBatch, packed: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of a batch with about `_TOGETHER` bytes of text, and the texts."""
     at, size, texts = 0, 0, []
+    open_ = zstandard.ZstdDecompressor()
     for k in range(batch.num_rows):
-        data = batch.column(text)[k].as_py() or b""
+        data = open_.decompress(batch.column(packed)[k].as_py())
         texts.append(data)
         size += len(data)
         if size >= _TOGETHER or k == batch.num_rows - 1:
@@ -96,7 +100,7 @@ def _batches(batch: pa.RecordBatch, text: int) -> Iterator[tuple[pa.RecordBatch,
 
 
 def _parse(texts: DataFrame, length: int) -> DataFrame:
-    """ka, kb (of the text), first and last (start of a run), parse and extent (hashes)."""
+    """ka, kb (of the text), first and last (start of a run), trigger, parse and extent (hashes)."""
     deep = length - window_of(length) + 1
     hash_ = xxhash.xxh3_64_intdigest
 
@@ -109,16 +113,17 @@ def _parse(texts: DataFrame, length: int) -> DataFrame:
                 parse = np.fromiter((hash_(joined[t : t + deep]) for t in trigger.tolist()), "<u8", len(trigger))
                 extent = np.fromiter((hash_(joined[b : e + length]) for b, e in zip(begin.tolist(), end.tolist())), "<u8", len(begin))
                 rows = pa.array(text)
+                places = [pa.array((x - base).astype(np.int32)) for x in (begin, end, trigger)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array((begin - base).astype(np.int32)), pa.array((end - base).astype(np.int32)), pa.array(parse.view("<i8")), pa.array(extent.view("<i8"))],
-                    ["ka", "kb", "first", "last", "parse", "extent"],
+                    [batch.column(0).take(rows), batch.column(1).take(rows), *places, pa.array(parse.view("<i8")), pa.array(extent.view("<i8"))],
+                    ["ka", "kb", "first", "last", "trigger", "parse", "extent"],
                 )
 
-    return texts.where(F.octet_length("data") >= length).select("ka", "kb", "data").mapInArrow(run, "ka bigint, kb bigint, first int, last int, parse bigint, extent bigint")
+    return texts.select("ka", "kb", "packed").mapInArrow(run, "ka bigint, kb bigint, first int, last int, trigger int, parse bigint, extent bigint")
 
 
 def _extents(asked: DataFrame, length: int) -> DataFrame:
-    """The bytes of the `asked` runs (parse, first, last, open, crowded) of texts."""
+    """The bytes of the `asked` runs (parse, first, last, trigger, open, crowded) of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
@@ -126,33 +131,65 @@ def _extents(asked: DataFrame, length: int) -> DataFrame:
             out = []
             for row in batch.to_pylist():
                 data = open_.decompress(row["packed"])
-                out += [(row["ka"], row["kb"], r["parse"], r["first"], r["open"], r["crowded"], data[r["first"] : r["last"] + length]) for r in row["asked"]]
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types], ["ka", "kb", "parse", "first", "open", "crowded", "bytes"])
-
-    return asked.select("ka", "kb", "packed", "asked").mapInArrow(run, "ka bigint, kb bigint, parse bigint, first int, open boolean, crowded boolean, bytes binary")
-
-
-def _strings(data: bytes, length: int) -> np.ndarray:
-    """Hashes of all strings of `length` bytes in the bytes of a run."""
-    n = len(data) - length + 1
-    return np.fromiter((xxhash.xxh3_64_intdigest(data[p : p + length]) for p in range(n)), "<u8", n)
+                out += [(row["ka"], row["kb"], r["parse"], r["first"], r["trigger"], r["open"], r["crowded"], data[r["first"] : r["last"] + length]) for r in row["asked"]]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types], ["ka", "kb", "parse", "first", "trigger", "open", "crowded", "bytes"])
+
+    return asked.select("ka", "kb", "packed", "asked").mapInArrow(run, "ka bigint, kb bigint, parse bigint, first int, trigger int, open boolean, crowded boolean, bytes binary")
+
+
+def _in_order(data: list[bytes], among: list) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted order of byte strings within their groups `among`, and how many bytes each has in common with the one before it (-1: another group)."""
+    order = sorted(range(len(data)), key=lambda k: (among[k], data[k]))
+    size = np.array([len(data[k]) for k in order])
+    width = int(size.max(initial=0))
+    table = np.frombuffer(b"".join(data[k].ljust(width, b"\0") for k in order), np.uint8).reshape(len(order), width)
+    common = np.full(len(order), -1, dtype=np.int64)
+    if len(order) > 1:
+        differ = np.concatenate((table[1:] != table[:-1], np.ones((len(order) - 1, 1), dtype=bool)), axis=1).argmax(axis=1)
+        same = np.array([among[x] == among[y] for x, y in zip(order, order[1:])])
+        common[1:] = np.where(same, np.minimum(differ, np.minimum(size[1:], size[:-1])), -1)
+    return np.array(order), common
+
+
+def neighbours(data: list[bytes], cut: np.ndarray, among: list, length: int) -> Iterator[tuple[int, np.ndarray]]:
+    """By the suffix orders of phrases (`data` up to `cut`) and parses (behind it) of runs of the groups `among`: for each
+    length a of phrase suffixes, the runs whose string with that much of its phrase has an equal one in another run.
+    """
+    cuts = cut.tolist()
+    parses, deep = _in_order([d[c:] for d, c in zip(data, cuts)], among)
+    # a dictionary: equal phrases are one entry; suffixes of phrases are compared from their ends
+    backwards = [d[:c][::-1] for d, c in zip(data, cuts)]
+    words = sorted(set(backwards))
+    number = {w: k for k, w in enumerate(words)}
+    phrase = np.array([number[b] for b in backwards])
+    _, long = _in_order(words, [0] * len(words))
+    least = cut - (np.array([len(d) for d in data]) - length)
+    rest = np.zeros(len(data), dtype=np.int64)
+    for a in range(int(least.min()), int(cut.max()) + 1):
+        here = np.flatnonzero((least <= a) & (a <= cut))
+        if len(here) < 2:
+            continue
+        suffix = np.cumsum(long < a)
+        rest[parses] = np.cumsum(deep < length - a)
+        _, which, times = np.unique(suffix[phrase[here]] * (len(data) + 1) + rest[here], return_inverse=True, return_counts=True)
+        found = here[times[which] > 1]
+        if len(found):
+            yield a, found
 
 
 def _compare_groups(extents: DataFrame, n: int, length: int) -> DataFrame:
-    """Repeated strings (ka, kb, first, last) of open runs, whole groups of runs compared inside a task."""
+    """Repeated strings (ka, kb, first, last) of open runs, whole groups of runs ordered inside a task."""
     buckets = max(1, -(-n // _BUCKET))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        hashes = [_strings(d, length) for d in pdf["bytes"]]
-        sizes = np.array([len(h) for h in hashes])
-        row = np.repeat(np.arange(len(pdf)), sizes)
-        at = np.concatenate([np.arange(k) for k in sizes]) + pdf["first"].to_numpy()[row]
-        # runs of other groups may share the bucket: the parse goes into the hash
-        mixed = np.concatenate(hashes) ^ (pdf["parse"].to_numpy().astype("<i8").view("<u8") * _MULTIPLIER)[row]
-        _, inverse, counts = np.unique(mixed, return_inverse=True, return_counts=True)
-        hit = (counts[inverse] > 1) & pdf["open"].to_numpy()[row]
-        row, at = row[hit], at[hit]
+        first, cut = pdf["first"].to_numpy().astype(np.int64), (pdf["trigger"] - pdf["first"]).to_numpy().astype(np.int64)
+        hits = [(rows, first[rows] + cut[rows] - a) for a, rows in neighbours(pdf["bytes"].tolist(), cut, pdf["parse"].tolist(), length)]
+        row, at = (np.concatenate([h[k] for h in hits]) if hits else np.zeros(0, dtype=np.int64) for k in (0, 1))
+        mine = pdf["open"].to_numpy()[row]
+        row, at = row[mine], at[mine]
+        order = np.lexsort((at, row))
+        row, at = row[order], at[order]
         begins = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)))) if len(row) else np.zeros(0, dtype=int)
         ends = np.concatenate((begins[1:], [len(row)])) - 1 if len(row) else begins
         found = pdf.iloc[row[begins]]
@@ -167,8 +204,9 @@ def _compare_rows(extents: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                h = _strings(r["bytes"], length)
-                n = len(h)
+                data = r["bytes"]
+                n = len(data) - length + 1
+                h = np.fromiter((xxhash.xxh3_64_intdigest(data[p : p + length]) for p in range(n)), "<u8", n)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, r["ka"])), pa.array(np.full(n, r["kb"])), pa.array(np.full(n, r["parse"])), pa.array(h.view("<i8")), pa.array(np.arange(r["first"], r["first"] + n, dtype=np.int32)), pa.array(np.full(n, r["open"]))],
                     ["ka", "kb", "parse", "string", "at", "open"],
@@ -185,27 +223,32 @@ def _pack(data: pd.Series) -> pd.Series:
 
 
 def spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """ka, kb and `covered`, the (first, end) of repeated stretches, for those of `texts` (ka, kb, data, packed) that have any."""
+    """ka, kb and `covered`, the (first, end) of repeated stretches, for those of `texts` that have any.
+
+    `texts`: ka, kb, packed, size and n (how often the text is there), each text of `length` bytes and more once.
+    """
     parsed = _parse(texts, length)
-    groups = parsed.groupBy("parse").agg(F.count("*").alias("n"), F.min("extent").alias("lo"), F.max("extent").alias("hi")).where("n > 1")
-    shared = materialise(parsed.join(groups.select("parse", (F.col("lo") != F.col("hi")).alias("mixed")), "parse"), "shared_runs")
+    counted = parsed.groupBy("parse").agg(F.count("*").alias("n"), F.min("extent").alias("lo"), F.max("extent").alias("hi"))
+    groups = materialise(counted.where("n > 1").select("parse", "n", (F.col("lo") != F.col("hi")).alias("mixed")), "parses")
+    shared = materialise(spread_join(parsed, groups, ["parse"]).drop("n"), "shared_runs")
     alike = shared.where("NOT mixed").select("ka", "kb", "first", "last")
 
-    mixed = shared.where("mixed")
+    mixed = shared.where("mixed").drop("mixed")
     place = F.xxhash64("ka", "kb", "first")
     classes = mixed.groupBy("parse", "extent").agg(F.count("*").alias("n"), F.min(place).alias("one"))
     sizes = classes.groupBy("parse").agg(F.count("*").alias("classes"))
-    named = mixed.join(classes.join(sizes, "parse"), ["parse", "extent"])
+    classes = materialise(classes.join(sizes, "parse"), "classes")
+    named = spread_join(mixed, classes, ["parse", "extent"])
     repeated = named.where("n > 1").select("ka", "kb", "first", "last")
-    # one run of each class has its strings compared
-    one = F.struct("parse", "first", "last", (F.col("n") == 1).alias("open"), (F.col("classes") > CROWD).alias("crowded"))
+    # one run of each class is put in order
+    one = F.struct("parse", "first", "last", "trigger", (F.col("n") == 1).alias("open"), (F.col("classes") > CROWD).alias("crowded"))
     asked = named.where(place == F.col("one")).groupBy("ka", "kb").agg(F.collect_set(one).alias("asked"))
-    # equal texts stand for each other: any one row of a text gives the same bytes
-    extents = materialise(_extents(texts.select("ka", "kb", "packed").join(asked, ["ka", "kb"]).dropDuplicates(["ka", "kb"]), length), "edge_runs")
+    extents = materialise(_extents(texts.select("ka", "kb", "packed").join(asked, ["ka", "kb"]), length), "edge_runs")
     edges = _compare_groups(extents.where("NOT crowded"), extents.count(), length).union(_compare_rows(extents.where("crowded"), length))
 
-    all_ = alike.union(repeated).union(edges).distinct()
-    covered = all_.groupBy("ka", "kb").agg(F.collect_list(F.struct("first", (F.col("last") + length).alias("end"))).alias("covered"))
+    stretches = alike.union(repeated).union(edges).select("ka", "kb", "first", (F.col("last") + length).alias("end"))
+    whole = texts.where("n > 1").select("ka", "kb", F.lit(0).alias("first"), F.col("size").alias("end"))
+    covered = stretches.union(whole).distinct().groupBy("ka", "kb").agg(F.collect_list(F.struct("first", "end")).alias("covered"))
     return materialise(covered, "covered")
 
 
@@ -226,49 +269,34 @@ def marked(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFra
     data = F.coalesce(F.col(text).cast("string"), F.lit(""))
     doc = F.struct(*([F.col(c) for c in docs.columns if c != text] or [F.lit(0).alias("none")]))
     rows = docs.select(doc.alias("doc"), data.cast("binary").alias("data"), F.xxhash64(data).alias("ka"), F.xxhash64(F.lit(1), data).alias("kb"))
-    rows = rows.withColumn("packed", F.pandas_udf(_pack, "binary")("data"))
-    return rows.drop("data").join(spans(rows, length), ["ka", "kb"], "left").select("doc", "packed", "covered")
-
-
-def digest(found: DataFrame) -> DataFrame:
-    """doc, n_bytes, n_removed, n_spans, kept_sha256 of `marked` rows."""
+    rows = rows.withColumn("packed", F.pandas_udf(_pack, "binary")("data")).withColumn("size", F.octet_length("data")).drop("data")
+    texts = rows.where(F.col("size") >= length).groupBy("ka", "kb").agg(F.first("packed").alias("packed"), F.first("size").alias("size"), F.count("*").alias("n"))
+    return rows.drop("size").join(spans(materialise(texts, "texts"), length), ["ka", "kb"], "left").select("doc", "packed", "covered")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for data, covered in zip(batch.column(1), batch.column(2)):
-                data, cut, kept, at = zstandard.decompress(data.as_py()), union(covered.as_py()), hashlib.sha256(), 0
-                for a, b in cut:
-                    kept.update(data[at:a])
-                    at = b
-                kept.update(data[at:])
-                out.append((len(data), sum(b - a for a, b in cut), len(cut), kept.hexdigest()))
-            columns = list(zip(*out)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    doc = found.schema["doc"].dataType.simpleString()
-    return found.select("doc", "packed", "covered").mapInArrow(run, f"doc {doc}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
+def cut(found: DataFrame) -> DataFrame:
+    """doc, n_bytes, n_removed, n_spans, kept_sha256 and kept of `marked` rows.
 
-def kept_text(found: DataFrame) -> DataFrame:
-    """doc and the kept text of `marked` rows; a character that a cut would split goes as a whole."""
+    kept_sha256 is that of the remaining bytes; in the text `kept`, a character that a cut splits goes as a whole.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = []
+            out = []
             for data, covered in zip(batch.column(1), batch.column(2)):
-                data, at, parts = zstandard.decompress(data.as_py()), 0, []
-                for a, b in union(covered.as_py()):
-                    parts.append(data[at:a].decode("utf-8", "ignore"))
+                data, removed, at, parts = zstandard.decompress(data.as_py()), union(covered.as_py()), 0, []
+                for a, b in [*removed, (len(data), len(data))]:
+                    parts.append(data[at:a])
                     at = b
-                kept.append("".join(parts) + data[at:].decode("utf-8", "ignore"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], ["doc", "kept"])
+                out.append((len(data), sum(b - a for a, b in removed), len(removed), hashlib.sha256(b"".join(parts)).hexdigest(), "".join(p.decode("utf-8", "ignore") for p in parts)))
+            columns = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), *(pa.array(c, pa.string()) for c in columns[3:])], ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     doc = found.schema["doc"].dataType.simpleString()
-    return found.select("doc", "packed", "covered").mapInArrow(run, f"doc {doc}, kept string")
+    return found.select("doc", "packed", "covered").mapInArrow(run, f"doc {doc}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
 
 
 def dedup(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """`docs` with the repeated stretches cut from `text`."""
-    kept = kept_text(marked(docs, text, length))
+    kept = cut(marked(docs, text, length))
     return kept.select(*[F.col("kept").alias(c) if c == text else F.col("doc")[c].alias(c) for c in docs.columns])

@@ -370,9 +370,10 @@ def test_substring_dedup(spark, monkeypatch, crowd):
     word = lambda n: "".join(rng.choice(list("ab c\n"), n))
     shared = [word(70) for _ in range(3)]
     rows = [(k, word(int(rng.integers(0, 60))) + shared[k % 3][int(rng.integers(0, 30)) :] + word(40)) for k in range(40)]
+    rows += [(60 + k, word(5 + k) + shared[0][:55] + word(9)) for k in range(30)]  # one group of many classes
     rows += [(50, "z" * 500), (51, None), (52, ""), (53, shared[0]), (53, shared[0]), (None, "abc" * 40), (54, "é" * 80)]
     for length in (40, 41):
-        found = substring_dedup.digest(substring_dedup.marked(spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id bigint, text string, packed int"), length=length))
+        found = substring_dedup.cut(substring_dedup.marked(spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id bigint, text string, packed int"), length=length))
         got = sorted((repr(r.doc.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found.collect())
         assert got == substrings([(i, (t or "").encode()) for i, t in rows], length)
 
