@@ -3,14 +3,18 @@
 Source token shares p are raised to an exponent a and normalised: w ~ p^a. The exponent is found by sections over
 the (monotone) entropy of the weights or over the most often repeated source: each pass evaluates a grid of
 exponents in one aggregation over the sources, so the table of sources never leaves Spark. A source's budget is its
-weight times the token budget, in epochs of its own tokens. Every epoch is a permutation of the source by a seeded
-hash; whole epochs repeat all its rows, and the last one is cut where its budget ends. The cut is found in two steps:
-token sums of blocks of the permutation, then the rows of the one block in which the budget ends, so a source that
-holds a third of all rows is never ordered in one task.
+weight times the token budget, in epochs of its own tokens.
+
+Rows lie in blocks by a hash of themselves, about `BLOCK_ROWS` of a source to a block. Each epoch permutes the blocks
+(a bijection of their numbers) and the rows in them, so a row's `place` in an epoch is one number. Whole epochs take all
+rows; the last one is cut where its budget ends. The cut is found digit by digit of the place: token sums of at most
+`PARTS` parts of each source, then of the parts of the one part in which the budget ends, until that holds a block's
+rows. A source that holds a third of all rows is never ordered in one task, however large; its rows meet its weight in
+a join that deals hot sources out.
 
 Defined results: a null text has no tokens; null sources form a source of their own; a source without tokens gets
-weight 0 and keeps each row once; repeated rows share their place in the permutation and are taken or left together;
-an empty table gives an empty result; columns of the input are kept as they are.
+weight 0 and keeps each row once; repeated rows share their place and are taken or left together; an empty table gives
+an empty result; the input's columns stay together in the struct `doc`, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,13 +22,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import check_columns, materialise, words
+from .common import check_columns, materialise, spread_join, words
 
 SEED = 17
 #: Exponents evaluated in one pass, and passes.
 SECTIONS, PASSES = 64, 4
-#: Rows of a source in a block of its permutation, about.
+#: Rows of a source in a block of its permutation, about; parts of a source whose sums are ordered at a time.
 BLOCK_ROWS = 4096
+PARTS = 4096
+#: Bits of a place.
+_BITS = 62
 
 
 def _key(source: Column) -> Column:
@@ -32,18 +39,34 @@ def _key(source: Column) -> Column:
 
 
 def measured(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """`docs` with __source, __tokens (words) and __place, the row's place in the permutation of its source."""
+    """doc (all columns of a row), source (its key), tokens (words) and row, the hash that gives it its places."""
     check_columns(docs, "source", "text")
     ids = [F.col("doc_id")] if "doc_id" in docs.columns else []
-    return docs.withColumns({
-        "__source": _key(F.col("source")),
-        "__tokens": F.size(words(F.col("text"))).cast("bigint"),
-        "__place": F.xxhash64(*ids, F.col("text"), F.lit(seed)),
-    })
+    return docs.select(
+        F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), _key(F.col("source")).alias("source"),
+        F.size(words(F.col("text"))).cast("bigint").alias("tokens"), F.xxhash64(*ids, F.col("text"), F.lit(seed)).alias("row"),
+    )
 
 
 def source_totals(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("__source").agg(F.sum("__tokens").alias("tokens"), F.count("*").alias("n"))
+    return rows.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
+
+
+def block_bits(rows: int) -> int:
+    """Bits of a block's number in a table of so many rows."""
+    return min(31, (rows // BLOCK_ROWS).bit_length())
+
+
+def block(row: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(row, 64 - bits) if bits else F.lit(0).cast("bigint")
+
+
+def place(row: Column, epoch: Column, bits: int) -> Column:
+    """The row's place in an epoch: the permuted number of its block, then the hash of the row in it."""
+    mask = F.lit((1 << bits) - 1).cast("bigint")
+    shift, factor = F.xxhash64(epoch, F.lit(1)).bitwiseAND(mask), F.xxhash64(epoch, F.lit(2)).bitwiseAND(mask).bitwiseOR(F.lit(1).cast("bigint"))
+    permuted = (block(row, bits).bitwiseXOR(shift) * factor).bitwiseAND(mask)
+    return F.shiftleft(permuted, _BITS - bits).bitwiseOR(F.shiftrightunsigned(F.xxhash64(row, epoch), 64 - _BITS + bits))
 
 
 def _grid(sources: DataFrame, total: int, lo: float, hi: float) -> list:
@@ -89,9 +112,36 @@ def exponent(sources: DataFrame, entropy: float | None = None, repetitions: floa
     return found.a, budget if budget is not None else 1 / found.least
 
 
+#: The epoch number by which the last, cut epoch of each source is permuted.
+_LAST = -1
+
+
+def _cuts(placed: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
+    """source and cut, the last place taken, of sources (source, rest) whose budget `rest` ends among `placed` (source, tokens, place)."""
+    # sources that need no cut have no row here
+    inside, ends, known = placed, wanted.where("rest > 0").select("source", "rest", F.lit(0.0).alias("before"), F.lit(-1).cast("bigint").alias("low")), 0
+    step = (PARTS - 1).bit_length()
+    while known < block_bits(rows):
+        known += step
+        part = F.shiftright("place", _BITS - known)
+        inside = inside.withColumn("part", part)
+        sums = inside.groupBy("source", "part").agg(F.sum("tokens").alias("sum"))
+        upto = F.sum("sum").over(Window.partitionBy("source").orderBy("part"))
+        reached = sums.withColumn("upto", upto).join(ends, "source").withColumn("upto", F.col("before") + F.col("upto"))
+        # the part in which the budget ends: one for each source, and none where it never ends
+        ends = materialise(reached.where("upto - sum <= rest AND upto > rest").select("source", "rest", (F.col("upto") - F.col("sum")).alias("before"), (F.shiftleft("part", _BITS - known) - 1).alias("low"), "part"), "parts")
+        inside = inside.join(ends.select("source", "part"), ["source", "part"]).select("source", "tokens", "place")
+        ends = ends.drop("part")
+    order = Window.partitionBy("source").orderBy("place").rangeBetween(Window.unboundedPreceding, 0)
+    last = inside.withColumn("upto", F.sum("tokens").over(order)).join(ends, "source").where("before + upto <= rest").groupBy("source").agg(F.max("place").alias("inner"))
+    return ends.join(last, "source", "left").select("source", F.coalesce("inner", "low").alias("cut"))
+
+
 def plan(rows: DataFrame, entropy: float | None = None, repetitions: float | None = None, budget: float | None = 1.0) -> DataFrame:
-    """One row for each source: weight, exponent, epochs, whole (epochs) and `cut`: the last place taken in the epoch after."""
-    sources = source_totals(rows)
+    """One row for each source of `rows` (source, tokens, row): n (rows), tokens, weight, exponent, epochs, whole (epochs),
+    rest (tokens of the epoch after) and cut, the last place taken in it. Written to the shared folder.
+    """
+    sources = materialise(source_totals(rows), "sources")
     a, epochs = exponent(sources, entropy, repetitions, budget)
     total = sources.agg(F.sum("tokens").cast("double").alias("total"), F.sum(F.when(F.col("tokens") > 0, F.pow(F.col("tokens").cast("double"), F.lit(a)))).alias("z"), F.sum("n").alias("rows")).first()
     t, z, n = total.total or 1.0, total.z or 1.0, total.rows or 0
@@ -99,35 +149,20 @@ def plan(rows: DataFrame, entropy: float | None = None, repetitions: float | Non
     wanted = F.when(F.col("tokens") > 0, F.lit(epochs * t) * F.col("weight") / F.col("tokens")).otherwise(1.0)
     plans = sources.withColumn("weight", weight).withColumn("epochs", wanted).withColumn("whole", F.floor(F.col("epochs") + 1e-9).cast("int"))
     plans = plans.withColumn("rest", F.greatest(F.lit(0.0), (F.col("epochs") - F.col("whole")) * F.col("tokens")))
-
-    bits = max(0, (n // BLOCK_ROWS).bit_length())
-    block = F.shiftright("__place", 64 - bits) if bits else F.lit(0).cast("bigint")
-    placed = rows.select("__source", "__tokens", "__place", block.alias("block"))
-    sums = placed.groupBy("__source", "block").agg(F.sum("__tokens").alias("sum"))
-    order = Window.partitionBy("__source").orderBy("block")
-    before = sums.withColumn("before", F.sum("sum").over(order) - F.col("sum")).join(plans.select("__source", "rest"), "__source")
-    # the block in which the budget ends; one for each source at most
-    ends = before.where("before <= rest AND before + sum > rest").select("__source", "block", "before", "rest")
-    inside = placed.join(ends, ["__source", "block"])
-    upto = F.col("before") + F.sum("__tokens").over(Window.partitionBy("__source").orderBy("__place").rangeBetween(Window.unboundedPreceding, 0))
-    last = inside.select("__source", "__place", "rest", upto.alias("upto")).where("upto <= rest").groupBy("__source").agg(F.max("__place").alias("inner_cut"))
-    low = F.shiftleft(F.col("block"), 64 - bits) if bits else F.lit(-(1 << 63)).cast("bigint")
-    # without a row of that block that still fits, everything before the block is taken
-    cuts = ends.join(last, "__source", "left").select("__source", F.coalesce("inner_cut", F.when(low > F.lit(-(1 << 63)), low - 1)).alias("cut"), F.lit(True).alias("cut_found"))
-    return plans.join(cuts, "__source", "left").select("__source", "tokens", "weight", F.lit(a).alias("exponent"), "epochs", "whole", "rest", "cut")
-
-
-def copies(rows: DataFrame, plans: DataFrame) -> DataFrame:
-    """`rows` with weight, exponent, epochs and copies: how often each row is taken."""
-    once = F.when((F.col("rest") > 0) & F.col("cut").isNotNull() & (F.col("__place") <= F.col("cut")), 1).otherwise(0)
-    return rows.join(plans.select("__source", "weight", "exponent", "epochs", "whole", "rest", "cut"), "__source").withColumn("copies", F.col("whole") + once).drop("whole", "rest", "cut")
+    placed = rows.select("source", "tokens", place(F.col("row"), F.lit(_LAST), block_bits(n)).alias("place"))
+    return materialise(plans.join(_cuts(placed, plans, n), "source", "left").withColumns({"exponent": F.lit(a), "rows": F.lit(n).cast("bigint")}), "plans")
 
 
 def mix(docs: DataFrame, entropy: float | None = None, repetitions: float | None = None, budget: float | None = 1.0, seed: int = SEED) -> DataFrame:
-    """The mixed rows: `docs`, each as often as it is taken, with `epoch` (from 0) and `place` (its place there)."""
-    inner = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("__row"), *[F.col(c) for c in ("doc_id", "source", "text") if c in docs.columns])
-    rows = measured(inner, seed)
-    plans = plan(materialise(rows.select("__source", "__tokens", "__place"), "places"), entropy, repetitions, budget)
-    taken = copies(rows.select("__row", "__source", "__place"), materialise(plans, "plans")).where("copies > 0")
-    each = taken.select("__row", "__place", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("epoch"))
-    return each.select("__row.*", "epoch", F.xxhash64("__place", "epoch").alias("place"))
+    """The mixed rows: doc (struct), tokens, weight, exponent, epochs and copies of it, then epoch (from 0), block and place there.
+
+    Ordered by source, epoch and place, a source's rows are its budgeted block permutations.
+    """
+    rows = measured(docs, seed)
+    plans = plan(materialise(rows.select("source", "tokens", "row"), "rows"), entropy, repetitions, budget)
+    bits = block_bits(plans.agg(F.max("rows")).first()[0] or 0)
+    once = F.coalesce((F.col("rest") > 0) & (place(F.col("row"), F.lit(_LAST), bits) <= F.col("cut")), F.lit(False)).cast("int")
+    planned = spread_join(rows, plans.select("source", "n", "weight", "exponent", "epochs", "whole", "rest", "cut"), ["source"]).withColumn("copies", F.col("whole") + once)
+    each = planned.where("copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    by = F.when(F.col("epoch") < F.col("whole"), F.col("epoch")).otherwise(F.lit(_LAST))
+    return each.select("doc", "tokens", "weight", "exponent", "epochs", "copies", "epoch", block(F.col("row"), bits).alias("block"), place(F.col("row"), by, bits).alias("place"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, license_scan, mixing, ngram_lm, packing, pu_quality, quality_rules, simhash, substring_dedup, warc
-from .common import materialise, table
+from .common import table
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -59,11 +59,8 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    rows = materialise(mixing.measured(docs).select("doc_id", "source", "__source", "__tokens", "__place"), "places")
-    return mixing.copies(rows, mixing.plan(rows, repetitions=4.0)).select(
-        "doc_id", "source", F.col("__tokens").alias("n_tokens"), "weight", "exponent", "epochs", F.col("copies").cast("int").alias("copies")
-    )
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), repetitions=4.0)
+    return mixed.select("doc.doc_id", "doc.source", F.col("tokens").alias("n_tokens"), "weight", "exponent", "epochs", "copies", "epoch", "block", "place")
 
 
 @query

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import check_columns, materialise
+from .common import check_columns, discard, materialise
 
 BITS = 64
 SEED = 42
@@ -133,7 +133,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(lower.select("u", F.col("m").alias("v"))).distinct()
-        now = materialise(small, "links")
+        before, now = now, materialise(small, "links")
+        discard(before)
         here = sign(now)
         if here == last:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -161,6 +162,8 @@ SKETCH, SHINGLE, BAND = 256, 5, 5
 #: Texts are copies of each other from this share of common shingles. Pairs of estimates under `CANDIDATE` are not
 #: compared; the estimate's standard error at 0.8 is 0.025, `CANDIDATE` lies six below.
 SIMILARITY, CANDIDATE = (4, 5), 0.65
+#: Bits of the hash that names a text, and texts of equal hashes up to which their list is broadcast.
+NODE_BITS, CLASHES = 64, 10_000
 #: Words of the texts of a group that one task compares; larger groups are dealt out by pairs of blocks.
 BLOCK = 1_000_000
 _random = np.random.default_rng(20240229)
@@ -221,14 +224,12 @@ def _alike(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a bigint, b bigint")
 
 
-def _candidates(found: DataFrame) -> DataFrame:
-    """Links (a, b) whose components hold every pair of near duplicates.
+def _candidates(found: DataFrame, bands: DataFrame, sized: DataFrame) -> DataFrame:
+    """Links (a, b) whose components hold every pair of near duplicates; `sized`: bands of several texts, and their number.
 
     Bands with few texts give the pairs of alike sketches. Crowded bands give stars that nothing has checked: they
     may join too much, which the comparison of the texts parts again, but never too little.
     """
-    bands = _bands(found)
-    sized = materialise(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"), "bands")
     members = bands.join(sized, "key")
     small = members.where(F.col("n") <= PAIRWISE).groupBy("key").agg(F.collect_list("node").alias("all"))
     pairs = small.select("all", F.explode("all").alias("a")).select("a", F.explode(F.filter("all", lambda x: x > F.col("a"))).alias("b")).distinct()
@@ -278,7 +279,10 @@ def linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(node, root) of the texts of `docs` (node, text) that are near duplicates of others: shingle similarity 0.8."""
     found = materialise(_signatures(docs), "signatures")
-    wide = materialise(components(_candidates(found)).join(found.select("node", "n"), "node"), "candidates")
+    bands = _bands(found)
+    sized = materialise(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"), "bands")
+    wide = materialise(components(_candidates(found, bands, sized)).join(found.select("node", "n"), "node"), "candidates")
+    discard(sized)
     blocks = wide.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
     own = wide.join(blocks, "root").select("node", "root", "blocks", F.pmod(F.xxhash64("node", "root"), "blocks").alias("own"))
     # All pairs of blocks hold all pairs of texts.
@@ -291,16 +295,37 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         pairs = np.array(linked([shingles(t.as_py()) for t in group.column("text")]), dtype=np.int64).reshape(-1, 2)
         return pa.table({"a": nodes[pairs[:, 0]], "b": nodes[pairs[:, 1]]})
 
-    return components(tiles.join(texts, "node").select("root", "i", "j", "node", "text").groupBy("root", "i", "j").applyInArrow(run, "a bigint, b bigint"))
+    linked_texts = components(tiles.join(texts, "node").select("root", "i", "j", "node", "text").groupBy("root", "i", "j").applyInArrow(run, "a bigint, b bigint"))
+    discard(wide)
+    discard(found)
+    return linked_texts
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row (struct), id, at (the row's number), text and node of each row: a hash that no two texts share.
+
+    A second hash shows which texts share the first one; these get another. `docs` is read more than once and has to
+    give its rows in the same order, as a plain scan does.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("at"), text.alias("text"))
+    rows = rows.withColumn("node", F.shiftright(F.xxhash64("text"), 64 - NODE_BITS))
+    second = F.xxhash64(F.lit(1), "text")
+    shared = materialise(rows.groupBy("node").agg(F.min(second).alias("lo"), F.max(second).alias("hi")).where("lo <> hi").select("node", F.lit(True).alias("again")), "clashes")
+    if n := shared.count():
+        rows = rows.join(F.broadcast(shared) if n <= CLASHES else shared, "node", "left")
+        rows = rows.withColumn("node", F.when(F.col("again"), F.xxhash64(F.lit(2), "text")).otherwise(F.col("node"))).drop("again")
+    return rows
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one row of each group of exact and near copies: that with the smallest id (null last).
 
-    Texts without words are copies of each other only if they are equal.
+    Texts without words are copies of each other only if they are equal; null texts are empty; of repeated rows one
+    stays; an empty table gives an empty result; other columns, whatever their names, are kept as they are.
     """
     check_columns(docs, id_col, text_col)
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("node"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("at"))
+    rows = _named(docs, id_col, text_col)
     roots = materialise(near_duplicates(rows.select("node", "text")), "near_duplicates")
     thin = rows.select("node", "id", "at").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), F.struct(F.col("id").isNull().alias("none"), "id", "at").alias("which"))
     kept = thin.groupBy("root").agg(F.min("which").alias("which")).select(F.col("which.at").alias("at"))

@@ -136,6 +136,15 @@ def test_near_duplicates_of_one_word_bag(spark, monkeypatch, limit, block):
     assert kept_near(spark, rows) == kept_by_brute_force(rows) == [2 * k for k in range(24)]
 
 
+def test_texts_of_one_hash_stay_apart(spark, monkeypatch):
+    """Different texts whose 64-bit hash is the same are told apart."""
+    monkeypatch.setattr(simhash, "NODE_BITS", 3)
+    rng = np.random.default_rng(16)
+    rows = [(k, " ".join(f"w{w}" for w in rng.integers(0, 5000, 80))) for k in range(30)]
+    rows += [(100 + k, t) for k, t in rows[:5]] + [(200, rows[7][1] + " more")]
+    assert kept_near(spark, rows) == kept_by_brute_force(rows) == list(range(30))
+
+
 def changed_pairs(seed, pairs, words, changes):
     """Pairs of texts of distinct words, `changes` words of the second replaced, far enough apart to hit five shingles each."""
     rng = np.random.default_rng(seed)
@@ -216,21 +225,81 @@ def test_ann(spark):
     assert ann.search(ann.index(frame.limit(0)), frame.limit(0)).count() == 0
 
 
-def test_mixing(spark, odd):
-    frame = spark.read.parquet(f"{SF}/documents.parquet")
+def xx(*values):
+    """Spark's xxhash64 of integers, given as (value, bytes)."""
+    seed = 42
+    for v, size in values:
+        seed = xxhash.xxh64_intdigest((v % (1 << 8 * size)).to_bytes(size, "little"), seed)
+    return seed
+
+
+def mixed_by_hand(rows, repetitions, bits):
+    """(place in `rows`, epoch, place) of every copy, rows being (source, tokens, hash)."""
+    tokens = collections.Counter()
+    for s, t, _ in rows:
+        tokens[s] += t
+    total = sum(tokens.values())
+
+    def weights(a):
+        z = sum(t**a for t in tokens.values() if t)
+        return {s: t**a / z if t else 0.0 for s, t in tokens.items()}
+
+    most = lambda a: max(w * total / tokens[s] for s, w in weights(a).items() if tokens[s])
+    lo, hi = 0.0, 1.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if most(mid) <= repetitions else (mid, hi)
+    w = weights(0.0 if most(0.0) <= repetitions else hi)
+
+    def place(h, e):
+        mask = (1 << bits) - 1
+        block = (h >> (64 - bits)) if bits else 0
+        return (((block ^ (xx((e, 4), (1, 4)) & mask)) * ((xx((e, 4), (2, 4)) & mask) | 1)) & mask) << (62 - bits) | xx((h, 8), (e, 4)) >> (2 + bits)
+
+    out = []
+    for s in tokens:
+        mine = [k for k, r in enumerate(rows) if r[0] == s]
+        epochs = w[s] * total / tokens[s] if tokens[s] else 1.0
+        whole = int(epochs + 1e-9)
+        out += [(k, e, place(rows[k][2], e)) for k in mine for e in range(whole)]
+        left, rest, last = (epochs - whole) * tokens[s], [], sorted((place(rows[k][2], -1), k) for k in mine)
+        if left > 0:
+            for p in sorted({p for p, _ in last}):
+                here = [(k, whole, p) for q, k in last if q == p]
+                left -= sum(rows[k][1] for k, *_ in here)
+                if left < -1e-6:
+                    break
+                rest += here
+        out += rest
+    return sorted(out)
+
+
+@pytest.mark.parametrize("rows_a_block,parts", [(4096, 4096), (8, 4), (2, 2)])
+def test_mixing(spark, odd, monkeypatch, rows_a_block, parts):
+    """The mixed rows, epochs and places against a plain computation, with one and with several levels of parts."""
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", rows_a_block)
+    monkeypatch.setattr(mixing, "PARTS", parts)
+    for frame, repetitions in ((spark.read.parquet(f"{SF}/documents.parquet"), 4.0), (odd, 1.3)):
+        seen = [(r.source, r.tokens, r.row % (1 << 64)) for r in mixing.measured(frame).collect()]
+        want = sorted((seen[k][0], seen[k][2], e, p) for k, e, p in mixed_by_hand(seen, repetitions, mixing.block_bits(len(seen))))
+        out = mixing.mix(frame, repetitions=repetitions)
+        got = sorted((r.key, r.row % (1 << 64), r.epoch, r.place) for r in out.select(mixing._key(F.col("doc.source")).alias("key"), F.xxhash64("doc.doc_id", "doc.text", F.lit(mixing.SEED)).alias("row"), "epoch", "place").collect())
+        assert got == want and {r.copies for r in out.collect()} >= {1}
+        assert out.groupBy("doc", "tokens", "copies").count().where("count % copies <> 0").count() == 0
+
+
+def test_mixing_weights(spark, odd):
     out = queries.QUERIES["op5_temperature_mixing"](spark, SF).toPandas()
-    by = out.groupby("source").agg(tokens=("n_tokens", "sum"), weight=("weight", "first"), epochs=("epochs", "first"))
-    total = by["tokens"].sum()
+    by = out.drop_duplicates(["source"]).set_index("source")
     assert abs(by["weight"].sum() - 1) < 1e-9 and by["epochs"].max() <= 4 + 1e-6
-    assert np.allclose(by["epochs"], by["weight"] * total / by["tokens"])
-    taken = (out["n_tokens"] * out["copies"]).groupby(out["source"]).sum()
-    largest = out.groupby("source")["n_tokens"].max()
-    assert ((taken <= by["weight"] * total + 1e-6) & (taken > by["weight"] * total - largest - 1e-6)).all()
-    every = mixing.mix(frame, repetitions=2.0, budget=None)
-    assert every.select("doc_id").distinct().count() == frame.count() and every.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
+    frame = spark.read.parquet(f"{SF}/documents.parquet")
+    every = mixing.mix(frame, repetitions=2.0, budget=None).select("doc.doc_id")
+    assert every.distinct().count() == frame.count() and every.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
     assert mixing.mix(odd, repetitions=2.0, budget=None).where("epoch = 0").count() == 12
     assert mixing.mix(odd.limit(0), entropy=0.9).count() == 0
-    sources = spark.createDataFrame([("a", 900, 1), ("b", 90, 1), ("c", 10, 1)], "__source string, tokens bigint, n bigint")
+    clash = odd.withColumns({c: F.lit(1) for c in ("epoch", "place", "weight", "exponent", "copies", "block", "n", "whole", "__salt", "__parts", "doc")})
+    assert sorted(map(str, mixing.mix(clash, repetitions=2.0, budget=None).select("doc.*").distinct().collect())) == sorted(map(str, clash.distinct().collect()))
+    sources = spark.createDataFrame([("a", 900, 1), ("b", 90, 1), ("c", 10, 1)], "source string, tokens bigint, n bigint")
     a, _ = mixing.exponent(sources, entropy=0.8)
     p = np.array([0.9, 0.09, 0.01]) ** a
     p /= p.sum()
