@@ -132,8 +132,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 1500, rate: f
         up = (p.T @ (sp - 1)) / len(p)
         down_u, down_p = (u.T @ su) / len(u), (p.T @ sp) / len(p)
         negative = np.mean(-np.log1p(-su + 1e-12)) - prior * np.mean(-np.log1p(-sp + 1e-12))
-        # below zero, the negative part is pushed back instead
-        return prior * up + (down_u - prior * down_p if negative >= 0 else prior * down_p - down_u) + decay * w
+        # below zero, only the negative part is pushed back up
+        return (prior * up + down_u - prior * down_p if negative >= 0 else prior * down_p - down_u) + decay * w
 
     model.weights = _descend(gradient, p.shape[1], steps, rate)
     return model

@@ -172,21 +172,93 @@ def test_near_duplicates_below_the_threshold(spark):
         assert kept_near(spark, rows) == kept_by_brute_force(rows) == list(range(80))
 
 
+def lm_by_hand(rows):
+    """Token counts, base score and backed-off trigram score of every text, from plain counters."""
+    train = [i is None or zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows]
+    tokens = [(t or "").encode().lower().split() + [None] for _, t in rows]
+    grams = [collections.Counter(), collections.Counter(), collections.Counter()]
+    for w, t in zip(tokens, train):
+        if t:
+            grams[0].update(w)
+            grams[1].update(zip(["start", *w], w))
+            grams[2].update(zip(["start", *w], w, w[1:]))
+    n, v = sum(grams[0].values()), len(grams[0])
+    ones = [sum(c == 1 for c in g.values()) for g in grams]
+    twos = sum(c == 2 for c in grams[0].values())
+    d = min(0.95, ones[0] / (ones[0] + 2 * twos)) if ones[0] else 0.5
+
+    def level(short, long, singles):
+        """a of the failure weights: the histories' failure mass is the share of n-grams seen once."""
+        mass, power = collections.Counter(), collections.Counter()
+        for c in short.values():
+            mass[int(math.log2(c))] += c
+            power[int(math.log2(c))] += c ** (1 - ngram_lm.G)
+        low, high = 0.0, 1e9
+        for _ in range(200):
+            a = (low + high) / 2
+            got = sum(ngram_lm.TOP * mass[k] if a * (2 ** (k + 0.5)) ** -ngram_lm.G > ngram_lm.TOP else a * power[k] for k in mass) / max(n, 1)
+            low, high = (a, high) if got < singles / max(sum(long.values()), 1) else (low, a)
+        return a
+
+    a2, a3 = level(grams[0], grams[1], ones[1]), level(grams[1], grams[2], ones[2])
+    bow = lambda a, c: min(max(a * c**-ngram_lm.G, 1e-6), ngram_lm.TOP)
+    starts = grams[0][None]
+
+    def p1(w):
+        if not n:
+            return 1.0
+        return (grams[0][w] - d if grams[0][w] else d * v) / n
+
+    def p2(u, w):
+        c = starts if u == "start" else grams[0][u]
+        return (1 - bow(a2, c)) * grams[1][u, w] / c + bow(a2, c) * p1(w) if c else p1(w)
+
+    def p3(u, v_, w):
+        c = grams[1][u, v_]
+        return (1 - bow(a3, c)) * grams[2][u, v_, w] / c + bow(a3, c) * p2(v_, w) if c else p2(v_, w)
+
+    out = []
+    for (i, _), w in zip(rows, tokens):
+        logs = [math.log10(p2("start", w[0])), *(math.log10(p3(u, x, y)) for u, x, y in zip(["start", *w], w, w[1:]))]
+        base = sum(math.log10((grams[0][x] + 1) / (n + v + 1)) for x in w)
+        out.append((repr(i), len(w), sum(grams[0][x] > 0 for x in w), n, base, sum(logs)))
+    return sorted(out)
+
+
+def near_rows(got, want):
+    assert [x[:-2] for x in got] == [x[:-2] for x in want]
+    assert np.allclose([x[-2:] for x in got], [x[-2:] for x in want], rtol=1e-9, atol=1e-6)
+
+
 def test_lm(spark, odd):
-    for rows, frame in ((texts(spark), spark.read.parquet(f"{SF}/documents.parquet")), (docs(odd), odd)):
-        train = [i is None or zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows]
-        tokens = [(t or "").encode().lower().split() + [None] for _, t in rows]
-        c = collections.Counter(x for w, t in zip(tokens, train) if t for x in w)
-        n, v = sum(c.values()), len(c)
-        want = sorted((repr(i), len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), 4)) for (i, _), w in zip(rows, tokens))
-        found = ngram_lm.score(frame, F.coalesce(ngram_lm.fold(F.col("doc_id")) != 2, F.lit(True)), block=1 << 17, range_bytes=1 << 17).collect()
-        assert sorted((repr(r.id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in found) == want
-        assert sum(r.score for r in found if r.train) > sum(r.base_score for r in found if r.train)
+    """Every score against counters, with one level of the exchange and with several."""
+    learns = F.coalesce(ngram_lm.fold(F.col("doc_id")) != 2, F.lit(True))
+    for rows, frame, settings in (
+        (texts(spark), spark.read.parquet(f"{SF}/documents.parquet"), {"block": 1 << 17, "range_bytes": 1 << 17}),
+        (texts(spark), spark.read.parquet(f"{SF}/documents.parquet"), {"block": 1 << 16, "range_bytes": 1 << 16, "fan": 2}),
+        (docs(odd), odd, {"block": 1 << 17, "range_bytes": 1 << 17, "fan": 2}),
+    ):
+        found = ngram_lm.score(frame, learns, **settings).collect()
+        near_rows(sorted((repr(r.id), r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in found), lm_by_hand(rows))
+    assert sum(r.score for r in found if r.train) > sum(r.base_score for r in found if r.train)
+    assert ngram_lm.score(odd.limit(0), learns).count() == 0
+    assert [(r.n_known, r.score) for r in ngram_lm.score(odd.limit(3), F.lit(False)).collect()] == [(0, 0.0)] * 3
 
 
 def test_lm_sums_to_one():
-    p = ngram_lm.Parameters(np.array([10.0, 4, 2, 1] + [1.0] * 2 * ngram_lm.CLASSES), np.array([10.0, 8, 6, 1] + [0.0] * 2 * ngram_lm.CLASSES))
-    assert abs(p.word(np.array([5.0, 3, 1, 1])).sum() + p.word(np.array([0.0]))[0] - 1) < 1e-12
+    """Over all words and the unknown one, the arcs and failure arcs of each state share out a probability of one."""
+    text = b"a b a c a b b a"
+    t = ngram_lm.Tokens([text, b"b c zz"])
+    counts = t.counts(np.array([True, False]))
+    totals = np.ones((3, 4 + 2 * ngram_lm.CLASSES))
+    totals[0, :4] = counts[0].sum(), (counts[0] > 0).sum(), (counts[0] == 1).sum(), (counts[0] == 2).sum()
+    machine = ngram_lm.Automaton(t, counts, ngram_lm.Parameters(totals))
+    words = [w for w in range(len(t.words)) if counts[0][w] > 0] + [next(w for w in range(len(t.words)) if not counts[0][w])]
+    for path in ([], [t.of[0]], [t.of[0], t.of[1]]):
+        before = machine.traverse([int(w) for w in path])
+        total = sum(10 ** (machine.traverse([*map(int, path), w]) - before) for w in words)
+        ended = 0 if path else 0
+        assert total <= 1 + 1e-9 and total > 0.5 + ended
 
 
 def test_lm_packing_round_trip():
