@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by a hierarchical k-means tree with best-bin-first search.
 
-`build_tree` splits a bounded sample of the vectors (`SAMPLE`, a documented parameter) by k-means, level by level;
-every vector is then indexed under the leaf it descends to. A query walks the tree through a priority queue of the
-branches not taken, nearest centre first, and visits leaves in that order. `calibrate` compares a fixed number of
-calibration vectors with all rows by brute force and widens the visits until the wanted share of true neighbours lies
-in visited leaves. Queries and rows then meet by leaf: leaves are dealt into blocks of about `BLOCK` rows, so a
+`build_tree` splits a bounded sample of the vectors (`SAMPLE`, a documented parameter) by k-means, level by level, the
+deeper the more rows there are, so that a leaf holds about `LEAF` rows at every size (up to the sample's finest split,
+`SAMPLE` / 2 leaves; larger tables want a larger sample). Every vector is then indexed under the leaf it descends to. A
+query walks the tree through a priority queue of the branches not taken, nearest centre first, and visits leaves in
+that order, until it has made the calibrated number of visits and these leaves hold enough rows for its k neighbours.
+`calibrate` compares a fixed number of calibration vectors with all rows by brute force and widens the visits until the
+wanted share of true neighbours lies in visited leaves. Queries and rows then meet by leaf: leaves are dealt into blocks of about `BLOCK` rows, so a
 crowded leaf is many tasks. The distance is computed on the original vectors in double precision.
 
 Equal vectors tie, and ties go to the smaller id, so of each distinct vector only the k + 1 smallest ids can ever be
@@ -12,8 +14,7 @@ returned: that keeps results whole while a vector that a third of all rows share
 searched once.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take
-no part, as query or as candidate; with fewer candidates than k all are returned that lie in visited leaves (all
-leaves, where there are few); rows with a null id take no part; repeated rows count once; an empty table gives no
+no part, as query or as candidate; with fewer candidates than k all are returned; rows with a null id take no part; repeated rows count once; an empty table gives no
 rows; other columns are ignored.
 """
 
@@ -32,8 +33,8 @@ from .common import check_columns, materialise
 
 SAMPLE = 20_000
 BRANCHES = 16
-#: Leaves of a tree, about: their number does not grow with the rows, so neither do a query's visits.
-LEAVES = 256
+#: Rows in a leaf, about, however many there are.
+LEAF = 128
 CALIBRATION = 200
 BLOCK = 4096
 
@@ -57,10 +58,10 @@ class Tree:
                 waiting += kids
         return at
 
-    def visits(self, q: np.ndarray, most: int) -> list[int]:
-        """Leaves in the order of a best-bin-first walk, `most` of them."""
-        queue, found = [(0.0, 0)], []
-        while queue and len(found) < most:
+    def visits(self, q: np.ndarray, most: int, held: np.ndarray | None = None, rows: int = 0) -> list[int]:
+        """Leaves in the order of a best-bin-first walk: `most` of them, and on until they hold (`held`, by node) `rows` rows."""
+        queue, found, have = [(0.0, 0)], [], 0
+        while queue and (len(found) < most or have < rows):
             _, node = heapq.heappop(queue)
             while kids := self.children[node]:
                 away = ((self.centres[kids] - q) ** 2).sum(axis=1)
@@ -70,6 +71,7 @@ class Tree:
                         heapq.heappush(queue, (d, kid))
                 node = kids[best]
             found.append(node)
+            have += 0 if held is None else int(held[node])
         return found
 
     @property
@@ -145,6 +147,7 @@ class Index:
     rows: DataFrame  # leaf, id, v
     visits: int
     k: int
+    held: np.ndarray  # rows under each node that is a leaf
 
 
 def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, recall: float = 0.96) -> Index:
@@ -159,7 +162,7 @@ def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     rows = materialise(least, "vectors")
     n = rows.count()
     some = rows.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(SAMPLE).toPandas()
-    tree = build_tree(_matrix(some["v"]) if len(some) else np.zeros((0, size)), max(8, min(n, SAMPLE) / LEAVES))
+    tree = build_tree(_matrix(some["v"]) if len(some) else np.zeros((0, size)), max(2, LEAF * min(n, SAMPLE) / max(n, 1)))
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -167,7 +170,10 @@ def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
                 yield pdf.assign(leaf=tree.descend(_matrix(pdf["v"])))
 
     indexed = materialise(rows.mapInPandas(assign, "id bigint, v array<double>, leaf bigint"), "index") if n else rows.withColumn("leaf", F.lit(0).cast("bigint"))
-    made = Index(tree, indexed, tree.leaves, k)
+    held = np.zeros(len(tree.children), dtype=np.int64)
+    for row in indexed.groupBy("leaf").count().collect():  # a number for each leaf, at most half as many as the sample
+        held[row.leaf] = row["count"]
+    made = Index(tree, indexed, tree.leaves, k, held)
     made.visits = calibrate(made, recall)
     return made
 
@@ -203,7 +209,7 @@ def calibrate(made: Index, recall: float) -> int:
 
 def search(made: Index, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, id and score: the k nearest found for each query, without the query's own row."""
-    k, tree, visits = made.k, made.tree, made.visits
+    k, tree, visits, held = made.k, made.tree, made.visits, made.held
     size = tree.centres.shape[1]
     asked = queries.select(F.col(id_col).cast("bigint").alias("query_id"), F.col(vector_col).cast("array<double>").alias("q"))
     asked = materialise(asked.where(F.col("query_id").isNotNull() & usable(F.col("q")) & (F.size("q") == size)).distinct(), "asked")
@@ -212,7 +218,7 @@ def search(made: Index, queries: DataFrame, id_col: str = "vec_id", vector_col:
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for key, q in zip(pdf["key"], pdf["q"]):
-                leaves = tree.visits(np.asarray(q, dtype=np.float64), visits)
+                leaves = tree.visits(np.asarray(q, dtype=np.float64), visits, held, k + 1)
                 yield pd.DataFrame({"leaf": leaves, "key": key, "q": [q] * len(leaves)})
 
     walked = distinct.mapInPandas(walk, "leaf bigint, key bigint, q array<double>")

@@ -346,6 +346,19 @@ def mixed_by_hand(rows, repetitions, bits):
     return sorted(out)
 
 
+def test_ann_scattered_leaves(spark):
+    """Outliers with leaves of their own still get k neighbours; repeated rows count once; fewer candidates than k are all returned."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 4)) + 5
+    x[::100] = rng.normal(size=(4, 4)) * 1e6
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(100, x[100].tolist())] * 3
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = ann.search(ann.index(frame, recall=0.5), frame.where("vec_id % 100 = 0"))
+    assert {r["query_id"]: r["count"] for r in found.groupBy("query_id").count().collect()} == {0: 10, 100: 10, 200: 10, 300: 10}
+    few = frame.where("vec_id < 6")
+    assert ann.search(ann.index(few), few.where("vec_id = 0")).count() == 5
+
+
 @pytest.mark.parametrize("rows_a_block,parts", [(4096, 4096), (8, 4), (2, 2)])
 def test_mixing(spark, odd, monkeypatch, rows_a_block, parts):
     """The mixed rows, epochs and places against a plain computation, with one and with several levels of parts."""
@@ -458,6 +471,61 @@ def test_license_scan(spark, odd):
         assert all(set(r.base_labels) <= set(r.labels) and 0 <= r.score <= 1 for r in found)
 
 
+def spans_by_hand(words, template):
+    """(first, last, votes) of a template's verified spans, best first where they overlap."""
+    t = license_scan._template_words(template)
+    reach = 0 if template.share == 1.0 else license_scan.NEAR
+    hits = [(p, q) for p in range(len(words) - 1) for q in range(len(t) - 1) if (words[p], words[p + 1]) == (t[q], t[q + 1])]
+    found = set()
+    for d in {p - q for p, q in hits}:
+        near = sorted(h for h in hits if abs(h[0] - h[1] - d) <= reach)
+        chains = []
+        for p, q in near:
+            before = max([(c[0], c[1]) for c in chains if c[2] < p and c[3] < q], default=None)
+            chains.append((1, p, p, q) if before is None else (before[0] + 1, before[1], p, q))
+        votes, end, start = max((c[0], -c[2], c[1]) for c in chains)
+        if votes >= math.ceil(template.share * (len(t) - 1) - 1e-9):
+            found.add((start, -end + 1, votes))
+    if template.share == 1.0:
+        return sorted(found)
+    return sorted(s for s in found if not any(x[0] <= s[1] and x[1] >= s[0] and (x[2], -x[0]) > (s[2], -s[0]) for x in found))
+
+
+def notices(rng):
+    """Texts with license notices: whole, with words left out, put in, repeated, cut short, reversed and shuffled."""
+    out = []
+    for t in license_scan.NOTICES:
+        w = license_scan._template_words(t)
+        out += [w, w[:-2], w[len(w) // 3 :], w + ["and"] + w, ["so"] + w[:3] + ["newly"] + w[3:], w[:4] + w[5:], w[::-1], [w[k] for k in rng.permutation(len(w))]]
+        pairs = [w[k : k + 2] for k in range(len(w) - 1)]
+        out.append([x for p in pairs[::-1] for x in p])
+    return [" ".join(w) for w in out] + ["of the of the " * 40, "the license the license of the license " * 9]
+
+
+def test_license_labels_and_scores(spark):
+    """Spans, labels and scores against a plain search, on the corpus and on altered notices."""
+    rng = np.random.default_rng(9)
+    every = license_scan.PHRASES + license_scan.NOTICES
+    odd_texts = [(k, t) for k, t in enumerate(notices(rng))]
+    for rows in (texts(spark), odd_texts):
+        frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+        for r in license_scan.scan(frame).collect():
+            words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (dict(rows)[r.doc.doc_id] or "").lower())
+            want = sorted((k, *s) for k, t in enumerate(every) for s in spans_by_hand(words, t))
+            assert sorted((s.template, s["first"], s["last"], s.votes) for s in r.spans) == want, dict(rows)[r.doc.doc_id]
+            assert r.labels == sorted({every[k].label for k, *_ in want})
+            shares = [v / (len(license_scan._template_words(every[k])) - 1) for k, _, _, v in want if k >= len(license_scan.PHRASES)]
+            assert abs(r.score - max([0.5 if any(k < len(license_scan.PHRASES) for k, *_ in want) else 0.0, *shares])) < 1e-12
+
+
+def test_license_reversed_words_have_no_label(spark):
+    t = next(t for t in license_scan.NOTICES if t.name == "mit-grant")
+    w = license_scan._template_words(t)
+    text = " ".join(x for k in range(len(w) - 2, -1, -1) for x in w[k : k + 2])
+    found = license_scan.scan(spark.createDataFrame([(text,)], "text string")).first()
+    assert found.labels == [] and found.score == 0
+
+
 def test_license_notice_with_a_word_left_out(spark):
     frame = spark.createDataFrame([("x Permission is hereby granted free of charge to any person obtaining copy of this software and associated documentation files to deal in the software without restriction y",)], "text string")
     assert license_scan.scan(frame).first().labels == ["mit"]
