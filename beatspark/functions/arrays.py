@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ZERO = F.lit
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is computed once, also where `then` uses it inside an array function."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def _sum(a: Column) -> Column:
@@ -14,8 +20,8 @@ def _sum(a: Column) -> Column:
 
 def minmax_normalise(a: Column) -> Column:
     """Scaled to 0..1; NULL where it is flat."""
-    lo, hi = F.array_min(a), F.array_max(a)
-    return F.when(hi > lo, F.transform(a, lambda x: (x - lo) / (hi - lo)))
+    ends = F.struct(F.array_min(a).alias("lo"), F.array_max(a).alias("hi"))
+    return let(ends, lambda e: F.when(e["hi"] > e["lo"], F.transform(a, lambda x: (x - e["lo"]) / (e["hi"] - e["lo"]))))
 
 
 def mean(a: Column) -> Column:
@@ -23,8 +29,7 @@ def mean(a: Column) -> Column:
 
 
 def pop_std(a: Column) -> Column:
-    m = mean(a)
-    return F.sqrt(_sum(F.transform(a, lambda x: (x - m) * (x - m))) / F.size(a))
+    return let(mean(a), lambda m: F.sqrt(_sum(F.transform(a, lambda x: (x - m) * (x - m))) / F.size(a)))
 
 
 def diff(a: Column) -> Column:
@@ -60,8 +65,8 @@ def max_slope(a: Column) -> Column:
 
 def template_corr(a: Column, b: Column) -> Column:
     """Mean product of both z-scores."""
-    ma, mb, sa, sb = mean(a), mean(b), pop_std(a) + 1e-6, pop_std(b) + 1e-6
-    return _sum(F.zip_with(a, b, lambda x, y: (x - ma) / sa * ((y - mb) / sb))) / F.size(a)
+    seen = F.struct(mean(a).alias("ma"), mean(b).alias("mb"), (pop_std(a) + 1e-6).alias("sa"), (pop_std(b) + 1e-6).alias("sb"))
+    return let(seen, lambda s: _sum(F.zip_with(a, b, lambda x, y: (x - s["ma"]) / s["sa"] * ((y - s["mb"]) / s["sb"]))) / F.size(a))
 
 
 def trend_label(now: Column, later: Column, limit: float = 5.0) -> Column:
@@ -70,7 +75,10 @@ def trend_label(now: Column, later: Column, limit: float = 5.0) -> Column:
 
 def pulse_width_50(a: Column, fs: float = 500.0) -> Column:
     """Milliseconds from the first rise through half height to the first fall after it; 0 where one is missing."""
-    n = minmax_normalise(a)
+    return let(minmax_normalise(a), lambda n: _half_width(n, fs))
+
+
+def _half_width(n: Column, fs: float) -> Column:
     steps = F.transform(F.slice(n, 1, F.size(n) - 1), lambda x, i: F.struct((i + 1).alias("k"), (x < 0.5).alias("low"), (F.get(n, i + 1) >= 0.5).alias("high")))
     rises, falls = F.filter(steps, lambda s: s["low"] & s["high"]), F.filter(steps, lambda s: ~s["low"] & ~s["high"])
     rise = F.get(rises, F.lit(0))["k"]
@@ -78,9 +86,32 @@ def pulse_width_50(a: Column, fs: float = 500.0) -> Column:
     return F.coalesce(F.when(fall > rise, (fall - rise) * 1000.0 / fs), F.lit(0.0))
 
 
-def segment_quality(a: Column) -> Column:
-    """Why a pulse segment is not usable; empty where it is."""
+def skewness(a: Column) -> Column:
+    """Third standardised moment (population); NULL for constant arrays."""
+    third = let(mean(a), lambda m: _sum(F.transform(a, lambda x: (x - m) * (x - m) * (x - m))) / F.size(a))
+    return F.try_divide(third, F.pow(pop_std(a), F.lit(3)))
+
+
+def excess_kurtosis(a: Column) -> Column:
+    """Fourth standardised moment (population), less 3; NULL for constant arrays."""
+    fourth = let(mean(a), lambda m: _sum(F.transform(a, lambda x: (x - m) * (x - m) * (x - m) * (x - m))) / F.size(a))
+    return F.try_divide(fourth, F.pow(pop_std(a), F.lit(4))) - 3
+
+
+# Least samples, spread, distinct values and signal-to-noise ratio of a usable segment.
+LEAST_SAMPLES, LEAST_STD, LEAST_DISTINCT, LEAST_SNR = 20, 3.0, 5, 5.0
+
+
+def segment_quality(a: Column, snr: float = LEAST_SNR) -> Column:
+    """Why a pulse segment is not usable; empty where it is. Missing samples are left out of all statistics.
+
+    Noise is the spread of second differences, halved, and for the pulse that of first differences, over the root of 2;
+    noise up to 0.01 counts as none.
+    """
+    v = F.filter(a, lambda x: x.isNotNull())
+    reach, noise, floor = F.array_max(v) - F.array_min(v), pop_std(diff(diff(v))) / 2, pop_std(diff(v)) / 2**0.5
     return (
-        F.when(F.size(a) < 20, "too_short").when(F.size(F.filter(a, lambda x: x.isNotNull())) == 0, "all_null")
-        .when(F.array_max(a) - F.array_min(a) < 1e-6, "flat").when(pop_std(a) < 3, "low_amplitude").when(F.size(F.array_distinct(a)) < 5, "saturated").otherwise("")
+        F.when(F.size(a) < LEAST_SAMPLES, "too_short").when(F.size(v) == 0, "all_null").when(F.size(v) < LEAST_SAMPLES, "few_valid").when(reach < 1e-6, "flat")
+        .when(pop_std(v) < LEAST_STD, "low_amplitude").when(F.size(F.array_distinct(v)) < LEAST_DISTINCT, "saturated")
+        .when((noise > 0.01) & (pop_std(v) < snr * noise), "low_snr").when((floor > 0.01) & (reach < 3 * floor), "weak_pulse").otherwise("")
     )

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDER = ["timestamp", "cycle_index"]
@@ -16,12 +17,13 @@ def bp_range_weight(sbp: str, dbp: str) -> Column:
 
 
 def regression_metrics(df: DataFrame, by: list[str] = []) -> DataFrame:
-    """ME, population spread, MAE, RMSE and R2 of both targets over predictions."""
+    """ME, population spread, MAE, RMSE and R2 of both targets over predictions, and the RMSE, MAE and R2 of both together."""
     aggs = []
     for t in ("sbp", "dbp"):
         e, y = F.col(f"{t}_pred") - F.col(f"{t}_true"), F.col(f"{t}_true")
         aggs += [F.avg(e).alias(f"{t}_me"), F.stddev_pop(e).alias(f"{t}_std"), F.avg(F.abs(e)).alias(f"{t}_mae"), F.sqrt(F.avg(e * e)).alias(f"{t}_rmse"), (1 - F.try_divide(F.avg(e * e), F.var_pop(y))).alias(f"{t}_r2")]
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *aggs)
+    both = {"rmse": F.sqrt((F.pow("sbp_rmse", F.lit(2)) + F.pow("dbp_rmse", F.lit(2))) / 2), "mae": (F.col("sbp_mae") + F.col("dbp_mae")) / 2, "r2": (F.col("sbp_r2") + F.col("dbp_r2")) / 2}
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *aggs).withColumns(both)
 
 
 def aami_compliance(metrics: DataFrame) -> DataFrame:
@@ -31,30 +33,107 @@ def aami_compliance(metrics: DataFrame) -> DataFrame:
     return metrics.withColumn("aami_pass", F.coalesce(ok, F.lit(False)))
 
 
-def weighted_error(df: DataFrame) -> DataFrame:
-    e = F.pow(F.col("sbp_pred") - F.col("sbp_true"), 2) + F.pow(F.col("dbp_pred") - F.col("dbp_true"), 2)
-    pulse = F.col("sbp_pred") - F.col("dbp_pred")
-    return df.agg(F.avg(bp_range_weight("sbp_true", "dbp_true") * e / 2).alias("weighted_mse"), F.avg(F.greatest(F.lit(0.0), -pulse)).alias("order_penalty"), F.avg(F.greatest(F.lit(0.0), 10 - pulse) + F.greatest(F.lit(0.0), pulse - 150)).alias("pulse_penalty"))
+#: Pressures that a prediction should not leave, and the bounds of the pulse pressure.
+RANGES, PULSE = {"sbp": (40.0, 250.0), "dbp": (20.0, 150.0)}, (10.0, 150.0)
 
 
-def ema_baseline(df: DataFrame, alphas: tuple[float, ...] = (0.1,)) -> DataFrame:
-    """Predictions by the running average of earlier beats, for each alpha. The first beat calibrates and predicts
-    itself; a missing reading holds the average. One pass over a patient's rows serves all alphas."""
+def huber(e: Column, delta: float = 1.0) -> Column:
+    """Half the square of small errors, and a line beyond."""
+    return F.when(F.abs(e) <= delta, e * e / 2).otherwise(delta * (F.abs(e) - delta / 2))
+
+
+def weighted_error(df: DataFrame, delta: float = 1.0) -> DataFrame:
+    """Weighted squared error, Huber error, ME^2 + std^2, and the mean penalties for impossible predictions."""
+    es, ed = F.col("sbp_pred") - F.col("sbp_true"), F.col("dbp_pred") - F.col("dbp_true")
+    pulse, zero = F.col("sbp_pred") - F.col("dbp_pred"), F.lit(0.0)
+    outside = sum((F.greatest(zero, F.lit(lo) - F.col(f"{t}_pred")) + F.greatest(zero, F.col(f"{t}_pred") - F.lit(hi)) for t, (lo, hi) in RANGES.items()), zero)
+    return df.agg(
+        F.avg(bp_range_weight("sbp_true", "dbp_true") * (es * es + ed * ed) / 2).alias("weighted_mse"), F.avg((huber(es, delta) + huber(ed, delta)) / 2).alias("huber"),
+        (F.pow(F.avg(es), F.lit(2)) + F.var_samp(es) + F.pow(F.avg(ed), F.lit(2)) + F.var_samp(ed)).alias("aami_loss"),
+        F.avg(F.greatest(zero, -pulse)).alias("order_penalty"), F.avg(F.greatest(zero, PULSE[0] - pulse) + F.greatest(zero, pulse - PULSE[1])).alias("pulse_penalty"), F.avg(outside).alias("range_penalty"))
+
+
+#: Rows of a patient that a task runs the average over at a time.
+EMA_BLOCK = 4096
+_EMA = "patient_id int, cycle_index int, block bigint, alpha double, " + ", ".join(f"{t}_true double, {t}_seen boolean, {t}_factor double, {t}_offset double" for t in ("sbp", "dbp"))
+
+
+def _ema_steps(rows: DataFrame, alphas: tuple[float, ...], block: int) -> DataFrame:
+    """For each row and alpha, the average before it as an affine function of the average at the start of its block.
+
+    rows: patient_id, cycle_index, k (from 0), sbp, dbp and, for each, `<t>_counts` (whether the reading moves the average)
+    and `<t>_seen` (whether there is an average by then).
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ORDER)
+        pdf = pdf.sort_values("k")
         parts = []
         for a in alphas:
-            made = {"patient_id": pdf["patient_id"], "cycle_index": pdf["cycle_index"], "alpha": a}
+            made = {"patient_id": pdf["patient_id"], "cycle_index": pdf["cycle_index"], "block": pdf["block"], "alpha": a}
             for t in ("sbp", "dbp"):
-                y = pdf[f"{t}_reference"]
-                ema = y.ewm(alpha=a, adjust=False, ignore_na=True).mean().ffill()
-                made |= {f"{t}_true": y, f"{t}_pred": ema.shift(1).fillna(y)}
+                y, moves = pdf[t].to_numpy(dtype=float), pdf[f"{t}_counts"].to_numpy(dtype=bool)
+                factor = np.concatenate(([1.0], np.cumprod(np.where(moves, 1 - a, 1.0))))
+                # a run that starts at 0: the part that does not hang on the block's start
+                offset, here = np.zeros(len(y) + 1), 0.0
+                for j, (v, m) in enumerate(zip(y.tolist(), moves.tolist())):
+                    here = a * v + (1 - a) * here if m else here
+                    offset[j + 1] = here
+                made |= {f"{t}_true": y, f"{t}_seen": pdf[f"{t}_seen"], f"{t}_factor": factor[:-1], f"{t}_offset": offset[:-1]}
             parts.append(pd.DataFrame(made))
-        return pd.concat(parts)
+            last = {"patient_id": pdf["patient_id"].iloc[-1:], "cycle_index": None, "block": pdf["block"].iloc[-1:], "alpha": a}
+            for t in ("sbp", "dbp"):
+                y, moves = pdf[t].iloc[-1], bool(pdf[f"{t}_counts"].iloc[-1])
+                f, o = made[f"{t}_factor"][-1], made[f"{t}_offset"][-1]
+                last |= {f"{t}_true": None, f"{t}_seen": None, f"{t}_factor": f * (1 - a) if moves else f, f"{t}_offset": a * y + (1 - a) * o if moves else o}
+            parts.append(pd.DataFrame(last))
+        out = pd.concat(parts)
+        return out.astype({"cycle_index": "Int32"})
 
-    rows = df.select("patient_id", *ORDER, "sbp_reference", "dbp_reference")
-    return rows.groupBy("patient_id").applyInPandas(run, "patient_id int, cycle_index int, alpha double, sbp_true double, sbp_pred double, dbp_true double, dbp_pred double")
+    blocks = rows.withColumn("block", F.expr(f"k div {block}"))
+    return blocks.groupBy("patient_id", "block").applyInPandas(run, _EMA)
+
+
+def _ema(rows: DataFrame, alphas: tuple[float, ...], block: int) -> DataFrame:
+    """patient_id, cycle_index, alpha, `<t>_true` and `<t>_pred`, the average before the row (or, where there is none yet, the reading itself); rows also hold `<t>_start`."""
+    steps = _ema_steps(rows, alphas, block)
+    starts = rows.groupBy("patient_id").agg(F.max("sbp_start").alias("sbp_start"), F.max("dbp_start").alias("dbp_start"))
+    ends = steps.where("cycle_index IS NULL").groupBy("patient_id", "alpha").agg(F.array_sort(F.collect_list(F.struct("block", "sbp_factor", "sbp_offset", "dbp_factor", "dbp_offset"))).alias("ends")).join(starts, "patient_id")
+
+    def carried(t: str) -> Column:
+        """The average at the start of each block: one number for each block."""
+        return F.aggregate("ends", F.array(F.col(f"{t}_start")), lambda acc, e: F.concat(acc, F.array(e[f"{t}_factor"] * F.element_at(acc, -1) + e[f"{t}_offset"])))
+
+    blocks = ends.select("patient_id", "alpha", F.explode(F.arrays_zip(F.col("ends.block").alias("block"), carried("sbp").alias("sbp"), carried("dbp").alias("dbp"))).alias("b")).where("b.block IS NOT NULL")
+    at = blocks.select("patient_id", "alpha", "b.block", F.col("b.sbp").alias("sbp_from"), F.col("b.dbp").alias("dbp_from"))
+    ema = lambda t: F.col(f"{t}_factor") * F.col(f"{t}_from") + F.col(f"{t}_offset")
+    sbp, dbp = (F.when(F.col(f"{t}_seen"), ema(t)).otherwise(F.col(f"{t}_true")).alias(f"{t}_pred") for t in ("sbp", "dbp"))
+    return steps.where("cycle_index IS NOT NULL").join(at, ["patient_id", "alpha", "block"]).select("patient_id", "cycle_index", "alpha", "sbp_true", sbp, "dbp_true", dbp)
+
+
+def ema_baseline(df: DataFrame, alphas: tuple[float, ...] = (0.1,), block: int = EMA_BLOCK) -> DataFrame:
+    """Predictions by the running average of earlier beats, for each alpha. The first beat calibrates and predicts
+    itself; a missing reading holds the average.
+
+    The average is an affine recurrence: tasks run over blocks of a patient's rows, and only a factor and an offset are
+    carried from block to block, so no patient is held in one task.
+    """
+    order = Window.partitionBy("patient_id").orderBy(*ORDER)
+    whole, past = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), order.rowsBetween(Window.unboundedPreceding, -1)
+    made = []
+    for t in ("sbp", "dbp"):
+        y = F.col(f"{t}_reference")
+        made += [y.alias(t), y.isNotNull().alias(f"{t}_counts"), F.first(y, ignorenulls=True).over(whole).alias(f"{t}_start"), (F.count(y).over(past) > 0).alias(f"{t}_seen")]
+    return _ema(df.select("patient_id", "cycle_index", (F.row_number().over(order) - 1).alias("k"), *made), alphas, block)
+
+
+def ema_warmup(df: DataFrame, alpha: float = 0.1, warmup: int = 50, block: int = EMA_BLOCK) -> DataFrame:
+    """The variant that starts from the mean of the first `warmup` rows and predicts from the row after these on."""
+    order = Window.partitionBy("patient_id").orderBy(*ORDER)
+    numbered = df.select("patient_id", "cycle_index", (F.row_number().over(order) - 1).alias("k"), *[F.col(f"{t}_reference").alias(t) for t in ("sbp", "dbp")])
+    every = Window.partitionBy("patient_id")
+    rows = numbered.withColumns({f"{t}_start": F.avg(F.when(F.col("k") < warmup, F.col(t))).over(every) for t in ("sbp", "dbp")}).where(F.col("k") >= warmup)
+    rows = rows.withColumns({f"{t}_counts": F.col(t).isNotNull() for t in ("sbp", "dbp")} | {f"{t}_seen": F.lit(True) for t in ("sbp", "dbp")})
+    return _ema(rows, (alpha,), block).drop("alpha")
 
 
 def alpha_sweep(df: DataFrame, alphas: tuple[float, ...] = (0.05, 0.1, 0.2, 0.3)) -> DataFrame:

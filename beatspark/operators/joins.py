@@ -17,6 +17,16 @@ def case_duration(cases: DataFrame, least: float = 30) -> DataFrame:
     return cases.withColumn("duration_min", (F.col("caseend") - F.col("casestart")) / 60).where(F.col("duration_min") >= least)
 
 
+def keep_listed_cases(cases: DataFrame, listed: DataFrame) -> DataFrame:
+    """Cases that are in a list of ids."""
+    return cases.join(listed.select("caseid"), "caseid", "left_semi")
+
+
+def first_cases(cases: DataFrame, k: int) -> DataFrame:
+    """The first k cases (recordings) in the order of their ids."""
+    return cases.select("caseid").distinct().orderBy("caseid").limit(k)
+
+
 def pending_cases(cases: DataFrame, done: DataFrame) -> DataFrame:
     return cases.join(done.select("caseid"), "caseid", "left_anti")
 
@@ -61,15 +71,22 @@ def segment_cycles(samples: DataFrame) -> DataFrame:
     What lies before the first peak and the open last beat are left out."""
     order = Window.partitionBy("caseid").orderBy("sample_idx")
     cut = samples.withColumn("beat", F.sum(F.col("is_peak").cast("int")).over(order))
-    last = cut.groupBy("caseid").agg(F.max("beat").alias("last"))
-    whole = cut.join(F.broadcast(last), "caseid").where("beat > 0 AND beat < last")
+    # the same distribution by case serves both windows
+    whole = cut.withColumn("last", F.max("beat").over(Window.partitionBy("caseid"))).where("beat > 0 AND beat < last")
     return whole.groupBy("caseid", "beat").agg(F.min("sample_idx").alias("start"), F.transform(F.sort_array(F.collect_list(F.struct("sample_idx", "v"))), lambda x: x["v"]).alias("values"))
 
 
-def attach_clinical(beats: DataFrame, cases: DataFrame, text: tuple[str, ...] = ("sex", "department", "approach")) -> DataFrame:
+def metadata_defaults(df: DataFrame, text: tuple[str, ...], numbers: tuple[str, ...] = ()) -> DataFrame:
+    """Missing texts are 'unknown', missing numbers NULL; columns that are not there are made."""
+    here = set(df.columns)
+    made = {c: F.coalesce(F.col(c), F.lit("unknown")) if c in here else F.lit("unknown") for c in text}
+    return df.withColumns(made | {c: F.lit(None).cast("double") for c in numbers if c not in here})
+
+
+def attach_clinical(beats: DataFrame, cases: DataFrame, text: tuple[str, ...] = ("sex", "department", "approach"), numbers: tuple[str, ...] = ()) -> DataFrame:
     """Clinical columns by case; text that is missing is 'unknown'. The catalogue is one row for each case; Spark
     broadcasts it while it is small."""
-    return beats.join(cases, "caseid", "left").withColumns({c: F.coalesce(F.col(c), F.lit("unknown")) for c in text})
+    return metadata_defaults(beats.join(cases, "caseid", "left"), text, numbers)
 
 
 def boundary_vs_rest(df: DataFrame, column: str, lo: float = 24, hi: float = 28) -> DataFrame:
@@ -77,6 +94,12 @@ def boundary_vs_rest(df: DataFrame, column: str, lo: float = 24, hi: float = 28)
     return df.groupBy(inside).agg(F.count(F.lit(1)).alias("n"), F.avg("sbp_reference").alias("sbp"), F.avg("dbp_reference").alias("dbp"), F.avg("hr_bpm").alias("hr"))
 
 
+def patients_in_band(df: DataFrame, column: str, lo: float = 24, hi: float = 28) -> DataFrame:
+    """Patients with values in a band: how many of their rows, and which share."""
+    inside = F.count_if(F.col(column).between(lo, hi))
+    return df.groupBy("patient_id").agg(inside.alias("n_inside"), F.count(F.lit(1)).alias("n")).where("n_inside > 0").withColumn("inside_pct", 100.0 * F.col("n_inside") / F.col("n"))
+
+
 def stratified_sample(cases: DataFrame, total: int, seed: int = 42) -> DataFrame:
     """Up to a third of `total` cases from each age group: (0, 40], (40, 60], (60, 100]."""
     group = F.when((F.col("age") > 0) & (F.col("age") <= 40), 1).when((F.col("age") > 40) & (F.col("age") <= 60), 2).when((F.col("age") > 60) & (F.col("age") <= 100), 3)

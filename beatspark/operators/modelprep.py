@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import numbered
 
 def fill_static(df: DataFrame, numbers: list[str], texts: list[str]) -> DataFrame:
     """Numbers by their mean, texts by 'Unknown'."""
@@ -20,38 +21,64 @@ def top_k_categories(df: DataFrame, column: str, k: int = 50) -> DataFrame:
 
 
 def label_encode(df: DataFrame, column: str) -> DataFrame:
-    """`<column>_code`: the place of a value among all values in order, from 0."""
-    codes = df.select(column).distinct().withColumn(f"{column}_code", F.dense_rank().over(Window.orderBy(column)) - 1)
-    return df.join(codes, column)
+    """`<column>_code`: the place of a value among all values in order, from 0; NULL where the value is missing."""
+    codes = numbered(df.select(column).where(F.col(column).isNotNull()).distinct(), F.col(column)).select(F.col(column).alias("__value"), (F.col("k") - 1).alias(f"{column}_code"))
+    return df.join(codes, F.col(column) == F.col("__value"), "left").drop("__value")
+
+
+def _shuffled(df: DataFrame, seed: int) -> DataFrame:
+    """patient_id and k, each patient's number in the order of a hash. The hash is spread evenly, and so is the work."""
+    ids = df.select("patient_id").where("patient_id IS NOT NULL").distinct()
+    return numbered(ids, F.concat(F.md5(F.concat_ws("|", F.lit(seed), "patient_id")), F.lit("|"), F.col("patient_id")))
 
 
 def patient_split(df: DataFrame, seed: int = 42) -> DataFrame:
     """patient_id and part: 80 % development (of that 90 % train, 10 % val) and 20 % test, by hash order."""
-    ids = df.select("patient_id").distinct()
-    ranked = ids.select("patient_id", F.row_number().over(Window.orderBy(F.md5(F.concat_ws("|", F.lit(seed), "patient_id")), "patient_id")).alias("k"), F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))).alias("n"))
+    ranked = _shuffled(df, seed)
+    total = ranked.agg(F.count(F.lit(1)).alias("n"))
     dev = F.floor(F.col("n") * 0.8)
-    return ranked.select("patient_id", F.when(F.col("k") <= F.floor(dev * 0.9), "train").when(F.col("k") <= dev, "val").otherwise("test").alias("part"))
+    return ranked.join(F.broadcast(total), F.lit(True)).select("patient_id", F.when(F.col("k") <= F.floor(dev * 0.9), "train").when(F.col("k") <= dev, "val").otherwise("test").alias("part"))
+
+
+def split_members(df: DataFrame, split: DataFrame, part: str) -> DataFrame:
+    """Rows of the patients of one part."""
+    return df.join(split.where(F.col("part") == part).select("patient_id"), "patient_id", "left_semi")
 
 
 def group_kfold(df: DataFrame, folds: int = 5, seed: int = 42) -> DataFrame:
-    order = Window.orderBy(F.md5(F.concat_ws("|", F.lit(seed), "patient_id")), "patient_id")
-    return df.select("patient_id").distinct().select("patient_id", F.pmod(F.row_number().over(order), F.lit(folds)).alias("fold"))
+    return _shuffled(df, seed).select("patient_id", F.pmod("k", F.lit(folds)).cast("int").alias("fold"))
+
+
+def fit_scaler(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: mean (__m) and population spread (__s) of each column of the rows to fit on."""
+    return rows.agg(*[F.avg(c).alias(f"__m{c}") for c in columns], *[F.stddev_pop(c).alias(f"__s{c}") for c in columns])
+
+
+def scale(rows: DataFrame, fit: DataFrame, columns: list[str]) -> DataFrame:
+    made = {c: (F.col(c) - F.col(f"__m{c}")) / (F.col(f"__s{c}") + 1e-7) for c in columns}
+    return rows.join(F.broadcast(fit), F.lit(True)).withColumns(made).drop(*fit.columns)
+
+
+def unscale(rows: DataFrame, fit: DataFrame, columns: list[str]) -> DataFrame:
+    """The values that `scale` was given."""
+    made = {c: F.col(c) * (F.col(f"__s{c}") + 1e-7) + F.col(f"__m{c}") for c in columns}
+    return rows.join(F.broadcast(fit), F.lit(True)).withColumns(made).drop(*fit.columns)
 
 
 def fit_transform_scaler(df: DataFrame, split: DataFrame, columns: list[str]) -> DataFrame:
     """Columns scaled by the mean and population spread of the training patients' rows."""
     rows = df.join(split, "patient_id")
-    fit = rows.where("part = 'train'").agg(*[F.avg(c).alias(f"__m{c}") for c in columns], *[F.stddev_pop(c).alias(f"__s{c}") for c in columns])
-    made = {c: (F.col(c) - F.col(f"__m{c}")) / (F.col(f"__s{c}") + 1e-7) for c in columns}
-    return rows.join(F.broadcast(fit), F.lit(True)).withColumns(made).drop(*[f"__{k}{c}" for k in "ms" for c in columns])
+    return scale(rows, fit_scaler(rows.where("part = 'train'"), columns), columns)
 
 
-def sliding_sequences(df: DataFrame, dynamic: list[str], targets: list[str], size: int = 30) -> DataFrame:
-    """All windows of `size` rows of patients with more rows than that; targets come from the last row."""
+def sliding_sequences(df: DataFrame, dynamic: list[str], targets: list[str], size: int = 30, numbers: list[str] = [], codes: list[str] = []) -> DataFrame:
+    """All windows of `size` rows of patients with more rows than that; static numbers and codes, and targets, come from the last row."""
     order = Window.partitionBy("patient_id").orderBy("timestamp", "cycle_index")
-    row = F.array(*[F.col(c).cast("float") for c in dynamic])
-    wide = df.select("patient_id", "cycle_index", F.collect_list(row).over(order.rowsBetween(1 - size, 0)).alias("seq"), F.row_number().over(order).alias("__k"), F.count(F.lit(1)).over(Window.partitionBy("patient_id")).alias("__n"), F.array(*[F.col(c).cast("float") for c in targets]).alias("target"))
-    return wide.where((F.col("__k") >= size) & (F.col("__n") > size)).select("patient_id", F.col("cycle_index").alias("end_idx"), "seq", "target")
+    listed = lambda columns, kind: F.array(*[F.col(c).cast(kind) for c in columns]).cast(f"array<{kind}>")
+    wide = df.select(
+        "patient_id", "cycle_index", F.collect_list(listed(dynamic, "float")).over(order.rowsBetween(1 - size, 0)).alias("seq"), F.row_number().over(order).alias("__k"), F.count(F.lit(1)).over(Window.partitionBy("patient_id")).alias("__n"),
+        listed(numbers, "float").alias("static_cont"), listed(codes, "int").alias("static_cat"), listed(targets, "float").alias("target"))
+    return wide.where((F.col("__k") >= size) & (F.col("__n") > size)).select("patient_id", F.col("cycle_index").alias("end_idx"), "seq", "static_cont", "static_cat", "target")
 
 
 def sample_rows(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:

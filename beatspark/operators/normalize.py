@@ -12,7 +12,9 @@ TIME = ("timestamp", "cycle_index")
 
 
 def _with_stats(df: DataFrame, stats: dict[str, Column], key: str = "patient_id") -> DataFrame:
-    return df.join(df.groupBy(key).agg(*[c.alias(n) for n, c in stats.items()]), key)
+    """Rows with the statistics of their patient; rows without a patient are a group of their own."""
+    found = df.groupBy(F.col(key).alias("__key")).agg(*[c.alias(n) for n, c in stats.items()])
+    return df.join(found, F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
 
 
 def patient_zscore(df: DataFrame, columns: list[str], population: bool = False, epsilon: float = 1e-6) -> DataFrame:
@@ -27,8 +29,8 @@ def baseline_delta(df: DataFrame, columns: dict[str, str], first: int = 100) ->
     """Each column less its median over the patient's first rows; `columns` maps it to the new name."""
     order = Window.partitionBy("patient_id").orderBy(*TIME)
     head = df.select("patient_id", *TIME, *columns).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= first)
-    base = head.groupBy("patient_id").agg(*[F.median(c).alias(f"__b_{c}") for c in columns])
-    return df.join(base, "patient_id").withColumns({new: F.col(c) - F.col(f"__b_{c}") for c, new in columns.items()}).drop(*[f"__b_{c}" for c in columns])
+    base = head.groupBy(F.col("patient_id").alias("__key")).agg(*[F.median(c).alias(f"__b_{c}") for c in columns])
+    return df.join(base, F.col("patient_id").eqNullSafe(F.col("__key")), "left").drop("__key").withColumns({new: F.col(c) - F.col(f"__b_{c}") for c, new in columns.items()}).drop(*[f"__b_{c}" for c in columns])
 
 
 def patient_deviation(df: DataFrame, columns: list[str]) -> DataFrame:

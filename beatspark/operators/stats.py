@@ -1,13 +1,16 @@
-"""Correlations, variance, bands and histograms of the beat table. Each job is one aggregation, or two stages of one."""
+"""Correlations, variance, bands and histograms of the beat table. Each job is one aggregation, or a few stages of one."""
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import ptt_column, safe_corr
+from ..functions.expr import masked_corr, percent, ptt_column, safe_corr
+from .quantiles import quantiles, wide_quantiles
 
 ORDER = ("timestamp", "cycle_index")
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9, 0.99)
@@ -38,6 +41,24 @@ def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.inline(rows))
 
 
+def complete_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, r) for each pair of columns, over the rows where all of them are there."""
+    return correlation_pairs(df.select(*columns).na.drop("any"), columns)
+
+
+#: Where transit times and rates count for the global correlations with the pressure.
+VALID = {"ptt_peak_to_peak": (0, 500), "pat_ecg_ppg": (0, 600), "hr_bpm": (30, 200)}
+
+
+def masked_correlations(df: DataFrame, target: str = "sbp_reference", more_than: int = 100) -> DataFrame:
+    """(feature, n, r): correlation with the pressure over the valid rows of each feature; NULL up to `more_than` rows."""
+    aggs = []
+    for f, (lo, hi) in VALID.items():
+        ok = (F.col(f) > lo) & (F.col(f) < hi)
+        aggs.append(F.struct(F.lit(f).alias("feature"), F.count_if(ok & F.col(target).isNotNull()).alias("n"), masked_corr(f, target, ok, more_than).alias("r")).alias(f))
+    return df.agg(*aggs).select(F.inline(F.array(*VALID)))
+
+
 def feature_bp_correlation(df: DataFrame, features: list[str]) -> DataFrame:
     """r of each feature with both pressures, with a label by the stronger."""
     one = df.agg(*[safe_corr(f, t).alias(f"{t}{k}") for k, f in enumerate(features) for t in ("sbp_reference", "dbp_reference")])
@@ -47,12 +68,14 @@ def feature_bp_correlation(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def global_vs_within(df: DataFrame, features: list[str], target: str = "sbp_reference", more_than: int = 30) -> DataFrame:
-    """Global r, mean and population spread of the patients' r, and whether the sign flips."""
+    """Global r, mean and population spread of the patients' r, whether the sign flips, and r and r2 of patient-centred values."""
     long = df.select("patient_id", target, *features).unpivot(["patient_id", target], features, "feature", "x")
-    each = long.groupBy("feature", "patient_id").agg(F.count(F.lit(1)).alias("n"), safe_corr("x", target).alias("r")).where(F.col("n") > more_than)
-    within = each.groupBy("feature").agg(F.avg("r").alias("within_mean"), F.stddev_pop("r").alias("within_std"))
-    overall = long.groupBy("feature").agg(safe_corr("x", target).alias("global_r"))
-    return overall.join(within, "feature").withColumn("sign_flip", F.signum("global_r") != F.signum("within_mean"))
+    each = long.groupBy("feature", "patient_id").agg(F.count(F.lit(1)).alias("n"), safe_corr("x", target).alias("r"), F.avg("x").alias("mx"))
+    means = df.groupBy("patient_id").agg(F.avg(target).alias("my"))
+    within = each.where(F.col("n") > more_than).groupBy("feature").agg(F.avg("r").alias("within_mean"), F.stddev_pop("r").alias("within_std"))
+    centred = long.join(each.select("feature", "patient_id", "mx"), ["feature", "patient_id"]).join(means, "patient_id")
+    overall = centred.groupBy("feature").agg(safe_corr("x", target).alias("global_r"), safe_corr(F.col("x") - F.col("mx"), F.col(target) - F.col("my")).alias("centred_r"))
+    return overall.join(within, "feature").withColumns({"sign_flip": F.signum("global_r") != F.signum("within_mean"), "centred_r2": F.col("centred_r") * F.col("centred_r")})
 
 
 def variance_decomposition(df: DataFrame, column: str) -> DataFrame:
@@ -151,19 +174,37 @@ def patient_boundary_share(df: DataFrame, at_least: int = 50) -> DataFrame:
     return df.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n"), near(80).alias("near_80"), near(40).alias("near_40"), safe_corr(ptt, "sbp_reference").alias("r"), F.avg(ptt).alias("mean_ptt")).where(F.col("n") >= at_least)
 
 
+def patients_by_sign(df: DataFrame, at_least: int = 100, first: int = 10) -> DataFrame:
+    """The first patients of those with a positive and of those with a clearly negative relation, least r first."""
+    shares = patient_boundary_share(df, at_least)
+    sign = F.when(F.col("r") > 0, "positive").when(F.col("r") < -0.1, "negative")
+    placed = shares.withColumn("sign", sign).where("sign IS NOT NULL").withColumn("place", F.row_number().over(Window.partitionBy("sign").orderBy("r", "patient_id")))
+    return placed.where(F.col("place") <= first).select("sign", "place", "patient_id", "n", "r", "mean_ptt", "near_80")
+
+
 def common_values(df: DataFrame, column: str, digits: int = 3, k: int = 20) -> DataFrame:
     return df.groupBy(F.bround(column, digits).alias("value")).agg(F.count(F.lit(1)).alias("n")).where("value IS NOT NULL").orderBy(F.desc("n"), "value").limit(k)
 
 
-def column_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
+def column_agreement(df: DataFrame, a: str, b: str, values: tuple[float, ...] = (24.0, 26.0)) -> DataFrame:
+    """How far two columns are apart, the spread of the first, and how often it is exactly one of a few values."""
     gap = F.abs(F.col(a) - F.col(b))
-    return df.agg(F.max(gap).alias("largest"), F.count_if(gap > 1).alias("n_apart"), F.avg(a).alias("mean"), F.median(a).alias("median"), F.min(a).alias("least"), F.max(a).alias("most"))
+    plain = df.agg(F.max(gap).alias("largest"), F.count_if(gap > 1).alias("n_apart"), F.avg(a).alias("mean"), F.min(a).alias("least"), F.max(a).alias("most"), *[F.count_if(F.col(a) == v).alias(f"at_{v:g}") for v in values])
+    return plain.join(F.broadcast(wide_quantiles(df, a, {"median": 0.5})), F.lit(True))
 
 
 def fallback_share(df: DataFrame, column: str = "amplitude_ratio_ra", value: float = 0.5) -> DataFrame:
     return df.groupBy("patient_id").agg(F.avg((F.col(column) == value).cast("double")).alias("share"), F.avg(column).alias("mean"), F.count_if(F.col(column) != value).alias("n_other"))
 
 
+def fallback_rest(df: DataFrame, column: str = "amplitude_ratio_ra", value: float = 0.5) -> DataFrame:
+    """Rows that are not at the fallback value against all rows: count, share, mean and median, pressure and rate."""
+    rest = F.col(column) != value
+    means = [F.avg(x).alias(f"{n}_all") for n, x in (("sbp", F.col("sbp_reference")), ("hr", F.col("hr_bpm")))]
+    plain = df.agg(F.count_if(rest).alias("n_rest"), percent(rest).alias("rest_pct"), F.avg(F.when(rest, F.col(column))).alias("mean"), F.avg(F.when(rest, F.col("sbp_reference"))).alias("sbp_rest"), F.avg(F.when(rest, F.col("hr_bpm"))).alias("hr_rest"), *means)
+    return plain.join(F.broadcast(wide_quantiles(df.where(rest), column, {"median": 0.5})), F.lit(True))
+
+
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     """Equal bins from the least to the largest value; the last one is closed."""
     lim = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
@@ -171,27 +212,89 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     return df.where(F.col(column).isNotNull()).join(F.broadcast(lim), F.lit(True)).groupBy(k.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def category_stats(df: DataFrame, columns: list[str], k: int = 10) -> DataFrame:
-    """The most frequent values of each column, with the pressures of their rows; one aggregation for all columns."""
+#: Texts that stand for a missing category; distinct values from which a column counts as wide.
+UNKNOWN, WIDE = ("nan", "unknown", ""), 20
+
+
+def _categories(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows, pressures and rank of each value of each column; one aggregation for all columns."""
     long = df.select("sbp_reference", "dbp_reference", *columns).unpivot(["sbp_reference", "dbp_reference"], columns, "column", "value")
-    each = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"), F.avg("sbp_reference").alias("sbp_mean"), F.stddev_samp("sbp_reference").alias("sbp_std"), F.avg("dbp_reference").alias("dbp_mean"))
-    return each.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value"))).where(F.col("rank") <= k)
+    return long.groupBy("column", "value").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("sbp_reference").alias("sbp_mean"), F.stddev_samp("sbp_reference").alias("sbp_std"), F.count("sbp_reference").alias("sbp_n"),
+        F.avg("dbp_reference").alias("dbp_mean"), F.stddev_samp("dbp_reference").alias("dbp_std"), F.count("dbp_reference").alias("dbp_n"))
+
+
+def category_stats(df: DataFrame, columns: list[str], k: int = 10, more_than: int = 50) -> DataFrame:
+    """The most frequent values of each column; with pressures for those of more than `more_than` rows."""
+    top = _categories(df, columns).withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value"))).where(F.col("rank") <= k)
+    enough = F.col("n") > more_than
+    return top.select("column", "value", "n", "rank", *[F.when(enough, F.col(c)).alias(c) for c in ("sbp_mean", "sbp_std", "sbp_n", "dbp_mean", "dbp_std", "dbp_n")])
+
+
+def category_profile(df: DataFrame, columns: list[str]) -> DataFrame:
+    """For each column: distinct values, whether these are many, and the share of rows that are missing or unknown."""
+    unknown = F.col("value").isNull() | F.lower("value").isin(*UNKNOWN)
+    each = _categories(df, columns).groupBy("column").agg(F.count("value").alias("n_values"), F.sum("n").alias("n"), F.sum(F.when(unknown, F.col("n")).otherwise(0)).alias("n_unknown"))
+    return each.select("column", "n_values", (F.col("n_values") > WIDE).alias("wide"), "n_unknown", (100.0 * F.col("n_unknown") / F.col("n")).alias("unknown_pct"))
 
 
 def anova_oneway(df: DataFrame, column: str, target: str = "sbp_reference", more_than: int = 50) -> DataFrame:
-    """F of a one-way analysis of variance over the categories with enough rows."""
+    """F of a one-way analysis of variance over the categories with enough rows, its p-value and whether it is below 0.05."""
     each = df.where(F.col(target).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"), F.avg(target).alias("m"), F.var_samp(target).alias("v")).where((F.col("n") > more_than) & F.col(column).isNotNull())
     sums = each.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum((F.col("n") - 1) * F.col("v")).alias("ssw"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("q"), F.sum(F.col("n") * F.col("m")).alias("s"))
     ssb = F.col("q") - F.col("s") * F.col("s") / F.col("n")
-    return sums.select("k", "n", F.try_divide(F.try_divide(ssb, F.col("k") - 1), F.try_divide(F.col("ssw"), F.col("n") - F.col("k"))).alias("f"))
-
-
-def box_stats(df: DataFrame, column: str, target: str) -> DataFrame:
-    q = F.percentile(target, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(column).agg(F.min(target).alias("least"), q.alias("q"), F.max(target).alias("most")).select(column, "least", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "most")
+    f = sums.select("k", "n", F.try_divide(F.try_divide(ssb, F.col("k") - 1), F.try_divide(F.col("ssw"), F.col("n") - F.col("k"))).alias("f"))
+    # one row: a small helper where there is no built-in function
+    return f.withColumn("p", F.pandas_udf(_f_tails, "double")(F.col("f"), (F.col("k") - 1).cast("double"), (F.col("n") - F.col("k")).cast("double"))).withColumn("significant", F.col("p") < 0.05)
+
+
+def _f_tails(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(x) or not (a > 0 and b > 0) else f_tail(x, a, b) for x, a, b in zip(f, d1, d2)], dtype="float64")
+
+
+def f_tail(f: float, d1: float, d2: float) -> float:
+    """P(X > f) for an F variable: the regularised incomplete beta function at d2 / (d2 + d1 f)."""
+    if f <= 0:
+        return 1.0
+    a, b, x = d2 / 2, d1 / 2, d2 / (d2 + d1 * f)
+    if x > (a + 1) / (a + b + 2):  # the fraction settles faster from the other side
+        return 1.0 - _beta_share(b, a, 1 - x)
+    return _beta_share(a, b, x)
+
+
+def _beta_share(a: float, b: float, x: float) -> float:
+    """I_x(a, b) by its continued fraction, evaluated from the front (modified Lentz)."""
+    if x <= 0:
+        return 0.0
+    tiny = 1e-300
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or tiny)
+    h = d
+    for m in range(1, 5000):
+        step = 1.0
+        for numerator in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + numerator * d or tiny)
+            c = 1 + numerator / c or tiny
+            step *= c * d
+        h *= step
+        if abs(step - 1) < 1e-15:
+            break
+    front = a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+    return min(1.0, math.exp(front) * h / a)
+
+
+def box_stats(df: DataFrame, column: str, target: str, top: int = 10, more_than: int = 50) -> DataFrame:
+    """Extremes and exact quartiles of a target by category: of those with enough rows, or the `top` ones if these are more."""
+    seen = df.where(F.col(column).isNotNull())
+    counts = seen.groupBy(column).agg(F.count(F.lit(1)).alias("__n"))
+    first = counts.orderBy(F.desc("__n"), column).limit(top + 1)  # the window below sees no more than these
+    ranked = first.withColumn("__rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("__n"), column)))
+    several = ranked.where((F.col("__rank") == top + 1) & (F.col("__n") > more_than)).agg((F.count(F.lit(1)) > 0).alias("__many"))
+    chosen = ranked.where(F.col("__rank") <= top).join(F.broadcast(several), F.lit(True)).where(F.col("__many") | (F.col("__n") > more_than)).select(column)
+    rows = seen.join(F.broadcast(chosen), column, "left_semi").where(F.col(target).isNotNull())  # `top` rows at most
+    plain = rows.groupBy(column).agg(F.min(target).alias("least"), F.max(target).alias("most"))
+    q = quantiles(rows, column, target, (0.25, 0.5, 0.75)).groupBy(column).agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n) for n, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))])
+    return plain.join(q, column).select(column, "least", "q25", "q50", "q75", "most")
 
 
 def target_percentiles(df: DataFrame, columns: tuple[str, ...] = ("sbp_reference", "dbp_reference"), at: tuple[float, ...] = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
-    one = df.agg(*[F.percentile(c, F.array(*[F.lit(x) for x in at])).alias(c) for c in columns])
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(x).alias("p"), F.col(c)[k].alias("value")) for c in columns for k, x in enumerate(at)])
-    return one.select(F.inline(rows))
+    return quantiles(df.select(*columns).unpivot([], list(columns), "column", "x"), "column", "x", at)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +11,12 @@ from . import fixtures as fx
 from .functions import arrays
 from .functions import expr
 from .operators import cleaning, evaluate, joins, modelprep, normalize, physiology, quality, select, stats
+from .operators.quantiles import numbered
+from .sources import io
+from .streaming import quality_stream
 
 QUERIES, ORACLES = {}, {}
-B = f"WITH b AS ({fx.BEATS_FX})"
+B = f"WITH b AS MATERIALIZED ({fx.BEATS_FX})"
 FEATURES = ["ptt_peak_to_foot", "ptt_peak_to_peak", "amplitude_ratio_ra", "hr_bpm", "max_upslope", "stat_std", "cycle_correlation"]
 BANDS = [40.0, 60.0, 80.0, 100.0, 120.0, 150.0, 200.0, 300.0]
 
@@ -160,30 +165,53 @@ def w3_patient_deviation(b):
     return normalize.patient_deviation(b, ["sbp_reference"]).select("patient_id", "cycle_index", "sbp_reference_dev")
 
 
-@query(f"""{B}, m AS (SELECT patient_id, avg(hr_bpm) AS hr_bpm, avg(stat_std) AS stat_std FROM b GROUP BY patient_id)
-SELECT 'hr_bpm' AS feature, round(avg(hr_bpm), 6) AS mean, round(stddev_samp(hr_bpm), 6) AS std, stddev_samp(hr_bpm) < 0.05 AS ok FROM m UNION ALL SELECT 'stat_std', round(avg(stat_std), 6), round(stddev_samp(stat_std), 6), stddev_samp(stat_std) < 0.05 FROM m""")
+_NORM = "z AS (SELECT patient_id, " + ", ".join(f"({c} - avg({c}) OVER w) / (stddev_samp({c}) OVER w + 1e-6) AS {c}_norm" for c in FEATURES[:4]) + " FROM b WINDOW w AS (PARTITION BY patient_id)), m AS (SELECT patient_id, " + ", ".join(f"avg({c}_norm) AS {c}_norm" for c in FEATURES[:4]) + " FROM z GROUP BY patient_id)"
+
+
+@query(f"{B}, {_NORM} " + " UNION ALL ".join(f"SELECT '{c}_norm' AS feature, round(avg({c}_norm), 6) AS mean, round(stddev_samp({c}_norm), 6) AS std, stddev_samp({c}_norm) < 0.05 AS ok FROM m" for c in FEATURES[:4]))
 def a25_norm_check(b):
-    return normalize.norm_check(b, ["hr_bpm", "stat_std"])
+    return normalize.norm_check(normalize.patient_zscore(b, FEATURES[:4]), [f"{c}_norm" for c in FEATURES[:4]])
 
 
 # ---- reports ----------------------------------------------------------------------------------------------------
 _PCT = lambda c: f"100.0 * count(*) FILTER ({c}) / count(*)"
-_REPORT = f"""SELECT count(*) AS n_samples, count(DISTINCT patient_id) AS n_patients, count(DISTINCT session_id) AS n_sessions, count(*) FILTER (ptt_peak_to_foot = 0) AS ptt_zeros, {_PCT('ptt_peak_to_foot = 0')} AS ptt_zeros_pct,
- count(*) FILTER (ptt_peak_to_foot < 30) AS ptt_outliers_low, count(*) FILTER (ptt_peak_to_foot > 300) AS ptt_outliers_high, avg(ptt_peak_to_foot) FILTER (ptt_peak_to_foot > 0) AS ptt_mean, stddev_samp(ptt_peak_to_foot) FILTER (ptt_peak_to_foot > 0) AS ptt_std, median(ptt_peak_to_foot) FILTER (ptt_peak_to_foot > 0) AS ptt_median,
- {_PCT('amplitude_ratio_ra = 1.0')} AS ra_one_pct, count(*) FILTER (amplitude_ratio_ra < 0.01) AS ra_low, avg(amplitude_ratio_ra) FILTER (amplitude_ratio_ra > 0.01 AND amplitude_ratio_ra < 0.99) AS ra_mean, count(*) FILTER (sbp_reference <= dbp_reference) AS bp_violations,
- count(*) FILTER (sbp_reference < 60 OR sbp_reference > 200) + count(*) FILTER (dbp_reference < 30 OR dbp_reference > 120) AS bp_outliers, count(*) FILTER (hr_bpm < 30 OR hr_bpm > 200) AS hr_outliers, {_PCT('cycle_correlation < 0.7')} AS low_corr_pct,
- corr(ptt_peak_to_foot, sbp_reference) FILTER (ptt_peak_to_foot > 0 AND ptt_peak_to_foot < 500) AS ptt_sbp_corr, corr(hr_bpm, sbp_reference) FILTER (hr_bpm > 30 AND hr_bpm < 200) AS hr_sbp_corr FROM """
+
+
+def _spread(name: str, x: str, valid: str = "true") -> str:
+    return f"avg({x}) FILTER ({valid}) AS {name}_mean, stddev_samp({x}) FILTER ({valid}) AS {name}_std"
+
+
+def _share(name: str, c: str) -> str:
+    return f"count(*) FILTER ({c}) AS {name}, {_PCT(c)} AS {name}_pct"
+
+
+def _related(name: str, x: str, y: str, valid: str) -> str:
+    return f"CASE WHEN count(*) FILTER ({valid} AND {x} IS NOT NULL AND {y} IS NOT NULL) > 100 THEN corr({x}, {y}) FILTER ({valid}) ELSE 0e0 END AS {name}"
+
+
+_REPORT = f"""SELECT count(*) AS total_samples, count(DISTINCT session_id) AS total_sessions, {_share('ptt_zeros', 'ptt_peak_to_peak = 0')}, count(*) FILTER (ptt_peak_to_peak < 30) AS ptt_outliers_low,
+ count(*) FILTER (ptt_peak_to_peak > 300) AS ptt_outliers_high, {_spread('ptt', 'ptt_peak_to_peak', 'ptt_peak_to_peak > 0')}, median(ptt_peak_to_peak) FILTER (ptt_peak_to_peak > 0) AS ptt_median,
+ {_share('pat_zeros', 'pat_ecg_ppg = 0')}, {_spread('pat', 'pat_ecg_ppg', 'pat_ecg_ppg > 0')}, {_share('amplitude_ones', 'amplitude_ratio_ra = 1.0')}, {_share('amplitude_zeros', 'amplitude_ratio_ra < 0.01')},
+ {_spread('amplitude', 'amplitude_ratio_ra', 'amplitude_ratio_ra > 0.01 AND amplitude_ratio_ra < 0.99')}, {_spread('sbp', 'sbp_reference')}, min(sbp_reference) AS sbp_min, max(sbp_reference) AS sbp_max, {_spread('dbp', 'dbp_reference')},
+ count(*) FILTER (sbp_reference <= dbp_reference) AS sbp_dbp_violations, count(*) FILTER (sbp_reference < 60 OR sbp_reference > 200) + count(*) FILTER (dbp_reference < 30 OR dbp_reference > 120) AS bp_outliers,
+ {_spread('hr', 'hr_bpm')}, count(*) FILTER (hr_bpm < 30 OR hr_bpm > 200) AS hr_outliers, count(*) FILTER (cycle_correlation < 0.7) AS low_correlation_count, {_PCT('cycle_correlation < 0.7')} AS low_correlation_pct, avg(cycle_correlation) AS correlation_mean,
+ {_related('ptt_sbp_correlation', 'ptt_peak_to_peak', 'sbp_reference', 'ptt_peak_to_peak > 0 AND ptt_peak_to_peak < 500')}, {_related('ptt_dbp_correlation', 'ptt_peak_to_peak', 'dbp_reference', 'ptt_peak_to_peak > 0 AND ptt_peak_to_peak < 500')},
+ {_related('pat_sbp_correlation', 'pat_ecg_ppg', 'sbp_reference', 'pat_ecg_ppg > 0 AND pat_ecg_ppg < 600')}, {_related('hr_sbp_correlation', 'hr_bpm', 'sbp_reference', 'hr_bpm > 30 AND hr_bpm < 200')} FROM """
+_COUNTED = ("total_samples", "total_sessions", "ptt_zeros", "ptt_outliers_low", "ptt_outliers_high", "pat_zeros", "amplitude_ones", "amplitude_zeros", "sbp_dbp_violations", "bp_outliers", "hr_outliers", "low_correlation_count")
+_MEASURED = ("ptt_zeros_pct", "ptt_mean", "ptt_std", "ptt_median", "pat_zeros_pct", "pat_mean", "pat_std", "amplitude_ones_pct", "amplitude_zeros_pct", "amplitude_mean", "amplitude_std", "sbp_mean", "sbp_std", "sbp_min", "sbp_max", "dbp_mean", "dbp_std", "hr_mean", "hr_std", "low_correlation_pct", "correlation_mean", "ptt_sbp_correlation", "ptt_dbp_correlation", "pat_sbp_correlation", "hr_sbp_correlation")
 
 
 @query(f"""{B}, r AS ({_REPORT} b), k AS (SELECT count(*) AS n FROM b GROUP BY patient_id)
-SELECT n_samples, n_patients, n_sessions, ptt_zeros, round(ptt_zeros_pct, 6) AS ptt_zeros_pct, ptt_outliers_low, ptt_outliers_high, round(ptt_mean, 6) AS ptt_mean, round(ptt_std, 6) AS ptt_std, round(ptt_median, 6) AS ptt_median, round(ra_one_pct, 6) AS ra_one_pct, ra_low, round(ra_mean, 6) AS ra_mean, bp_violations, bp_outliers, hr_outliers, round(low_corr_pct, 6) AS low_corr_pct, round(ptt_sbp_corr, 6) AS ptt_sbp_corr, round(hr_sbp_corr, 6) AS hr_sbp_corr,
- round((SELECT avg(n) FROM k), 6) AS rows_per_patient, round((SELECT stddev_samp(n) FROM k), 6) AS rows_per_patient_std, ptt_sbp_corr < -0.3 AS has_negative_corr, n_samples > 100000 AS has_enough_samples, low_corr_pct < 30 AS has_good_correlation FROM r""")
+SELECT {', '.join(_COUNTED)}, {', '.join(_nn(c) + f' AS {c}' for c in _MEASURED)}, (SELECT count(*) FROM k) AS total_patients, round((SELECT avg(n) FROM k), 6) AS samples_per_patient_mean, round((SELECT stddev_samp(n) FROM k), 6) AS samples_per_patient_std,
+ ptt_sbp_correlation < -0.3 AS has_valid_ptt_bp_relationship, total_samples > 100000 AS has_sufficient_samples, low_correlation_pct < 30 AS has_good_signal_quality FROM r""")
 def a3_quality_report(b):
     return quality.quality_report(b)
 
 
 @query(f"""{B}, c AS (SELECT * FROM b WHERE ({_RULE}) IS NULL), x AS ({_REPORT} b), y AS ({_REPORT} c)
-SELECT x.n_samples - y.n_samples AS removed, round(100.0 * (x.n_samples - y.n_samples) / x.n_samples, 6) AS removed_pct, round(y.ptt_zeros_pct - x.ptt_zeros_pct, 6) AS zeros_change, round(y.ptt_sbp_corr - x.ptt_sbp_corr, 6) AS corr_change, y.ptt_sbp_corr < x.ptt_sbp_corr AS corr_improved FROM x, y""")
+SELECT x.total_samples - y.total_samples AS samples_removed, round(100.0 * (x.total_samples - y.total_samples) / x.total_samples, 6) AS samples_removed_pct, x.ptt_zeros - y.ptt_zeros AS ptt_zeros_removed, x.amplitude_ones - y.amplitude_ones AS amplitude_ones_removed,
+ x.sbp_dbp_violations - y.sbp_dbp_violations AS sbp_dbp_violations_removed, x.low_correlation_count - y.low_correlation_count AS low_corr_removed, round(y.ptt_sbp_correlation - x.ptt_sbp_correlation, 6) AS ptt_sbp_corr_change, round(y.ptt_dbp_correlation - x.ptt_dbp_correlation, 6) AS ptt_dbp_corr_change,
+ x.ptt_sbp_correlation >= -0.3 AND y.ptt_sbp_correlation < -0.3 AS valid_ptt_bp_relationship_gained, x.low_correlation_pct >= 30 AND y.low_correlation_pct < 30 AS good_signal_quality_gained FROM x, y""")
 def j8_compare_reports(b):
     return quality.compare_reports(quality.quality_report(b), quality.quality_report(cleaning.clean_samples(b)))
 
@@ -198,15 +226,15 @@ def a5_patient_quality(b):
     return quality.patient_quality(b)
 
 
-@query(f"{B}, s AS (SELECT avg(sbp_reference) AS m, stddev_samp(sbp_reference) AS s FROM b) SELECT count(sbp_reference) AS n, count(*) FILTER (abs(sbp_reference - m) > 3 * s) AS n_far, count(*) FILTER (sbp_reference < 0 OR sbp_reference > 300) AS n_impossible FROM b, s")
+@query(f"{B} " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n, round(min({c}), 6) AS least, round(max({c}), 6) AS most, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, count(*) FILTER (abs({c} - m) > 3 * s) AS n_far, count(*) FILTER ({c} < 0 OR {c} > {top}) AS n_impossible, count(*) FILTER ({c} < {low}) AS n_low, count(*) FILTER ({c} > {high}) AS n_high FROM b, (SELECT avg({c}) AS m, stddev_samp({c}) AS s FROM b)" for c, top, low, high in (("sbp_reference", 300, 60, 200), ("dbp_reference", 200, 30, 120))))
 def a38_sigma_outliers(b):
-    return quality.sigma_outliers(b, "sbp_reference")
+    return quality.sigma_outliers(b)
 
 
 _RANGES = {"ptt_peak_to_foot": (50, 400), "amplitude_ratio_ra": (0, 10), "hr_bpm": (40, 180), "cycle_correlation": (0, 1), "bmi": (10, 60)}
 
 
-@query(f"{B} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) - count({c}) AS missing, round(min({c}), 6) AS least, round(max({c}), 6) AS most, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, count(*) FILTER ({c} < {lo} OR {c} > {hi}) AS outside FROM b" for c, (lo, hi) in _RANGES.items()))
+@query(f"{B} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) - count({c}) AS missing, round(min({c}), 6) AS least, round(max({c}), 6) AS most, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, count(*) FILTER ({c} < {lo} OR {c} > {hi}) AS outside, round({_PCT(f'{c} < {lo} OR {c} > {hi}')}, 6) AS outside_pct, count(*) FILTER (isinf({c})) AS infinite, round({_PCT(f'{c} IS NULL')}, 6) AS missing_pct FROM b" for c, (lo, hi) in _RANGES.items()))
 def a39_feature_ranges(b):
     return quality.feature_ranges(b, _RANGES)
 
@@ -232,12 +260,30 @@ def w7_temporal_integrity(b):
     return quality.temporal_integrity(b)
 
 
-@query(f"""{B}, s AS (SELECT {_PCT('ptt_peak_to_foot = 0')} AS zeros, {_PCT('amplitude_ratio_ra = 1.0')} AS ones, corr(ptt_peak_to_foot, sbp_reference) AS r FROM b), e AS (SELECT *, concat_ws('|', CASE WHEN zeros > 5 THEN 'ptt_zeros' END, CASE WHEN ones > 1 THEN 'ratio_ones' END, CASE WHEN r > -0.3 THEN 'weak_correlation' END) AS errors FROM s)
-SELECT round(zeros, 6) AS zeros, round(ones, 6) AS ones, round(r, 6) AS r, errors, errors = '' AS passed FROM e""")
+@query(f"""{B}, s AS (SELECT count(*) AS n, {_PCT('ptt_peak_to_foot = 0')} AS zeros, {_PCT('amplitude_ratio_ra = 1.0')} AS ones, corr(ptt_peak_to_foot, sbp_reference) AS r, corr(ptt_peak_to_foot, dbp_reference) AS r_dbp, {_PCT('sbp_reference <= dbp_reference')} AS violations,
+ avg(sbp_reference) AS sm, stddev_samp(sbp_reference) AS ss, avg(dbp_reference) AS dm, stddev_samp(dbp_reference) AS ds FROM b),
+ e AS (SELECT *, CASE WHEN r > -0.3 THEN 'weak_correlation' ELSE '' END AS errors, concat_ws('|', CASE WHEN zeros > 5 THEN 'ptt_zeros' END, CASE WHEN ones > 1 THEN 'ratio_ones' END, CASE WHEN n < 500000 THEN 'few_samples' END) AS warnings FROM s)
+SELECT n AS total_samples, round(zeros, 6) AS zeros, round(ones, 6) AS ones, round(r, 6) AS r, round(r_dbp, 6) AS r_dbp, round(violations, 6) AS violations, round(sm, 6) AS sbp_mean, round(ss, 6) AS sbp_std, round(dm, 6) AS dbp_mean, round(ds, 6) AS dbp_std, warnings, errors, errors = '' AS passed FROM e""")
 def a43_validation_verdict(b):
     return quality.validation_verdict(b)
 
 
+@query(f"""{B}, n AS (SELECT patient_id, count(*) AS n, avg(sbp_reference) AS m, var_samp(sbp_reference) AS v FROM b GROUP BY patient_id), t AS (SELECT sum(n) AS top FROM (SELECT n FROM n ORDER BY n DESC, patient_id LIMIT 10)),
+ s AS (SELECT greatest({', '.join(f"coalesce(abs(CASE WHEN isnan(corr({c}, sbp_reference)) THEN NULL ELSE corr({c}, sbp_reference) END), 0)" for c in FEATURES)}) AS strongest, count(*) AS n, {' + '.join(f"count(*) - count({c})" for c in FEATURES)} AS missing FROM b),
+ p AS (SELECT var_samp(m) AS bt, avg(v) AS wi FROM n), a AS (SELECT strongest, 100.0 * top / n AS share, bt, wi, missing, n FROM s, t, p),
+ i AS (SELECT *, strongest < 0.2 AS i1, share > 30 AS i2, bt > 5 * wi AS i3, missing > n * {len(FEATURES)} * 0.01 AS i4 FROM a)
+SELECT round(strongest, 6) AS strongest, round(share, 6) AS top_share, round(bt, 6) AS "between", round(wi, 6) AS within, missing, concat_ws('|', CASE WHEN i1 THEN 'weak_features' END, CASE WHEN i2 THEN 'patient_imbalance' END, CASE WHEN i3 THEN 'between_patients' END, CASE WHEN i4 THEN 'missing_values' END) AS issues,
+ coalesce(CAST(i1 AS INT), 0) + coalesce(CAST(i2 AS INT), 0) + coalesce(CAST(i3 AS INT), 0) + coalesce(CAST(i4 AS INT), 0) AS n_issues FROM i""")
+def a44_diagnostic_issues(b):
+    return quality.diagnostic_issues(b, FEATURES)
+
+
+@query(f"{B}, r AS (SELECT CASE WHEN ptt_peak_to_foot = 0 THEN 'flat_signal' WHEN cycle_correlation < 0.7 THEN 'low_snr' WHEN hr_bpm > 100 THEN 'invalid_ptt' ELSE 'valid' END AS reason FROM b) SELECT reason, count(*) AS n, (SELECT count(*) FROM b) AS attempts, round(100.0 * count(*) / (SELECT count(*) FROM b), 6) AS share FROM r GROUP BY reason")
+def a9_extraction_failures(b):
+    reason = F.when(F.col("ptt_peak_to_foot") == 0, "flat_signal").when(F.col("cycle_correlation") < 0.7, F.concat(F.lit("low_snr_"), F.col("cycle_correlation").cast("string"))).when(F.col("hr_bpm") > 100, "invalid_ptt").otherwise("")
+    return quality.extraction_failures(b.withColumn("reason", reason))
+
+
 # ---- statistics -------------------------------------------------------------------------------------------------
 _N = "n AS (SELECT patient_id, count(*) AS n FROM b GROUP BY patient_id)"
 
@@ -270,6 +316,16 @@ def a13_correlation_matrix(b):
     return stats.correlation_pairs(b, FEATURES)
 
 
+@query(f"{B}, f AS (SELECT {', '.join(FEATURES + ['sbp_reference', 'bmi'])} FROM b WHERE {' AND '.join(f'{c} IS NOT NULL' for c in FEATURES + ['sbp_reference', 'bmi'])}) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{c}' AS b, {_r(a, c)} AS r FROM f" for a, c in combinations(FEATURES + ["sbp_reference", "bmi"], 2)))
+def a13_complete_correlations(b):
+    return stats.complete_correlations(b, FEATURES + ["sbp_reference", "bmi"])
+
+
+@query(f"{B} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) FILTER ({c} > {lo} AND {c} < {hi} AND sbp_reference IS NOT NULL) AS n, round(CASE WHEN count(*) FILTER ({c} > {lo} AND {c} < {hi} AND sbp_reference IS NOT NULL) > 100 THEN corr({c}, sbp_reference) FILTER ({c} > {lo} AND {c} < {hi}) END, 6) AS r FROM b" for c, (lo, hi) in stats.VALID.items()))
+def a15_masked_correlation(b):
+    return stats.masked_correlations(b)
+
+
 @query(f"{B}, p AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{c}' AS b, {_r(a, c)} AS r FROM b" for a, c in _PAIRS) + ") SELECT * FROM p WHERE abs(r) > 0.9")
 def a16_high_corr_pairs(b):
     return stats.correlation_pairs(b, FEATURES).where(F.abs("r") > 0.9)
@@ -280,7 +336,7 @@ def a14_feature_bp_correlation(b):
     return stats.feature_bp_correlation(b, FEATURES)
 
 
-@query(f"{B}, l AS (" + " UNION ALL ".join(f"SELECT patient_id, sbp_reference, '{c}' AS feature, {c} AS x FROM b" for c in FEATURES[:4]) + f"), e AS (SELECT feature, patient_id, count(*) AS n, {_r('x', 'sbp_reference', 12)} AS r FROM l GROUP BY 1, 2), w AS (SELECT feature, avg(r) AS m, stddev_pop(r) AS s FROM e WHERE n > 30 GROUP BY 1), g AS (SELECT feature, {_r('x', 'sbp_reference', 12)} AS r FROM l GROUP BY 1) SELECT g.feature, round(r, 6) AS global_r, round(m, 6) AS within_mean, round(s, 6) AS within_std, sign(r) <> sign(m) AS sign_flip FROM g JOIN w ON g.feature = w.feature")
+@query(f"{B}, l AS (" + " UNION ALL ".join(f"SELECT patient_id, sbp_reference, '{c}' AS feature, {c} AS x, {c} - avg({c}) OVER (PARTITION BY patient_id) AS dx, sbp_reference - avg(sbp_reference) OVER (PARTITION BY patient_id) AS dy FROM b" for c in FEATURES[:4]) + f"), e AS (SELECT feature, patient_id, count(*) AS n, {_r('x', 'sbp_reference', 12)} AS r FROM l GROUP BY 1, 2), w AS (SELECT feature, avg(r) AS m, stddev_pop(r) AS s FROM e WHERE n > 30 GROUP BY 1), g AS (SELECT feature, {_r('x', 'sbp_reference', 12)} AS r, {_r('dx', 'dy', 12)} AS c FROM l GROUP BY 1) SELECT g.feature, round(r, 6) AS global_r, round(c, 6) AS centred_r, round(m, 6) AS within_mean, round(s, 6) AS within_std, sign(r) <> sign(m) AS sign_flip, round(c * c, 6) AS centred_r2 FROM g JOIN w ON g.feature = w.feature")
 def a19_global_vs_within_corr(b):
     return stats.global_vs_within(b, FEATURES[:4])
 
@@ -342,14 +398,21 @@ def a29_patient_boundary_share(b):
     return stats.patient_boundary_share(b)
 
 
+@query(f"""{B}, m AS (SELECT patient_id, count(*) AS n, {_r('ptt_peak_to_foot', 'sbp_reference', 12)} AS r, avg(ptt_peak_to_foot) AS mean_ptt, avg(CASE WHEN ptt_peak_to_foot BETWEEN 79 AND 81 THEN 1e0 ELSE 0e0 END) AS near_80 FROM b GROUP BY patient_id HAVING count(*) >= 100),
+ s AS (SELECT *, CASE WHEN r > 0 THEN 'positive' WHEN r < -0.1 THEN 'negative' END AS sign FROM m), p AS (SELECT *, CAST(row_number() OVER (PARTITION BY sign ORDER BY r, patient_id) AS INT) AS place FROM s WHERE sign IS NOT NULL)
+SELECT sign, place, patient_id, n, round(r, 6) AS r, round(mean_ptt, 6) AS mean_ptt, round(near_80, 6) AS near_80 FROM p WHERE place <= 10""")
+def a29_patients_by_sign(b):
+    return stats.patients_by_sign(b)
+
+
 @query(f"{B} SELECT round_even(amplitude_ratio_ra, 3) AS value, count(*) AS n FROM b WHERE amplitude_ratio_ra IS NOT NULL GROUP BY 1 ORDER BY n DESC, value LIMIT 20")
 def a30_common_values(b):
     return stats.common_values(b, "amplitude_ratio_ra")
 
 
-@query(f"{B} SELECT round(max(abs(pat_ecg_ppg - ptt_peak_to_foot)), 6) AS largest, count(*) FILTER (abs(pat_ecg_ppg - ptt_peak_to_foot) > 1) AS n_apart, round(avg(pat_ecg_ppg), 6) AS mean, round(median(pat_ecg_ppg), 6) AS median, round(min(pat_ecg_ppg), 6) AS least, round(max(pat_ecg_ppg), 6) AS most FROM b")
+@query(f"{B} SELECT round(max(abs(pat_ecg_ppg - ptt_peak_to_foot)), 6) AS largest, count(*) FILTER (abs(pat_ecg_ppg - ptt_peak_to_foot) > 1) AS n_apart, round(avg(pat_ecg_ppg), 6) AS mean, round(median(pat_ecg_ppg), 6) AS median, round(min(pat_ecg_ppg), 6) AS least, round(max(pat_ecg_ppg), 6) AS most, count(*) FILTER (pat_ecg_ppg = 180) AS at_180, count(*) FILTER (pat_ecg_ppg = 200) AS at_200 FROM b")
 def a31_column_agreement(b):
-    return stats.column_agreement(b, "pat_ecg_ppg", "ptt_peak_to_foot")
+    return stats.column_agreement(b, "pat_ecg_ppg", "ptt_peak_to_foot", (180.0, 200.0))
 
 
 @query(f"{B} SELECT patient_id, round(avg(CASE WHEN amplitude_ratio_ra = 0.5 THEN 1e0 ELSE 0e0 END), 6) AS share, round(avg(amplitude_ratio_ra), 6) AS mean, count(*) FILTER (amplitude_ratio_ra <> 0.5) AS n_other FROM b GROUP BY patient_id")
@@ -357,22 +420,51 @@ def a32_fallback_share(b):
     return stats.fallback_share(b)
 
 
+@query(f"{B}, r AS (SELECT * FROM b WHERE amplitude_ratio_ra <> 0.5) SELECT (SELECT count(*) FROM r) AS n_rest, round(100.0 * (SELECT count(*) FROM r) / count(*), 6) AS rest_pct, round((SELECT avg(amplitude_ratio_ra) FROM r), 6) AS mean, round((SELECT median(amplitude_ratio_ra) FROM r), 6) AS median, round((SELECT avg(sbp_reference) FROM r), 6) AS sbp_rest, round((SELECT avg(hr_bpm) FROM r), 6) AS hr_rest, round(avg(sbp_reference), 6) AS sbp_all, round(avg(hr_bpm), 6) AS hr_all FROM b")
+def a32_fallback_rest(b):
+    return stats.fallback_rest(b)
+
+
 @query(f"{B}, l AS (SELECT min(hr_bpm) AS lo, max(hr_bpm) AS hi FROM b) SELECT CAST(least(49, floor((hr_bpm - lo) * 50 / (hi - lo))) AS INT) AS bin, count(*) AS n FROM b, l GROUP BY 1")
 def a33_histogram(b):
     return stats.histogram(b, "hr_bpm")
 
 
-@query(f"{B}, l AS (SELECT sbp_reference, dbp_reference, 'dx' AS \"column\", dx AS value FROM b UNION ALL SELECT sbp_reference, dbp_reference, 'sex', sex FROM b UNION ALL SELECT sbp_reference, dbp_reference, 'position', position FROM b), e AS (SELECT \"column\", value, count(*) AS n, round(avg(sbp_reference), 6) AS sbp_mean, round(stddev_samp(sbp_reference), 6) AS sbp_std, round(avg(dbp_reference), 6) AS dbp_mean, CAST(row_number() OVER (PARTITION BY \"column\" ORDER BY count(*) DESC, value) AS INT) AS rank FROM l GROUP BY 1, 2) SELECT * FROM e WHERE rank <= 10")
+_CATEGORIES = "l AS (SELECT sbp_reference, dbp_reference, 'dx' AS \"column\", dx AS value FROM b UNION ALL SELECT sbp_reference, dbp_reference, 'sex', sex FROM b UNION ALL SELECT sbp_reference, dbp_reference, 'position', position FROM b)"
+
+
+@query(f"{B}, {_CATEGORIES}, e AS (SELECT \"column\", value, count(*) AS n, CAST(row_number() OVER (PARTITION BY \"column\" ORDER BY count(*) DESC, value) AS INT) AS rank, " + ", ".join(f"CASE WHEN count(*) > 50 THEN round(avg({t}_reference), 6) END AS {t}_mean, CASE WHEN count(*) > 50 THEN round(stddev_samp({t}_reference), 6) END AS {t}_std, CASE WHEN count(*) > 50 THEN count({t}_reference) END AS {t}_n" for t in ("sbp", "dbp")) + " FROM l GROUP BY 1, 2) SELECT * FROM e WHERE rank <= 10")
 def a34_category_stats(b):
     return stats.category_stats(b, ["dx", "sex", "position"])
 
 
+@query(f"{B}, {_CATEGORIES} SELECT \"column\", count(DISTINCT value) AS n_values, count(DISTINCT value) > 20 AS wide, count(*) FILTER (value IS NULL OR lower(value) IN ('nan', 'unknown', '')) AS n_unknown, round(100.0 * count(*) FILTER (value IS NULL OR lower(value) IN ('nan', 'unknown', '')) / count(*), 6) AS unknown_pct FROM l GROUP BY 1")
+def a34_category_profile(b):
+    return stats.category_profile(b, ["dx", "sex", "position"])
+
+
 @query(f"{B}, e AS (SELECT dx, count(*) AS n, avg(sbp_reference) AS m, var_samp(sbp_reference) AS v FROM b WHERE sbp_reference IS NOT NULL AND dx IS NOT NULL GROUP BY dx HAVING count(*) > 50), g AS (SELECT sum(n * m) / sum(n) AS gm FROM e) SELECT count(*) AS k, CAST(sum(n) AS BIGINT) AS n, round((sum(n * (m - gm) * (m - gm)) / (count(*) - 1)) / (sum((n - 1) * v) / (sum(n) - count(*))), 4) AS f FROM e, g", digits=4)
 def a35_anova_oneway(b):
-    return stats.anova_oneway(b, "dx")
+    return stats.anova_oneway(b, "dx").drop("p", "significant")
 
 
-@query(f"{B} SELECT position, min(sbp_reference) AS least, round(quantile_cont(sbp_reference, 0.25), 6) AS q25, round(quantile_cont(sbp_reference, 0.5), 6) AS q50, round(quantile_cont(sbp_reference, 0.75), 6) AS q75, max(sbp_reference) AS most FROM b GROUP BY position")
+@query()
+def a35_anova_p_value(b):
+    return stats.anova_oneway(b, "dx", more_than=5)
+
+
+def _boxes(column: str) -> str:
+    """Quartiles of the ten most frequent categories, or of those with over 50 rows where these are ten at most."""
+    return f"""c AS (SELECT {column}, count(*) AS n FROM b WHERE {column} IS NOT NULL GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY n DESC, {column}) AS k, (SELECT count(*) FROM c WHERE n > 50) > 10 AS many FROM c), t AS (SELECT {column} FROM k WHERE k <= 10 AND (many OR n > 50))
+SELECT {column}, min(sbp_reference) AS least, round(quantile_cont(sbp_reference, 0.25), 6) AS q25, round(quantile_cont(sbp_reference, 0.5), 6) AS q50, round(quantile_cont(sbp_reference, 0.75), 6) AS q75, max(sbp_reference) AS most FROM b WHERE {column} IN (SELECT {column} FROM t) AND sbp_reference IS NOT NULL GROUP BY 1"""
+
+
+@query(f"{B}, {_boxes('dx')}")
+def a36_box_stats_wide(b):
+    return stats.box_stats(b, "dx", "sbp_reference")
+
+
+@query(f"{B}, {_boxes('position')}")
 def a36_box_stats(b):
     return stats.box_stats(b, "position", "sbp_reference")
 
@@ -456,6 +548,33 @@ def j9_boundary_vs_rest(b):
     return joins.boundary_vs_rest(b, "ptt_peak_to_foot")
 
 
+@query(f"{B}, m AS (SELECT patient_id, count(*) FILTER (ptt_peak_to_foot BETWEEN 124 AND 148) AS n_inside, count(*) AS n FROM b GROUP BY patient_id) SELECT patient_id, n_inside, n, round(100.0 * n_inside / n, 6) AS inside_pct FROM m WHERE n_inside > 0")
+def j9_patients_in_band(b):
+    return joins.patients_in_band(b, "ptt_peak_to_foot", 124, 148)
+
+
+@query(f"WITH c AS ({fx.CASES_FX}), t AS ({fx.TRACKS_FX}), u AS (SELECT caseid FROM t GROUP BY caseid HAVING count(DISTINCT track) = 3) SELECT caseid, sex FROM c WHERE caseid IN (SELECT caseid FROM u)", source=None)
+def j5_keep_listed_cases(spark, sf_dir):
+    return joins.keep_listed_cases(fx.view(spark, sf_dir, fx.CASES_FX), joins.suitable_cases(fx.view(spark, sf_dir, fx.TRACKS_FX))).select("caseid", "sex")
+
+
+@query(f"WITH t AS ({fx.TRACKS_FX}) SELECT DISTINCT caseid FROM t ORDER BY caseid LIMIT 7", source=fx.TRACKS_FX)
+def k7_first_files(t):
+    return joins.first_cases(t, 7)
+
+
+@query(f"WITH c AS ({fx.CASES_FX}), t AS ({fx.TRACKS_FX}) SELECT count(*) AS total, count(*) FILTER (caseid IN (SELECT caseid FROM t WHERE track = 'ART')) AS ok, count(*) FILTER (caseid NOT IN (SELECT caseid FROM t WHERE track = 'ART')) AS failed FROM c", source=None)
+def s8_run_summary(spark, sf_dir):
+    done = fx.view(spark, sf_dir, fx.TRACKS_FX).where("track = 'ART'").select("caseid", F.lit(True).alias("done"))
+    cases = fx.view(spark, sf_dir, fx.CASES_FX).join(done, "caseid", "left")
+    return io.run_summary(cases.withColumn("status", F.when(F.col("done"), "ok").otherwise("failed")))
+
+
+@query(f"WITH c AS ({fx.CASES_FX}) SELECT caseid, coalesce(department, 'unknown') AS department, 'unknown' AS dx, age, CAST(NULL AS DOUBLE) AS bmi FROM c", source=fx.CASES_FX)
+def p12_metadata_defaults(c):
+    return joins.metadata_defaults(c, ("department", "dx"), ("age", "bmi")).select("caseid", "department", "dx", "age", "bmi")
+
+
 @query(f"WITH c AS ({fx.CASES_FX}), t AS ({fx.TRACKS_FX}) SELECT t.caseid, t.track, coalesce(sex, 'unknown') AS sex, coalesce(department, 'unknown') AS department, coalesce(approach, 'unknown') AS approach FROM t LEFT JOIN c ON c.caseid = t.caseid", source=None)
 def j3_attach_clinical(spark, sf_dir):
     return joins.attach_clinical(fx.view(spark, sf_dir, fx.TRACKS_FX), fx.view(spark, sf_dir, fx.CASES_FX)).select("caseid", "track", "sex", "department", "approach")
@@ -484,9 +603,9 @@ def k2_top_k_categories(b):
     return modelprep.top_k_categories(b, "opname").groupBy("opname").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"{B}, d AS (SELECT dx, CAST(dense_rank() OVER (ORDER BY dx) - 1 AS INT) AS dx_code FROM (SELECT DISTINCT dx FROM b)) SELECT patient_id, cycle_index, dx_code FROM b JOIN d ON b.dx = d.dx")
+@query(f"{B}, d AS (SELECT dx, CAST(dense_rank() OVER (ORDER BY dx) - 1 AS INT) AS dx_code FROM (SELECT DISTINCT dx FROM b WHERE dx IS NOT NULL)) SELECT patient_id, cycle_index, dx_code FROM b LEFT JOIN d ON b.dx = d.dx")
 def f5_label_encode(b):
-    return modelprep.label_encode(b, "dx").select("patient_id", "cycle_index", "dx_code")
+    return modelprep.label_encode(b, "dx").select("patient_id", "cycle_index", F.col("dx_code").cast("int").alias("dx_code"))
 
 
 _SPLIT = "i AS (SELECT patient_id, row_number() OVER (ORDER BY md5('42|' || patient_id), patient_id) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT patient_id FROM b)), sp AS (SELECT patient_id, CASE WHEN k <= floor(floor(n * 0.8) * 0.9) THEN 'train' WHEN k <= floor(n * 0.8) THEN 'val' ELSE 'test' END AS part FROM i)"
@@ -507,11 +626,25 @@ def w14_fit_transform_scaler(b):
     return modelprep.fit_transform_scaler(b, modelprep.patient_split(b), ["hr_bpm"]).select("patient_id", "cycle_index", "part", "hr_bpm")
 
 
-@query(f"""{B}, s AS (SELECT patient_id, cycle_index, row_number() OVER w AS k, count(*) OVER (PARTITION BY patient_id) AS n, sum(hr_bpm) OVER (PARTITION BY patient_id ORDER BY timestamp, cycle_index ROWS 29 PRECEDING) AS total, sbp_reference AS y FROM b WINDOW w AS (PARTITION BY patient_id ORDER BY timestamp, cycle_index))
-SELECT patient_id, cycle_index AS end_idx, 30 AS size, round(total, 3) AS total, round(y, 3) AS target FROM s WHERE k >= 30 AND n > 30""", digits=3)
+@query(f"""{B}, s AS (SELECT patient_id, cycle_index, row_number() OVER w AS k, count(*) OVER (PARTITION BY patient_id) AS n, sum(hr_bpm) OVER (PARTITION BY patient_id ORDER BY timestamp, cycle_index ROWS 29 PRECEDING) AS total, sbp_reference AS y, age FROM b WINDOW w AS (PARTITION BY patient_id ORDER BY timestamp, cycle_index))
+SELECT patient_id, cycle_index AS end_idx, 30 AS size, round(total, 3) AS total, round(y, 3) AS target, age AS static_cont, CAST(age AS INT) % 7 AS static_cat FROM s WHERE k >= 30 AND n > 30""", digits=3)
 def w13_sliding_sequences(b):
-    s = modelprep.sliding_sequences(b, ["hr_bpm"], ["sbp_reference"])
-    return s.select("patient_id", "end_idx", F.size("seq").alias("size"), F.aggregate("seq", F.lit(0.0), lambda a, x: a + x[0].cast("double")).alias("total"), F.col("target")[0].cast("double").alias("target"))
+    s = modelprep.sliding_sequences(b.withColumn("age_code", F.col("age").cast("int") % 7), ["hr_bpm"], ["sbp_reference"], numbers=["age"], codes=["age_code"])
+    first = lambda c: F.col(c)[0].cast("double").alias(c)
+    return s.select("patient_id", "end_idx", F.size("seq").alias("size"), F.aggregate("seq", F.lit(0.0), lambda a, x: a + x[0].cast("double")).alias("total"), first("target"), first("static_cont"), F.col("static_cat")[0].alias("static_cat"))
+
+
+@query(f"{B}, {_SPLIT} SELECT part, count(*) AS n, round(sum(hr_bpm), 4) AS hr FROM b JOIN sp ON b.patient_id = sp.patient_id GROUP BY part", digits=4)
+def w14_inverse_scaler(b):
+    split = modelprep.patient_split(b)
+    fit = modelprep.fit_scaler(modelprep.split_members(b, split, "train"), ["hr_bpm"])
+    back = modelprep.unscale(modelprep.scale(b, fit, ["hr_bpm"]), fit, ["hr_bpm"])
+    return back.join(split, "patient_id").groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("hr_bpm").alias("hr"))
+
+
+@query(f"{B}, {_SPLIT} SELECT b.patient_id, cycle_index FROM b JOIN sp ON b.patient_id = sp.patient_id WHERE part = 'test'")
+def j6_split_members(b):
+    return modelprep.split_members(b, modelprep.patient_split(b), "test").select("patient_id", "cycle_index")
 
 
 @query(f"{B} SELECT patient_id, cycle_index FROM b ORDER BY md5('42|' || patient_id || '|' || cycle_index), patient_id, cycle_index LIMIT 5000")
@@ -521,8 +654,10 @@ def k4_sample_rows(b):
 
 # ---- evaluation -------------------------------------------------------------------------------------------------------
 def _metrics(by: str) -> str:
-    cols = ", ".join(f"round(avg({t}_pred - {t}_true), 6) AS {t}_me, round(stddev_pop({t}_pred - {t}_true), 6) AS {t}_std, round(avg(abs({t}_pred - {t}_true)), 6) AS {t}_mae, round(sqrt(avg(({t}_pred - {t}_true) * ({t}_pred - {t}_true))), 6) AS {t}_rmse, round(1 - avg(({t}_pred - {t}_true) * ({t}_pred - {t}_true)) / nullif(var_pop({t}_true), 0), 6) AS {t}_r2" for t in ("sbp", "dbp"))
-    return f"SELECT {by}count(*) AS n, {cols} FROM p"
+    one = ", ".join(f"avg({t}_pred - {t}_true) AS {t}_me, stddev_pop({t}_pred - {t}_true) AS {t}_std, avg(abs({t}_pred - {t}_true)) AS {t}_mae, sqrt(avg(({t}_pred - {t}_true) * ({t}_pred - {t}_true))) AS {t}_rmse, 1 - avg(({t}_pred - {t}_true) * ({t}_pred - {t}_true)) / nullif(var_pop({t}_true), 0) AS {t}_r2" for t in ("sbp", "dbp"))
+    cols = ", ".join(f"round({t}_{m}, 6) AS {t}_{m}" for t in ("sbp", "dbp") for m in ("me", "std", "mae", "rmse", "r2"))
+    both = "round(sqrt((sbp_rmse * sbp_rmse + dbp_rmse * dbp_rmse) / 2), 6) AS rmse, round((sbp_mae + dbp_mae) / 2, 6) AS mae, round((sbp_r2 + dbp_r2) / 2, 6) AS r2"
+    return f"SELECT {by}n, {cols}, {both} FROM (SELECT {by}count(*) AS n, {one} FROM p {'GROUP BY ' + by.rstrip(', ') if by else ''}) m"
 
 
 @query(f"WITH p AS ({fx.PREDICTIONS_FX}) {_metrics('')}", source=fx.PREDICTIONS_FX)
@@ -530,7 +665,7 @@ def a45_regression_metrics(p):
     return evaluate.regression_metrics(p)
 
 
-@query(f"WITH p AS ({fx.PREDICTIONS_FX}), m AS ({_metrics('patient_id, ')} GROUP BY patient_id) SELECT *, abs(sbp_me) <= 5 AND sbp_std <= 8 AND abs(dbp_me) <= 5 AND dbp_std <= 8 AS aami_pass FROM m", source=fx.PREDICTIONS_FX)
+@query(f"WITH p AS ({fx.PREDICTIONS_FX}), m AS ({_metrics('patient_id, ')}) SELECT *, abs(sbp_me) <= 5 AND sbp_std <= 8 AND abs(dbp_me) <= 5 AND dbp_std <= 8 AS aami_pass FROM m", source=fx.PREDICTIONS_FX)
 def a46_aami_compliance(p):
     return evaluate.aami_compliance(evaluate.regression_metrics(p, ["patient_id"]))
 
@@ -538,22 +673,45 @@ def a46_aami_compliance(p):
 _WEIGHT = "CASE WHEN dbp_true < 60 OR dbp_true > 90 THEN 2 WHEN sbp_true < 70 OR sbp_true > 160 THEN 3 WHEN sbp_true < 90 OR sbp_true > 140 THEN 2 ELSE 1 END"
 
 
-@query(f"WITH p AS ({fx.PREDICTIONS_FX}) SELECT round(avg({_WEIGHT} * ((sbp_pred - sbp_true) * (sbp_pred - sbp_true) + (dbp_pred - dbp_true) * (dbp_pred - dbp_true)) / 2), 6) AS weighted_mse, round(avg(greatest(0.0, dbp_pred - sbp_pred)), 6) AS order_penalty, round(avg(greatest(0.0, 10 - (sbp_pred - dbp_pred)) + greatest(0.0, sbp_pred - dbp_pred - 150)), 6) AS pulse_penalty FROM p", source=fx.PREDICTIONS_FX)
+_E = {t: f"({t}_pred - {t}_true)" for t in ("sbp", "dbp")}
+_HUBER = {t: f"CASE WHEN abs({e}) <= 1 THEN {e} * {e} / 2 ELSE abs({e}) - 0.5 END" for t, e in _E.items()}
+
+
+@query(f"""WITH p AS ({fx.PREDICTIONS_FX}) SELECT round(avg({_WEIGHT} * ({_E['sbp']} * {_E['sbp']} + {_E['dbp']} * {_E['dbp']}) / 2), 6) AS weighted_mse, round(avg(({_HUBER['sbp']} + {_HUBER['dbp']}) / 2), 6) AS huber,
+ round(avg({_E['sbp']}) * avg({_E['sbp']}) + var_samp({_E['sbp']}) + avg({_E['dbp']}) * avg({_E['dbp']}) + var_samp({_E['dbp']}), 6) AS aami_loss, round(avg(greatest(0.0, dbp_pred - sbp_pred)), 6) AS order_penalty, round(avg(greatest(0.0, 10 - (sbp_pred - dbp_pred)) + greatest(0.0, sbp_pred - dbp_pred - 150)), 6) AS pulse_penalty,
+ round(avg(greatest(0.0, 40 - sbp_pred) + greatest(0.0, sbp_pred - 250) + greatest(0.0, 20 - dbp_pred) + greatest(0.0, dbp_pred - 150)), 6) AS range_penalty FROM p""", source=fx.PREDICTIONS_FX)
 def a47_weighted_error(p):
     return evaluate.weighted_error(p)
 
 
-_EMA = """o AS (SELECT patient_id, cycle_index, sbp_reference AS y, row_number() OVER (PARTITION BY patient_id ORDER BY timestamp, cycle_index) AS k FROM b),
- l AS (SELECT patient_id, list(y ORDER BY k) FILTER (y IS NOT NULL) AS ys FROM o GROUP BY patient_id),
- s AS (SELECT o.patient_id, o.cycle_index, CASE WHEN m = 0 THEN o.y ELSE list_reduce(l.ys[1:m], lambda a, x: 0.1e0 * x + 0.9e0 * a) END AS ema FROM (SELECT *, count(y) OVER (PARTITION BY patient_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM o) o JOIN l ON o.patient_id = l.patient_id)"""
+def _ema_sql(t: str, alphas: tuple[float, ...] = (0.1,)) -> str:
+    """Running averages of earlier readings: s (patient_id, cycle_index, k, a, y, ema)."""
+    listed = ", ".join(f"({a}e0)" for a in alphas)
+    return f"""o{t} AS (SELECT patient_id, cycle_index, {t}_reference AS y, row_number() OVER (PARTITION BY patient_id ORDER BY timestamp, cycle_index) AS k FROM b),
+ m{t} AS (SELECT *, count(y) OVER (PARTITION BY patient_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM o{t}),
+ w{t} AS (SELECT *, CASE WHEN m = 0 THEN y / (1 - a) ELSE a * y / pow(1 - a, m + 1) END AS w FROM m{t}, (VALUES {listed}) AS v(a)),
+ s{t} AS (SELECT patient_id, cycle_index, k, a, y, CASE WHEN m = 0 THEN y ELSE pow(1 - a, m) * sum(w) OVER (PARTITION BY patient_id, a ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS ema FROM w{t})"""
 
 
-@query(f"{B}, {_EMA} SELECT patient_id, cycle_index, round(ema, 4) AS sbp_pred FROM s", digits=4)
+@query(f"{B}, {_ema_sql('sbp')} SELECT patient_id, cycle_index, round(ema, 4) AS sbp_pred FROM ssbp", digits=4)
 def w11_ema_baseline(b):
     return evaluate.ema_baseline(b).select("patient_id", "cycle_index", "sbp_pred")
 
 
-@query()
+@query(f"""{B}, o AS (SELECT patient_id, cycle_index, sbp_reference AS y, row_number() OVER (PARTITION BY patient_id ORDER BY timestamp, cycle_index) AS k FROM b), h AS (SELECT patient_id, avg(y) AS start FROM o WHERE k <= 50 GROUP BY patient_id),
+ l AS (SELECT patient_id, list(y ORDER BY k) FILTER (y IS NOT NULL) AS ys FROM o WHERE k > 50 GROUP BY patient_id), m AS (SELECT *, count(y) OVER (PARTITION BY patient_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM o WHERE k > 50)
+SELECT m.patient_id, cycle_index, round(list_reduce(list_concat([start], l.ys[1:m]), lambda e, x: 0.1e0 * x + 0.9e0 * e), 4) AS sbp_pred FROM m JOIN h ON m.patient_id = h.patient_id JOIN l ON m.patient_id = l.patient_id""", digits=4)
+def w11b_ema_warmup(b):
+    return evaluate.ema_warmup(b).select("patient_id", "cycle_index", "sbp_pred")
+
+
+_SWEEP = (0.05, 0.1, 0.2, 0.3)
+
+
+@query(f"""{B}, {_ema_sql('sbp', _SWEEP)}, {_ema_sql('dbp', _SWEEP)},
+ p AS (SELECT ssbp.patient_id, ssbp.a AS alpha, ssbp.ema - ssbp.y AS es, sdbp.ema - sdbp.y AS ed FROM ssbp JOIN sdbp ON ssbp.patient_id = sdbp.patient_id AND ssbp.k = sdbp.k AND ssbp.a = sdbp.a WHERE ssbp.y IS NOT NULL AND sdbp.y IS NOT NULL),
+ e AS (SELECT alpha, patient_id, avg(es) AS ms, stddev_pop(es) AS ss, avg(ed) AS md, stddev_pop(ed) AS sd FROM p GROUP BY 1, 2)
+SELECT alpha, count(*) AS n_patients, round(avg(CASE WHEN abs(ms) <= 5 AND ss <= 8 AND abs(md) <= 5 AND sd <= 8 THEN 1e0 ELSE 0e0 END), 5) AS share_pass, round(avg(ms), 5) AS sbp_me, round(avg(ss), 5) AS sbp_std, round(avg(sd), 5) AS dbp_std FROM e GROUP BY alpha""", digits=5)
 def a48_alpha_sweep(b):
     return evaluate.alpha_sweep(b)
 
@@ -568,9 +726,9 @@ def f3_minmax_normalise(c):
     return c.select("cycle_index", F.aggregate(arrays.minmax_normalise(F.col("ppg")), F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
-@query(f"{_C} SELECT cycle_index, round(list_avg(ppg), 6) AS mean, round(list_stddev_pop(ppg), 6) AS std FROM c", source=_CYCLES)
+@query(f"{_C}, m AS (SELECT cycle_index, ppg, list_avg(ppg) AS m, list_stddev_pop(ppg) AS s FROM c) SELECT cycle_index, round(m, 6) AS mean, round(s, 6) AS std, round(list_avg(list_transform(ppg, lambda x: (x - m) * (x - m) * (x - m))) / (s * s * s), 6) AS skew, round(list_avg(list_transform(ppg, lambda x: (x - m) * (x - m) * (x - m) * (x - m))) / (s * s * s * s) - 3, 6) AS kurtosis FROM m", source=_CYCLES)
 def f6_array_stats(c):
-    return c.select("cycle_index", arrays.mean(F.col("ppg")).alias("mean"), arrays.pop_std(F.col("ppg")).alias("std"))
+    return c.select("cycle_index", arrays.mean(F.col("ppg")).alias("mean"), arrays.pop_std(F.col("ppg")).alias("std"), arrays.skewness(F.col("ppg")).alias("skew"), arrays.excess_kurtosis(F.col("ppg")).alias("kurtosis"))
 
 
 @query(f"{_C}, d AS (SELECT cycle_index, list_transform(generate_series(1, len(ppg) - 1), lambda i: (ppg[i + 1] - ppg[i]) * 500) AS d FROM c), e AS (SELECT *, list_transform(generate_series(1, len(d) - 1), lambda i: (d[i + 1] - d[i]) * 500) AS dd FROM d) SELECT cycle_index, round(list_max(d), 4) AS max_upslope, round(list_min(d), 4) AS max_downslope, round(abs(list_min(d) / (list_max(d) + 1e-6)), 4) AS slope_ratio, round(list_max(dd), 4) AS max_acceleration, round(list_min(dd), 4) AS min_acceleration FROM e", digits=4, source=_CYCLES)
@@ -585,11 +743,18 @@ def f8_area_ratio(c):
 
 @query(f"{_C}, m AS (SELECT caseid, i, median(ppg[i]) AS v FROM c, generate_series(1, 64) AS g(i) GROUP BY 1, 2), t AS (SELECT caseid, list(v ORDER BY i) AS t FROM m GROUP BY caseid) SELECT cycle_index, round(list_sum(list_transform(generate_series(1, 64), lambda i: (ppg[i] - list_avg(ppg)) / (list_stddev_pop(ppg) + 1e-6) * (t[i] - list_avg(t)) / (list_stddev_pop(t) + 1e-6))) / 64, 6) AS r FROM c JOIN t ON c.caseid = t.caseid", source=_CYCLES)
 def a2_template_match(c):
-    at = c.select("caseid", F.posexplode("ppg").alias("pos", "v")).groupBy("caseid", "pos").agg(F.median("v").alias("v"))
-    template = at.groupBy("caseid").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("template"))
+    template = select.median_template(c)
     return c.join(template, "caseid").select("cycle_index", arrays.template_corr(F.col("ppg"), F.col("template")).alias("r"))
 
 
+_TEMPLATE = "m AS (SELECT caseid, i, median(ppg[i]) AS v FROM c, generate_series(1, 64) AS g(i) GROUP BY 1, 2), t AS (SELECT caseid, list(v ORDER BY i) AS t FROM m GROUP BY caseid), r AS (SELECT cycle_index, list_sum(list_transform(generate_series(1, 64), lambda i: (ppg[i] - list_avg(ppg)) / (list_stddev_pop(ppg) + 1e-6) * (t[i] - list_avg(t)) / (list_stddev_pop(t) + 1e-6))) / 64 AS r FROM c JOIN t ON c.caseid = t.caseid)"
+
+
+@query(f"{_C}, {_TEMPLATE} SELECT cycle_index, round(r, 6) AS cycle_correlation FROM r WHERE r >= 0.3", source=_CYCLES)
+def p4_template_correlation_filter(c):
+    return select.template_correlation_filter(c, select.median_template(c), least=0.3).select("cycle_index", "cycle_correlation")
+
+
 @query(f"{_C}, h AS (SELECT cycle_index, list_transform(ppg, lambda x: (x - list_min(ppg)) / (list_max(ppg) - list_min(ppg))) AS n FROM c), k AS (SELECT cycle_index, list_min(list_filter(generate_series(1, len(n) - 1), lambda i: n[i] < 0.5 AND n[i + 1] >= 0.5)) AS r, list_min(list_filter(generate_series(1, len(n) - 1), lambda i: n[i] >= 0.5 AND n[i + 1] < 0.5)) AS f FROM h) SELECT cycle_index, round(coalesce(CASE WHEN f > r THEN (f - r) * 1000.0 / 500 END, 0), 6) AS width FROM k", source=_CYCLES)
 def f9_pulse_width_50(c):
     return c.select("cycle_index", arrays.pulse_width_50(F.col("ppg")).alias("width"))
@@ -600,9 +765,18 @@ def f10_max_slope(c):
     return c.select("cycle_index", arrays.max_slope(F.col("ppg")).cast("bigint").alias("at"))
 
 
-@query(f"{_C}, s AS (SELECT cycle_index, list_transform(ppg, lambda x: x * (cycle_index % 40)) AS a FROM c) SELECT cycle_index, CASE WHEN list_max(a) - list_min(a) < 1e-6 THEN 'flat' WHEN list_stddev_pop(a) < 3 THEN 'low_amplitude' WHEN len(list_distinct(a)) < 5 THEN 'saturated' ELSE '' END AS reason FROM s", source=_CYCLES)
+# segments of several sizes, with a slow wave in some and samples missing in others
+def _segment():
+    return F.when(F.col("cycle_index") % 11 == 0, F.slice("ppg", 1, 15)).when(F.col("cycle_index") % 3 == 0, F.transform("ppg", lambda x, i: F.when(i % 4 == 0, x * (F.col("cycle_index") % 40)))).when(F.col("cycle_index") % 3 == 1, F.transform("ppg", lambda x, i: x + 9.0 * F.sin(i / 6.0))).otherwise(F.transform("ppg", lambda x: x * (F.col("cycle_index") % 40)))
+
+
+_QUALITY = "CASE WHEN n < 20 THEN 'too_short' WHEN len(v) = 0 THEN 'all_null' WHEN len(v) < 20 THEN 'few_valid' WHEN list_max(v) - list_min(v) < 1e-6 THEN 'flat' WHEN list_stddev_pop(v) < 3 THEN 'low_amplitude' WHEN len(list_distinct(v)) < 5 THEN 'saturated' WHEN list_stddev_pop(d2) / 2 > 0.01 AND list_stddev_pop(v) < 5 * list_stddev_pop(d2) / 2 THEN 'low_snr' WHEN list_stddev_pop(d1) / sqrt(2) > 0.01 AND list_max(v) - list_min(v) < 3 * list_stddev_pop(d1) / sqrt(2) THEN 'weak_pulse' ELSE '' END"
+
+
+@query(f"""{_C}, s AS (SELECT cycle_index, CASE WHEN cycle_index % 11 = 0 THEN ppg[1:15] WHEN cycle_index % 3 = 0 THEN list_transform(ppg, lambda x, i: CASE WHEN (i - 1) % 4 = 0 THEN x * (cycle_index % 40) END) WHEN cycle_index % 3 = 1 THEN list_transform(ppg, lambda x, i: x + 9 * sin((i - 1) / 6e0)) ELSE list_transform(ppg, lambda x: x * (cycle_index % 40)) END AS a FROM c),
+ v AS (SELECT cycle_index, len(a) AS n, list_filter(a, lambda x: x IS NOT NULL) AS v FROM s), d AS (SELECT *, list_transform(generate_series(1, len(v) - 1), lambda i: v[i + 1] - v[i]) AS d1 FROM v), e AS (SELECT *, list_transform(generate_series(1, len(d1) - 1), lambda i: d1[i + 1] - d1[i]) AS d2 FROM d) SELECT cycle_index, {_QUALITY} AS reason FROM e""", source=_CYCLES)
 def p10_segment_quality(c):
-    return c.select("cycle_index", F.transform("ppg", lambda x: x * (F.col("cycle_index") % 40)).alias("a")).select("cycle_index", arrays.segment_quality(F.col("a")).alias("reason"))
+    return c.select("cycle_index", _segment().alias("a")).select("cycle_index", arrays.segment_quality(F.col("a")).alias("reason"))
 
 
 @query(f"{B} SELECT patient_id, cycle_index FROM b WHERE sbp_reference > dbp_reference AND bmi IS NOT NULL AND position IS NOT NULL AND dx IS NOT NULL")
@@ -635,7 +809,7 @@ def w6_rr_intervals(p):
     return joins.rr_intervals(p).select("caseid", "peak_no", "len_ms", "hr")
 
 
-@query(f"{B} SELECT patient_id, count(*) AS n FROM b WHERE patient_id IN (SELECT DISTINCT patient_id FROM b ORDER BY 1 LIMIT 5) GROUP BY patient_id")
+@query(f"{B}, f AS (SELECT patient_id FROM (SELECT patient_id, timestamp, cycle_index, row_number() OVER (PARTITION BY patient_id ORDER BY timestamp, cycle_index) AS k FROM b) WHERE k = 1 ORDER BY timestamp, cycle_index, patient_id LIMIT 5) SELECT patient_id, count(*) AS n FROM b WHERE patient_id IN (SELECT patient_id FROM f) GROUP BY patient_id")
 def w15_first_patients(b):
     return select.first_patients(b, 5).groupBy("patient_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -665,3 +839,21 @@ def f2_key_names(c):
 def k3_sort_by_abs_corr(b):
     r = rounded(stats.feature_bp_correlation(b, FEATURES).select("feature", "r_sbp"))
     return r.withColumn("place", F.row_number().over(normalize.Window.orderBy(F.abs("r_sbp").desc(), "feature")))
+
+
+@query(f"{B} SELECT patient_id, round(avg(ptt_peak_to_foot), 6) AS with_foot, round(avg(pat_ecg_ppg), 6) AS without_foot FROM b GROUP BY patient_id")
+def p14_ptt_column_choice(b):
+    less = b.drop("ptt_peak_to_foot")
+    both = b.withColumns({"x": F.col(expr.ptt_column(b)), "y": F.col(expr.ptt_column(less))})
+    return both.groupBy("patient_id").agg(F.avg("x").alias("with_foot"), F.avg("y").alias("without_foot"))
+
+
+@query(f"{B} SELECT patient_id, cycle_index, row_number() OVER (ORDER BY session_id, timestamp, cycle_index) AS place FROM b")
+def k6_global_time_sort(b):
+    key = F.concat_ws("|", "session_id", F.lpad((F.col("timestamp") * 1000).cast("bigint").cast("string"), 15, "0"), F.lpad(F.col("cycle_index").cast("string"), 10, "0"))
+    return numbered(b, key, (6, 8, 10, 20), "place").select("patient_id", "cycle_index", F.col("place").cast("bigint").alias("place"))
+
+
+@query(f"{B} SELECT patient_id, cycle_index, coalesce({_valid(20, 250, 30, 400, 0.01, 1.2, 0.6)}, false) AS valid, ({_RULE}) AS first_failed_rule FROM b")
+def t3_stream_quality(b):
+    return quality_stream.judged(b).select("patient_id", "cycle_index", "valid", "first_failed_rule")
