@@ -80,6 +80,25 @@ WINDOW w AS (PARTITION BY patient_id ORDER BY timestamp, cycle_index)
 """
 
 
+#: Recordings made from the suppliers: four chunks of 10,000 samples of each, with a period, size and polarity of its own.
+WAVES_FX = """
+WITH c AS (SELECT CAST(s_suppkey AS INT) AS caseid, CAST(k AS INT) AS chunk_id, CAST(k * 10000 AS BIGINT) AS start_sample, CAST(330 + s_suppkey * 37 % 160 AS INT) AS period,
+                  CASE WHEN s_suppkey % 4 = 3 THEN -1.0D ELSE 1.0D END AS side, 1.0D + s_suppkey % 5 / 10D AS size
+           FROM supplier LATERAL VIEW explode(sequence(0, 3)) AS k),
+     p AS (SELECT *, transform(sequence(start_sample, start_sample + 9999), i -> i % period) AS phase, sequence(start_sample, start_sample + 9999) AS at FROM c)
+SELECT caseid, chunk_id, start_sample,
+       zip_with(phase, at, (f, i) -> 100 * exp(-pow((f - 20) / 4D, 2)) + 0.5 * sin(i * 12.9898D)) AS ecg,
+       zip_with(phase, at, (f, i) -> side * size * (40 * exp(-pow((f - 130) / 25D, 2)) + 15 * exp(-pow((f - 230) / 40D, 2))) + 2 * sin(i / 1400D)) AS ppg
+FROM p
+"""
+
+#: Pressures of these recordings, one every two seconds.
+WAVE_NUMERICS_FX = """
+SELECT CAST(s_suppkey AS INT) AS caseid, CAST(k AS INT) AS bp_idx, CASE WHEN k % 17 = 5 THEN CAST(NULL AS DOUBLE) ELSE 100D + s_suppkey % 40 + 5 * sin(k / 3D) END AS sbp, 60D + s_suppkey % 20 AS dbp
+FROM supplier LATERAL VIEW explode(sequence(0, 40)) AS k
+"""
+
+
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The rows of an input text over the tables below `sf_dir`."""
     for name in TABLES:

@@ -14,6 +14,9 @@ from .operators import cleaning, evaluate, joins, modelprep, normalize, physiolo
 from .operators.quantiles import numbered
 from .sources import io
 from .streaming import quality_stream
+from .waves import beats as beat_kernels
+from .waves import recordings
+from .waves.chunks import detect_r_peaks
 
 QUERIES, ORACLES = {}, {}
 B = f"WITH b AS MATERIALIZED ({fx.BEATS_FX})"
@@ -857,3 +860,135 @@ def k6_global_time_sort(b):
 @query(f"{B} SELECT patient_id, cycle_index, coalesce({_valid(20, 250, 30, 400, 0.01, 1.2, 0.6)}, false) AS valid, ({_RULE}) AS first_failed_rule FROM b")
 def t3_stream_quality(b):
     return quality_stream.judged(b).select("patient_id", "cycle_index", "valid", "first_failed_rule")
+
+
+# ---- waveforms ----------------------------------------------------------------------------------------------------
+# Kernels on arrays have an SQL twin where SQL can ask the same; jobs on recordings are compared with plain NumPy in tests.
+_SPIKED = "s AS (SELECT cycle_index, list_transform(ppg, lambda x, i: CASE WHEN (i - 1) % 16 = cycle_index % 16 THEN x * 50 ELSE x END) AS a FROM c)"
+
+
+def _spiked():
+    return F.transform("ppg", lambda x, i: F.when(i % 16 == F.col("cycle_index") % 16, x * 50).otherwise(x))
+
+
+def _summed(column: str):
+    """A sum of an array that tells places apart."""
+    return F.aggregate(F.transform(column, lambda x, i: x * (i % 7 + 1)), F.lit(0.0), lambda a, x: a + x)
+
+
+@query(f"""{_C}, {_SPIKED}, m AS (SELECT cycle_index, a, list_median(a) AS m FROM s), d AS (SELECT *, 5 * 1.4826 * list_median(list_transform(a, lambda x: abs(x - m))) AS lim FROM m),
+ g AS (SELECT *, list_filter(generate_series(1, len(a)), lambda i: abs(a[i] - m) <= lim) AS good FROM d),
+ r AS (SELECT cycle_index, list_transform(generate_series(1, len(a)), lambda i: CASE WHEN abs(a[i] - m) <= lim THEN a[i]
+   WHEN list_max(list_filter(good, lambda k: k < i)) IS NULL THEN a[good[1]] WHEN list_min(list_filter(good, lambda k: k > i)) IS NULL THEN a[good[-1]]
+   ELSE a[list_max(list_filter(good, lambda k: k < i))] + (a[list_min(list_filter(good, lambda k: k > i))] - a[list_max(list_filter(good, lambda k: k < i))]) * (i - list_max(list_filter(good, lambda k: k < i))) / (list_min(list_filter(good, lambda k: k > i)) - list_max(list_filter(good, lambda k: k < i))) END) AS y FROM g)
+SELECT cycle_index, round(list_sum(list_transform(y, lambda x, i: x * ((i - 1) % 7 + 1))), 5) AS total, round(list_max(y), 5) AS most FROM r""", digits=5, source=_CYCLES)
+def g4_remove_spikes(c):
+    clean = c.select("cycle_index", recordings.remove_spikes(_spiked()).alias("y"))
+    return clean.select("cycle_index", _summed("y").alias("total"), F.array_max("y").alias("most"))
+
+
+@query(f"""{_C}, y AS (SELECT cycle_index, list_transform(generate_series(0, 31), lambda j: list_sum(list_transform(generate_series(0, 63), lambda n: ppg[n + 1] * (1 + 2 * list_sum(list_transform(generate_series(1, 15), lambda k: cos(2 * pi() * k * (j / 32e0 - n / 64e0)))) + 2 * cos(pi() * n / 2) * cos(pi() * j)))) / 64) AS y FROM c)
+SELECT cycle_index, round(list_sum(list_transform(y, lambda x, i: x * ((i - 1) % 7 + 1))), 6) AS total, round(list_max(y), 6) AS most FROM y""", source=_CYCLES)
+def g3_resample_cycle(c):
+    short = c.select("cycle_index", recordings.resample("ppg", 32).alias("y"))
+    return short.select("cycle_index", _summed("y").alias("total"), F.array_max("y").alias("most"))
+
+
+@query(f"""{_C}, w AS (SELECT cycle_index, list_transform(ppg, lambda x, i: (x - list_avg(ppg)) * (0.5 - 0.5 * cos(2 * pi() * (i - 1) / 64))) AS w FROM c),
+ p AS (SELECT cycle_index, list_transform(generate_series(0, 8), lambda k: (pow(list_sum(list_transform(w, lambda x, i: x * cos(2 * pi() * k * (i - 1) / 64))), 2) + pow(list_sum(list_transform(w, lambda x, i: x * sin(2 * pi() * k * (i - 1) / 64))), 2)) / (32 * 24) * CASE WHEN k > 0 THEN 2 ELSE 1 END) AS p FROM w)
+SELECT cycle_index, round(list_sum(p[2:9]), 6) AS cardiac, round(p[1], 6) AS low FROM p""", source=_CYCLES)
+def g11_welch_power(c):
+    # 64 samples at 32 Hz: bins of half a Hertz
+    return c.select("cycle_index", recordings.welch_power("ppg", 32).alias("w")).select("cycle_index", F.col("w")[0].alias("cardiac"), F.col("w")[1].alias("low"))
+
+
+_LAGGED = "list_transform(generate_series(1, 64), lambda i: coalesce(ppg[i - cycle_index % 9], 0))"
+
+
+@query(f"""{_C}, s AS (SELECT cycle_index, ppg AS a, {_LAGGED} AS b FROM c), x AS (SELECT cycle_index, lag, list_sum(list_transform(generate_series(greatest(1, 1 - lag), least(64, 64 - lag)), lambda i: (a[i] - list_avg(a)) * (b[i + lag] - list_avg(b)))) AS v FROM s, generate_series(-12, 12) AS g(lag))
+SELECT cycle_index, CAST(arg_max(lag, v) AS BIGINT) AS lag FROM x GROUP BY cycle_index""", source=_CYCLES)
+def g13_best_lag(c):
+    late = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.coalesce(F.when(i > F.col("cycle_index") % 9, F.get("ppg", (i - F.col("cycle_index") % 9 - 1).cast("int"))), F.lit(0.0)))
+    return c.select("cycle_index", recordings.best_lag(F.col("ppg"), late, 12).alias("lag"))
+
+
+@query(f"{_C}, m AS (SELECT caseid, i, median(ppg[i]) AS v FROM c, generate_series(1, 64) AS g(i) GROUP BY 1, 2), t AS (SELECT caseid, list(v ORDER BY i) AS t FROM m GROUP BY caseid) SELECT cycle_index, round(abs(list_sum(list_transform(generate_series(1, 64), lambda i: (ppg[i] - list_avg(ppg)) * (t[i] - list_avg(t)))) / 64 / (list_stddev_pop(ppg) * list_stddev_pop(t))), 6) AS likeness FROM c JOIN t ON c.caseid = t.caseid", source=_CYCLES)
+def f14_waveform_correlation(c):
+    return c.join(select.median_template(c), "caseid").select("cycle_index", recordings.waveform_correlation("ppg", "template").alias("likeness"))
+
+
+def _waves(spark, sf_dir):
+    return fx.view(spark, sf_dir, fx.WAVES_FX), fx.view(spark, sf_dir, fx.WAVE_NUMERICS_FX)
+
+
+@query(source=None)
+def g1_detect_r_peaks(spark, sf_dir):
+    return detect_r_peaks(_waves(spark, sf_dir)[0])
+
+
+@query(source=None)
+def g2_wavelet_filter(spark, sf_dir):
+    chunks = _waves(spark, sf_dir)[0]
+    rates = joins.rr_stats(joins.rr_intervals(detect_r_peaks(chunks)))
+    made = recordings.wavelet_filter(chunks, rates, "ppg", "ppg")
+    return made.select("caseid", "chunk_id", F.array_min("ppg").alias("least"), F.array_max("ppg").alias("most"), _summed("ppg").alias("total"))
+
+
+@query(source=None, digits=4)
+def g5_bandpass(spark, sf_dir):
+    made = _waves(spark, sf_dir)[0].select("caseid", "chunk_id", recordings.bandpass("ppg").alias("y"))
+    return made.select("caseid", "chunk_id", F.array_min("y").alias("least"), F.array_max("y").alias("most"))
+
+
+@query(source=None)
+def g6_detect_polarity(spark, sf_dir):
+    chunks = _waves(spark, sf_dir)[0]
+    return recordings.detect_polarity(chunks, detect_r_peaks(chunks))
+
+
+@query(source=None)
+def g14_energy_r_peaks(spark, sf_dir):
+    return _waves(spark, sf_dir)[0].select("caseid", "chunk_id", recordings.energy_r_peaks("ecg").alias("peaks")).select("caseid", "chunk_id", F.size("peaks").alias("n_peaks"), F.get("peaks", F.lit(0)).alias("first_peak"))
+
+
+@query(source=None)
+def g15_adaptive_peaks(spark, sf_dir):
+    return _waves(spark, sf_dir)[0].select("caseid", "chunk_id", recordings.adaptive_peaks("ppg").alias("peaks")).select("caseid", "chunk_id", F.size("peaks").alias("n_peaks"), F.get("peaks", F.lit(0)).alias("first_peak"))
+
+
+@query(source=None)
+def g13_ecg_ppg_lag(spark, sf_dir):
+    return recordings.ecg_ppg_lag(_waves(spark, sf_dir)[0])
+
+
+def _raw_cycles(spark, sf_dir):
+    """Beats of the recordings, unfiltered, with the known polarity of their case."""
+    chunks = _waves(spark, sf_dir)[0]
+    spans = joins.cycle_length_filter(joins.rr_intervals(detect_r_peaks(chunks)))
+    cycles = recordings.cut_beats(chunks, spans, "ppg")
+    return cycles.select("caseid", F.col("peak_no").alias("cycle_index"), F.col("hr").alias("hr_bpm"), "ppg", (F.col("caseid") % 4 == 3).alias("inverted"))
+
+
+def _landmarks(columns: tuple[str, ...]):
+    def run(spark, sf_dir):
+        return rounded(recordings.extract_features(_raw_cycles(spark, sf_dir)).select("caseid", "cycle_index", *columns, "reason"), 6)
+
+    return run
+
+
+QUERIES |= {
+    "g7_systolic_peak": _landmarks(("pat_to_peak", "crest_time")), "g8_ppg_foot": _landmarks(("ptt_peak_to_foot", "time_to_maxslope_t1")),
+    "g9_dicrotic_notch": _landmarks(("systolic_duration_tsd", "diastolic_duration_tfd")), "g10_amplitude_ratio": _landmarks(("amplitude_ratio_ra", "reflection_index")),
+    "g12_extract_features": _landmarks(beat_kernels.FEATURES),
+}
+
+
+@query(source=None)
+def g16_process_recordings(spark, sf_dir):
+    return recordings.process_recordings(*_waves(spark, sf_dir)).drop("stat_power_ratio")
+
+
+@query(source=None)
+def x1_build_beats(spark, sf_dir):
+    made = recordings.build_beats(*_waves(spark, sf_dir), fx.view(spark, sf_dir, fx.CASES_FX), ("sex", "department", "approach"), ("age",))
+    return made.select("patient_id", "session_id", "cycle_index", "sbp_reference", "dbp_reference", "cycle_correlation", "ptt_peak_to_foot", "ptt_peak_to_peak", "amplitude_ratio_ra", "hr_bpm", "sex", "department", "age")

@@ -77,15 +77,82 @@ def resample(x: np.ndarray, n: int) -> np.ndarray:
     return np.fft.irfft(out, n) * n / m
 
 
+def smooth(x: np.ndarray, sigma: float) -> np.ndarray:
+    """Gaussian smoothing, cut off at four sigma, the signal mirrored at its ends."""
+    reach = int(4 * sigma + 0.5)
+    weights = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    return np.convolve(np.pad(x, reach, mode="symmetric"), weights / weights.sum(), mode="valid")
+
+
 def remove_spikes(x: np.ndarray, limit: float = 5.0) -> np.ndarray:
-    """Values beyond `limit` scaled median deviations are drawn from their neighbours by a line."""
-    away = np.abs(x - np.median(x))
-    scale = 1.4826 * np.median(away)
-    bad = away > limit * scale if scale > 1e-10 else np.zeros(len(x), dtype=bool)
-    if not bad.any() or bad.all():
+    """Values beyond `limit` scaled median deviations are drawn from their neighbours by a line. Missing values stay as
+    they are and count for nothing; with fewer than ten others, or no deviation, nothing is changed.
+    """
+    fine = np.isfinite(x)
+    if fine.sum() < 10:
+        return x.copy()
+    away = np.abs(x - np.median(x[fine]))
+    scale = 1.4826 * np.median(away[fine])
+    bad = fine & (away > limit * scale) if scale >= 1.4826e-6 else np.zeros(len(x), dtype=bool)
+    good = np.flatnonzero(fine & ~bad)
+    if not bad.any() or len(good) < 2:
+        return x.copy()
+    out = x.copy()
+    out[bad] = np.interp(np.flatnonzero(bad), good, x[good])
+    return out
+
+
+def zero_phase(x: np.ndarray, low: float, high: float | None, order: int, fs: int = FS) -> np.ndarray:
+    """A Butterworth high-pass (`high` None) or band-pass run forwards and backwards, as the square of its gain on the
+    spectrum. The signal is continued at both ends by its point reflection, so that the ends do not ring.
+    """
+    n = len(x)
+    if n < 2:
+        return x.copy()
+    pad = min(n - 1, 10 * fs)
+    wide = np.concatenate((2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]))
+    size = 1 << len(wide).bit_length()
+    wide = np.concatenate((wide, np.linspace(wide[-1], wide[0], size - len(wide))))
+    # frequencies as the bilinear transform bends them
+    bent = np.tan(np.pi * np.fft.rfftfreq(size, 1 / fs)[:-1] / fs)
+    edge = np.tan(np.pi * low / fs)
+    gain = np.zeros(size // 2 + 1)
+    if high is None:
+        gain[1:-1], gain[-1] = 1 / (1 + (edge / bent[1:]) ** (2 * order)), 1
+    else:
+        top = np.tan(np.pi * high / fs)
+        gain[1:-1] = 1 / (1 + ((bent[1:] ** 2 - edge * top) / ((top - edge) * bent[1:])) ** (2 * order))
+    return np.fft.irfft(np.fft.rfft(wide) * gain, size)[pad : pad + n]
+
+
+def bandpass(x: np.ndarray, fs: int = FS, despike: bool = True) -> np.ndarray:
+    """0.5 to 10 Hz, spikes taken out first; missing values become the mean. Signals under 20 samples stay as they are."""
+    if len(x) < 20:
         return x.copy()
-    at = np.arange(len(x))
-    return np.where(bad, np.interp(at, at[~bad], x[~bad]), x)
+    x = np.where(np.isfinite(x), x, np.nanmean(x)) if np.isfinite(x).any() else np.zeros(len(x))
+    return zero_phase(remove_spikes(x, 4.0) if despike else x, 0.5, min(10.0, 0.45 * fs), 4, fs)
+
+
+def energy_r_peaks(ecg: np.ndarray, fs: int = FS) -> np.ndarray:
+    """R-peaks by energy from 5 to 15 Hz: half a second apart, above 30 % of its 95th percentile."""
+    energy = zero_phase(ecg, 5, 15, 2, fs) ** 2
+    return find_peaks(energy, height=0.3 * np.percentile(energy, 95), distance=fs // 2)
+
+
+def adaptive_peaks(x: np.ndarray, fs: int = FS) -> np.ndarray:
+    """Peaks half a spread above the mean, 0.4 s apart, that stand out by 0.3 of the spread."""
+    if len(x) < 10 or x.std() < 1e-6:
+        return np.zeros(0, dtype=int)
+    return find_peaks(x, height=x.mean() + 0.5 * x.std(), distance=max(int(0.4 * fs), 1), least=0.3 * x.std())
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Absolute correlation of two segments, the longer one resampled to the shorter; 0 where one is flat."""
+    n = min(len(a), len(b))
+    a, b = (x if len(x) == n else resample(x, n) for x in (a, b))
+    if n < 2 or a.std() < 1e-6 or b.std() < 1e-6:
+        return 0.0
+    return float(abs(((a - a.mean()) * (b - b.mean())).mean() / (a.std() * b.std())))
 
 
 def welch_power(x: np.ndarray, fs: int = FS) -> tuple[float, float, float]:
@@ -112,22 +179,28 @@ def morlet_band(x: np.ndarray, low: float, high: float, fs: int = FS, scales: in
     return out
 
 
-def quality_gate(x: np.ndarray) -> str:
-    """Why a pulse segment is not usable; empty where it is."""
-    if len(x) < 20:
-        return "too_short"
+def quality_gate(x: np.ndarray, snr: float = 5.0) -> str:
+    """Why a pulse segment is not usable; empty where it is (the same rules as `functions.arrays.segment_quality`)."""
     fine = x[np.isfinite(x)]
-    if not len(fine):
-        return "all_null"
-    if len(fine) < 0.8 * len(x):
-        return "few_valid"
-    if np.ptp(fine) < 1e-6:
-        return "flat"
-    if fine.std() < 3:
-        return "low_amplitude"
+    if len(x) < 20 or len(fine) < 20:
+        return "too_short" if len(x) < 20 else "few_valid" if len(fine) else "all_null"
+    spread, reach = fine.std(), np.ptp(fine)
+    if reach < 1e-6 or spread < 3:
+        return "flat" if reach < 1e-6 else "low_amplitude"
     if len(np.unique(fine)) < 5:
         return "saturated"
-    return ""
+    noise, floor = np.diff(fine, 2).std() / 2, np.diff(fine).std() / np.sqrt(2)
+    if noise > 0.01 and spread < snr * noise:
+        return "low_snr"
+    return "weak_pulse" if floor > 0.01 and reach < 3 * floor else ""
+
+
+def filter_band(hr: float, kind: str, fs: int = FS) -> tuple[float, float]:
+    """Frequencies that the band filter keeps for a heart rate: multiples of it, inside what can be told."""
+    # Multiples of the heart rate, and the band where these leave nothing.
+    low, high, otherwise = (0.5, 2.0, (0.5, 40.0)) if kind == "ecg" else (0.15, 0.7, (0.5, 10.0))
+    low, high = max(0.5, low * hr / 60), min(fs / 2.1, high * hr / 60)
+    return (low, high) if low < high else otherwise
 
 
 def best_lag(a: np.ndarray, b: np.ndarray, most: int) -> int:
