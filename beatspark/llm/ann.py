@@ -6,8 +6,9 @@ deeper the more rows there are, so that a leaf holds about `LEAF` rows at every
 query walks the tree through a priority queue of the branches not taken, nearest centre first, and visits leaves in
 that order, until it has made the calibrated number of visits and these leaves hold enough rows for its k neighbours.
 `calibrate` compares a fixed number of calibration vectors with all rows by brute force and widens the visits until the
-wanted share of true neighbours lies in visited leaves. Queries and rows then meet by leaf: leaves are dealt into blocks of about `BLOCK` rows, so a
-crowded leaf is many tasks. The distance is computed on the original vectors in double precision.
+wanted share of true neighbours lies in visited leaves. Queries and rows then meet by cell: the largest subtrees of at most `BLOCK` rows. A query goes once
+to each cell that it visits a leaf of, with the list of these leaves, and gets k rows back; a leaf with more rows than
+that is a cell of its own, dealt into blocks over many tasks. The distance is computed on the original vectors in double precision.
 
 Equal vectors tie, and ties go to the smaller id, so of each distinct vector only the k + 1 smallest ids can ever be
 returned: that keeps results whole while a vector that a third of all rows share costs k + 1 rows. Equal queries are
@@ -74,6 +75,20 @@ class Tree:
             have += 0 if held is None else int(held[node])
         return found
 
+    def cells(self, held: np.ndarray, most: int) -> dict[int, tuple[int, int]]:
+        """For each leaf, the topmost node above it that holds `most` rows at most (or the leaf), and the rows there."""
+        total, found = held.copy(), {}
+        for node in range(len(self.children) - 1, -1, -1):  # children come after their parents
+            total[node] += sum(total[kid] for kid in self.children[node])
+        waiting = [(0, None)]
+        while waiting:
+            node, cell = waiting.pop()
+            cell = node if cell is None and (total[node] <= most or not self.children[node]) else cell
+            waiting += [(kid, cell) for kid in self.children[node]]
+            if not self.children[node]:
+                found[node] = (cell, int(total[cell]))
+        return found
+
     @property
     def leaves(self) -> int:
         return sum(not kids for kids in self.children)
@@ -215,29 +230,38 @@ def search(made: Index, queries: DataFrame, id_col: str = "vec_id", vector_col:
     asked = materialise(asked.where(F.col("query_id").isNotNull() & usable(F.col("q")) & (F.size("q") == size)).distinct(), "asked")
     distinct = asked.groupBy("q").agg(F.min("query_id").alias("key"))
 
+    cell_of = tree.cells(held, BLOCK)
+    spark = made.rows.sparkSession
+    places = F.broadcast(spark.createDataFrame([(leaf, cell, max(1, -(-rows // BLOCK))) for leaf, (cell, rows) in cell_of.items()] or [(0, 0, 1)], "leaf bigint, cell bigint, blocks int"))
+
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for key, q in zip(pdf["key"], pdf["q"]):
-                leaves = tree.visits(np.asarray(q, dtype=np.float64), visits, held, k + 1)
-                yield pd.DataFrame({"leaf": leaves, "key": key, "q": [q] * len(leaves)})
+                cells: dict[int, list[int]] = {}
+                for leaf in tree.visits(np.asarray(q, dtype=np.float64), visits, held, k + 1):
+                    cells.setdefault(cell_of[leaf][0], []).append(leaf)
+                blocks = [max(1, -(-cell_of[leaves[0]][1] // BLOCK)) for leaves in cells.values()]
+                yield pd.DataFrame({"cell": list(cells), "blocks": blocks, "key": key, "q": [q] * len(cells), "leaves": list(cells.values())})
 
-    walked = distinct.mapInPandas(walk, "leaf bigint, key bigint, q array<double>")
-    blocks = made.rows.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # a row for each leaf
-    dealt = made.rows.join(F.broadcast(blocks), "leaf").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("leaf", "block", "id", "v")
-    walked = walked.join(F.broadcast(blocks), "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "key", "q")
+    walked = distinct.mapInPandas(walk, "cell bigint, blocks int, key bigint, q array<double>, leaves array<bigint>")
+    dealt = made.rows.join(places, "leaf").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("cell", "block", "leaf", "id", "v")
+    walked = walked.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "key", "q", "leaves")
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"key": [], "id": [], "score": []})
         x, ids = _matrix(left["v"]), left["id"].to_numpy()
+        here, of = np.unique(left["leaf"].to_numpy(), return_inverse=True)
         parts = []
-        for key, q in zip(right["key"], right["q"]):
-            away = _distances(x, np.asarray(q, dtype=np.float64))
-            best = _best(ids, away, k + 1)
-            parts.append(pd.DataFrame({"key": key, "id": ids[best], "score": away[best]}))
-        return pd.concat(parts)
-
-    near = dealt.groupBy("leaf", "block").cogroup(walked.groupBy("leaf", "block")).applyInPandas(compare, "key bigint, id bigint, score double")
+        for key, q, leaves in zip(right["key"], right["q"], right["leaves"]):
+            rows = np.flatnonzero(np.isin(here, leaves)[of])
+            if len(rows):
+                away = _distances(x[rows], np.asarray(q, dtype=np.float64))
+                best = _best(ids[rows], away, k + 1)
+                parts.append(pd.DataFrame({"key": key, "id": ids[rows][best], "score": away[best]}))
+        return pd.concat(parts) if parts else pd.DataFrame({"key": [], "id": [], "score": []})
+
+    near = dealt.groupBy("cell", "block").cogroup(walked.groupBy("cell", "block")).applyInPandas(compare, "key bigint, id bigint, score double")
     best = near.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("score", "id"))).where(F.col("n") <= k + 1).drop("n")
     named = asked.join(distinct, "q").select("query_id", "key").join(best, "key").where("id <> query_id")
     return named.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

@@ -1,7 +1,7 @@
-"""Language-model scores by a weighted backoff automaton of order three.
+"""Language-model scores by a weighted backoff automaton of order two or three.
 
-States are the empty history, every word of the training texts (and the start of a text) and every pair of words seen
-there. An arc u -> w carries the smoothed log-probability of w after the history u and leads to the longest history that
+States are the empty history, every word of the training texts (and the start of a text) and, at order three, every
+pair of words seen there. An arc u -> w carries the smoothed log-probability of w after the history u and leads to the longest history that
 is a state: (u, w) from a word u, (v, w) from a pair (u, v), w from the empty history. A failure arc leads from a pair
 to its last word and from a word to the empty history, with the weight bow. One left-to-right traversal of a text
 carries the state: as long as the state has no arc for the word, it adds the failure weight and falls back, then it
@@ -15,7 +15,7 @@ share of longer n-grams that were seen once (Good-Turing). D is n1 / (n1 + 2 n2)
 from all training texts; P sums to one over the known words and the unknown one.
 
 At scale the model is never in one place. Texts are dealt into blocks of about `BLOCK` bytes. A block sends its
-distinct words, pairs and triples, as sorted 64-bit hashes with its own counts, to the range of hashes that counts
+distinct words, pairs (and triples), as sorted 64-bit hashes with its own counts, to the range of hashes that counts
 them; the range adds up all blocks' counts and answers each block with the corpus counts in the order it was asked.
 From these each block builds just the part of the automaton that its texts can reach. A word that fills a third of the
 corpus is one number for each block. The answers carry no keys. Texts cross the network twice, compressed: to ask, and
@@ -45,11 +45,12 @@ from pyspark.sql import functions as F
 from .common import check_columns, materialise
 
 #: Bytes of text in a block, about, and hashes in a counting range, about (for texts of natural language).
-BLOCK = 8 << 20
-RANGE_BYTES = 16 << 20
+BLOCK = 4 << 20
+RANGE_BYTES = 8 << 20
 #: Ranges that a block speaks to at most.
-FAN = 1024
-ORDER = 3
+FAN = 4096
+#: Words of the longest n-grams. Three needs about twice the disk and memory of two.
+ORDER = 2
 TOP, G = 0.995, 0.15
 #: Classes of histories by the logarithm of their count, for setting a.
 CLASSES = 48
@@ -71,7 +72,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Tokens:
     """Tokens of a block's texts: `words` are the distinct hashes (sorted), `of` the place of each token there."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], order: int = ORDER):
         known: dict[bytes, int] = {}
         parts, sizes = [], []
         for text in texts:
@@ -92,15 +93,16 @@ class Tokens:
         before = np.concatenate((np.array([_START], dtype="<u8"), self.words[self.of][:-1])) if len(flat) else np.zeros(0, dtype="<u8")
         before[first] = _START
         pairs = _mix(before * _PAIR + self.words[self.of])
-        later = np.ones(len(flat), dtype=bool)
-        later[first] = False
-        triples = _mix(np.concatenate((pairs[:1], pairs[:-1])) * _TRIPLE + self.words[self.of])
         # for each length of n-gram: the distinct hashes (sorted), and the place of each token's there (-1: none)
         self.grams = [(self.words, self.of), np.unique(pairs, return_inverse=True)]
-        distinct, place = np.unique(triples[later], return_inverse=True)
-        of = np.full(len(flat), -1, dtype=np.int64)
-        of[later] = place
-        self.grams.append((distinct, of))
+        if order == 3:
+            later = np.ones(len(flat), dtype=bool)
+            later[first] = False
+            triples = _mix(np.concatenate((pairs[:1], pairs[:-1])) * _TRIPLE + self.words[self.of])
+            distinct, place = np.unique(triples[later], return_inverse=True)
+            of = np.full(len(flat), -1, dtype=np.int64)
+            of[later] = place
+            self.grams.append((distinct, of))
         self.first = first
 
     def counts(self, train: np.ndarray) -> list[np.ndarray]:
@@ -145,13 +147,13 @@ def _messages(member: int, path: int, kind: int, keys: np.ndarray, counts: np.nd
     ]
 
 
-def _ask(blocks: DataFrame, parts: int) -> DataFrame:
+def _ask(blocks: DataFrame, parts: int, order: int) -> DataFrame:
     """From each block to each range: kind (length of the n-grams, less one), keys and counts."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = Tokens(_unpack(pdf["packed"]))
+        t = Tokens(_unpack(pdf["packed"]), order)
         block, counts = int(pdf["block"].iloc[0]), t.counts(pdf["train"].to_numpy())
-        rows = [m for kind in range(ORDER) for m in _messages(block, 0, kind, t.grams[kind][0], counts[kind], parts, 0)]
+        rows = [m for kind in range(order) for m in _messages(block, 0, kind, t.grams[kind][0], counts[kind], parts, 0)]
         return pd.DataFrame(rows, columns=["member", "path", "kind", "keys", "counts"])
 
     return blocks.groupBy("block").applyInPandas(run, _ASK)
@@ -270,44 +272,57 @@ class Parameters:
 class Automaton:
     """The part of the automaton that a block's texts can reach.
 
-    State 0 is the empty history, 1 the start of a text, then come the block's words, then its pairs; only those with a
-    count are ever reached. `arcs` maps state * width + word to the number of an arc, `weight` and `target` are its
-    log10 probability and the state it leads to; `fail` and `bow` (log10) belong to states.
+    State 0 is the empty history, 1 the start of a text, then come the block's words, then (at order three) its pairs;
+    only those with a count are ever reached. `arcs` maps state * width + word to the number of an arc, `weight` and
+    `target` are its log10 probability and the state it leads to; `fail` and `bow` (log10) belong to states.
     """
 
     def __init__(self, t: Tokens, counts: list[np.ndarray], p: Parameters):
-        words, pairs, triples = (c.astype(float) for c in counts)
+        words, pairs, *triples = (c.astype(float) for c in counts)
         n_words, n_pairs = len(words), len(pairs)
         starts = words[np.searchsorted(t.words, np.uint64(_END))]
         self.width = n_words
-        # one token of each distinct n-gram shows its word and what comes before it
-        (_, word_of), (_, pair_of), (_, triple_of) = t.grams
-        token = [np.zeros(n, dtype=np.int64) for n in (n_words, n_pairs, len(triples))]
-        for place, of in zip(token, (word_of, pair_of, triple_of)):
-            here = np.flatnonzero(of >= 0)
-            place[of[here]] = here
+        word_of, pair_of = t.grams[0][1], t.grams[1][1]
         first = np.zeros(len(word_of), dtype=bool)
         first[t.first] = True
-        word_state, pair_state = np.where(words > 0, 2 + np.arange(n_words), 0), 2 + n_words + np.arange(n_pairs)
+        word_state = np.where(words > 0, 2 + np.arange(n_words), 0)
 
         unigram = p.word(words)
-        last = word_of[token[1]]  # the last word of each pair
-        before = np.where(first[token[1]], 1, word_state[word_of[token[1] - 1]])
-        history = np.where(first[token[1]], starts, words[word_of[token[1] - 1]])
+        token = self._shown(pair_of, n_pairs)
+        last = word_of[token]  # the last word of each pair
+        before = np.where(first[token], 1, word_state[word_of[token - 1]])
+        history = np.where(first[token], starts, words[word_of[token - 1]])
         bow = p.bow(history, 1)
         bigram = (1 - bow) * pairs / np.maximum(history, 1) + bow * unigram[last]
+        seen = pairs > 0
+        keys, weights = [np.arange(n_words), before[seen] * self.width + last[seen]], [unigram, bigram[seen]]
+        targets, fail = [word_state, word_state[last][seen]], [[0, 0], np.zeros(n_words, dtype=np.int64)]
+        back = [[1.0], p.bow(np.array([starts]), 1) if starts else [1.0], p.bow(words, 1)]
+
+        if triples:
+            pair_state = 2 + n_words + np.arange(n_pairs)
+            triple_of, triples = t.grams[2][1], triples[0]
+            token = self._shown(triple_of, len(triples))
+            inner, outer = pair_of[token], pair_of[token - 1]  # of each triple, the last two words and the first two
+            bow = p.bow(pairs[outer], 2)
+            trigram = (1 - bow) * triples / np.maximum(pairs[outer], 1) + bow * bigram[inner]
+            there = triples > 0
+            keys.append(pair_state[outer[there]] * self.width + word_of[token[there]])
+            weights.append(trigram[there])
+            targets[1:] = [pair_state[seen], pair_state[inner[there]]]
+            fail.append(word_state[last])
+            back.append(p.bow(pairs, 2))
+        keys = np.concatenate(keys).tolist()
+        self.arcs = dict(zip(keys, range(len(keys))))
+        self.weight, self.target = np.log10(np.concatenate(weights)).tolist(), np.concatenate(targets).tolist()
+        self.fail, self.bow = np.concatenate(fail).tolist(), np.log10(np.concatenate(back)).tolist()
 
-        inner, outer = pair_of[token[2]], pair_of[token[2] - 1]  # of each triple, the last two words and the first two
-        bow2 = p.bow(pairs[outer], 2)
-        trigram = (1 - bow2) * triples / np.maximum(pairs[outer], 1) + bow2 * bigram[inner]
-
-        seen2, seen3 = pairs > 0, triples > 0
-        keys = np.concatenate((np.arange(n_words), before[seen2] * self.width + last[seen2], pair_state[outer[seen3]] * self.width + word_of[token[2][seen3]]))
-        self.arcs = dict(zip(keys.tolist(), range(len(keys))))
-        self.weight = np.log10(np.concatenate((unigram, bigram[seen2], trigram[seen3]))).tolist()
-        self.target = np.concatenate((word_state, pair_state[seen2], pair_state[inner[seen3]])).tolist()
-        self.fail = np.concatenate(([0, 0], np.zeros(n_words, dtype=np.int64), word_state[last])).tolist()
-        self.bow = np.log10(np.concatenate(([1.0], p.bow(np.array([starts]), 1) if starts else [1.0], p.bow(words, 1), p.bow(pairs, 2)))).tolist()
+    @staticmethod
+    def _shown(of: np.ndarray, n: int) -> np.ndarray:
+        """One token of each distinct n-gram: it shows the word, and what comes before it."""
+        token, here = np.zeros(n, dtype=np.int64), np.flatnonzero(of >= 0)
+        token[of[here]] = here
+        return token
 
     def traverse(self, text: list[int]) -> float:
         """log10 probability of a text, given by the places of its tokens among the block's words."""
@@ -327,18 +342,20 @@ def _pack(text: pd.Series) -> pd.Series:
     return text.map(lambda t: pack((t or "").encode("utf-8", "surrogatepass")))
 
 
-def _totals(answers: DataFrame) -> np.ndarray:
+def _totals(answers: DataFrame, order: int) -> np.ndarray:
     """Sums over all ranges, for each length of n-gram: a few dozen numbers."""
     each = answers.where("member < 0").select("kind", F.posexplode("totals").alias("k", "x")).groupBy("kind", "k").agg(F.sum("x").alias("x"))
-    sums = np.zeros((ORDER, 4 + 2 * CLASSES))
+    sums = np.zeros((order, 4 + 2 * CLASSES))
     for row in each.collect():
         sums[row.kind, row.k] = row.x
     return sums
 
 
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, range_bytes: int = RANGE_BYTES, fan: int = FAN) -> DataFrame:
+def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, range_bytes: int = RANGE_BYTES, fan: int = FAN, order: int = ORDER) -> DataFrame:
     """id, train, n_tokens, n_known, train_tokens, base_score and score of every row, learning from rows with `train`."""
     check_columns(docs, id_col, text_col)
+    if order not in (2, 3):
+        raise ValueError("order: 2 or 3")
     size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     blocks = max(1, -(-size // block))
     levels, parts = _levels(max(1, -(-size // range_bytes)), fan)
@@ -347,15 +364,15 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         id_.alias("id"), F.pandas_udf(_pack, "binary")(text).alias("packed"), F.coalesce(train, F.lit(True)).alias("train"),
         F.pmod(F.xxhash64(id_, text), F.lit(blocks)).cast("bigint").alias("block"),
     )
-    answers = materialise(_exchange(_ask(dealt, parts), levels, parts), "answers")
-    p = Parameters(_totals(answers))
+    answers = materialise(_exchange(_ask(dealt, parts, order), levels, parts), "answers")
+    p = Parameters(_totals(answers, order))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
             return pd.DataFrame({"id": [], "train": [], "n_tokens": [], "n_known": [], "base_score": [], "score": []})
-        t = Tokens(_unpack(left["packed"]))
+        t = Tokens(_unpack(left["packed"]), order)
         right = right.sort_values("path")
-        counts = [np.concatenate([np.zeros(0, dtype=np.int64), *(_lengthen_counts(c) for c in right.loc[right["kind"] == kind, "counts"])]) for kind in range(ORDER)]
+        counts = [np.concatenate([np.zeros(0, dtype=np.int64), *(_lengthen_counts(c) for c in right.loc[right["kind"] == kind, "counts"])]) for kind in range(order)]
         c, n = counts[0][t.of].astype(float), len(t.sizes)
         base = np.bincount(t.doc, weights=np.log10((c + 1) / (p.n + p.v + 1)), minlength=n)
         automaton, of = Automaton(t, counts, p), t.of.tolist()

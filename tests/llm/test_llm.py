@@ -172,8 +172,8 @@ def test_near_duplicates_below_the_threshold(spark):
         assert kept_near(spark, rows) == kept_by_brute_force(rows) == list(range(80))
 
 
-def lm_by_hand(rows):
-    """Token counts, base score and backed-off trigram score of every text, from plain counters."""
+def lm_by_hand(rows, order):
+    """Token counts, base score and backed-off score of every text, from plain counters."""
     train = [i is None or zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows]
     tokens = [(t or "").encode().lower().split() + [None] for _, t in rows]
     grams = [collections.Counter(), collections.Counter(), collections.Counter()]
@@ -219,7 +219,7 @@ def lm_by_hand(rows):
 
     out = []
     for (i, _), w in zip(rows, tokens):
-        logs = [math.log10(p2("start", w[0])), *(math.log10(p3(u, x, y)) for u, x, y in zip(["start", *w], w, w[1:]))]
+        logs = [math.log10(p2("start", w[0])), *(math.log10(p3(u, x, y) if order == 3 else p2(x, y)) for u, x, y in zip(["start", *w], w, w[1:]))]
         base = sum(math.log10((grams[0][x] + 1) / (n + v + 1)) for x in w)
         out.append((repr(i), len(w), sum(grams[0][x] > 0 for x in w), n, base, sum(logs)))
     return sorted(out)
@@ -231,34 +231,34 @@ def near_rows(got, want):
 
 
 def test_lm(spark, odd):
-    """Every score against counters, with one level of the exchange and with several."""
+    """Every score against counters, for both orders, with one level of the exchange and with several."""
     learns = F.coalesce(ngram_lm.fold(F.col("doc_id")) != 2, F.lit(True))
     for rows, frame, settings in (
-        (texts(spark), spark.read.parquet(f"{SF}/documents.parquet"), {"block": 1 << 17, "range_bytes": 1 << 17}),
-        (texts(spark), spark.read.parquet(f"{SF}/documents.parquet"), {"block": 1 << 16, "range_bytes": 1 << 16, "fan": 2}),
-        (docs(odd), odd, {"block": 1 << 17, "range_bytes": 1 << 17, "fan": 2}),
+        (texts(spark), spark.read.parquet(f"{SF}/documents.parquet"), {"block": 1 << 17, "range_bytes": 1 << 17, "order": 2}),
+        (texts(spark), spark.read.parquet(f"{SF}/documents.parquet"), {"block": 1 << 16, "range_bytes": 1 << 16, "fan": 2, "order": 3}),
+        (docs(odd), odd, {"block": 1 << 17, "range_bytes": 1 << 17, "fan": 2, "order": 2}),
     ):
         found = ngram_lm.score(frame, learns, **settings).collect()
-        near_rows(sorted((repr(r.id), r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in found), lm_by_hand(rows))
+        near_rows(sorted((repr(r.id), r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in found), lm_by_hand(rows, settings["order"]))
     assert sum(r.score for r in found if r.train) > sum(r.base_score for r in found if r.train)
     assert ngram_lm.score(odd.limit(0), learns).count() == 0
     assert [(r.n_known, r.score) for r in ngram_lm.score(odd.limit(3), F.lit(False)).collect()] == [(0, 0.0)] * 3
 
 
-def test_lm_sums_to_one():
+@pytest.mark.parametrize("order", [2, 3])
+def test_lm_sums_to_one(order):
     """Over all words and the unknown one, the arcs and failure arcs of each state share out a probability of one."""
-    text = b"a b a c a b b a"
-    t = ngram_lm.Tokens([text, b"b c zz"])
+    t = ngram_lm.Tokens([b"a b a c a b b a", b"b c zz"], order)
     counts = t.counts(np.array([True, False]))
-    totals = np.ones((3, 4 + 2 * ngram_lm.CLASSES))
+    totals = np.ones((order, 4 + 2 * ngram_lm.CLASSES))
     totals[0, :4] = counts[0].sum(), (counts[0] > 0).sum(), (counts[0] == 1).sum(), (counts[0] == 2).sum()
     machine = ngram_lm.Automaton(t, counts, ngram_lm.Parameters(totals))
     words = [w for w in range(len(t.words)) if counts[0][w] > 0] + [next(w for w in range(len(t.words)) if not counts[0][w])]
-    for path in ([], [t.of[0]], [t.of[0], t.of[1]]):
-        before = machine.traverse([int(w) for w in path])
-        total = sum(10 ** (machine.traverse([*map(int, path), w]) - before) for w in words)
-        ended = 0 if path else 0
-        assert total <= 1 + 1e-9 and total > 0.5 + ended
+    known = set(words)
+    for path in ([], [0], [0, 1], [0, 1, 2]):
+        path = [int(t.of[k]) for k in path]
+        before = machine.traverse(path)
+        assert abs(sum(10 ** (machine.traverse([*path, w]) - before) for w in known) - 1) < 1e-9
 
 
 def test_lm_packing_round_trip():
