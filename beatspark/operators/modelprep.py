@@ -26,6 +26,19 @@ def label_encode(df: DataFrame, column: str) -> DataFrame:
     return df.join(codes, F.col(column) == F.col("__value"), "left").drop("__value")
 
 
+def category_codes(df: DataFrame, column: str, k: int | None = None) -> DataFrame:
+    """A dictionary (value, code) of a column, missing values as 'Unknown' and those beyond the k most frequent as 'Other'."""
+    value = F.coalesce(F.col(column), F.lit("Unknown")).alias("value")
+    counts = df.select(value).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    if k is None:
+        kept = counts.select("value", F.col("value").alias("name"))
+    else:
+        top = counts.orderBy(F.desc("n"), "value").limit(k).select("value", F.col("value").alias("name"))
+        kept = counts.select("value").join(F.broadcast(top), "value", "left").select("value", F.coalesce("name", F.lit("Other")).alias("name"))
+    codes = numbered(kept.select("name").distinct(), F.col("name"))
+    return kept.join(codes, "name").select("value", (F.col("k") - 1).alias("code"))
+
+
 def _shuffled(df: DataFrame, seed: int) -> DataFrame:
     """patient_id and k, each patient's number in the order of a hash. The hash is spread evenly, and so is the work."""
     ids = df.select("patient_id").where("patient_id IS NOT NULL").distinct()

@@ -44,21 +44,20 @@ def wide_quantiles(df: DataFrame, column: str, at: dict[str, float]) -> DataFram
 def numbered(rows: DataFrame, order: Column, prefix: Sequence[int] = (1, 2, 4, 8), name: str = "k") -> DataFrame:
     """`rows` with their number (from 1) in the order of a text, which has to be different in each row.
 
-    Rows with the same beginning lie together in the order: numbers of longer and longer beginnings are summed inside
-    the next shorter one, and rows are only sorted inside the longest. Beginnings of one sign are few; no other window
-    spans the table.
+    Rows with the same beginning lie together in the order: rows of longer and longer beginnings are summed inside the
+    next shorter one, and rows are only sorted inside the longest. The shortest beginnings are few; no other window spans
+    the table.
     """
     text = rows.withColumn("__order", order)
     deep = text.withColumns({f"__p{k}": F.substring("__order", 1, n) for k, n in enumerate(prefix)})
     names = [f"__p{k}" for k in range(len(prefix))]
     counts = deep.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
-    offset = F.lit(0).cast("bigint")
-    for k in range(len(prefix)):
-        level = counts.groupBy(*names[: k + 1]).agg(F.sum("__n").alias("__held"))
-        inside = Window.partitionBy(*names[:k]).orderBy(names[k]) if k else Window.partitionBy(F.lit(0)).orderBy(names[k])
-        level = level.select(*names[: k + 1], (F.sum("__held").over(inside) - F.col("__held")).alias(f"__o{k}"))
-        counts = counts.join(level, names[: k + 1])
-        offset = offset + F.col(f"__o{k}")
-    starts = counts.select(*names, offset.alias("__start"))
+    # the shortest beginnings are few: their numbers come from a table of their own
+    top = counts.groupBy(names[0]).agg(F.sum("__n").alias("__held"))
+    counts = counts.join(top.select(names[0], (F.sum("__held").over(Window.partitionBy(F.lit(0)).orderBy(names[0])) - F.col("__held")).alias("__start")), names[0])
+    for k in range(1, len(prefix)):
+        upto = F.sum("__n").over(Window.partitionBy(*names[:k]).orderBy(names[k]).rangeBetween(Window.unboundedPreceding, 0))
+        counts = counts.withColumn("__start", F.col("__start") + upto - F.sum("__n").over(Window.partitionBy(*names[: k + 1])))
+    starts = counts.drop("__n")
     number = F.col("__start") + F.row_number().over(Window.partitionBy(*names).orderBy("__order"))
     return deep.join(starts, names).withColumn(name, number).drop("__order", "__start", *names)

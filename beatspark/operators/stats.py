@@ -59,12 +59,13 @@ def masked_correlations(df: DataFrame, target: str = "sbp_reference", more_than:
     return df.agg(*aggs).select(F.inline(F.array(*VALID)))
 
 
-def feature_bp_correlation(df: DataFrame, features: list[str]) -> DataFrame:
-    """r of each feature with both pressures, with a label by the stronger."""
-    one = df.agg(*[safe_corr(f, t).alias(f"{t}{k}") for k, f in enumerate(features) for t in ("sbp_reference", "dbp_reference")])
-    rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"sbp_reference{k}").alias("r_sbp"), F.col(f"dbp_reference{k}").alias("r_dbp")) for k, f in enumerate(features)])
-    strong = F.abs("r_sbp")
-    return one.select(F.inline(rows)).withColumn("strength", F.when(strong > 0.3, "strong").when(strong > 0.1, "moderate").otherwise("weak"))
+def feature_bp_correlation(df: DataFrame, features: list[str], targets: tuple[str, ...] = ("sbp_reference", "dbp_reference")) -> DataFrame:
+    """r of each feature with each target (`r_sbp` for sbp_reference, and so on), with a label by the first."""
+    short = {t: "r_" + t.removesuffix("_reference") for t in targets}
+    rows = [F.struct(F.lit(f).alias("feature"), *[safe_corr(f, t).alias(n) for t, n in short.items()]).alias(f"f{k}") for k, f in enumerate(features)]
+    strong = F.abs(next(iter(short.values())))
+    one = df.agg(*rows).select(F.inline(F.array(*[f"f{k}" for k in range(len(features))])))
+    return one.withColumn("strength", F.when(strong > 0.3, "strong").when(strong > 0.1, "moderate").otherwise("weak"))
 
 
 def global_vs_within(df: DataFrame, features: list[str], target: str = "sbp_reference", more_than: int = 30) -> DataFrame:

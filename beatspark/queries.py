@@ -12,6 +12,7 @@ from .functions import arrays
 from .functions import expr
 from .operators import cleaning, evaluate, joins, modelprep, normalize, physiology, quality, select, stats
 from .operators.quantiles import numbered
+from .plans import jobs
 from .sources import io
 from .streaming import quality_stream
 from .waves import beats as beat_kernels
@@ -992,3 +993,59 @@ def g16_process_recordings(spark, sf_dir):
 def x1_build_beats(spark, sf_dir):
     made = recordings.build_beats(*_waves(spark, sf_dir), fx.view(spark, sf_dir, fx.CASES_FX), ("sex", "department", "approach"), ("age",))
     return made.select("patient_id", "session_id", "cycle_index", "sbp_reference", "dbp_reference", "cycle_correlation", "ptt_peak_to_foot", "ptt_peak_to_peak", "amplitude_ratio_ra", "hr_bpm", "sex", "department", "age")
+
+
+# ---- composed jobs ------------------------------------------------------------------------------------------------
+def _published(name: str, rows: str) -> str:
+    return f"""SELECT '{name}' AS dataset, count(*) AS n, round(sum(z * z), 4) AS z2, round(avg(d), 5) AS sbp_delta FROM (
+ SELECT (ptt_peak_to_foot - avg(ptt_peak_to_foot) OVER w) / (stddev_samp(ptt_peak_to_foot) OVER w + 1e-6) AS z, sbp_reference - m AS d FROM {rows} r
+ JOIN (SELECT patient_id AS p, median(sbp_reference) AS m FROM (SELECT patient_id, sbp_reference, row_number() OVER (PARTITION BY patient_id ORDER BY timestamp, cycle_index) AS k FROM {rows}) WHERE k <= 100 GROUP BY 1) h ON h.p = r.patient_id WINDOW w AS (PARTITION BY patient_id))"""
+
+
+@query(f"""{B}, p AS MATERIALIZED (SELECT * FROM b WHERE {_P9}), {_a6('p', False).replace('m AS', 'm1 AS').replace('FROM m)', 'FROM m1)').replace(' v AS', ' v1 AS')}, {_a6('p', True)},
+ vv AS MATERIALIZED (SELECT * FROM p WHERE patient_id IN (SELECT patient_id FROM v1 WHERE reason = '')), ss AS MATERIALIZED (SELECT * FROM p WHERE patient_id IN (SELECT patient_id FROM v WHERE reason = ''))
+{_published('full', 'b')} UNION ALL {_published('validated', 'vv')} UNION ALL {_published('strict', 'ss')}""", digits=5)
+def x2_publish_datasets(b):
+    made = jobs.publish_datasets(b, FEATURES[:4])
+    one = lambda n: made[n].agg(F.lit(n).alias("dataset"), F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("ptt_peak_to_foot_norm") * F.col("ptt_peak_to_foot_norm")), 4).alias("z2"), F.avg("sbp_delta").alias("sbp_delta"))
+    return one("full").union(one("validated")).union(one("strict"))
+
+
+@query()
+def x2_published_correlations(b):
+    return jobs.publish_datasets(b, FEATURES[:4])["correlations"]
+
+
+@query()
+def x3_clean_and_report(b):
+    made = jobs.clean_and_report(b)
+    return jobs.long_form({n: made[n] for n in ("before", "after", "changes", "removed", "verdict")})
+
+
+@query()
+def x4_profile_dataset(b):
+    made = jobs.profile_dataset(b, _RANGES, ["dx", "sex", "position"])
+    return jobs.long_form(made)
+
+
+@query()
+def x5_forensic_report(b):
+    return jobs.long_form(jobs.forensic_report(b, FEATURES, _RANGES, ["dx", "sex", "position"]))
+
+
+@query()
+def x6_dataset_limits(b):
+    return jobs.long_form(jobs.dataset_limits(b, FEATURES[:4]))
+
+
+@query(f"""{B}, {_SPLIT}, t AS (SELECT opname FROM (SELECT coalesce(opname, 'Unknown') AS opname FROM b) GROUP BY opname ORDER BY count(*) DESC, opname LIMIT 50), r AS (SELECT b.patient_id, timestamp, cycle_index, CASE WHEN t.opname IS NULL THEN 'Other' ELSE t.opname END AS opname FROM b LEFT JOIN t ON coalesce(b.opname, 'Unknown') = t.opname),
+ d AS (SELECT opname, CAST(dense_rank() OVER (ORDER BY opname) - 1 AS INT) AS code FROM (SELECT DISTINCT opname FROM r)), k AS (SELECT r.patient_id, code, row_number() OVER (PARTITION BY r.patient_id ORDER BY timestamp, cycle_index) AS k, count(*) OVER (PARTITION BY r.patient_id) AS n FROM r JOIN d ON r.opname = d.opname)
+SELECT part, count(*) AS n, CAST(sum(code) AS BIGINT) AS codes FROM k JOIN sp ON k.patient_id = sp.patient_id WHERE k >= 30 AND n > 30 GROUP BY part""")
+def x7_training_set(b):
+    made = jobs.training_set(b, FEATURES[:4], ["age", "bmi"], {"sex": None, "opname": 50})
+    return made.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("static_cat")[1]).alias("codes"))
+
+
+@query(ORACLES["a48_alpha_sweep"], digits=5)
+def x8_ema_evaluation(b):
+    return jobs.ema_evaluation(b)
