@@ -54,7 +54,9 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.reassemble(warc.read(spark, warc.archive(table(spark, sf_dir, "pages"), min_revisit=0)))
-    return back.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
+    broken = F.raise_error(F.concat(F.lit("a record is not whole, page "), F.coalesce(F.col("page_id").cast("string"), F.lit("without id"))))
+    digest = F.when(F.col("whole"), F.col("payload_digest")).otherwise(broken.cast("string"))
+    return back.select("page_id", "payload_bytes", digest.alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
 
 
 @query

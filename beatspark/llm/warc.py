@@ -175,27 +175,24 @@ def reassemble(segments: DataFrame) -> DataFrame:
     Records without a segment number skip the grouping; a group is the segments of one record.
     """
     single = F.col("number").isNull()
-    alone = segments.where(single).select("type", "page_id", "uri", "digest", "length", "refers_to", "block", F.lit(True).alias("whole"))
+    rest = ("type", "page_id", "uri", "digest", "length", "refers_to")
+    alone = segments.where(single).select(*rest, F.array("block").alias("blocks"), F.lit(True).alias("whole"))
     head = lambda c: F.max(F.when(F.col("type") != "continuation", F.col(c))).alias(c)
-    joined = segments.where(~single).groupBy("origin").agg(
-        *[head(c) for c in ("type", "page_id", "uri", "digest", "length", "refers_to")],
-        F.array_sort(F.collect_list(F.struct("number", "block"))).alias("parts"), F.max("total").alias("total"),
-    )
-    # concat of binary values by a fold: a record has few segments
-    block = F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, p: F.concat(a, p["block"]))
-    joined = joined.withColumn("block", block).withColumn("whole", F.coalesce((F.octet_length("block") == F.col("total")) & (F.get("parts", F.size("parts") - 1)["number"] == F.size("parts")), F.lit(False)))
-    both = alone.unionByName(joined.select("type", "page_id", "uri", "digest", "length", "refers_to", "block", "whole"))
+    joined = segments.where(~single).groupBy("origin").agg(*[head(c) for c in rest], F.array_sort(F.collect_list(F.struct("number", "block"))).alias("parts"), F.max("total").alias("total"))
+    held = F.aggregate("parts", F.lit(0).cast("bigint"), lambda n, p: n + F.octet_length(p["block"]))
+    whole = F.coalesce((held == F.col("total")) & (F.get("parts", F.size("parts") - 1)["number"] == F.size("parts")), F.lit(False))
+    both = alone.unionByName(joined.select(*rest, F.transform("parts", lambda p: p["block"]).alias("blocks"), whole.alias("whole")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                kinds, blocks, fine, said, lengths = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("type", "block", "whole", "digest", "length"))
+                kinds, blocks, fine, said, lengths = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("type", "blocks", "whole", "digest", "length"))
                 payloads, digests = [], [(x or "").removeprefix("sha1:") or None for x in said]
                 for k, (kind, block, ok) in enumerate(zip(kinds, blocks, fine)):
                     payload = None
                     if ok and kind == "response":
-                        top, _, body = block.partition(b"\r\n\r\n")
+                        top, _, body = b"".join(block).partition(b"\r\n\r\n")
                         payload = dechunked(body) if b"transfer-encoding: chunked" in top.lower() else body
                         digests[k], lengths[k] = payload_digest(payload), len(payload)
                     payloads.append(payload)

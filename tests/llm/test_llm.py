@@ -594,6 +594,55 @@ def test_substring_dedup_corpus(spark):
     assert substring_dedup.dedup(frame).count() == 0
 
 
+def cut_by_hand(rows, length):
+    """Texts without their repeated passages, a character that a cut splits left out, for rows that keep a word."""
+    data = [(t or "").encode() for _, t in rows]
+    count = collections.Counter(d[k : k + length] for d in data for k in range(len(d) - length + 1))
+    out = []
+    for (i, _), d in zip(rows, data):
+        gone = np.zeros(len(d) + 1, dtype=int)
+        for k in range(len(d) - length + 1):
+            if count[d[k : k + length]] > 1:
+                gone[k] += 1
+                gone[k + length] -= 1
+        gone = np.cumsum(gone)[: len(d)] > 0
+        edges = np.flatnonzero(np.diff(gone.astype(int), prepend=1, append=1))
+        kept = "".join(d[a:b].decode("utf-8", "ignore") for a, b in zip(edges[::2], edges[1::2]))
+        if kept.split():
+            out.append((repr(i), kept))
+    return sorted(out)
+
+
+def test_pipeline_stages(spark, odd):
+    """Each stage on what the one before it keeps, and on odd rows, against plain computations."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    clash = odd.withColumns({c: F.lit(c) for c in ("epoch", "place", "kept", "node", "at", "row", "ka", "failed_bits", "weight")})
+    for start in (spark.read.parquet(f"{SF}/documents.parquet"), clash):
+        docs = start
+        for name in ("quality rules", "near duplicates", "repeated passages", "source mixing"):
+            before = [(r.doc_id, r.text) for r in docs.collect()]
+            docs = stages[name](spark, docs, SF).persist()
+            after = [(r.doc_id, r.text) for r in docs.collect()]
+            assert docs.columns == start.columns, name
+            if name == "quality rules":
+                good = collections.Counter(repr(r.doc_id) for r in quality_rules.apply_policy(quality_rules.ledger(start), "web-1").where("kept").collect())
+                assert collections.Counter(repr(i) for i, _ in after) == good and set(after) <= set(before)
+                assert all(len((t or "").split()) >= 10 for _, t in after)
+            if name == "near duplicates" and all(i is not None for i, _ in before):
+                assert sorted(i for i, _ in after) == kept_by_brute_force([(i, t or "") for i, t in before])
+            if name == "repeated passages":
+                assert sorted((repr(i), t) for i, t in after) == cut_by_hand(before, corpus_pipeline.PASSAGE)
+            if name == "source mixing":
+                times = collections.Counter(map(repr, after))
+                assert set(times) == set(map(repr, before)) and max(times.values(), default=1) <= 2 * max(collections.Counter(map(repr, before)).values(), default=1)
+        pieces = stages["packing"](spark, docs, SF).select("doc_id").distinct().count()
+        assert pieces == docs.select("doc_id").distinct().count()
+        for stage in stages.values():
+            assert stage(spark, start.limit(0), SF).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
