@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import SPAN, slot
+
 ORDER = ["timestamp", "cycle_index"]
 
 
@@ -53,87 +55,100 @@ def weighted_error(df: DataFrame, delta: float = 1.0) -> DataFrame:
         F.avg(F.greatest(zero, -pulse)).alias("order_penalty"), F.avg(F.greatest(zero, PULSE[0] - pulse) + F.greatest(zero, pulse - PULSE[1])).alias("pulse_penalty"), F.avg(outside).alias("range_penalty"))
 
 
-#: Rows of a patient that a task runs the average over at a time.
-EMA_BLOCK = 4096
-_EMA = "patient_id int, cycle_index int, block bigint, alpha double, " + ", ".join(f"{t}_true double, {t}_seen boolean, {t}_factor double, {t}_offset double" for t in ("sbp", "dbp"))
+_TARGETS = ("sbp", "dbp")
+_PART = "patient_id int, slot bigint, alpha double, n bigint, " + ", ".join(f"{t}_head array<double>, {t}_first double, {t}_factor double, {t}_offset double" for t in _TARGETS)
+_START = "patient_id int, slot bigint, alpha double, before bigint, sbp double, dbp double"
+_EMA = "patient_id int, cycle_index int, alpha double, " + ", ".join(f"{t}_true double, {t}_pred double" for t in _TARGETS)
+
 
+def _after(state: float | None, readings: list[float], alpha: float) -> float | None:
+    """The average after some readings (NaN: none); without one so far, the first reading is the average."""
+    for y in readings:
+        if y == y:
+            state = y if state is None else alpha * y + (1 - alpha) * state
+    return state
 
-def _ema_steps(rows: DataFrame, alphas: tuple[float, ...], block: int) -> DataFrame:
-    """For each row and alpha, the average before it as an affine function of the average at the start of its block.
 
-    rows: patient_id, cycle_index, k (from 0), sbp, dbp and, for each, `<t>_counts` (whether the reading moves the average)
-    and `<t>_seen` (whether there is an average by then).
+def _ema(rows: DataFrame, alphas: tuple[float, ...], warmup: int | None) -> DataFrame:
+    """Predictions for rows (patient_id, slot, timestamp, cycle_index, sbp, dbp).
+
+    The average is an affine recurrence. Each range of a patient gives its rows as a factor and an offset (and its first
+    readings as they are, where a warm-up may end among them); these few numbers are carried along the patient; then each
+    range runs over its rows from where the one before ended. Both passes read the same exchange of rows.
     """
+    head = warmup or 0
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        parts = []
+    def parts(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(ORDER, na_position="first")
+        made = []
         for a in alphas:
-            made = {"patient_id": pdf["patient_id"], "cycle_index": pdf["cycle_index"], "block": pdf["block"], "alpha": a}
-            for t in ("sbp", "dbp"):
-                y, moves = pdf[t].to_numpy(dtype=float), pdf[f"{t}_counts"].to_numpy(dtype=bool)
-                factor = np.concatenate(([1.0], np.cumprod(np.where(moves, 1 - a, 1.0))))
-                # a run that starts at 0: the part that does not hang on the block's start
-                offset, here = np.zeros(len(y) + 1), 0.0
-                for j, (v, m) in enumerate(zip(y.tolist(), moves.tolist())):
-                    here = a * v + (1 - a) * here if m else here
-                    offset[j + 1] = here
-                made |= {f"{t}_true": y, f"{t}_seen": pdf[f"{t}_seen"], f"{t}_factor": factor[:-1], f"{t}_offset": offset[:-1]}
-            parts.append(pd.DataFrame(made))
-            last = {"patient_id": pdf["patient_id"].iloc[-1:], "cycle_index": None, "block": pdf["block"].iloc[-1:], "alpha": a}
-            for t in ("sbp", "dbp"):
-                y, moves = pdf[t].iloc[-1], bool(pdf[f"{t}_counts"].iloc[-1])
-                f, o = made[f"{t}_factor"][-1], made[f"{t}_offset"][-1]
-                last |= {f"{t}_true": None, f"{t}_seen": None, f"{t}_factor": f * (1 - a) if moves else f, f"{t}_offset": a * y + (1 - a) * o if moves else o}
-            parts.append(pd.DataFrame(last))
-        out = pd.concat(parts)
-        return out.astype({"cycle_index": "Int32"})
-
-    blocks = rows.withColumn("block", F.expr(f"k div {block}"))
-    return blocks.groupBy("patient_id", "block").applyInPandas(run, _EMA)
-
-
-def _ema(rows: DataFrame, alphas: tuple[float, ...], block: int) -> DataFrame:
-    """patient_id, cycle_index, alpha, `<t>_true` and `<t>_pred`, the average before the row (or, where there is none yet, the reading itself); rows also hold `<t>_start`."""
-    steps = _ema_steps(rows, alphas, block)
-    starts = rows.groupBy("patient_id").agg(F.max("sbp_start").alias("sbp_start"), F.max("dbp_start").alias("dbp_start"))
-    ends = steps.where("cycle_index IS NULL").groupBy("patient_id", "alpha").agg(F.array_sort(F.collect_list(F.struct("block", "sbp_factor", "sbp_offset", "dbp_factor", "dbp_offset"))).alias("ends")).join(starts, "patient_id")
-
-    def carried(t: str) -> Column:
-        """The average at the start of each block: one number for each block."""
-        return F.aggregate("ends", F.array(F.col(f"{t}_start")), lambda acc, e: F.concat(acc, F.array(e[f"{t}_factor"] * F.element_at(acc, -1) + e[f"{t}_offset"])))
-
-    blocks = ends.select("patient_id", "alpha", F.explode(F.arrays_zip(F.col("ends.block").alias("block"), carried("sbp").alias("sbp"), carried("dbp").alias("dbp"))).alias("b")).where("b.block IS NOT NULL")
-    at = blocks.select("patient_id", "alpha", "b.block", F.col("b.sbp").alias("sbp_from"), F.col("b.dbp").alias("dbp_from"))
-    ema = lambda t: F.col(f"{t}_factor") * F.col(f"{t}_from") + F.col(f"{t}_offset")
-    sbp, dbp = (F.when(F.col(f"{t}_seen"), ema(t)).otherwise(F.col(f"{t}_true")).alias(f"{t}_pred") for t in ("sbp", "dbp"))
-    return steps.where("cycle_index IS NOT NULL").join(at, ["patient_id", "alpha", "block"]).select("patient_id", "cycle_index", "alpha", "sbp_true", sbp, "dbp_true", dbp)
-
-
-def ema_baseline(df: DataFrame, alphas: tuple[float, ...] = (0.1,), block: int = EMA_BLOCK) -> DataFrame:
+            part = {"patient_id": pdf["patient_id"].iloc[0], "slot": pdf["slot"].iloc[0], "alpha": a, "n": len(pdf)}
+            for t in _TARGETS:
+                y = pdf[t].to_numpy(dtype=float)
+                rest = y[head:][~np.isnan(y[head:])]
+                part |= {f"{t}_head": y[:head], f"{t}_first": rest[0] if len(rest) else None, f"{t}_factor": (1 - a) ** len(rest), f"{t}_offset": _after(0.0, rest.tolist(), a)}
+            made.append(part)
+        return pd.DataFrame(made)
+
+    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Of one patient and alpha, for each range: the rows before it, and the average that its first prediction comes from."""
+        pdf = pdf.sort_values("slot")
+        a, before, state = float(pdf["alpha"].iloc[0]), 0, dict.fromkeys(_TARGETS)
+        warm: dict[str, list[float]] = {t: [] for t in _TARGETS}
+        made = []
+        for r in pdf.itertuples(index=False):
+            m = min(max(head - before, 0), int(r.n))  # rows of the warm-up
+            firsts = {t: [float("nan") if y is None else y for y in getattr(r, f"{t}_head")] for t in _TARGETS}
+            for t in _TARGETS:
+                warm[t] += [y for y in firsts[t][:m] if y == y]
+                if before < head <= before + m:
+                    state[t] = sum(warm[t]) / len(warm[t]) if warm[t] else None
+            made.append((r.patient_id, r.slot, a, before, *state.values()))
+            before += int(r.n)
+            for t in _TARGETS:
+                if warmup is None or (before >= head and state[t] is not None):
+                    state[t] = _after(state[t], firsts[t][m:], a)
+                    if not pd.isna(first := getattr(r, f"{t}_first")):
+                        state[t] = getattr(r, f"{t}_factor") * (first if state[t] is None else state[t]) + getattr(r, f"{t}_offset")
+        return pd.DataFrame(made, columns=["patient_id", "slot", "alpha", "before", *_TARGETS])
+
+    def run(pdf: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(ORDER, na_position="first")
+        made = []
+        for start in starts.itertuples(index=False):
+            skip = min(max(head - int(start.before), 0), len(pdf))
+            out = {"patient_id": pdf["patient_id"].to_numpy()[skip:], "cycle_index": pdf["cycle_index"].to_numpy()[skip:], "alpha": start.alpha}
+            for t in _TARGETS:
+                y, state, shown = pdf[t].to_numpy(dtype=float)[skip:], float(getattr(start, t)), []
+                for v in y.tolist():
+                    if state != state and warmup is None:
+                        state = v  # the first reading predicts itself
+                    shown.append(state)
+                    state = start.alpha * v + (1 - start.alpha) * state if v == v else state
+                out |= {f"{t}_true": y, f"{t}_pred": shown}
+            made.append(pd.DataFrame(out))
+        return pd.concat(made, ignore_index=True)
+
+    starts = rows.groupBy("patient_id", "slot").applyInPandas(parts, _PART).groupBy("patient_id", "alpha").applyInPandas(carry, _START)
+    return rows.groupBy("patient_id", "slot").cogroup(starts.groupBy("patient_id", "slot")).applyInPandas(run, _EMA)
+
+
+def _readings(df: DataFrame, span: float) -> DataFrame:
+    return df.select("patient_id", slot(ORDER[0], span).alias("slot"), *ORDER, *[F.col(f"{t}_reference").alias(t) for t in _TARGETS])
+
+
+def ema_baseline(df: DataFrame, alphas: tuple[float, ...] = (0.1,), span: float = SPAN) -> DataFrame:
     """Predictions by the running average of earlier beats, for each alpha. The first beat calibrates and predicts
     itself; a missing reading holds the average.
 
-    The average is an affine recurrence: tasks run over blocks of a patient's rows, and only a factor and an offset are
-    carried from block to block, so no patient is held in one task.
+    patient_id, cycle_index, alpha, `<t>_true`, `<t>_pred`. No task holds more of a patient than a range of `span` seconds.
     """
-    order = Window.partitionBy("patient_id").orderBy(*ORDER)
-    whole, past = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), order.rowsBetween(Window.unboundedPreceding, -1)
-    made = []
-    for t in ("sbp", "dbp"):
-        y = F.col(f"{t}_reference")
-        made += [y.alias(t), y.isNotNull().alias(f"{t}_counts"), F.first(y, ignorenulls=True).over(whole).alias(f"{t}_start"), (F.count(y).over(past) > 0).alias(f"{t}_seen")]
-    return _ema(df.select("patient_id", "cycle_index", (F.row_number().over(order) - 1).alias("k"), *made), alphas, block)
+    return _ema(_readings(df, span), alphas, None)
 
 
-def ema_warmup(df: DataFrame, alpha: float = 0.1, warmup: int = 50, block: int = EMA_BLOCK) -> DataFrame:
+def ema_warmup(df: DataFrame, alpha: float = 0.1, warmup: int = 50, span: float = SPAN) -> DataFrame:
     """The variant that starts from the mean of the first `warmup` rows and predicts from the row after these on."""
-    order = Window.partitionBy("patient_id").orderBy(*ORDER)
-    numbered = df.select("patient_id", "cycle_index", (F.row_number().over(order) - 1).alias("k"), *[F.col(f"{t}_reference").alias(t) for t in ("sbp", "dbp")])
-    every = Window.partitionBy("patient_id")
-    rows = numbered.withColumns({f"{t}_start": F.avg(F.when(F.col("k") < warmup, F.col(t))).over(every) for t in ("sbp", "dbp")}).where(F.col("k") >= warmup)
-    rows = rows.withColumns({f"{t}_counts": F.col(t).isNotNull() for t in ("sbp", "dbp")} | {f"{t}_seen": F.lit(True) for t in ("sbp", "dbp")})
-    return _ema(rows, (alpha,), block).drop("alpha")
+    return _ema(_readings(df, span), (alpha,), warmup).drop("alpha")
 
 
 def alpha_sweep(df: DataFrame, alphas: tuple[float, ...] = (0.05, 0.1, 0.2, 0.3)) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import BLOCK, SPAN, blocks, in_block, ranked
 from .quantiles import numbered
 
 def fill_static(df: DataFrame, numbers: list[str], texts: list[str]) -> DataFrame:
@@ -84,14 +85,15 @@ def fit_transform_scaler(df: DataFrame, split: DataFrame, columns: list[str]) ->
     return scale(rows, fit_scaler(rows.where("part = 'train'"), columns), columns)
 
 
-def sliding_sequences(df: DataFrame, dynamic: list[str], targets: list[str], size: int = 30, numbers: list[str] = [], codes: list[str] = []) -> DataFrame:
-    """All windows of `size` rows of patients with more rows than that; static numbers and codes, and targets, come from the last row."""
-    order = Window.partitionBy("patient_id").orderBy("timestamp", "cycle_index")
+def sliding_sequences(df: DataFrame, dynamic: list[str], targets: list[str], size: int = 30, numbers: list[str] = [], codes: list[str] = [], span: float = SPAN, block: int = BLOCK) -> DataFrame:
+    """All windows of `size` rows of patients with more rows than that; static numbers and codes, and targets, come from
+    the last row. Windows are made in blocks that also hold the rows before them."""
     listed = lambda columns, kind: F.array(*[F.col(c).cast(kind) for c in columns]).cast(f"array<{kind}>")
-    wide = df.select(
-        "patient_id", "cycle_index", F.collect_list(listed(dynamic, "float")).over(order.rowsBetween(1 - size, 0)).alias("seq"), F.row_number().over(order).alias("__k"), F.count(F.lit(1)).over(Window.partitionBy("patient_id")).alias("__n"),
-        listed(numbers, "float").alias("static_cont"), listed(codes, "int").alias("static_cat"), listed(targets, "float").alias("target"))
-    return wide.where((F.col("__k") >= size) & (F.col("__n") > size)).select("patient_id", F.col("cycle_index").alias("end_idx"), "seq", "static_cont", "static_cat", "target")
+    made = df.select(
+        "patient_id", "timestamp", "cycle_index", listed(dynamic, "float").alias("__row"), listed(numbers, "float").alias("static_cont"), listed(codes, "int").alias("static_cat"), listed(targets, "float").alias("target"))
+    rows = blocks(ranked(made, "patient_id", ("timestamp", "cycle_index"), span).where(F.col("n") > size), size - 1, max(block, size))
+    wide = rows.withColumn("seq", F.collect_list("__row").over(in_block("patient_id").rowsBetween(1 - size, 0)))
+    return wide.where(F.col("own") & (F.col("k") >= size - 1)).select("patient_id", F.col("cycle_index").alias("end_idx"), "seq", "static_cont", "static_cat", "target")
 
 
 def sample_rows(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import masked_corr, percent, ptt_column, reasons, safe_corr
-from .quantiles import quantiles, wide_quantiles
+from .ordered import BLOCK, blocks, in_block, ranked
+from .quantiles import summarised, wide_quantiles
 
 
 def quality_report(df: DataFrame, low_correlation: float = 0.7) -> DataFrame:
     """All metrics and flags of a beat table in one row: counts, shares, means and spreads on valid rows, correlations on
-    valid rows (0 up to 100 of them). One aggregation, one for rows per patient and one for the median.
+    valid rows (0 up to 100 of them). One aggregation (with a sketch for the median, see
+    `summarised`), and one for rows per patient.
     """
     c, n = F.col, F.count(F.lit(1))
     ptt, pat, ra, sbp, dbp, hr = (c(x) for x in ("ptt_peak_to_peak", "pat_ecg_ppg", "amplitude_ratio_ra", "sbp_reference", "dbp_reference", "hr_bpm"))
@@ -28,7 +30,7 @@ def quality_report(df: DataFrame, low_correlation: float = 0.7) -> DataFrame:
 
     per_patient = df.groupBy("patient_id").agg(n.alias("n")).agg(F.count("patient_id").alias("total_patients"), F.avg("n").alias("samples_per_patient_mean"), F.stddev_samp("n").alias("samples_per_patient_std"))
     valid_ptt = (ptt > 0) & (ptt < 500)
-    report = df.agg(
+    aggregates = [
         n.alias("total_samples"), F.count_distinct("session_id").alias("total_sessions"),
         *share("ptt_zeros", ptt == 0), F.count_if(ptt < 30).alias("ptt_outliers_low"), F.count_if(ptt > 300).alias("ptt_outliers_high"), *spread("ptt", ptt, ptt > 0),
         *share("pat_zeros", pat == 0), *spread("pat", pat, pat > 0),
@@ -39,10 +41,10 @@ def quality_report(df: DataFrame, low_correlation: float = 0.7) -> DataFrame:
         F.count_if(c("cycle_correlation") < low_correlation).alias("low_correlation_count"), percent(c("cycle_correlation") < low_correlation).alias("low_correlation_pct"), F.avg("cycle_correlation").alias("correlation_mean"),
         related("ptt_sbp_correlation", "ptt_peak_to_peak", "sbp_reference", valid_ptt), related("ptt_dbp_correlation", "ptt_peak_to_peak", "dbp_reference", valid_ptt),
         related("pat_sbp_correlation", "pat_ecg_ppg", "sbp_reference", (pat > 0) & (pat < 600)), related("hr_sbp_correlation", "hr_bpm", "sbp_reference", (hr > 30) & (hr < 200)),
-    )
-    median = wide_quantiles(df.where(ptt > 0), "ptt_peak_to_peak", {"ptt_median": 0.5})
+    ]
+    report = wide_quantiles(df.withColumn("__ptt", F.when(ptt > 0, ptt)), "__ptt", {"ptt_median": 0.5}, aggregates)
     flags = {"has_valid_ptt_bp_relationship": c("ptt_sbp_correlation") < -0.3, "has_sufficient_samples": c("total_samples") > 100_000, "has_good_signal_quality": c("low_correlation_pct") < 30}
-    return one_row(report, per_patient, median).withColumns(flags)
+    return one_row(report, per_patient).withColumns(flags)
 
 
 def one_row(*parts: DataFrame) -> DataFrame:
@@ -115,23 +117,26 @@ def null_profile(df: DataFrame) -> DataFrame:
 
 def session_duration(df: DataFrame) -> DataFrame:
     each = df.groupBy("session_id").agg((F.max("timestamp") - F.min("timestamp")).alias("d"))
-    return one_row(each.agg(F.min("d").alias("least"), F.max("d").alias("most")), wide_quantiles(each, "d", {"median": 0.5}))
+    return wide_quantiles(each, "d", {"median": 0.5}, [F.min("d").alias("least"), F.max("d").alias("most")])
 
 
 def summary_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, mean, spread and exact quartiles of each column."""
     long = df.select(*columns).unpivot([], columns, "column", "x").where("x IS NOT NULL")
-    plain = long.groupBy("column").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("least"), F.max("x").alias("most"))
-    q = quantiles(long, "column", "x", (0.25, 0.5, 0.75)).groupBy("column").agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n) for n, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))])
-    return plain.join(q, "column").select("column", "n", "mean", "std", "least", "q25", "q50", "q75", "most")
-
-
-def temporal_integrity(df: DataFrame) -> DataFrame:
-    """Per session: repeated time stamps, steps back, gaps over 5 s, and breaks in the cycle numbers."""
-    order = Window.partitionBy("session_id").orderBy("cycle_index")
-    d = F.col("timestamp") - F.lag("timestamp").over(order)
-    rows = df.select("session_id", "timestamp", d.alias("d"), (F.col("cycle_index") - F.lag("cycle_index").over(order)).alias("step"))
-    return rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) - F.count_distinct("timestamp")).alias("duplicates"), F.count_if(F.col("d") <= 0).alias("backward"), F.count_if(F.col("d") > 5).alias("gaps"), F.count_if(F.col("step") != 1).alias("breaks"))
+    plain = [F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("least"), F.max("x").alias("most")]
+    return summarised(long, "column", "x", (0.25, 0.5, 0.75), plain).select("column", "n", "mean", "std", "least", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q25", "q50", "q75"))], "most")
+
+
+def temporal_integrity(df: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Per session: repeated time stamps, steps back, gaps over 5 s, and breaks in the cycle numbers. A row is compared
+    with the one before in blocks that begin with the last row of the block before."""
+    order = in_block("session_id")
+    rows = blocks(ranked(df.select("session_id", "timestamp", "cycle_index"), "session_id", ("cycle_index",), block), 1, block)
+    steps = rows.select("session_id", "own", (F.col("timestamp") - F.lag("timestamp").over(order)).alias("d"), (F.col("cycle_index") - F.lag("cycle_index").over(order)).alias("step")).where("own")
+    seen = steps.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("d") <= 0).alias("backward"), F.count_if(F.col("d") > 5).alias("gaps"), F.count_if(F.col("step") != 1).alias("breaks"))
+    times = df.groupBy("session_id", "timestamp").agg(F.lit(1)).groupBy(F.col("session_id").alias("__session")).agg(F.count("timestamp").alias("times"))
+    both = seen.join(times, F.col("session_id").eqNullSafe(F.col("__session")))
+    return both.select("session_id", "n", (F.col("n") - F.col("times")).alias("duplicates"), "backward", "gaps", "breaks")
 
 
 def validation_verdict(df: DataFrame) -> DataFrame:

@@ -1,5 +1,5 @@
-"""Exact quantiles and ranks over any number of rows: values are counted first, then dealt into ranges, so that no task
-ever holds a whole column."""
+"""Exact quantiles and ranks over any number of rows: a sketch narrows a quantile down to few values, which are counted;
+no task ever holds a whole column."""
 
 from __future__ import annotations
 
@@ -8,37 +8,66 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that the values of a column are dealt into.
-PARTS = 200
+#: Rank error of the sketches is a part in so many of all rows; groups of fewer values are counted as they are.
+SKETCH = 10_000
 
 
-def quantiles(long: DataFrame, key: str, x: str, at: Sequence[float], parts: int = PARTS) -> DataFrame:
-    """(key, p, value): exact quantiles, with linear interpolation, of `x` in each of a few groups of `key`.
+def summarised(long: DataFrame, key: str | None, x: str, at: Sequence[float], plain: Sequence[Column] = (), sketch: int = SKETCH) -> DataFrame:
+    """`key`, the (named) aggregates `plain`, n (values) and q, an array of the exact quantiles `at` with linear interpolation, for
+    each of a few groups of `key`: two scans in all.
 
-    Approximate quantiles cut the values into ranges of about equal size. Equal values are counted before they are
-    shuffled; ranks come from the ranges' sums and a sort inside each range. What is broadcast is `parts` numbers for
-    each key, so keys have to be few (columns, or the categories of a report); a null key is a group of its own.
+    The first scan makes the plain statistics and, for each quantile, a sketch's values on both sides of its rank. The
+    second counts the values between these, of which there are few, and how many lie in the gaps before them; with that
+    the ranks are exact. Equal values are counted before they are shuffled. A wanted rank outside its bounds, which the
+    sketch's guarantee excludes, raises. Keys have to be few (columns, or the categories of a report), as their bounds
+    come to the driver and are broadcast; a null key is a group of its own. Without a key there is one group, of all rows.
     """
-    rows = long.where(F.col(x).isNotNull()).select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key")).alias("g"), F.col(x).cast("double").alias("x"))
-    cuts = rows.groupBy("g").agg(F.percentile_approx("x", [k / parts for k in range(1, parts)], 10 * parts).alias("cuts"), F.count(F.lit(1)).alias("total"))
-    counted = rows.groupBy("g", "x").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(cuts), "g")
-    dealt = counted.withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("x")))).drop("cuts")
-    sums = dealt.groupBy("g", "range").agg(F.sum("n").alias("held"))
-    before = sums.select("g", "range", (F.sum("held").over(Window.partitionBy("g").orderBy("range")) - F.col("held")).alias("before"))
-    upto = F.sum("n").over(Window.partitionBy("g", "range").orderBy("x"))
-    ranked = dealt.join(F.broadcast(before), ["g", "range"]).select("g", "x", "n", "total", (F.col("before") + upto).alias("upto"))
-    place = (F.col("total") - 1) * F.col("p")
-    each = ranked.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in at]))).withColumn("place", place)
-    holds = lambda k: (F.col("upto") - F.col("n") <= k) & (k < F.col("upto"))
-    low, high = F.floor("place"), F.ceil("place")
-    ends = each.where(holds(low) | holds(high)).groupBy("g", "p").agg(F.max("place").alias("place"), F.max(F.when(holds(low), F.col("x"))).alias("a"), F.max(F.when(holds(high), F.col("x"))).alias("b"))
-    return ends.select(F.col("g.key").alias(key), "p", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("place") - F.floor("place"))).alias("value"))
-
-
-def wide_quantiles(df: DataFrame, column: str, at: dict[str, float]) -> DataFrame:
-    """One row: the quantiles of a column under their names; NULL where there is no value."""
-    q = quantiles(df.select(F.lit(column).alias("column"), F.col(column).alias("x")), "column", "x", list(at.values()))
-    return q.agg(*[F.max(F.when(F.abs(F.col("p") - p) < 1e-12, F.col("value"))).alias(n) for n, p in at.items()])
+    spark = long.sparkSession
+    order = sorted(range(len(at)), key=lambda i: at[i])
+    ends = [min(1.0, max(0.0, at[i] + d)) for i in order for d in (-2.5 / sketch, 2.5 / sketch)]
+    group = F.struct((F.col(key) if key else F.lit(True)).alias("key"))
+    rows = long.withColumns({"__g": group, "__x": F.col(x).cast("double")})
+    aggregates = [*plain, F.count("__x").alias("__n"), F.percentile_approx("__x", ends, sketch).alias("__b")]
+    first = rows.groupBy("__g").agg(*aggregates) if key else rows.agg(*aggregates).withColumn("__g", group)
+    names = [c for c in first.columns if c not in ("__g", "__n", "__b")]
+
+    def bound(k: int, outside: str) -> Column:
+        return F.when((F.col("__n") <= sketch) | F.lit(ends[k] in (0.0, 1.0)), F.lit(float(outside))).otherwise(F.get("__b", F.lit(k)))
+
+    sides = first.withColumns({"__low": F.array(*[bound(2 * i, "-inf") for i in range(len(at))]), "__high": F.array(*[bound(2 * i + 1, "inf") for i in range(len(at))])}).drop("__b")
+    found = F.broadcast(spark.createDataFrame(sides.collect(), sides.schema))  # a row for each of the few groups
+
+    seen = rows.where("__x IS NOT NULL").select("__g", "__x").join(found.select("__g", "__low", "__high"), "__g")
+    # the first bracket that does not end before the value; where that has not begun, the value lies in the gap before it
+    part = sum(((F.col("__x") > F.get("__high", F.lit(i))).cast("int") for i in range(len(at))), F.lit(0))
+    dealt = seen.withColumn("__part", part)
+    counted = dealt.select("__g", "__part", F.when(F.col("__x") >= F.get("__low", F.col("__part")), F.col("__x")).alias("__x")).groupBy("__g", "__part", "__x").agg(F.count(F.lit(1)).alias("held"))
+    sums = counted.groupBy("__g", "__part").agg(F.sum("held").alias("all"), F.sum(F.when(F.col("__x").isNull(), F.col("held")).otherwise(0)).alias("gap"))
+    before = sums.select("__g", "__part", (F.sum("all").over(Window.partitionBy("__g").orderBy("__part")) - F.col("all") + F.col("gap")).alias("before"))
+    upto = F.col("before") + F.sum("held").over(Window.partitionBy("__g", "__part").orderBy("__x"))
+    ranked = counted.where("__x IS NOT NULL").join(F.broadcast(before), ["__g", "__part"]).join(found.select("__g", "__n"), "__g").withColumn("upto", upto)
+
+    place = lambda p: (F.col("__n") - 1) * F.lit(float(p))
+    at_rank = lambda k: F.max(F.when((F.col("upto") - F.col("held") <= k) & (k < F.col("upto")), F.col("__x")))
+    sought = ranked.groupBy("__g").agg(*[at_rank(f(place(p))).alias(f"{side}{i}") for i, p in enumerate(at) for side, f in (("a", F.floor), ("b", F.ceil))])
+
+    def value(i: int) -> Column:
+        a, b, share = F.col(f"a{i}"), F.col(f"b{i}"), place(at[i]) - F.floor(place(at[i]))
+        return F.when(F.col("__n") == 0, F.lit(None).cast("double")).when(a.isNull() | b.isNull(), F.raise_error("a rank lies outside its sketch bounds").cast("double")).otherwise(a + (b - a) * share)
+
+    return found.join(sought, "__g", "left").select(*([F.col("__g.key").alias(key)] if key else []), *names, F.col("__n").alias("n"), F.array(*[value(i) for i in range(len(at))]).alias("q"))
+
+
+def quantiles(long: DataFrame, key: str, x: str, at: Sequence[float]) -> DataFrame:
+    """(key, p, value): exact quantiles of `x` in each of a few groups of `key` that have values."""
+    each = summarised(long, key, x, at).where("n > 0")
+    return each.select(key, F.inline(F.array(*[F.struct(F.lit(float(p)).alias("p"), F.get("q", F.lit(i)).alias("value")) for i, p in enumerate(at)])))
+
+
+def wide_quantiles(df: DataFrame, column: str, at: dict[str, float], plain: Sequence[Column] = ()) -> DataFrame:
+    """One row: the aggregates `plain` over all rows, and the quantiles of a column, under their names; NULL where there is no value."""
+    one = summarised(df, None, column, list(at.values()), plain)
+    return one.select(*[c for c in one.columns if c not in ("n", "q")], *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(at)])
 
 
 def numbered(rows: DataFrame, order: Column, prefix: Sequence[int] = (1, 2, 4, 8), name: str = "k") -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import masked_corr, percent, ptt_column, safe_corr
-from .quantiles import quantiles, wide_quantiles
+from .moments import correlation, merged, record, shifted, single, variance
+from .ordered import BLOCK, SPAN, blocks, in_block, ranked
+from .quantiles import quantiles, summarised, wide_quantiles
 
 ORDER = ("timestamp", "cycle_index")
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9, 0.99)
@@ -69,20 +71,22 @@ def feature_bp_correlation(df: DataFrame, features: list[str], targets: tuple[st
 
 
 def global_vs_within(df: DataFrame, features: list[str], target: str = "sbp_reference", more_than: int = 30) -> DataFrame:
-    """Global r, mean and population spread of the patients' r, whether the sign flips, and r and r2 of patient-centred values."""
-    long = df.select("patient_id", target, *features).unpivot(["patient_id", target], features, "feature", "x")
-    each = long.groupBy("feature", "patient_id").agg(F.count(F.lit(1)).alias("n"), safe_corr("x", target).alias("r"), F.avg("x").alias("mx"))
-    means = df.groupBy("patient_id").agg(F.avg(target).alias("my"))
-    within = each.where(F.col("n") > more_than).groupBy("feature").agg(F.avg("r").alias("within_mean"), F.stddev_pop("r").alias("within_std"))
-    centred = long.join(each.select("feature", "patient_id", "mx"), ["feature", "patient_id"]).join(means, "patient_id")
-    overall = centred.groupBy("feature").agg(safe_corr("x", target).alias("global_r"), safe_corr(F.col("x") - F.col("mx"), F.col(target) - F.col("my")).alias("centred_r"))
-    return overall.join(within, "feature").withColumns({"sign_flip": F.signum("global_r") != F.signum("within_mean"), "centred_r2": F.col("centred_r") * F.col("centred_r")})
+    """Global r, mean and population spread of the patients' r, whether the sign flips, and r and r2 of patient-centred
+    values. One aggregation by patient; what spans patients is merged from its records."""
+    one = df.groupBy("patient_id").agg(F.count(F.lit(1)).alias("rows"), F.avg(target).alias("my"), *[c for k, f in enumerate(features) for c in (record(f, target).alias(f"m{k}"), F.avg(f).alias(f"x{k}"))])
+    parts = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"m{k}").alias("plain"), shifted(F.col(f"m{k}"), F.col(f"x{k}"), F.col("my")).alias("centred")) for k, f in enumerate(features)])
+    r = correlation(F.col("plain"))
+    each = one.select("patient_id", "rows", F.inline(parts)).withColumn("r", single(F.when(F.col("rows") > more_than, r)))
+    whole = merged(each, ["feature"], ["plain", "centred", "r"])
+    found = whole.select("feature", correlation(F.col("plain")).alias("global_r"), correlation(F.col("centred")).alias("centred_r"), F.when(F.col("r.n") > 0, F.col("r.mx")).alias("within_mean"), F.sqrt(variance(F.col("r"), 0)).alias("within_std"))
+    return found.withColumns({"sign_flip": F.signum("global_r") != F.signum("within_mean"), "centred_r2": F.col("centred_r") * F.col("centred_r")})
 
 
 def variance_decomposition(df: DataFrame, column: str) -> DataFrame:
-    each = df.groupBy("patient_id").agg(F.avg(column).alias("m"), F.var_samp(column).alias("v"))
-    parts = each.agg(F.var_samp("m").alias("between"), F.avg("v").alias("within"))
-    return parts.join(F.broadcast(df.agg(F.var_samp(column).alias("total"))), F.lit(True)).select(
+    """Sample variance in all, between patients' means and, on average, within patients: one pass over the rows."""
+    each = df.groupBy("patient_id").agg(record(column, column).alias("all"))
+    whole = merged(each.withColumns({"means": single(F.col("all.mx")), "inside": single(variance(F.col("all"), 1))}), [], ["all", "means", "inside"])
+    return whole.select(variance(F.col("all"), 1).alias("total"), variance(F.col("means"), 1).alias("between"), F.when(F.col("inside.n") > 0, F.col("inside.mx")).alias("within")).select(
         "total", "between", "within", (100 * F.col("between") / F.col("total")).alias("between_pct"), (100 * F.col("within") / F.col("total")).alias("within_pct"), F.try_divide("between", "within").alias("ratio"))
 
 
@@ -106,15 +110,18 @@ def linear_trend(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def theoretical_limits(df: DataFrame, column: str = "sbp_reference", wanted: float = 8.0) -> DataFrame:
     """The r2 that the wanted error needs, and the error that a feature of r = 0.24 allows, of patient-centred values."""
-    m = df.groupBy("patient_id").agg(F.avg(column).alias("__m"))
-    dev = df.join(m, "patient_id").agg(F.stddev_samp(F.col(column) - F.col("__m")).alias("std_dev"))
+    each = df.groupBy("patient_id").agg(record(column, column).alias("m"))  # centred values have the mean 0 in each patient
+    n, squares = F.sum("m.n"), F.sum("m.cxx")
+    dev = each.agg(F.when(n > 1, F.sqrt(squares / (n - 1))).alias("std_dev"))
     return dev.withColumn("required_r2", 1 - F.pow(F.lit(wanted) / F.col("std_dev"), 2)).withColumn("achievable_std", F.col("std_dev") * F.sqrt(F.lit(1 - min(0.24**2 * 2.5, 0.15))))
 
 
-def autocorrelation(df: DataFrame, column: str = "sbp_reference", lags: tuple[int, ...] = (1, 5, 10, 20, 50, 100)) -> DataFrame:
-    """Mean over patients of the correlation of a column with itself `lag` rows on. One sort by patient for all lags."""
-    order = Window.partitionBy("patient_id").orderBy(*ORDER)
-    wide = df.select("patient_id", column, F.count(F.lit(1)).over(Window.partitionBy("patient_id")).alias("n"), *[F.lag(column, k).over(order).alias(f"l{k}") for k in lags])
+def autocorrelation(df: DataFrame, column: str = "sbp_reference", lags: tuple[int, ...] = (1, 5, 10, 20, 50, 100), span: float = SPAN, block: int = BLOCK) -> DataFrame:
+    """Mean over patients of the correlation of a column with itself `lag` rows on. Blocks of rows with the rows that the
+    longest lag looks back to; their sums are merged by patient."""
+    order = in_block("patient_id")
+    rows = blocks(ranked(df.select("patient_id", *ORDER, column), "patient_id", ORDER, span), max(lags), max(block, max(lags)))
+    wide = rows.select("patient_id", column, "n", "own", *[F.lag(column, k).over(order).alias(f"l{k}") for k in lags]).where("own")
     each = wide.groupBy("patient_id").agg(F.max("n").alias("n"), *[safe_corr(column, f"l{k}").alias(f"r{k}") for k in lags])
     rows = F.array(*[F.struct(F.lit(k).alias("lag"), F.when(F.col("n") > k + 10, F.col(f"r{k}")).alias("r")) for k in lags])
     return each.select(F.inline(rows)).groupBy("lag").agg(F.avg("r").alias("autocorr"), F.count("r").alias("n_patients"))
@@ -126,20 +133,18 @@ def effective_sample_size(df: DataFrame, r: float = 0.94, skips: tuple[int, ...]
     return rows.withColumn("effective", F.col("n_skip") * (1 - F.col("r_skip")) / (1 + F.col("r_skip")))
 
 
-def quarter_correlation(df: DataFrame, at_least: int = 200) -> DataFrame:
+def quarter_correlation(df: DataFrame, at_least: int = 200, span: float = SPAN) -> DataFrame:
     """r of transit time and pressure in the quarters of each patient's rows."""
-    all_ = Window.partitionBy("patient_id")
-    rows = df.select("patient_id", F.col(ptt_column(df)).alias("x"), "sbp_reference", (F.row_number().over(all_.orderBy(*ORDER)) - 1).alias("k"), F.count(F.lit(1)).over(all_).alias("n")).where(F.col("n") >= at_least)
+    rows = ranked(df.select("patient_id", *ORDER, F.col(ptt_column(df)).alias("x"), "sbp_reference"), "patient_id", ORDER, span).where(F.col("n") >= at_least)
     q = F.when(F.col("k") < F.floor(F.col("n") / 4), 1).when(F.col("k") < F.floor(F.col("n") / 2), 2).when(F.col("k") < F.floor(3 * F.col("n") / 4), 3).otherwise(4)
     r = [safe_corr(F.when(q == i, F.col("x")), "sbp_reference").alias(f"q{i}") for i in range(1, 5)]
     flips = sum((F.when(F.signum(f"q{i}") != F.signum(f"q{i + 1}"), 1).otherwise(0) for i in range(1, 4)), F.lit(0))
     return rows.groupBy("patient_id").agg(*r).select("patient_id", "q1", "q2", "q3", "q4", (F.greatest("q1", "q2", "q3", "q4") - F.least("q1", "q2", "q3", "q4")).alias("range"), flips.alias("sign_changes"))
 
 
-def rolling_correlation(df: DataFrame) -> DataFrame:
+def rolling_correlation(df: DataFrame, span: float = SPAN) -> DataFrame:
     """r in windows of a quarter of a patient's rows, half a window apart."""
-    all_ = Window.partitionBy("patient_id")
-    rows = df.select("patient_id", F.col(ptt_column(df)).alias("x"), "sbp_reference", (F.row_number().over(all_.orderBy(*ORDER)) - 1).alias("k"), F.count(F.lit(1)).over(all_).alias("n"))
+    rows = ranked(df.select("patient_id", *ORDER, F.col(ptt_column(df)).alias("x"), "sbp_reference"), "patient_id", ORDER, span)
     rows = rows.withColumn("size", F.floor(F.col("n") / 4)).withColumn("step", F.floor(F.col("size") / 2)).where("step > 0")
     last, first = F.floor(F.col("k") / F.col("step")), F.greatest(F.lit(0), F.floor((F.col("k") - F.col("size")) / F.col("step")) + 1)
     each = rows.withColumn("w", F.explode(F.sequence(first, last))).where("w * step + size <= n")
@@ -190,8 +195,8 @@ def common_values(df: DataFrame, column: str, digits: int = 3, k: int = 20) -> D
 def column_agreement(df: DataFrame, a: str, b: str, values: tuple[float, ...] = (24.0, 26.0)) -> DataFrame:
     """How far two columns are apart, the spread of the first, and how often it is exactly one of a few values."""
     gap = F.abs(F.col(a) - F.col(b))
-    plain = df.agg(F.max(gap).alias("largest"), F.count_if(gap > 1).alias("n_apart"), F.avg(a).alias("mean"), F.min(a).alias("least"), F.max(a).alias("most"), *[F.count_if(F.col(a) == v).alias(f"at_{v:g}") for v in values])
-    return plain.join(F.broadcast(wide_quantiles(df, a, {"median": 0.5})), F.lit(True))
+    plain = [F.max(gap).alias("largest"), F.count_if(gap > 1).alias("n_apart"), F.avg(a).alias("mean"), F.min(a).alias("least"), F.max(a).alias("most"), *[F.count_if(F.col(a) == v).alias(f"at_{v:g}") for v in values]]
+    return wide_quantiles(df, a, {"median": 0.5}, plain)
 
 
 def fallback_share(df: DataFrame, column: str = "amplitude_ratio_ra", value: float = 0.5) -> DataFrame:
@@ -201,9 +206,9 @@ def fallback_share(df: DataFrame, column: str = "amplitude_ratio_ra", value: flo
 def fallback_rest(df: DataFrame, column: str = "amplitude_ratio_ra", value: float = 0.5) -> DataFrame:
     """Rows that are not at the fallback value against all rows: count, share, mean and median, pressure and rate."""
     rest = F.col(column) != value
-    means = [F.avg(x).alias(f"{n}_all") for n, x in (("sbp", F.col("sbp_reference")), ("hr", F.col("hr_bpm")))]
-    plain = df.agg(F.count_if(rest).alias("n_rest"), percent(rest).alias("rest_pct"), F.avg(F.when(rest, F.col(column))).alias("mean"), F.avg(F.when(rest, F.col("sbp_reference"))).alias("sbp_rest"), F.avg(F.when(rest, F.col("hr_bpm"))).alias("hr_rest"), *means)
-    return plain.join(F.broadcast(wide_quantiles(df.where(rest), column, {"median": 0.5})), F.lit(True))
+    means = [F.avg(F.when(rest, F.col(c))).alias(n) for n, c in (("mean", column), ("sbp_rest", "sbp_reference"), ("hr_rest", "hr_bpm"))]
+    plain = [F.count_if(rest).alias("n_rest"), percent(rest).alias("rest_pct"), *means, F.avg("sbp_reference").alias("sbp_all"), F.avg("hr_bpm").alias("hr_all")]
+    return wide_quantiles(df.withColumn("__rest", F.when(rest, F.col(column))), "__rest", {"median": 0.5}, plain)
 
 
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
@@ -292,9 +297,8 @@ def box_stats(df: DataFrame, column: str, target: str, top: int = 10, more_than:
     several = ranked.where((F.col("__rank") == top + 1) & (F.col("__n") > more_than)).agg((F.count(F.lit(1)) > 0).alias("__many"))
     chosen = ranked.where(F.col("__rank") <= top).join(F.broadcast(several), F.lit(True)).where(F.col("__many") | (F.col("__n") > more_than)).select(column)
     rows = seen.join(F.broadcast(chosen), column, "left_semi").where(F.col(target).isNotNull())  # `top` rows at most
-    plain = rows.groupBy(column).agg(F.min(target).alias("least"), F.max(target).alias("most"))
-    q = quantiles(rows, column, target, (0.25, 0.5, 0.75)).groupBy(column).agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n) for n, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))])
-    return plain.join(q, column).select(column, "least", "q25", "q50", "q75", "most")
+    made = summarised(rows, column, target, (0.25, 0.5, 0.75), [F.min(target).alias("least"), F.max(target).alias("most")])
+    return made.select(column, "least", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q25", "q50", "q75"))], "most")
 
 
 def target_percentiles(df: DataFrame, columns: tuple[str, ...] = ("sbp_reference", "dbp_reference"), at: tuple[float, ...] = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
