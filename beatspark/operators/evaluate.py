@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,10 +61,21 @@ _START = "patient_id int, slot bigint, alpha double, before bigint, sbp double,
 _EMA = "patient_id int, cycle_index int, alpha double, " + ", ".join(f"{t}_true double, {t}_pred double" for t in _TARGETS)
 
 
-def _after(state: float | None, readings: list[float], alpha: float) -> float | None:
-    """The average after some readings (NaN: none); without one so far, the first reading is the average."""
+_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
+
+
+def _schema(text: str) -> pa.Schema:
+    return pa.schema([(name, _ARROW[kind]) for name, kind in (c.split() for c in text.split(", "))])
+
+
+def _in_order(table: pa.Table) -> pa.Table:
+    return table.take(pc.sort_indices(table, [(c, "ascending") for c in ORDER], null_placement="at_start"))
+
+
+def _after(state: float | None, readings: list[float | None], alpha: float) -> float | None:
+    """The average after some readings; without one so far, the first reading is the average."""
     for y in readings:
-        if y == y:
+        if y is not None:
             state = y if state is None else alpha * y + (1 - alpha) * state
     return state
 
@@ -78,63 +89,62 @@ def _ema(rows: DataFrame, alphas: tuple[float, ...], warmup: int | None) -> Data
     """
     head = warmup or 0
 
-    def parts(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ORDER, na_position="first")
+    def parts(table: pa.Table) -> pa.Table:
+        table = _in_order(table)
         made = []
         for a in alphas:
-            part = {"patient_id": pdf["patient_id"].iloc[0], "slot": pdf["slot"].iloc[0], "alpha": a, "n": len(pdf)}
+            part = {"patient_id": table["patient_id"][0], "slot": table["slot"][0], "alpha": a, "n": table.num_rows}
             for t in _TARGETS:
-                y = pdf[t].to_numpy(dtype=float)
-                rest = y[head:][~np.isnan(y[head:])]
-                part |= {f"{t}_head": y[:head], f"{t}_first": rest[0] if len(rest) else None, f"{t}_factor": (1 - a) ** len(rest), f"{t}_offset": _after(0.0, rest.tolist(), a)}
+                y = table[t].to_pylist()
+                rest = [v for v in y[head:] if v is not None]
+                part |= {f"{t}_head": y[:head], f"{t}_first": rest[0] if rest else None, f"{t}_factor": (1 - a) ** len(rest), f"{t}_offset": _after(0.0, rest, a)}
             made.append(part)
-        return pd.DataFrame(made)
+        return pa.Table.from_pylist(made, _schema(_PART))
 
-    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
+    def carry(table: pa.Table) -> pa.Table:
         """Of one patient and alpha, for each range: the rows before it, and the average that its first prediction comes from."""
-        pdf = pdf.sort_values("slot")
-        a, before, state = float(pdf["alpha"].iloc[0]), 0, dict.fromkeys(_TARGETS)
+        before, state = 0, dict.fromkeys(_TARGETS)
         warm: dict[str, list[float]] = {t: [] for t in _TARGETS}
         made = []
-        for r in pdf.itertuples(index=False):
-            m = min(max(head - before, 0), int(r.n))  # rows of the warm-up
-            firsts = {t: [float("nan") if y is None else y for y in getattr(r, f"{t}_head")] for t in _TARGETS}
+        for r in table.sort_by("slot").to_pylist():
+            m = min(max(head - before, 0), r["n"])  # rows of the warm-up
             for t in _TARGETS:
-                warm[t] += [y for y in firsts[t][:m] if y == y]
+                warm[t] += [y for y in r[f"{t}_head"][:m] if y is not None]
                 if before < head <= before + m:
                     state[t] = sum(warm[t]) / len(warm[t]) if warm[t] else None
-            made.append((r.patient_id, r.slot, a, before, *state.values()))
-            before += int(r.n)
+            made.append({"patient_id": r["patient_id"], "slot": r["slot"], "alpha": r["alpha"], "before": before, **state})
+            before += r["n"]
             for t in _TARGETS:
                 if warmup is None or (before >= head and state[t] is not None):
-                    state[t] = _after(state[t], firsts[t][m:], a)
-                    if not pd.isna(first := getattr(r, f"{t}_first")):
-                        state[t] = getattr(r, f"{t}_factor") * (first if state[t] is None else state[t]) + getattr(r, f"{t}_offset")
-        return pd.DataFrame(made, columns=["patient_id", "slot", "alpha", "before", *_TARGETS])
+                    state[t] = _after(state[t], r[f"{t}_head"][m:], r["alpha"])
+                    if (first := r[f"{t}_first"]) is not None:
+                        state[t] = r[f"{t}_factor"] * (first if state[t] is None else state[t]) + r[f"{t}_offset"]
+        return pa.Table.from_pylist(made, _schema(_START))
 
-    def run(pdf: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ORDER, na_position="first")
+    def run(table: pa.Table, starts: pa.Table) -> pa.Table:
+        table = _in_order(table)
         made = []
-        for start in starts.itertuples(index=False):
-            skip = min(max(head - int(start.before), 0), len(pdf))
-            out = {"patient_id": pdf["patient_id"].to_numpy()[skip:], "cycle_index": pdf["cycle_index"].to_numpy()[skip:], "alpha": start.alpha}
+        for start in starts.to_pylist():
+            here = table.slice(min(max(head - start["before"], 0), table.num_rows))
+            out = [here["patient_id"], here["cycle_index"], pa.array([start["alpha"]] * here.num_rows, pa.float64())]
             for t in _TARGETS:
-                y, state, shown = pdf[t].to_numpy(dtype=float)[skip:], float(getattr(start, t)), []
-                for v in y.tolist():
-                    if state != state and warmup is None:
+                state, shown, a = start[t], [], start["alpha"]
+                for v in here[t].to_pylist():
+                    if state is None and warmup is None:
                         state = v  # the first reading predicts itself
                     shown.append(state)
-                    state = start.alpha * v + (1 - start.alpha) * state if v == v else state
-                out |= {f"{t}_true": y, f"{t}_pred": shown}
-            made.append(pd.DataFrame(out))
-        return pd.concat(made, ignore_index=True)
+                    if v is not None and state is not None:
+                        state = a * v + (1 - a) * state
+                out += [here[t], pa.array(shown, pa.float64())]
+            made.append(pa.table(out, schema=_schema(_EMA)))
+        return pa.concat_tables(made)
 
-    starts = rows.groupBy("patient_id", "slot").applyInPandas(parts, _PART).groupBy("patient_id", "alpha").applyInPandas(carry, _START)
-    return rows.groupBy("patient_id", "slot").cogroup(starts.groupBy("patient_id", "slot")).applyInPandas(run, _EMA)
+    starts = rows.groupBy("patient_id", "slot").applyInArrow(parts, _PART).groupBy("patient_id", "alpha").applyInArrow(carry, _START)
+    return rows.groupBy("patient_id", "slot").cogroup(starts.groupBy("patient_id", "slot")).applyInArrow(run, _EMA)
 
 
 def _readings(df: DataFrame, span: float) -> DataFrame:
-    return df.select("patient_id", slot(ORDER[0], span).alias("slot"), *ORDER, *[F.col(f"{t}_reference").alias(t) for t in _TARGETS])
+    return df.select(F.col("patient_id").cast("int").alias("patient_id"), slot(ORDER[0], span).alias("slot"), ORDER[0], F.col(ORDER[1]).cast("int").alias(ORDER[1]), *[F.col(f"{t}_reference").cast("double").alias(t) for t in _TARGETS])
 
 
 def ema_baseline(df: DataFrame, alphas: tuple[float, ...] = (0.1,), span: float = SPAN) -> DataFrame:

@@ -12,8 +12,7 @@ from .quantiles import summarised, wide_quantiles
 
 def quality_report(df: DataFrame, low_correlation: float = 0.7) -> DataFrame:
     """All metrics and flags of a beat table in one row: counts, shares, means and spreads on valid rows, correlations on
-    valid rows (0 up to 100 of them). One aggregation (with a sketch for the median, see
-    `summarised`), and one for rows per patient.
+    valid rows (0 up to 100 of them). One aggregation, one for rows per patient and one for the median.
     """
     c, n = F.col, F.count(F.lit(1))
     ptt, pat, ra, sbp, dbp, hr = (c(x) for x in ("ptt_peak_to_peak", "pat_ecg_ppg", "amplitude_ratio_ra", "sbp_reference", "dbp_reference", "hr_bpm"))
@@ -30,7 +29,7 @@ def quality_report(df: DataFrame, low_correlation: float = 0.7) -> DataFrame:
 
     per_patient = df.groupBy("patient_id").agg(n.alias("n")).agg(F.count("patient_id").alias("total_patients"), F.avg("n").alias("samples_per_patient_mean"), F.stddev_samp("n").alias("samples_per_patient_std"))
     valid_ptt = (ptt > 0) & (ptt < 500)
-    aggregates = [
+    report = df.agg(
         n.alias("total_samples"), F.count_distinct("session_id").alias("total_sessions"),
         *share("ptt_zeros", ptt == 0), F.count_if(ptt < 30).alias("ptt_outliers_low"), F.count_if(ptt > 300).alias("ptt_outliers_high"), *spread("ptt", ptt, ptt > 0),
         *share("pat_zeros", pat == 0), *spread("pat", pat, pat > 0),
@@ -41,10 +40,11 @@ def quality_report(df: DataFrame, low_correlation: float = 0.7) -> DataFrame:
         F.count_if(c("cycle_correlation") < low_correlation).alias("low_correlation_count"), percent(c("cycle_correlation") < low_correlation).alias("low_correlation_pct"), F.avg("cycle_correlation").alias("correlation_mean"),
         related("ptt_sbp_correlation", "ptt_peak_to_peak", "sbp_reference", valid_ptt), related("ptt_dbp_correlation", "ptt_peak_to_peak", "dbp_reference", valid_ptt),
         related("pat_sbp_correlation", "pat_ecg_ppg", "sbp_reference", (pat > 0) & (pat < 600)), related("hr_sbp_correlation", "hr_bpm", "sbp_reference", (hr > 30) & (hr < 200)),
-    ]
-    report = wide_quantiles(df.withColumn("__ptt", F.when(ptt > 0, ptt)), "__ptt", {"ptt_median": 0.5}, aggregates)
+    )
+    # a scan of its own: a sketch beside them would take all these aggregates out of generated code
+    median = wide_quantiles(df.where(ptt > 0), "ptt_peak_to_peak", {"ptt_median": 0.5})
     flags = {"has_valid_ptt_bp_relationship": c("ptt_sbp_correlation") < -0.3, "has_sufficient_samples": c("total_samples") > 100_000, "has_good_signal_quality": c("low_correlation_pct") < 30}
-    return one_row(report, per_patient).withColumns(flags)
+    return one_row(report, per_patient, median).withColumns(flags)
 
 
 def one_row(*parts: DataFrame) -> DataFrame:

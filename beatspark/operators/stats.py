@@ -73,10 +73,10 @@ def feature_bp_correlation(df: DataFrame, features: list[str], targets: tuple[st
 def global_vs_within(df: DataFrame, features: list[str], target: str = "sbp_reference", more_than: int = 30) -> DataFrame:
     """Global r, mean and population spread of the patients' r, whether the sign flips, and r and r2 of patient-centred
     values. One aggregation by patient; what spans patients is merged from its records."""
-    one = df.groupBy("patient_id").agg(F.count(F.lit(1)).alias("rows"), F.avg(target).alias("my"), *[c for k, f in enumerate(features) for c in (record(f, target).alias(f"m{k}"), F.avg(f).alias(f"x{k}"))])
-    parts = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"m{k}").alias("plain"), shifted(F.col(f"m{k}"), F.col(f"x{k}"), F.col("my")).alias("centred")) for k, f in enumerate(features)])
-    r = correlation(F.col("plain"))
-    each = one.select("patient_id", "rows", F.inline(parts)).withColumn("r", single(F.when(F.col("rows") > more_than, r)))
+    long = df.select("patient_id", target, *features).unpivot(["patient_id", target], features, "feature", "x")
+    one = long.groupBy("feature", "patient_id").agg(F.count(F.lit(1)).alias("rows"), F.avg("x").alias("mx"), F.avg(target).alias("my"), record("x", target).alias("plain"))
+    r = F.when(F.col("rows") > more_than, correlation(F.col("plain")))
+    each = one.select("feature", "patient_id", "plain", shifted(F.col("plain"), F.col("mx"), F.col("my")).alias("centred"), single(r).alias("r"))
     whole = merged(each, ["feature"], ["plain", "centred", "r"])
     found = whole.select("feature", correlation(F.col("plain")).alias("global_r"), correlation(F.col("centred")).alias("centred_r"), F.when(F.col("r.n") > 0, F.col("r.mx")).alias("within_mean"), F.sqrt(variance(F.col("r"), 0)).alias("within_std"))
     return found.withColumns({"sign_flip": F.signum("global_r") != F.signum("within_mean"), "centred_r2": F.col("centred_r") * F.col("centred_r")})
