@@ -18,11 +18,12 @@ result; other columns are ignored by `fingerprints`. A null id keeps its row, an
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import check_columns, discard, materialise
@@ -111,10 +112,10 @@ def links(fps: DataFrame, radius: int = 2, by: tuple[str, ...] = ()) -> DataFram
     flips = F.explode(F.array(F.lit(0).cast("bigint"), *[F.lit(_signed(1 << i)) for i in range(BITS)])).alias("flip")
     crowded = members.where(F.col("n") > PAIRWISE).select(*by, "fp").distinct()
     hubs = crowded.select(*by, "fp", flips)
-    groups = hubs.groupBy(*by, F.col("fp").bitwiseXOR(F.col("flip")).alias("hub")).agg(F.min("fp").alias("a"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)
-    stars = groups.select(*by, "a", F.explode("all").alias("b")).where("a <> b")
-    if radius == 1:
-        stars = stars.where(_distance(F.col("a"), F.col("b")) <= 1)
+    groups = hubs.groupBy(*by, F.col("fp").bitwiseXOR(F.col("flip")).alias("hub")).agg(F.min("fp").alias("least"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)
+    # at radius 1 the members of a hub are linked to the hub itself, where that is a fingerprint; at 2 to each other
+    centre = F.col("hub") if radius == 1 else F.col("least")
+    stars = groups.where(F.array_contains("all", F.col("hub")) if radius == 1 else F.lit(True)).select(*by, centre.alias("a"), F.explode("all").alias("b")).where("a <> b")
     return pairs.union(stars).distinct()
 
 
@@ -162,6 +163,8 @@ SKETCH, SHINGLE, BAND = 256, 5, 5
 #: Texts are copies of each other from this share of common shingles. Pairs of estimates under `CANDIDATE` are not
 #: compared; the estimate's standard error at 0.8 is 0.025, `CANDIDATE` lies six below.
 SIMILARITY, CANDIDATE = (4, 5), 0.65
+#: A member of a crowded band this close to a leader is as good as the leader: what is like it is, by so much less, like the leader.
+CLOSE = 0.97
 #: Bits of the hash that names a text, and texts of equal hashes up to which their list is broadcast.
 NODE_BITS, CLASHES = 64, 10_000
 #: Words of the texts of a group that one task compares; larger groups are dealt out by pairs of blocks.
@@ -210,33 +213,73 @@ def _bands(found: DataFrame) -> DataFrame:
     return found.select("node", "sketch").mapInArrow(run, "node bigint, key bigint")
 
 
-def _alike(pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sketches are alike enough to compare the texts."""
+def _alike(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the estimate of their similarity from the sketches, from `CANDIDATE` less the slack of `CLOSE` on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(n, SKETCH) for k in (2, 3))
             estimate = ((x == y).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
-            keep = pa.array(estimate >= CANDIDATE)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+            keep = pa.array(estimate >= CANDIDATE - (1 - CLOSE))
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (batch.column(0), batch.column(1), pa.array(estimate))], ["a", "b", "estimate"])
+
+    sketches = lambda c: found.select(F.col("node").alias(c), F.col("sketch").alias(f"{c}_sketch"))
+    both = pairs.distinct().join(sketches("a"), "a").join(sketches("b"), "b").select("a", "b", "a_sketch", "b_sketch")
+    return both.mapInArrow(run, "a bigint, b bigint, estimate double")
+
+
+def _pairs(members: DataFrame) -> DataFrame:
+    """All pairs (a, b) of the members (key, node) of small groups."""
+    small = members.groupBy("key").agg(F.collect_list("node").alias("all"))
+    return small.select("all", F.explode("all").alias("a")).select("a", F.explode(F.filter("all", lambda x: x > F.col("a"))).alias("b"))
 
-    return pairs.mapInArrow(run, "a bigint, b bigint")
+
+def _led(rows: DataFrame, leaders: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Compares the members of crowded groups (key, node, waiting) with their leaders (key, leader): the links found, and
+    the members that are not done with.
+
+    Texts like one leader are joined by it. A text that is `CLOSE` to a leader needs no more looking at. One that is like
+    a leader but not close still meets the leaders to come, as a text may be like it and not like the leader; one like no
+    leader is waiting, and may lead. A group without waiting members is done.
+    """
+    met = rows.join(leaders, "key").where("node <> leader")
+    alike = materialise(_alike(met.select(F.col("leader").alias("a"), F.col("node").alias("b")), found), "led")
+    seen = met.join(alike, (met.leader == alike.a) & (met.node == alike.b), "left").groupBy("key", "node").agg(F.max("estimate").alias("best"), F.first("waiting").alias("waiting"))
+    left = seen.join(leaders.select("key", F.col("leader").alias("node")), ["key", "node"], "left_anti").where(F.col("best").isNull() | (F.col("best") < CLOSE))
+    left = left.select("key", "node", (F.col("waiting") & F.col("best").isNull()).alias("waiting"))
+    return alike, materialise(left.join(left.where("waiting").select("key").distinct(), "key", "left_semi"), "waiting")
 
 
 def _candidates(found: DataFrame, bands: DataFrame, sized: DataFrame) -> DataFrame:
-    """Links (a, b) whose components hold every pair of near duplicates; `sized`: bands of several texts, and their number.
+    """Links (a, b) between alike sketches whose components hold every pair of near duplicates; `sized`: bands of several
+    texts, and their number.
 
-    Bands with few texts give the pairs of alike sketches. Crowded bands give stars that nothing has checked: they
-    may join too much, which the comparison of the texts parts again, but never too little.
+    Bands with few texts give their pairs. In a crowded band all texts are compared with one leader, which is enough where
+    they are copies. Where it is not, because texts meet in the band by chance, the texts that are left are split by each
+    second band besides: near duplicates that agree in one band agree in others. Groups that stay crowded are compared
+    with more and more leaders. Every link is between texts of alike sketches, so chance meetings join nothing.
     """
     members = bands.join(sized, "key")
-    small = members.where(F.col("n") <= PAIRWISE).groupBy("key").agg(F.collect_list("node").alias("all"))
-    pairs = small.select("all", F.explode("all").alias("a")).select("a", F.explode(F.filter("all", lambda x: x > F.col("a"))).alias("b")).distinct()
-    sketches = lambda c: found.select(F.col("node").alias(c), F.col("sketch").alias(f"{c}_sketch"))
-    alike = _alike(pairs.join(sketches("a"), "a").join(sketches("b"), "b").select("a", "b", "a_sketch", "b_sketch"))
-    stars = members.where((F.col("n") > PAIRWISE) & (F.col("node") > F.col("least"))).select(F.col("least").alias("a"), F.col("node").alias("b"))
-    return alike.union(stars.distinct())
+    crowded = members.where(F.col("n") > PAIRWISE)
+    links = [_alike(_pairs(members.where(F.col("n") <= PAIRWISE)), found).where(F.col("estimate") >= CANDIDATE)]
+    leaders = sized.where(F.col("n") > PAIRWISE).select("key", F.col("least").alias("leader"))
+    led, left = _led(crowded.select("key", "node", F.lit(True).alias("waiting")), leaders, found)
+    links.append(led)
+    if not left.isEmpty():
+        other = bands.select("node", F.col("key").alias("other"))
+        twice = left.select("key", "node").join(other, "node").where("key <> other").select("node", F.struct(F.least("key", "other").alias("one"), F.greatest("key", "other").alias("two")).alias("key")).distinct()
+        many = materialise(twice.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "double_bands")
+        both = twice.join(many, "key")
+        links.append(_alike(_pairs(both.where(F.col("n") <= PAIRWISE)), found).where(F.col("estimate") >= CANDIDATE))
+        left, several = materialise(both.where(F.col("n") > PAIRWISE).select("key", "node", F.lit(True).alias("waiting")), "waiting"), 1
+        while not left.isEmpty():
+            place = F.row_number().over(Window.partitionBy("key").orderBy("node"))
+            first = materialise(left.where("waiting").withColumn("place", place).where(F.col("place") <= several).select("key", F.col("node").alias("leader")), "leaders")
+            led, left = _led(left, first, found)
+            links.append(led)
+            several *= 4
+    return reduce(DataFrame.union, [x.select("a", "b") for x in links]).distinct()
 
 
 def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
