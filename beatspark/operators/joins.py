@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import slot
+
 FS = 500
 
 
@@ -37,7 +39,11 @@ def rr_intervals(peaks: DataFrame, fs: int = FS) -> DataFrame:
     return peaks.withColumn("end_idx", F.lead("sample_idx").over(order)).where("end_idx IS NOT NULL").withColumn("len_ms", (F.col("end_idx") - F.col("sample_idx")) * 1000.0 / fs).withColumn("hr", F.try_divide(F.lit(60000.0), F.col("len_ms")))
 
 
-def cycle_length_filter(beats: DataFrame, lo: float = 300, hi: float = 1500) -> DataFrame:
+# Lengths in ms that a beat can have.
+CYCLE_MS = (300, 1500)
+
+
+def cycle_length_filter(beats: DataFrame, lo: float = CYCLE_MS[0], hi: float = CYCLE_MS[1]) -> DataFrame:
     return beats.where(F.col("len_ms").between(lo, hi))
 
 
@@ -47,33 +53,55 @@ def rr_stats(beats: DataFrame, least: int = 10) -> DataFrame:
     return rr.where(F.col("n") + 1 >= least).withColumn("quality", F.greatest(F.lit(0.0), 1 - F.try_divide("rr_std", "rr_mean")))
 
 
-def nearest_bp(peaks: DataFrame, numerics: DataFrame, fs: int = FS, every: float = 2.0) -> DataFrame:
+def nearest_bp(peaks: DataFrame, numerics: DataFrame, fs: int = FS, every: float = 2.0, how: str = "inner") -> DataFrame:
     """Each peak with the numeric nearest in time: on a regular grid, an equi-join on the half-even grid number."""
     at = peaks.withColumn("bp_idx", F.bround(F.col("sample_idx") / fs / every, 0).cast("int"))
-    return at.join(numerics, ["caseid", "bp_idx"])
-
-
-def nearest_bp_irregular(peaks: DataFrame, numerics: DataFrame) -> DataFrame:
-    """The same for numerics at any times (caseid, t, sbp): both sides in one order, the last one before and the first
-    one after, and the nearer of both (the earlier, if they are equally near)."""
-    both = peaks.select("caseid", "t", F.lit(None).cast("double").alias("sbp"), F.lit(1).alias("is_peak"), "peak_no").unionByName(numerics.select("caseid", "t", "sbp", F.lit(0).alias("is_peak"), F.lit(None).cast("int").alias("peak_no")))
-    back = Window.partitionBy("caseid").orderBy("t", "is_peak").rowsBetween(Window.unboundedPreceding, 0)
-    on = Window.partitionBy("caseid").orderBy(F.desc("t"), F.desc("is_peak")).rowsBetween(Window.unboundedPreceding, 0)
-    value = F.when((F.col("is_peak") == 0) & F.col("sbp").isNotNull(), F.struct("t", "sbp"))
-    found = both.withColumn("before", F.last(value, ignorenulls=True).over(back)).withColumn("after", F.last(value, ignorenulls=True).over(on)).where("is_peak = 1")
-    nearer = F.when(F.col("after").isNull() | (F.col("t") - F.col("before.t") <= F.col("after.t") - F.col("t")), F.col("before")).otherwise(F.col("after"))
+    return at.join(numerics, ["caseid", "bp_idx"], how)
+
+
+def nearest_bp_irregular(peaks: DataFrame, numerics: DataFrame, width: float = 600.0) -> DataFrame:
+    """The same for numerics at any times (caseid, t, sbp): the last one before and the first one after, and the nearer of
+    both (the earlier, if they are equally near).
+
+    Both sides are dealt by stretches of time, and ordered inside them only. The last and first value of each stretch
+    are carried over to those that have none, on a table of a row for each stretch.
+    """
+    key = ["caseid", "slot"]
+    timed = lambda df: df.withColumn("slot", slot("t", width))
+    value = F.when(F.col("sbp").isNotNull(), F.struct("t", "sbp"))
+    readings = timed(numerics.select("caseid", "t", "sbp"))
+    ends = readings.groupBy(*key).agg(F.min(value).alias("first"), F.max(value).alias("last"))
+    along = Window.partitionBy("caseid").orderBy("slot")
+    every = ends.unionByName(timed(peaks.select("caseid", "t")).select(*key).distinct(), allowMissingColumns=True).groupBy(*key).agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    carried = every.select(*key, F.last("last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"), F.first("first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+
+    both = timed(peaks.select("caseid", "t", F.lit(None).cast("double").alias("sbp"), F.lit(1).alias("is_peak"), "peak_no")).unionByName(readings.select(*key, "t", "sbp", F.lit(0).alias("is_peak"), F.lit(None).cast("int").alias("peak_no")))
+    reading = F.when((F.col("is_peak") == 0) & F.col("sbp").isNotNull(), F.struct("t", "sbp"))
+    back = Window.partitionBy(*key).orderBy("t", "is_peak").rowsBetween(Window.unboundedPreceding, 0)
+    on = Window.partitionBy(*key).orderBy(F.desc("t"), F.desc("is_peak")).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("before", F.last(reading, ignorenulls=True).over(back)).withColumn("after", F.last(reading, ignorenulls=True).over(on)).where("is_peak = 1").join(carried, key)
+    before, after = F.coalesce("before", "earlier"), F.coalesce("after", "later")
+    nearer = F.when(after.isNull() | (F.col("t") - before["t"] <= after["t"] - F.col("t")), before).otherwise(after)
     return found.select("caseid", "peak_no", "t", nearer.alias("b")).select("caseid", "peak_no", "t", F.col("b.t").alias("bp_t"), F.col("b.sbp").alias("sbp"))
 
 
-def segment_cycles(samples: DataFrame) -> DataFrame:
-    """Samples (caseid, sample_idx, v, is_peak) cut at their peaks: a running sum in place of a range join.
+#: Samples of a stretch of a recording that is ordered by itself: ten minutes.
+STRETCH = 600 * FS
+
+
+def segment_cycles(samples: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """Samples (caseid, sample_idx, v, is_peak) cut at their peaks: a running sum in place of a range join, inside
+    stretches of a recording; the peaks of the stretches before are added.
 
     What lies before the first peak and the open last beat are left out."""
-    order = Window.partitionBy("caseid").orderBy("sample_idx")
-    cut = samples.withColumn("beat", F.sum(F.col("is_peak").cast("int")).over(order))
-    # the same distribution by case serves both windows
-    whole = cut.withColumn("last", F.max("beat").over(Window.partitionBy("caseid"))).where("beat > 0 AND beat < last")
-    return whole.groupBy("caseid", "beat").agg(F.min("sample_idx").alias("start"), F.transform(F.sort_array(F.collect_list(F.struct("sample_idx", "v"))), lambda x: x["v"]).alias("values"))
+    key = ["caseid", "slot"]
+    at = samples.withColumn("slot", slot("sample_idx", stretch))
+    held = at.groupBy(*key).agg(F.sum(F.col("is_peak").cast("bigint")).alias("held"))
+    along = Window.partitionBy("caseid")
+    before = held.select(*key, (F.sum("held").over(along.orderBy("slot")) - F.col("held")).alias("before"), F.sum("held").over(along).alias("last"))
+    inside = F.sum(F.col("is_peak").cast("int")).over(Window.partitionBy(*key).orderBy("sample_idx"))
+    cut = at.join(before, key).withColumn("beat", F.col("before") + inside).where("beat > 0 AND beat < last")
+    return cut.groupBy("caseid", "beat").agg(F.min("sample_idx").alias("start"), F.transform(F.sort_array(F.collect_list(F.struct("sample_idx", "v"))), lambda x: x["v"]).alias("values"))
 
 
 def metadata_defaults(df: DataFrame, text: tuple[str, ...], numbers: tuple[str, ...] = ()) -> DataFrame:

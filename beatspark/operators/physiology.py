@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.expr import ptt_column, reasons, safe_corr
 
 
+def recordable() -> Column:
+    """Both pressures are there, inside the recordable range."""
+    return F.col("sbp_reference").between(50, 250) & F.col("dbp_reference").between(30, 150)
+
+
 def reference_bp_filter(df: DataFrame) -> DataFrame:
-    """Beats with both pressures, inside the recordable range."""
-    return df.where(F.col("sbp_reference").between(50, 250) & F.col("dbp_reference").between(30, 150))
+    return df.where(recordable())
 
 
 def valid_beat(strict: bool = False) -> Column:

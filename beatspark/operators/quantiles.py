@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 SKETCH = 10_000
 
 
-def summarised(long: DataFrame, key: str | None, x: str, at: Sequence[float], plain: Sequence[Column] = (), sketch: int = SKETCH) -> DataFrame:
+def summarised(long: DataFrame, key: str | None, x: str, at: Sequence[float], plain: Sequence[Column] = (), parts: int = SKETCH) -> DataFrame:
     """`key`, the (named) aggregates `plain`, n (values) and q, an array of the exact quantiles `at` with linear interpolation, for
     each of a few groups of `key`: two scans in all.
 
@@ -24,15 +24,15 @@ def summarised(long: DataFrame, key: str | None, x: str, at: Sequence[float], pl
     """
     spark = long.sparkSession
     order = sorted(range(len(at)), key=lambda i: at[i])
-    ends = [min(1.0, max(0.0, at[i] + d)) for i in order for d in (-2.5 / sketch, 2.5 / sketch)]
+    ends = [min(1.0, max(0.0, at[i] + d)) for i in order for d in (-2.5 / parts, 2.5 / parts)]
     group = F.struct((F.col(key) if key else F.lit(True)).alias("key"))
     rows = long.withColumns({"__g": group, "__x": F.col(x).cast("double")})
-    aggregates = [*plain, F.count("__x").alias("__n"), F.percentile_approx("__x", ends, sketch).alias("__b")]
+    aggregates = [*plain, F.count("__x").alias("__n"), F.percentile_approx("__x", ends, parts).alias("__b")]
     first = rows.groupBy("__g").agg(*aggregates) if key else rows.agg(*aggregates).withColumn("__g", group)
     names = [c for c in first.columns if c not in ("__g", "__n", "__b")]
 
     def bound(k: int, outside: str) -> Column:
-        return F.when((F.col("__n") <= sketch) | F.lit(ends[k] in (0.0, 1.0)), F.lit(float(outside))).otherwise(F.get("__b", F.lit(k)))
+        return F.when((F.col("__n") <= parts) | F.lit(ends[k] in (0.0, 1.0)), F.lit(float(outside))).otherwise(F.get("__b", F.lit(k)))
 
     sides = first.withColumns({"__low": F.array(*[bound(2 * i, "-inf") for i in range(len(at))]), "__high": F.array(*[bound(2 * i + 1, "inf") for i in range(len(at))])}).drop("__b")
     found = F.broadcast(spark.createDataFrame(sides.collect(), sides.schema))  # a row for each of the few groups
@@ -58,9 +58,9 @@ def summarised(long: DataFrame, key: str | None, x: str, at: Sequence[float], pl
     return found.join(sought, "__g", "left").select(*([F.col("__g.key").alias(key)] if key else []), *names, F.col("__n").alias("n"), F.array(*[value(i) for i in range(len(at))]).alias("q"))
 
 
-def quantiles(long: DataFrame, key: str, x: str, at: Sequence[float]) -> DataFrame:
+def quantiles(long: DataFrame, key: str, x: str, at: Sequence[float], parts: int = SKETCH) -> DataFrame:
     """(key, p, value): exact quantiles of `x` in each of a few groups of `key` that have values."""
-    each = summarised(long, key, x, at).where("n > 0")
+    each = summarised(long, key, x, at, parts=parts).where("n > 0")
     return each.select(key, F.inline(F.array(*[F.struct(F.lit(float(p)).alias("p"), F.get("q", F.lit(i)).alias("value")) for i, p in enumerate(at)])))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import ptt_column
 from ..operators import cleaning, evaluate, modelprep, normalize, physiology, quality, stats
+from ..sources.stages import Stages
 from ..waves.recordings import build_beats as build_beats  # the job from recordings to beats
 
 
@@ -63,18 +64,18 @@ def dataset_limits(beats: DataFrame, features: list[str]) -> dict[str, DataFrame
         "norm": normalize.norm_check(normalize.patient_zscore(beats, features), [f"{c}_norm" for c in features])}
 
 
-def training_set(beats: DataFrame, dynamic: list[str], numbers: list[str] = [], categories: dict[str, int | None] = {}, targets: tuple[str, ...] = ("sbp_reference", "dbp_reference"), size: int = 30) -> DataFrame:
+def training_set(beats: DataFrame, dynamic: list[str], numbers: list[str] = [], categories: dict[str, int | None] = {}, targets: tuple[str, ...] = ("sbp_reference", "dbp_reference"), size: int = 30, stages: Stages | None = None) -> DataFrame:
     """Sequences of scaled features, with static numbers and category codes, and the part that their patient belongs to.
 
     Missing static values are filled from all rows, rare categories (beyond the given number of them) become 'Other',
     categories become codes, patients are split, and all numbers are scaled by the training rows.
     """
+    stages = stages or Stages(beats.sparkSession)  # dictionaries and the split are written, as the rows are used twice
     rows = modelprep.fill_static(beats, numbers, list(categories)) if numbers or categories else beats
     for c, k in categories.items():
-        # a dictionary has a row for each distinct value; kept, so that it is not made once for each use of the rows
-        codes = modelprep.category_codes(beats, c, k).withColumnsRenamed({"value": f"__{c}", "code": f"{c}_code"}).persist()
+        codes = stages.table(f"codes_{c}", lambda: modelprep.category_codes(beats, c, k)).withColumnsRenamed({"value": f"__{c}", "code": f"{c}_code"})
         rows = rows.join(codes, F.col(c) == F.col(f"__{c}")).drop(f"__{c}")
-    split = modelprep.patient_split(beats).persist()
+    split = stages.table("split", lambda: modelprep.patient_split(beats))
     scaled = modelprep.fit_transform_scaler(rows, split, [*dict.fromkeys([*dynamic, *numbers, *targets])])
     made = modelprep.sliding_sequences(scaled, dynamic, list(targets), size, numbers, [f"{c}_code" for c in categories])
     return made.join(split, "patient_id")

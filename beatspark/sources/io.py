@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import archives
+
 CASES = "caseid int, casestart int, caseend int, age double, sex string, height double, weight double, bmi double, preop_htn int, preop_dm int, asa int, optype string, ane_type string, department string, position string, approach string, aline1 string, dx string, opname string, preop_ecg string"
 METADATA = "caseid int, age double, sex string, bmi double, position string, approach string, aline1 string, dx string, opname string, preop_ecg string"
-#: Samples of a stored chunk.
-CHUNK = 10_000
-_WAVES = {"ecg": "wave_SNUADC_ECG_II", "ppg": "wave_SNUADC_PLETH"}
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
@@ -27,40 +23,57 @@ def read_beats(spark: SparkSession, path: str, schema: str | None = None, rows:
     return df.limit(rows) if rows else df
 
 
-def read_recordings(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks (caseid, chunk_id, start_sample, ecg, ppg, metadata) of all archives below a path.
+def read_recordings(spark: SparkSession, path: str, samples: int = archives.CHUNK * archives.CHUNKS) -> DataFrame:
+    """Chunks (caseid, chunk_id, start_sample, ecg, ppg, metadata) of all archives below a path, a task for each range of `samples`
+    (a multiple of a chunk).
 
     A file that cannot be read, or lacks a signal, gives one row with `error` and no samples.
     """
+    spark.dataSource.register(archives.WaveSource)
+    if samples % archives.CHUNK:
+        raise ValueError(f"samples: a multiple of {archives.CHUNK}")
+    return spark.read.format("beat_waves").option("samples", samples).load(path)
+
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for name, content in zip(pdf["path"], pdf["content"]):
-                digits = "".join(c for c in name.rsplit("/", 1)[-1] if c.isdigit())
-                case = int(digits) if digits else -1
-                try:
-                    stored = np.load(io.BytesIO(content), allow_pickle=False)
-                    ecg, ppg = (np.asarray(stored[k], dtype=float) for k in _WAVES.values())
-                    meta = str(stored["metadata"]) if "metadata" in stored else None
-                except Exception as e:  # a broken archive is data here, and reported as such
-                    yield pd.DataFrame([{"caseid": case, "chunk_id": -1, "start_sample": -1, "ecg": [], "ppg": [], "metadata": None, "error": type(e).__name__}])
-                    continue
-                n = min(len(ecg), len(ppg))
-                for k, at in enumerate(range(0, n, CHUNK)):
-                    yield pd.DataFrame([{"caseid": case, "chunk_id": k, "start_sample": at, "ecg": ecg[at : min(at + CHUNK, n)], "ppg": ppg[at : min(at + CHUNK, n)], "metadata": meta, "error": None}])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path).select("path", "content")
-    return files.mapInPandas(run, "caseid int, chunk_id int, start_sample bigint, ecg array<double>, ppg array<double>, metadata string, error string")
+def read_numerics(spark: SparkSession, path: str) -> DataFrame:
+    """The pressures (caseid, bp_idx, sbp, dbp; one every two seconds) of the same archives; `error` as with recordings."""
+    spark.dataSource.register(archives.NumericSource)
+    return spark.read.format("beat_numerics").load(path)
 
 
 def parse_metadata(df: DataFrame, column: str = "metadata") -> DataFrame:
     return df.withColumn("clinical", F.from_json(column, METADATA))
 
 
-def write_beats(df: DataFrame, path: str, buckets: int = 64) -> None:
-    """Parquet by bucket of patients, in time order inside a file, so that per-patient jobs read what they need."""
-    bucket = F.pmod(F.xxhash64("patient_id"), F.lit(buckets)).cast("int")
-    df.withColumn("patient_bucket", bucket).repartition("patient_bucket").sortWithinPartitions("patient_id", "timestamp", "cycle_index").write.mode("overwrite").partitionBy("patient_bucket").parquet(path)
+#: Rows of a file of beats.
+FILE_ROWS = 1_000_000
+
+
+def write_beats(df: DataFrame, path: str, ranges: int | None = None, rows: int = FILE_ROWS) -> None:
+    """Parquet in ranges of (patient, time), sorted, with at most `rows` rows a file, and a manifest of what patients each file has.
+
+    A patient with many rows spans several ranges; readers of one patient or time leave out files by the manifest, and row
+    groups by their statistics. `ranges`: how many; by the number of rows, if None.
+    """
+    count = ranges or max(1, -(-df.count() // rows))
+    dealt = df.repartitionByRange(count, "patient_id", "timestamp", "cycle_index").sortWithinPartitions("patient_id", "timestamp", "cycle_index")
+    dealt.write.mode("overwrite").option("maxRecordsPerFile", rows).parquet(path)
+    held = df.sparkSession.read.parquet(path).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min("patient_id").alias("first"), F.max("patient_id").alias("last"), F.count(F.lit(1)).alias("rows"))
+    held.coalesce(1).write.mode("overwrite").parquet(f"{path}/_manifest")  # a name that readers of the beats pass over
+
+
+def read_patients(spark: SparkSession, path: str, patients: list[int]) -> DataFrame:
+    """The beats of a few patients, from the files that the manifest names for them."""
+    wanted = F.array(*[F.lit(p) for p in patients]).cast("array<bigint>")
+    files = [r.file for r in spark.read.parquet(f"{path}/_manifest").where(F.exists(wanted, lambda p: p.between(F.col("first"), F.col("last")))).select("file").collect()]
+    whole = spark.read.parquet(path)
+    found = spark.read.schema(whole.schema).parquet(*[f"{path}/{f}" for f in files]) if files else whole.limit(0)
+    return found.where(F.col("patient_id").isin(*patients))
+
+
+def concat_beats(tables: list[DataFrame]) -> DataFrame:
+    """Separately stored batches under each other; columns that a batch lacks are NULL."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
 def write_patient_metrics(metrics: DataFrame, path: str) -> None:

@@ -1,7 +1,13 @@
 """Landmarks and features of one pulse beat, from its R-peak to the next. All places are samples from the R-peak.
 
-A beat goes through a few small steps: gate, orientation, systolic peak, foot, notch, ratios. Each step proposes
-candidates and settles on one, so that a beat without a clear landmark still gets a place that follows its shape.
+Each landmark has one definition on the signal and one substitute where the signal has no such place:
+
+* systolic peak: the most prominent maximum of the search range, else its highest place;
+* foot: where the tangent of the steepest rise before the peak meets the level of the lowest place before it, else that
+  lowest place;
+* dicrotic notch: the first valley behind the peak, else the strongest upward bend behind the first inflection, else none;
+* amplitude ratio: the fall from peak to notch over the rise from foot to peak; without a clear notch, the fall in as long
+  a time as the rise took.
 """
 
 from __future__ import annotations
@@ -10,12 +16,20 @@ import numpy as np
 
 from .kernels import FS, find_peaks, prominence, quality_gate, remove_spikes, smooth, welch_power
 
-# Times in ms and thresholds (shares of the beat's height) that the features are defined by.
-PEAK_FROM_MS, PEAK_TO_MS, PEAK_SHARE, PEAK_PROMINENCE = 80, 600, 0.7, 0.025
-FOOT_FROM_MS, FOOT_SEARCH_MS, UPSTROKE_MS, USUAL_UPSTROKE_MS = 20, 400, (25, 250), 80
-NOTCH_MS, NOTCH_SHARE, NOTCH_DROP = 350, 0.8, 0.25
-RATIO_LIMITS, RATIO_CLEAR, RATIO_DELAYS_MS = (0.15, 0.85), (0.05, 0.95), (50, 70, 90, 110, 130)
+# Search ranges in ms from the R-peak (the peak's and the foot's) or from the peak (the notch's), the parts
+# of a beat that bound them, and ratios that count as clear, or that a substitute is held to.
+PEAK_RANGE_MS, PEAK_PART = (80, 600), 0.7
+FOOT_FROM_MS, FOOT_BEFORE_PEAK_MS = 20, 10
+NOTCH_RANGE_MS, NOTCH_PART = (30, 350), 0.8
+RATIO_LIMITS, RATIO_CLEAR = (0.15, 0.85), (0.05, 0.95)
 SYSTOLIC_SHARE, DIASTOLIC_SHARE = 0.35, 0.65
+# Fixed values of the polarity: length of a window of slopes, how many are looked at and have to be there, and the share of
+# votes that turns a recording round.
+WINDOW_MS, WINDOWS, LEAST_WINDOWS, INVERTED_SHARE = 800, 50, 3, 0.6
+#: Widths (in samples) that slopes and bends are smoothed with.
+SLOPE_WIDTH, BEND_WIDTH = 3.0, 4.0
+#: Least height of a maximum above its surroundings, of a valley below them, and of a rise, in parts of the beat's height.
+CLEAR_PEAK, CLEAR_VALLEY, CLEAR_RISE = 0.02, 0.005, 0.01
 
 #: Features of a beat, in the order of the output.
 FEATURES = (
@@ -35,193 +49,58 @@ def scaled(x: np.ndarray) -> np.ndarray | None:
     return None if reach < 1e-6 else (x - least) / reach
 
 
-def clearest(x: np.ndarray, least: float, distance: int | None = None) -> int | None:
-    """The most prominent local maximum."""
-    peaks = find_peaks(x, distance=distance, least=least)
-    return int(peaks[np.argmax(prominence(x, peaks))]) if len(peaks) else None
-
-
 def systolic_peak(y: np.ndarray, fs: int = FS) -> int:
-    """The systolic peak of a scaled beat: the clearest maximum after the artefact of the R-peak, else where the upstroke levels off."""
-    first, n = _samples(PEAK_FROM_MS, fs), len(y)
-    if n < first + 20:
-        return int(y.argmax())
-    region = y[first : max(int(min(PEAK_SHARE * n, PEAK_TO_MS / 1000 * fs)), first + 50)]
-    if len(region) < 10:
-        return int(y.argmax())
-    peak = clearest(region, PEAK_PROMINENCE)
-    if peak is None:
-        slope = np.diff(region)
-        steepest = int(slope.argmax())
-        if slope[steepest] > 0.001:
-            level = np.flatnonzero(slope[steepest:] < 0.2 * slope[steepest])
-            peak = steepest + (int(level[0]) if len(level) else _samples(50, fs))
-        else:
-            peak = int(region.argmax())
-    return min(first + peak, n - 1)
-
-
-def starts_at_its_peak(clean: np.ndarray, searched: int, fs: int = FS) -> bool:
-    """Whether the beat falls from its start on: its peak lies before the R-peak."""
-    early = _samples(80, fs)
-    y = smooth(((clean - clean.min()) / (np.ptp(clean) + 1e-10))[:searched], 3)
-    if early >= len(y):
-        return False
-    at_once = y[: _samples(150, fs)].argmax() < _samples(20, fs)
-    falls, falling = y[0] - y[early - 1] > 0.15, np.mean(np.diff(y[:early]) < 0)
-    return bool((falls and at_once) or falling > 0.7 or (at_once and y[0] > 0.9))
-
-
-def _late_foot(y: np.ndarray, fs: int) -> int:
-    """The foot of a beat that starts at its peak: its deepest valley, away from the end."""
-    n, first = len(y), _samples(100, fs)
-    last = int(0.8 * n)
-    if last <= first + 10:
-        return int(0.4 * n)
-    region = smooth(y, 3)[first:last]
-    valleys = find_peaks(-region, least=0.05)
-    deepest = int(valleys[region[valleys].argmin()]) if len(valleys) else int(region.argmin())
-    found = first + deepest if len(valleys) or deepest < len(region) - 5 else n // 2
-    return max(first, min(found, last))
-
-
-def _upstroke_peak(y: np.ndarray, fs: int) -> int | None:
-    """The peak that the foot belongs to, in the searched part of a beat; None where that is too short."""
-    first, last = _samples(30, fs), min(_samples(500, fs), len(y))
-    if last <= first + 10:
-        return None
-    peak = clearest(y[first:last], 0.1, _samples(100, fs))
-    if peak is not None:
-        return first + peak
-    highest = int(y[first:last].argmax())
-    if highest >= 5:
-        return first + highest
-    sooner = _samples(15, fs)
-    peak = clearest(y[sooner:last], 0.05, _samples(50, fs))
-    return sooner + (int(y[sooner:last].argmax()) if peak is None else peak)
-
-
-def _foot_candidates(y: np.ndarray, peak: int, first: int, last: int, fs: int) -> list[int]:
-    """Where the beat bends upwards, where its steepest tangent meets the ground, where it has risen by a tenth, and its last valley."""
-    found, slope = [], np.diff(y)
-    bend = np.diff(slope)[first : min(len(y) - 2, last)]
-    if len(bend) > 5:
-        bend = smooth(bend, 2)
-        at = int(bend.argmax())
-        inside = 2 < at < len(bend) - 3
-        if inside or (at <= 2 and bend[at] > 1.2 * bend[3:8].mean()):
-            found.append(first + at)
-    rise = slope[first : min(len(slope), last)]
-    if len(rise) > 5 and rise.max() > 0.003:
-        steepest = first + int(rise.argmax())
-        ground = y[first : max(steepest, first + 1)].min()
-        meets = int(np.clip(steepest - (y[steepest] - ground) / rise.max(), first, last))
-        if meets < last:
-            found.append(meets)
+    """The systolic peak of a scaled beat."""
+    n = len(y)
+    first = min(_samples(PEAK_RANGE_MS[0], fs), n // 4)
+    last = max(first + 1, min(_samples(PEAK_RANGE_MS[1], fs), int(PEAK_PART * n)))
     region = y[first:last]
-    if len(region) > 5:
-        top = y[peak] if peak < len(y) else region.max()
-        risen = np.flatnonzero(region > region.min() + 0.1 * (top - region.min()))
-        found += [first + int(risen[0])] if len(risen) else []
-        valleys = find_peaks(-region, distance=_samples(20, fs))
-        found.append(first + int(valleys[-1] if len(valleys) else region.argmin()))
-    return found
+    peaks = find_peaks(region, least=CLEAR_PEAK)
+    return first + int(peaks[prominence(region, peaks).argmax()] if len(peaks) else region.argmax())
 
 
-def pulse_foot(beat: np.ndarray, search_ms: float = FOOT_SEARCH_MS, fs: int = FS) -> int:
-    """The foot of the pulse wave in an upright beat; 0 where none can be told."""
-    n, first = len(beat), _samples(FOOT_FROM_MS, fs)
-    if n < 50:
-        return 0
-    searched = min(_samples(search_ms, fs), n)
-    clean, at = remove_spikes(beat, 4.0), np.arange(n)
-    y = scaled(clean - np.polyval(np.polyfit(at, clean, 1), at) + clean.mean())
-    if y is None:
-        return 0
-    if starts_at_its_peak(clean, searched, fs):
-        return _late_foot(y, fs)
-    y = smooth(y[:searched], 3)
-    peak = _upstroke_peak(y, fs)
-    if peak is None:
-        return 0
-    last = max(first + 5, peak - _samples(10, fs))
-    if last <= first + 5:
-        return max(min(int(0.15 * n), peak - 5), first)
-    usual = peak - _samples(USUAL_UPSTROKE_MS, fs)
-    found = _foot_candidates(y, peak, first, last, fs)
-    likely = [c for c in found if UPSTROKE_MS[0] <= (peak - c) / fs * 1000 <= UPSTROKE_MS[1]]
-    if likely:
-        foot = int(np.median(likely))
-    else:
-        foot = min(found, key=lambda c: abs(c - usual)) if found else max(usual, first)
-    return max(min(foot, peak - 5), first)
-
-
-def foot_of_beat(y: np.ndarray, peak: int, fs: int = FS) -> int:
-    """The foot of a scaled beat, searched before its systolic peak; never in the first 10 ms."""
-    to_peak = peak / fs * 1000
-    foot = pulse_foot(y, min(FOOT_SEARCH_MS, to_peak) if to_peak > 50 else FOOT_SEARCH_MS, fs)
-    if foot / fs * 1000 >= 10:
-        return foot
-    first = min(10, len(y) // 10)
-    last = max(first + 10, min(int(0.4 * len(y)), peak))
-    foot = first + int(y[first:last].argmin())
-    ms = foot / fs * 1000
-    return _samples(50, fs) if ms < 50 else _samples(120, fs) if ms > 250 else foot
+def pulse_foot(y: np.ndarray, peak: int, fs: int = FS) -> int:
+    """The foot of a scaled beat with its peak, by intersecting tangents."""
+    last = max(peak - _samples(FOOT_BEFORE_PEAK_MS, fs), 0)
+    first = min(_samples(FOOT_FROM_MS, fs), last)
+    calm = smooth(remove_spikes(y, 4.0), SLOPE_WIDTH)
+    rise = np.gradient(calm)[first : peak + 1] if peak > first else np.zeros(1)
+    steepest = first + int(rise.argmax())
+    lowest = first + int(calm[first : steepest + 1].argmin())
+    if rise.max() <= 0 or calm[steepest] - calm[lowest] < CLEAR_RISE:
+        return first + int(calm[first : last + 1].argmin())
+    meets = steepest - (calm[steepest] - calm[lowest]) / rise.max()
+    return int(np.clip(round(meets), max(first, lowest), last))
 
 
 def dicrotic_notch(y: np.ndarray, peak: int, fs: int = FS) -> int | None:
-    """The notch behind the systolic peak: the median of a bend, a valley, the end of the steepest fall and a quarter's fall."""
-    last = min(peak + min(_samples(NOTCH_MS, fs), int(NOTCH_SHARE * (len(y) - peak))), len(y) - 2)
-    if last - peak < 15:
+    """The notch behind the systolic peak of a scaled beat; None where the beat is too short or falls without a bend."""
+    last = peak + min(_samples(NOTCH_RANGE_MS[1], fs), int(NOTCH_PART * (len(y) - peak)))
+    first = peak + _samples(NOTCH_RANGE_MS[0], fs)
+    if last - first < 5:
         return None
-    after = smooth(y[peak:last], 2)
-    slope, found = np.diff(after), []
-    turns = np.flatnonzero(np.diff(np.sign(np.diff(slope))))
-    found += [int(turns[0]) + 1] if len(turns) else []
-    valleys = find_peaks(-after, least=0.01)
-    found += [int(valleys[0])] if len(valleys) else []
-    fallen = min(int(slope.argmin()) + 5, len(slope) - 1)
-    found += [fallen] if 10 < fallen < _samples(150, fs) else []
-    lower = np.flatnonzero(after < after[0] - NOTCH_DROP * (after[0] - after[-1]))
-    found += [int(lower[0])] if len(lower) and lower[0] > 3 else []
-    return peak + int(np.median(found)) if found else None
-
-
-def _area_share(y: np.ndarray, peak: int) -> float:
-    """Share of the beat's area that lies behind the peak."""
-    before, after = (y[:peak].sum() if peak > 0 else 1.0), y[peak:].sum()
-    return float(after / (before + after + 1e-6))
-
-
-def ratio_by_shape(y: np.ndarray, peak: int, foot: int, fs: int = FS) -> float:
-    """An amplitude ratio without a notch: how far the beat has fallen at several places behind the peak."""
-    height = abs(y[peak] - y[foot])
-    if height < 0.01:
-        return float(np.clip(0.2 + 0.5 * _area_share(y, peak), 0.25, 0.75))
-    places = [peak + _samples(ms, fs) for ms in RATIO_DELAYS_MS]
-    levels = [y[p] for p in places if p < len(y)]
-    first, last = peak + _samples(20, fs), min(peak + _samples(200, fs), len(y) - 1)
-    if last > first + 5:
-        region = y[first:last]
-        valleys = find_peaks(-region, distance=_samples(30, fs))
-        levels.append(region[valleys[0]] if len(valleys) else region.min())
-    if peak - foot > 10 and (decay := peak + int(0.4 * (peak - foot))) < len(y):
-        levels.append(y[decay])
-    drops = [abs(y[peak] - v) / height for v in levels]
-    drops = [d for d in drops if 0.1 < d < 0.95]
-    ratio = float(np.median(drops)) if drops else 0.3 + 0.4 * _area_share(y, peak)
-    return float(np.clip(ratio, *RATIO_LIMITS))
+    calm = smooth(y, BEND_WIDTH)
+    valleys = find_peaks(-calm[first:last], least=CLEAR_VALLEY)
+    if len(valleys):
+        return first + int(valleys[0])
+    bend = np.gradient(np.gradient(calm))[peak:last]
+    inflected = np.flatnonzero((bend[:-1] <= 0) & (bend[1:] > 0))
+    if not len(inflected):
+        return None
+    return peak + int(inflected[0]) + 1 + int(bend[inflected[0] + 1 :].argmax())
 
 
-def amplitude_ratio(y: np.ndarray, peak: int, foot: int, notch: int | None, fs: int = FS) -> float:
-    """Fall from peak to notch over the height from foot to peak, or by shape where that says nothing."""
-    height = abs(y[peak] - y[foot])
-    if notch is not None and height > 0.01:
-        ratio = abs(y[peak] - y[notch]) / height
+def amplitude_ratio(y: np.ndarray, peak: int, foot: int, notch: int | None) -> float:
+    """How much of its rise a scaled beat falls back by its notch."""
+    height = y[peak] - y[foot]
+    if notch is not None and height > CLEAR_RISE:
+        ratio = (y[peak] - y[notch]) / height
         if RATIO_CLEAR[0] <= ratio <= RATIO_CLEAR[1]:
             return float(ratio)
-    return ratio_by_shape(y, peak, foot, fs)
+    mirrored = min(2 * peak - foot, len(y) - 1)
+    # a beat without a rise is taken by the share of its area that lies behind its peak
+    ratio = (y[peak] - y[mirrored]) / height if height > CLEAR_RISE else y[peak:].sum() / max(y.sum(), CLEAR_RISE)
+    return float(np.clip(ratio, *RATIO_LIMITS))
 
 
 def _half_width(y: np.ndarray, fs: int) -> float:
@@ -244,7 +123,7 @@ def extract(beat: np.ndarray, inverted: bool | None = None, fs: int = FS, gate:
         return None, "flat"
     ms = lambda samples: float(samples) / fs * 1000
     peak = systolic_peak(y, fs)
-    foot = foot_of_beat(y, peak, fs)
+    foot = pulse_foot(y, peak, fs)
     notch = dicrotic_notch(y, peak, fs)
     rise = np.diff(y[: peak + 1])
     steepest = int(rise.argmax()) if len(rise) >= 2 else 0
@@ -258,7 +137,7 @@ def extract(beat: np.ndarray, inverted: bool | None = None, fs: int = FS, gate:
     cardiac, low, share = welch_power(beat, fs) if n > 10 else (0.0, 0.0, 0.0)
     values = (
         ms(foot), ms(peak), ms(steepest), ms(peak), ms(foot), ms(steepest), max(0.0, ms(steepest - foot)),
-        amplitude_ratio(y, peak, foot, notch, fs), ms(n) * SYSTOLIC_SHARE if notch is None else max(0.0, ms(notch - foot)), ms(n) * DIASTOLIC_SHARE if notch is None else ms(n - notch),
+        amplitude_ratio(y, peak, foot, notch), ms(n) * SYSTOLIC_SHARE if notch is None else max(0.0, ms(notch - foot)), ms(n) * DIASTOLIC_SHARE if notch is None else ms(n - notch),
         slope.max(), slope.min(), abs(slope.min() / (slope.max() + 1e-6)), bend.max(), bend.min(),
         before / whole if whole > 0 else 0.5, _half_width(y, fs), ms(peak), reflected,
         beat.mean(), spread, (centred**3).mean() / spread**3, (centred**4).mean() / spread**4 - 3, cardiac, low, share,
@@ -267,21 +146,23 @@ def extract(beat: np.ndarray, inverted: bool | None = None, fs: int = FS, gate:
 
 
 def polarity_vote(beat: np.ndarray, fs: int = FS) -> int:
-    """1 if a (high-passed) beat of 600 ms from its R-peak looks inverted, 0 if upright, -1 if it says nothing: whichever
-    of the extremes between 50 and 350 ms is clearly farther from the mean is the pulse; else the earlier one is.
+    """1 if a (high-passed) beat of 600 ms from its R-peak looks inverted, 0 if upright, -1 if it says nothing. A pulse is a
+    short way off a long level, so the side of the longer tail is the side that it points to.
     """
-    region = beat[_samples(50, fs) : _samples(350, fs)]
-    if np.ptp(beat) < 0.01 or len(region) < 20:
+    away = beat - beat.mean()
+    spread = away.std()
+    if len(beat) < _samples(100, fs) or np.ptp(beat) < 0.01 or spread < 1e-9:
         return -1
-    up, down = abs(region.max() - beat.mean()), abs(region.min() - beat.mean())
-    if up > 1.2 * down or down > 1.2 * up:
-        return int(down > up)
-    return int(region.argmin() <= region.argmax())
+    return int((away**3).mean() < 0)
+
+
+def falls_first(window: np.ndarray) -> bool:
+    """Whether a window of (high-passed) slopes has its steepest fall before its steepest rise, as inverted pulses do."""
+    return bool(window.argmin() < window.argmax())
 
 
-def polarity_by_slope(ppg: np.ndarray, fs: int = FS, most: int = 50) -> bool:
-    """Whether a (high-passed) recording without R-peaks looks inverted: it falls before it rises in most windows of 800 ms."""
-    size = _samples(800, fs)
-    slope = np.diff(ppg)
-    windows = [slope[k * size : (k + 1) * size] for k in range(min(len(slope) // size, most))]
-    return len(slope) // size >= 3 and sum(w.argmin() < w.argmax() for w in windows) > 0.6 * len(windows)
+def polarity_by_slope(ppg: np.ndarray, fs: int = FS, most: int = WINDOWS) -> bool:
+    """Whether a (high-passed) recording without R-peaks looks inverted: most of its first windows fall first."""
+    size, slope = _samples(WINDOW_MS, fs), np.diff(ppg)
+    votes = [falls_first(slope[k * size : (k + 1) * size]) for k in range(min(len(slope) // size, most))]
+    return len(votes) >= LEAST_WINDOWS and sum(votes) > INVERTED_SHARE * len(votes)

@@ -6,13 +6,16 @@ chunks: caseid, chunk_id, start_sample, ecg, ppg (arrays of doubles, NULL or NaN
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import joins, physiology, select
+from ..functions.expr import first_failed
+from ..operators import joins, physiology, quality, select
+from ..sources.stages import Stages
 from . import beats as beat_kernels
 from . import kernels
 from .chunks import detect_r_peaks, with_halo
@@ -22,8 +25,8 @@ from .kernels import FS
 POINTS, LEAST_LIKENESS = 200, 0.85
 #: Longest beat in ms; a beat may reach so far into the next chunk.
 LONGEST_MS = 1500
-#: Beats of a polarity vote, and the share of votes that turns a recording round.
-VOTERS, INVERTED_SHARE = 30, 0.6
+#: Beats of a polarity vote.
+VOTERS = 30
 #: Samples of context of the polarity's high-pass.
 _DRIFT_HALO = 4 * FS
 
@@ -112,24 +115,48 @@ def cut_beats(chunks: DataFrame, spans: DataFrame, column: str, fs: int = FS) ->
     return cut.where(F.size(column) == F.col("end_idx") - F.col("sample_idx")).drop("__x", "held", "size", "start_sample")
 
 
-def detect_polarity(chunks: DataFrame, peaks: DataFrame, fs: int = FS) -> DataFrame:
-    """caseid and inverted: a vote of beats from the start, the first quarter, the middle and the end of each recording
-    (of all beats, where there are few), on the pulse signal without its drift.
-    """
-    halo = with_halo(chunks, "ppg", _DRIFT_HALO)
+def without_drift(chunks: DataFrame, column: str = "ppg", fs: int = FS) -> DataFrame:
+    """caseid, chunk_id, start_sample and the signal high-passed at half a Hertz, each chunk with the context of its neighbours."""
 
     def flat(left: pd.Series, own: pd.Series, right: pd.Series) -> pd.Series:
         return pd.Series([kernels.zero_phase(np.concatenate([np.asarray(x, dtype=float) for x in parts]), 0.5, None, 2, fs)[len(parts[0]) : len(parts[0]) + len(parts[1])] for parts in zip(left, own, right)])
 
-    steady = halo.select("caseid", "chunk_id", "start_sample", F.pandas_udf(flat, "array<double>")("left_halo", "ppg", "right_halo").alias("ppg"))
+    halo = with_halo(chunks, column, _DRIFT_HALO)
+    return halo.select("caseid", "chunk_id", "start_sample", F.pandas_udf(flat, "array<double>")("left_halo", column, "right_halo").alias(column))
+
+
+def beat_votes(steady: DataFrame, peaks: DataFrame, fs: int = FS) -> DataFrame:
+    """caseid, votes and share (of votes for inverted): beats from the start, the first quarter, the middle and the end of
+    each recording, or all beats where there are few."""
     n, k = F.col("n"), F.least(F.lit(VOTERS), F.floor(F.col("n") / 4))
     at = lambda start: F.col("peak_no").between(start, start + k - 1)
     few = (n <= 100) & (F.col("peak_no") < n - 1)
     chosen = few | ((n > 100) & (at(F.lit(0)) | at(F.floor(n / 4)) | at(F.floor(n / 2)) | at(n - k - 1)))
     voters = peaks.join(peaks.groupBy("caseid").agg(F.count(F.lit(1)).alias("n")), "caseid").where(chosen).select("caseid", "sample_idx", (F.col("sample_idx") + int(0.6 * fs)).alias("end_idx"))
-    votes = cut_beats(steady, voters, "ppg", fs=fs).withColumn("vote", per_array(lambda x: beat_kernels.polarity_vote(x, fs), "int")("ppg")).where("vote >= 0")
-    cases = peaks.select("caseid").distinct()
-    return cases.join(votes.groupBy("caseid").agg(F.avg("vote").alias("share")), "caseid", "left").select("caseid", F.coalesce(F.col("share") > INVERTED_SHARE, F.lit(False)).alias("inverted"))
+    votes = cut_beats(steady, voters, "ppg", fs=fs).select("caseid", per_array(lambda x: beat_kernels.polarity_vote(x, fs), "int")("ppg").alias("vote")).where("vote >= 0")
+    return votes.groupBy("caseid").agg(F.count(F.lit(1)).alias("votes"), F.avg("vote").alias("share"))
+
+
+def window_votes(steady: DataFrame, fs: int = FS) -> DataFrame:
+    """The same for recordings without usable beats: windows of slopes from their start, which may cross the edges of chunks."""
+    size = beat_kernels.WINDOW_MS * fs // 1000
+    held = steady.groupBy("caseid").agg(F.sum(F.size("ppg")).alias("samples"))
+    count = F.least(F.lit(beat_kernels.WINDOWS), F.floor((F.col("samples") - 1) / size)).cast("int")
+    spans = held.where(count > 0).select("caseid", F.explode(F.sequence(F.lit(0), count - 1)).alias("w")).select("caseid", (F.col("w") * size).cast("bigint").alias("sample_idx"), ((F.col("w") + 1) * size + 1).cast("bigint").alias("end_idx"))
+    fall = per_array(lambda x: int(beat_kernels.falls_first(np.diff(x))), "int")
+    votes = cut_beats(steady, spans, "ppg", fs=fs).select("caseid", fall("ppg").alias("vote"))
+    return votes.groupBy("caseid").agg(F.count(F.lit(1)).alias("votes"), F.avg("vote").alias("share")).where(F.col("votes") >= beat_kernels.LEAST_WINDOWS)
+
+
+def detect_polarity(chunks: DataFrame, peaks: DataFrame, fs: int = FS, stages: Stages | None = None) -> DataFrame:
+    """caseid and inverted, for each recording: by its beats, or by windows of slopes where no beat says anything; upright
+    where these do not either. The high-passed signal is written once for both."""
+    stages = stages or Stages(chunks.sparkSession)
+    steady = stages.table("steady", lambda: without_drift(chunks, "ppg", fs))
+    by_beats = stages.table("beat_votes", lambda: beat_votes(steady, peaks, fs))
+    by_windows = window_votes(steady.join(by_beats.select("caseid"), "caseid", "left_anti"), fs)
+    votes = by_beats.unionByName(by_windows).select("caseid", (F.col("share") > beat_kernels.INVERTED_SHARE).alias("inverted"))
+    return chunks.select("caseid").distinct().join(votes, "caseid", "left").select("caseid", F.coalesce("inverted", F.lit(False)).alias("inverted"))
 
 
 def extract_features(cycles: DataFrame, fs: int = FS, gate: bool = True) -> DataFrame:
@@ -146,34 +173,70 @@ def extract_features(cycles: DataFrame, fs: int = FS, gate: bool = True) -> Data
     return cycles.select(*kept, "ppg", "inverted").mapInPandas(run, schema)
 
 
-def synchronised_cycles(chunks: DataFrame, numerics: DataFrame, fs: int = FS, least: float = LEAST_LIKENESS) -> tuple[DataFrame, DataFrame]:
+def judged_spans(spans: DataFrame, numerics: DataFrame, fs: int = FS) -> DataFrame:
+    """All spans between peaks with their time and pressures, and why a span gives no beat: its length, no pressure at its
+    time, a missing one, or one that can't be recorded. Empty where it does."""
+    timed = spans.withColumn("timestamp", F.col("sample_idx") / F.lit(float(fs)))
+    pressed = joins.nearest_bp(timed, numerics.withColumn("__there", F.lit(True)), fs, how="left").withColumnsRenamed({"sbp": "sbp_reference", "dbp": "dbp_reference"})
+    either = F.col("sbp_reference").isNull() | F.col("dbp_reference").isNull()
+    reason = first_failed([("cycle_length", F.col("len_ms").between(*joins.CYCLE_MS)), ("no_pressure", F.col("__there")), ("missing_pressure", ~either), ("pressure_range", physiology.recordable())])
+    return pressed.withColumn("reason", F.coalesce(reason, F.lit(""))).drop("__there")
+
+
+def synchronised_cycles(chunks: DataFrame, numerics: DataFrame, fs: int = FS, least: float = LEAST_LIKENESS, stages: Stages | None = None) -> tuple[DataFrame, DataFrame]:
     """Beats with their pulse signal, pressures and likeness to their case's median beat, and the polarity of each case.
 
     Peaks, heart rates, band filter, beats of a plausible length, the nearest pressure in the recordable range, and beats
-    that resemble the median beat.
+    that resemble the median beat. What several steps read is a written stage, so each kernel runs once.
     """
-    peaks = detect_r_peaks(chunks, "ecg", fs=fs)
+    stages = stages or Stages(chunks.sparkSession)
+    peaks = stages.table("peaks", lambda: detect_r_peaks(chunks, "ecg", fs=fs))
     spans = joins.rr_intervals(peaks, fs)
     rates = joins.rr_stats(spans)
-    filtered = wavelet_filter(chunks, rates, "ppg", "ppg", fs).select("caseid", "chunk_id", "start_sample", "ppg")
-    timed = joins.cycle_length_filter(spans).withColumn("timestamp", F.col("sample_idx") / F.lit(float(fs)))
-    pressed = joins.nearest_bp(timed, numerics, fs).withColumnsRenamed({"sbp": "sbp_reference", "dbp": "dbp_reference"})
-    kept = physiology.reference_bp_filter(pressed)
-    cycles = cut_beats(filtered, kept, "ppg", fs=fs).withColumn("shape", resample("ppg"))
+    filtered = stages.table("filtered", lambda: wavelet_filter(chunks, rates, "ppg", "ppg", fs).select("caseid", "chunk_id", "start_sample", "ppg"))
+
+    judged = stages.table("spans", lambda: judged_spans(spans, numerics, fs))
+    cut = lambda: cut_beats(filtered, judged.where("reason = ''").drop("reason"), "ppg", fs=fs).withColumn("shape", resample("ppg"))
+    cycles = stages.table("cycles", cut)
     alike = select.template_correlation_filter(cycles, select.median_template(cycles, "shape"), "shape", least).drop("shape")
-    return alike, detect_polarity(filtered, peaks.join(rates.select("caseid"), "caseid", "left_semi"), fs)
+    return alike, detect_polarity(filtered, peaks.join(rates.select("caseid"), "caseid", "left_semi"), fs, stages)
 
 
-def process_recordings(chunks: DataFrame, numerics: DataFrame, fs: int = FS, least: float = LEAST_LIKENESS) -> DataFrame:
+def process_recordings(chunks: DataFrame, numerics: DataFrame, fs: int = FS, least: float = LEAST_LIKENESS, stages: Stages | None = None) -> DataFrame:
     """The beat table of recordings, with `reason` where a beat has no features or implausible ones."""
-    cycles, polarity = synchronised_cycles(chunks, numerics, fs, least)
+    cycles, polarity = synchronised_cycles(chunks, numerics, fs, least, stages)
     rows = cycles.join(polarity, "caseid").select("caseid", F.col("peak_no").cast("int").alias("cycle_index"), "timestamp", "sbp_reference", "dbp_reference", "cycle_correlation", F.col("hr").alias("hr_bpm"), "ppg", "inverted")
     made = extract_features(rows, fs)
     return made.withColumn("reason", F.when((F.col("reason") == "") & ~physiology.valid_beat(), "invalid_features").otherwise(F.col("reason")))
 
 
-def build_beats(chunks: DataFrame, numerics: DataFrame, cases: DataFrame, text: tuple[str, ...] = (), numbers: tuple[str, ...] = (), fs: int = FS, complete: list[str] | None = None) -> DataFrame:
-    """Valid beats of all recordings with clinical columns, without incomplete rows (in `complete`, or any column)."""
-    valid = process_recordings(chunks, numerics, fs).where("reason = ''").drop("reason")
+def build_beats(
+    chunks: DataFrame, numerics: DataFrame, cases: DataFrame, text: tuple[str, ...] = (), numbers: tuple[str, ...] = (), fs: int = FS, complete: list[str] | None = None,
+    stages: Stages | None = None, done: DataFrame | None = None,
+) -> DataFrame:
+    """Valid beats of all recordings with clinical columns, without incomplete rows (in `complete`, or any column).
+
+    With the beats that are `done` (patient_id), only recordings that are not among them are built; with `stages` in a
+    folder of its own, a run that was stopped goes on behind its last whole stage.
+    """
+    if done is not None:
+        chunks = joins.pending_cases(chunks, done.select(F.col("patient_id").alias("caseid")).distinct())
+    stages = stages or Stages(chunks.sparkSession)
+    beats = stages.table("beats", lambda: process_recordings(chunks, numerics, fs, stages=stages))
+    valid = beats.where("reason = ''").drop("reason")
     named = joins.attach_clinical(valid, cases, text, numbers).withColumn("session_id", F.format_string("case_%05d.npz", "caseid")).withColumnRenamed("caseid", "patient_id")
     return select.drop_incomplete(named, complete)
+
+
+def build_failures(stages: Stages) -> DataFrame:
+    """How many spans of a finished build gave beats, and why the others did not: reason, n, attempts and share.
+
+    Reads the build's stages: spans by their own reason, beats that could not be cut or are not like their case's others,
+    and beats by the reason of their features.
+    """
+    spans, cycles, beats = (stages.spark.read.parquet(f"{stages.folder}/{name}") for name in ("spans", "cycles", "beats"))
+    key = ["caseid", "peak_no"]
+    made = beats.select("caseid", F.col("cycle_index").alias("peak_no"))
+    lost = lambda df, found, why: df.join(found.select(*key), key, "left_anti").select(F.lit(why).alias("reason"))
+    each = [spans.where("reason <> ''").select("reason"), lost(spans.where("reason = ''"), cycles, "cut_short"), lost(cycles, made, "unlike_median"), beats.select("reason")]
+    return quality.extraction_failures(reduce(DataFrame.union, each))
