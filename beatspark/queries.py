@@ -14,7 +14,8 @@ from .operators import cleaning, evaluate, joins, modelprep, normalize, physiolo
 from .operators.quantiles import numbered
 from .plans import jobs
 from .sources import io
-from .streaming import quality_stream
+from .streaming import quality_stream, replay
+from .streaming.ema import ema_stream
 from .waves import beats as beat_kernels
 from .waves import recordings
 from .waves.chunks import detect_r_peaks
@@ -995,6 +996,41 @@ def x1_build_beats(spark, sf_dir):
     return made.select("patient_id", "session_id", "cycle_index", "sbp_reference", "dbp_reference", "cycle_correlation", "ptt_peak_to_foot", "ptt_peak_to_peak", "amplitude_ratio_ra", "hr_bpm", "sex", "department", "age")
 
 
+# ---- streams ------------------------------------------------------------------------------------------------------
+# a seventh, as sums of tenths end in fives, which no two engines round alike; days
+_STREAM_ALPHA, _STREAM_IDLE = 1 / 7, 1
+
+
+def _stream_sql(kind: str) -> str:
+    """The estimator without a stream: spells between idle days, parts from calibration to calibration, and weights of their readings."""
+    def side(t: str) -> str:
+        a = _STREAM_ALPHA
+        return f"""c{t} AS (SELECT *, {t} IS NOT NULL AND ({kind} = 'calibrate' OR count({t}) OVER (PARTITION BY patient_id, spell ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 0) AS cal FROM o),
+ g{t} AS (SELECT *, sum(CAST(cal AS INT)) OVER (PARTITION BY patient_id, spell ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS part FROM c{t}),
+ j{t} AS (SELECT *, count({t}) OVER (PARTITION BY patient_id, spell, part ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS j FROM g{t}),
+ e{t} AS (SELECT event_id, CASE WHEN cal OR part = 0 THEN {t} ELSE sum({t} * CASE WHEN cal THEN 1 ELSE {a} END * pow(1 - {a}, 1 - j)) OVER (PARTITION BY patient_id, spell, part ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) * pow(1 - {a}, j - CASE WHEN {t} IS NULL THEN 1 ELSE 2 END) END AS {t}_pred FROM j{t})"""
+
+    return f"""WITH r AS ({fx.STREAM_BP_FX}), l AS (SELECT *, ts - lag(ts) OVER (PARTITION BY patient_id ORDER BY ts, event_id) >= INTERVAL {_STREAM_IDLE} DAY AS pause FROM r),
+ o AS (SELECT *, sum(CAST(coalesce(pause, false) AS INT)) OVER (PARTITION BY patient_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS spell FROM l), {side('sbp')}, {side('dbp')}
+SELECT o.patient_id, o.event_id, round(sbp_pred, 4) AS sbp_pred, round(dbp_pred, 4) AS dbp_pred FROM o JOIN esbp ON esbp.event_id = o.event_id JOIN edbp ON edbp.event_id = o.event_id"""
+
+
+def _replayed(spark, sf_dir, sql):
+    readings = replay.arrivals(spark, f"{sf_dir}/events.parquet", sql, "events")
+    made = replay.finished(ema_stream(readings, _STREAM_ALPHA, idle=f"{_STREAM_IDLE} days"))
+    return made.select("patient_id", "event_id", "sbp_pred", "dbp_pred")
+
+
+@query(_stream_sql("'measure'"), digits=4, source=None)
+def t1_ema_stream(spark, sf_dir):
+    return _replayed(spark, sf_dir, f"SELECT patient_id, ts, event_id, 'measure' AS event_kind, sbp, dbp FROM ({fx.STREAM_BP_FX})")
+
+
+@query(_stream_sql("event_kind"), digits=4, source=None)
+def t2_recalibrate(spark, sf_dir):
+    return _replayed(spark, sf_dir, fx.STREAM_BP_FX)
+
+
 # ---- composed jobs ------------------------------------------------------------------------------------------------
 def _published(name: str, rows: str) -> str:
     return f"""SELECT '{name}' AS dataset, count(*) AS n, round(sum(z * z), 4) AS z2, round(avg(d), 5) AS sbp_delta FROM (

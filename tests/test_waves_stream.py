@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 
 from beatspark import fixtures
-from beatspark.streaming.ema import ema_stream
+from beatspark.streaming.ema import ema_stream, late_rows
 from beatspark.waves import chunks, kernels
 
 SF = "/root/testdata/sf0.001"
@@ -63,3 +63,28 @@ def test_ema_stream_equals_batch(spark, tmp_path):
     assert len(got) == len(want)
     for k, v in want.items():
         assert (v is None and pd.isna(got[k])) or abs(got[k] - v) < 1e-9
+
+
+def test_idle_patients_are_calibrated_anew_and_late_rows_counted(spark, tmp_path):
+    """Batches of files, one after the other: an idle patient starts anew, late rows are dropped and counted, idle state goes."""
+    day = pd.Timestamp("2024-01-01")
+    at = lambda hours: (day + pd.Timedelta(hours=hours)).to_pydatetime()
+    batches = [
+        [(1, at(0), 1, "measure", 100.0, 60.0), (2, at(0), 2, "measure", 110.0, None)],
+        [(1, at(1), 3, "measure", 120.0, None), (1, at(0.99), 4, "measure", None, 70.0)],
+        [(2, at(40), 5, "measure", 150.0, 80.0)],
+        [(1, at(2), 6, "measure", 999.0, 99.0)],  # behind the watermark
+        [(1, at(60), 7, "measure", 130.0, 90.0), (1, at(60.5), 8, "measure", 140.0, 90.0)],
+    ]
+    schema = "patient_id int, ts timestamp, event_id bigint, event_kind string, sbp double, dbp double"
+    (tmp_path / "in").mkdir()
+    stream = ema_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 0.5, idle="1 day")
+    late = 0
+    for k, batch in enumerate(batches):
+        spark.createDataFrame(batch, schema).coalesce(1).write.parquet(str(tmp_path / f"b{k}"))
+        next((tmp_path / f"b{k}").glob("part-*.parquet")).rename(tmp_path / "in" / f"{k}.parquet")
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        late += late_rows(q)
+    got = {r.event_id: (r.sbp_pred, r.dbp_pred) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: (100.0, 60.0), 2: (110.0, None), 4: (100.0, 60.0), 3: (100.0, 65.0), 5: (150.0, 80.0), 7: (130.0, 90.0), 8: (130.0, 90.0)} and late == 1
