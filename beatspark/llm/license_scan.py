@@ -148,9 +148,19 @@ def spans(docs: DataFrame, text: str = "text", templates: tuple[Template, ...] =
     matches = F.array_sort(F.flatten(F.transform("around", lambda x: F.transform(x["qs"], lambda q: F.struct((q + x["diagonal"]).alias("p"), q.alias("q"))))))
     spans_ = around.select("row", "doc", "n_words", "template", pairs.alias("pairs"), needed.alias("needed"), F.when(seen >= needed, _longest_chain(matches)).alias("chain"))
     found = spans_.withColumn("span", F.when(F.col("chain.votes") >= F.col("needed"), F.struct("template", F.col("chain.first").alias("first"), (F.col("chain.last") + 1).alias("last"), F.col("chain.votes").alias("votes"), (F.col("chain.votes") / F.col("pairs")).alias("share"))))
-    rows = found.groupBy("row").agg(F.first("doc", ignorenulls=True).alias("doc"), F.max("n_words").alias("n_words"), F.array_sort(F.collect_list("span")).alias("spans"))
-    inexact = [k for k, t in enumerate(templates) if t.share < 1.0]
-    return rows.select("doc", "n_words", _best("spans", inexact).alias("spans"))
+    # of the spans of an inexact template that overlap, the best: a span meets those that begin within its reach
+    longest = max(len(_template_words(t)) for t in templates) + 2 * NEAR
+    within = Window.partitionBy("row", "template").orderBy(F.col("span.first")).rangeBetween(-longest, longest)
+    inexact = F.col("template").isin([k for k, t in enumerate(templates) if t.share < 1.0])
+    beaten = F.exists(F.collect_set("span").over(within), lambda x: _beats(x, F.col("span")))
+    best = found.withColumn("span", F.when(~(inexact & beaten), F.col("span")))
+    rows = best.groupBy("row").agg(F.first("doc", ignorenulls=True).alias("doc"), F.max("n_words").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"))
+    return rows.select("doc", "n_words", "spans")
+
+
+def _beats(x: Column, s: Column) -> Column:
+    """Whether a span of the same template overlaps another and has more votes, or as many and an earlier start."""
+    return (x["first"] <= s["last"]) & (x["last"] >= s["first"]) & ((x["votes"] > s["votes"]) | ((x["votes"] == s["votes"]) & (x["first"] < s["first"])))
 
 
 def _longest_chain(matches: Column) -> Column:
@@ -167,15 +177,6 @@ def _longest_chain(matches: Column) -> Column:
     return F.struct(best["votes"].alias("votes"), best["first"].alias("first"), (-best["end"]).alias("last"))
 
 
-def _best(spans: str, inexact: list[int]) -> Column:
-    """Spans without those that another span of their (inexact) template with more votes, or as many and an earlier start, overlaps."""
-
-    def beats(x: Column, s: Column) -> Column:
-        return (x["template"] == s["template"]) & (x["first"] <= s["last"]) & (x["last"] >= s["first"]) & ((x["votes"] > s["votes"]) | ((x["votes"] == s["votes"]) & (x["first"] < s["first"])))
-
-    return F.filter(F.array_distinct(spans), lambda s: ~(s["template"].isin(inexact) & F.exists(F.array_distinct(spans), lambda x: beats(x, s))))
-
-
 def scan(docs: DataFrame, text: str = "text", phrases: tuple[Template, ...] = PHRASES, notices: tuple[Template, ...] = NOTICES) -> DataFrame:
     """`spans` with the labels of all spans, those of the phrases alone, and a score.
 
