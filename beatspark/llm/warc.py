@@ -7,8 +7,8 @@ longer than `segment` bytes goes on in continuation records. `read` takes the fi
 `reassemble` groups segments by the origin's identifier, orders them by number, verifies the total length and decodes
 the chunked framing.
 
-Payloads travel once to the archive; digests alone are shuffled to find equal payloads, pre-aggregated by digest, so
-a payload that a third of all pages share costs one row per task. A part file holds at most `records` records of at
+Digests alone are shuffled to find equal payloads, pre-aggregated by digest, so a payload that a third of all pages
+share costs one row per task. A part file holds at most `records` records of at
 most `segment` bytes and a header: that bounds what a reader holds.
 
 Defined results: null html is an empty payload; repeated rows give one record each, and all rows with the smallest id
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import check_columns, shared_dir
+from .common import check_columns, materialise, shared_dir, spread_join
 
 END = "\r\n\r\n"
 SEGMENT = 64 * 1024
@@ -113,20 +113,27 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def plan(pages: DataFrame, min_revisit: int = 0) -> DataFrame:
-    """page_id, key (of the record), url, payload, and for revisits refers_to and refers_key."""
+    """page_id, key (of the record), url, payload, and for revisits refers_to and refers_key.
+
+    A record's key is made of what is in it, so that it stays the same when rows are read again in another order; rows
+    that are equal in all have one key. Digests and ids alone are
+    shuffled; the answer to a digest that many pages share is broadcast (see `spread_join`), and payloads meet the
+    answers by page and digest, so that a payload of many pages is not one task's.
+    """
     check_columns(pages, "page_id", "url", "html")
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("digest", F.sha1("payload"))
+    key = F.concat_ws("-", F.col("page_id"), F.col("digest"), F.sha1(F.coalesce(F.col("url"), F.lit("")).cast("binary")))
+    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("key", key)
+    thin = materialise(rows.select("page_id", "digest", "key", F.octet_length("payload").alias("size")), "warc_digests")
     first = (
-        rows.where(F.octet_length("payload") >= min_revisit).groupBy("digest")
-        .agg(F.count("*").alias("n"), F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")).alias("first"))
-        .where("n > 1").select("digest", F.col("first.page_id").alias("refers_to"), F.concat_ws("-", "first.page_id", "first.row").alias("refers_key"))
-    )
-    revisit = F.col("refers_key").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
-    return rows.join(first, "digest", "left").select(
-        "page_id", F.concat_ws("-", "page_id", "row").alias("key"), "url", "payload",
-        F.when(revisit, F.col("refers_to")).alias("refers_to"), F.when(revisit, F.col("refers_key")).alias("refers_key"),
+        thin.where(F.col("size") >= min_revisit).groupBy("digest")
+        .agg(F.count("*").alias("n"), F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "key")).alias("first"))
+        .where("n > 1").select("digest", "n", F.col("first.page_id").alias("refers_to"), F.col("first.key").alias("refers_key"))
     )
+    same = spread_join(thin.select("page_id", "digest"), materialise(first, "warc_first"), ["digest"]).where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    answers = same.select(F.col("page_id").alias("at_id"), F.col("digest").alias("at_digest"), "refers_to", "refers_key").distinct()
+    meets = F.col("page_id").eqNullSafe(F.col("at_id")) & (F.col("digest") == F.col("at_digest"))
+    return rows.join(answers, meets, "left").select("page_id", "key", "url", "payload", "refers_to", "refers_key")
 
 
 def write(planned: DataFrame, path: str, segment: int = SEGMENT, per_file: int = RECORDS) -> None:
@@ -178,9 +185,12 @@ def reassemble(segments: DataFrame) -> DataFrame:
     rest = ("type", "page_id", "uri", "digest", "length", "refers_to")
     alone = segments.where(single).select(*rest, F.array("block").alias("blocks"), F.lit(True).alias("whole"))
     head = lambda c: F.max(F.when(F.col("type") != "continuation", F.col(c))).alias(c)
-    joined = segments.where(~single).groupBy("origin").agg(*[head(c) for c in rest], F.array_sort(F.collect_list(F.struct("number", "block"))).alias("parts"), F.max("total").alias("total"))
+    # records of equal rows have equal identifiers and segments: these are counted first
+    pieces = segments.where(~single).groupBy("origin", "number").agg(*[head(c) for c in rest], F.first("block").alias("block"), F.max("total").alias("total"), F.count("*").alias("copies"))
+    joined = pieces.groupBy("origin").agg(*[F.max(c).alias(c) for c in rest], F.array_sort(F.collect_list(F.struct("number", "block"))).alias("parts"), F.max("total").alias("total"), F.max("copies").alias("copies"), F.min("copies").alias("fewest"))
     held = F.aggregate("parts", F.lit(0).cast("bigint"), lambda n, p: n + F.octet_length(p["block"]))
-    whole = F.coalesce((held == F.col("total")) & (F.get("parts", F.size("parts") - 1)["number"] == F.size("parts")), F.lit(False))
+    whole = F.coalesce((held == F.col("total")) & (F.get("parts", F.size("parts") - 1)["number"] == F.size("parts")) & (F.col("copies") == F.col("fewest")), F.lit(False))
+    joined = joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
     both = alone.unionByName(joined.select(*rest, F.transform("parts", lambda p: p["block"]).alias("blocks"), whole.alias("whole")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,17 +198,21 @@ def reassemble(segments: DataFrame) -> DataFrame:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 kinds, blocks, fine, said, lengths = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("type", "blocks", "whole", "digest", "length"))
-                payloads, digests = [], [(x or "").removeprefix("sha1:") or None for x in said]
+                payloads, kept_whole, digests = [], list(fine), [(x or "").removeprefix("sha1:") or None for x in said]
                 for k, (kind, block, ok) in enumerate(zip(kinds, blocks, fine)):
                     payload = None
                     if ok and kind == "response":
                         top, _, body = b"".join(block).partition(b"\r\n\r\n")
                         payload = dechunked(body) if b"transfer-encoding: chunked" in top.lower() else body
-                        digests[k], lengths[k] = payload_digest(payload), len(payload)
+                        digest, length = payload_digest(payload), len(payload)
+                        # what was read back has to be what the header says was written
+                        kept_whole[k] = digests[k] in (None, digest) and lengths[k] in (None, length)
+                        digests[k], lengths[k] = digest, length
                     payloads.append(payload)
-                names = ["type", "page_id", "uri", "refers_to", "whole"]
+                names = ["type", "page_id", "uri", "refers_to"]
                 kept = [batch.column(batch.schema.get_field_index(c)) for c in names]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(digests, pa.string()), pa.array(lengths, pa.int64()), pa.array(payloads, pa.binary())], [*names, "payload_digest", "payload_bytes", "payload"])
+                names.append("whole")
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(kept_whole, pa.bool_()), pa.array(digests, pa.string()), pa.array(lengths, pa.int64()), pa.array(payloads, pa.binary())], [*names, "payload_digest", "payload_bytes", "payload"])
 
     return both.mapInArrow(run, "type string, page_id bigint, uri string, refers_to bigint, whole boolean, payload_digest string, payload_bytes bigint, payload binary")
 
