@@ -2,8 +2,8 @@
 
 `tokenise` turns each whole document into token ids and cuts only those longer than the capacity into pieces.
 `pack` gives each piece a sequence and an offset. Pieces of full length are sequences of their own and need no
-packing, so at most one piece of a document is packed. Packing goes on inside groups of about `GROUP` pieces:
-lengths alone are shuffled, dealt by a hash, and the best fit inside a group of that size leaves at most a few
+packing, so at most one piece of a document is packed, however long it is. Packing goes on inside groups of about `GROUP`
+such pieces: lengths alone are shuffled, dealt by a hash, and the best fit inside a group of that size leaves at most a few
 part-filled sequences, whatever the size of the corpus.
 
 Inside a group, pieces above one third of the capacity are matched first: two of them at most fit a sequence
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import check_columns
+from .common import check_columns, materialise
 
 CAPACITY = 2048
 END_ID = 0
@@ -179,25 +179,35 @@ def fit(lengths: Iterable[int], capacity: int = CAPACITY) -> tuple[np.ndarray, n
     return bins, offsets
 
 
-def pack(pieces: DataFrame, n_pieces: int, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """`pieces` with sequence_id and offset. `n_pieces`: about how many there are; sets the number of groups."""
-    check_columns(pieces, "length")
-    n_groups = max(1, -(-n_pieces // group))
-    deal = F.pmod(F.xxhash64(*[pieces[c] for c in pieces.columns if c != "ids"]), F.lit(n_groups)).cast("int")
+def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
+    """`pieces` with sequence_id and offset.
 
+    Pieces of full length are sequences of their own at once. The others are packed in groups of `group` about; rows that
+    are equal in all are dealt out among the groups by a random number beside their hash. A run of a task gives a row the
+    same group again, as the number hangs on its place in the task's input, which is a written table.
+    """
+    check_columns(pieces, "length")
+    if "__group" in pieces.columns:
+        raise ValueError("a column has the name __group")
+    rows = materialise(pieces, "pieces")
+    full = F.col("length") == capacity
+    n_groups = max(1, -(-rows.where(~full).count() // group))
+    # even numbers are groups' sequences, odd ones those of full pieces
+    whole = rows.where(full).withColumns({"sequence_id": F.monotonically_increasing_id() * 2 + 1, "offset": F.lit(0).cast("bigint")})
+    deal = F.pmod(F.xxhash64(*[F.col(c) for c in pieces.columns if c != "ids"], F.rand(1)), F.lit(n_groups)).cast("int")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id bigint, offset bigint"
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([c for c in ("length", "doc_id", "piece", "ids_crc32") if c in pdf], kind="stable", ignore_index=True)
         bins, offsets = fit(pdf["length"], capacity)
         pdf = pdf.drop(columns="__group")
-        pdf["sequence_id"] = bins * n_groups + int(key[0])
+        pdf["sequence_id"] = (bins * n_groups + int(key[0])) * 2
         pdf["offset"] = offsets
         return pdf
 
-    return pieces.withColumn("__group", deal).groupBy("__group").applyInPandas(run, schema)
+    return rows.where(~full).withColumn("__group", deal).groupBy("__group").applyInPandas(run, schema).unionByName(whole)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, group: int = GROUP) -> DataFrame:
     """Pieces of all documents with their places: `tokenise`, then `pack`."""
-    return pack(tokenise(docs, tokenizer_path, capacity, end_id), docs.count(), capacity, group)
+    return pack(tokenise(docs, tokenizer_path, capacity, end_id), capacity, group)
