@@ -163,8 +163,6 @@ SKETCH, SHINGLE, BAND = 256, 5, 5
 #: Texts are copies of each other from this share of common shingles. Pairs of estimates under `CANDIDATE` are not
 #: compared; the estimate's standard error at 0.8 is 0.025, `CANDIDATE` lies six below.
 SIMILARITY, CANDIDATE = (4, 5), 0.65
-#: A member of a crowded band this close to a leader is as good as the leader: what is like it is, by so much less, like the leader.
-CLOSE = 0.97
 #: Bits of the hash that names a text, and texts of equal hashes up to which their list is broadcast.
 NODE_BITS, CLASHES = 64, 10_000
 #: Words of the texts of a group that one task compares; larger groups are dealt out by pairs of blocks.
@@ -213,15 +211,15 @@ def _bands(found: DataFrame) -> DataFrame:
     return found.select("node", "sketch").mapInArrow(run, "node bigint, key bigint")
 
 
-def _alike(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs (a, b) with the estimate of their similarity from the sketches, from `CANDIDATE` less the slack of `CLOSE` on."""
+def _alike(pairs: DataFrame, found: DataFrame, least: float = CANDIDATE) -> DataFrame:
+    """The pairs (a, b) with the estimate of their similarity from the sketches, from `least` on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(n, SKETCH) for k in (2, 3))
             estimate = ((x == y).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
-            keep = pa.array(estimate >= CANDIDATE - (1 - CLOSE))
+            keep = pa.array(estimate >= least)
             yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (batch.column(0), batch.column(1), pa.array(estimate))], ["a", "b", "estimate"])
 
     sketches = lambda c: found.select(F.col("node").alias(c), F.col("sketch").alias(f"{c}_sketch"))
@@ -239,16 +237,21 @@ def _led(rows: DataFrame, leaders: DataFrame, found: DataFrame) -> tuple[DataFra
     """Compares the members of crowded groups (key, node, waiting) with their leaders (key, leader): the links found, and
     the members that are not done with.
 
-    Texts like one leader are joined by it. A text that is `CLOSE` to a leader needs no more looking at. One that is like
-    a leader but not close still meets the leaders to come, as a text may be like it and not like the leader; one like no
-    leader is waiting, and may lead. A group without waiting members is done.
+    Texts like one leader are joined by it. One that is like none is waiting, and may lead. Of those that are joined, a
+    text still has to meet the leaders to come if it can be like one that is waiting: sketches that differ in so many
+    places from each other differ from a leader's in numbers of places that are no farther apart. A group without waiting
+    members is done.
     """
     met = rows.join(leaders, "key").where("node <> leader")
-    alike = materialise(_alike(met.select(F.col("leader").alias("a"), F.col("node").alias("b")), found), "led")
-    seen = met.join(alike, (met.leader == alike.a) & (met.node == alike.b), "left").groupBy("key", "node").agg(F.max("estimate").alias("best"), F.first("waiting").alias("waiting"))
-    left = seen.join(leaders.select("key", F.col("leader").alias("node")), ["key", "node"], "left_anti").where(F.col("best").isNull() | (F.col("best") < CLOSE))
-    left = left.select("key", "node", (F.col("waiting") & F.col("best").isNull()).alias("waiting"))
-    return alike, materialise(left.join(left.where("waiting").select("key").distinct(), "key", "left_semi"), "waiting")
+    compared = materialise(_alike(met.select(F.col("leader").alias("a"), F.col("node").alias("b")), found, -1.0), "led")
+    seen = met.join(compared, (met.leader == compared.a) & (met.node == compared.b)).select("key", "node", "leader", "waiting", "estimate")
+    best = seen.groupBy("key", "node").agg(F.max("estimate").alias("best"), F.first("waiting").alias("waiting"))
+    apart = best.where(F.col("waiting") & (F.col("best") < CANDIDATE)).select("key", "node")
+    # the likest of the waiting texts, for each leader
+    reach = seen.join(apart, ["key", "node"], "left_semi").groupBy("key", "leader").agg(F.max("estimate").alias("reach"))
+    near = seen.join(reach, ["key", "leader"]).groupBy("key", "node").agg(F.max("estimate").alias("best"), F.max(F.col("estimate") - F.col("reach")).alias("most"), F.first("waiting").alias("waiting"))
+    left = near.where((F.col("waiting") & (F.col("best") < CANDIDATE)) | (F.col("most") <= 1 - CANDIDATE + 0.01)).join(leaders.select("key", F.col("leader").alias("node")), ["key", "node"], "left_anti")
+    return compared.where(F.col("estimate") >= CANDIDATE), materialise(left.select("key", "node", (F.col("waiting") & (F.col("best") < CANDIDATE)).alias("waiting")), "waiting")
 
 
 def _candidates(found: DataFrame, bands: DataFrame, sized: DataFrame) -> DataFrame:
@@ -262,7 +265,7 @@ def _candidates(found: DataFrame, bands: DataFrame, sized: DataFrame) -> DataFra
     """
     members = bands.join(sized, "key")
     crowded = members.where(F.col("n") > PAIRWISE)
-    links = [_alike(_pairs(members.where(F.col("n") <= PAIRWISE)), found).where(F.col("estimate") >= CANDIDATE)]
+    links = [_alike(_pairs(members.where(F.col("n") <= PAIRWISE)), found)]
     leaders = sized.where(F.col("n") > PAIRWISE).select("key", F.col("least").alias("leader"))
     led, left = _led(crowded.select("key", "node", F.lit(True).alias("waiting")), leaders, found)
     links.append(led)
@@ -271,7 +274,7 @@ def _candidates(found: DataFrame, bands: DataFrame, sized: DataFrame) -> DataFra
         twice = left.select("key", "node").join(other, "node").where("key <> other").select("node", F.struct(F.least("key", "other").alias("one"), F.greatest("key", "other").alias("two")).alias("key")).distinct()
         many = materialise(twice.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "double_bands")
         both = twice.join(many, "key")
-        links.append(_alike(_pairs(both.where(F.col("n") <= PAIRWISE)), found).where(F.col("estimate") >= CANDIDATE))
+        links.append(_alike(_pairs(both.where(F.col("n") <= PAIRWISE)), found))
         left, several = materialise(both.where(F.col("n") > PAIRWISE).select("key", "node", F.lit(True).alias("waiting")), "waiting"), 1
         while not left.isEmpty():
             place = F.row_number().over(Window.partitionBy("key").orderBy("node"))
