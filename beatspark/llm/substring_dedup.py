@@ -18,8 +18,10 @@ the parse behind it.
    one length a of all phrases are intervals of the first order, the parses equal to depth `length - a` intervals of
    the second; two strings are neighbours in corpus order to the full depth where they share both intervals.
 
-Groups of up to `CROWD` classes are ordered inside a task, many groups to a task; in larger ones each string is a row,
-counted and joined by its hash. Equal texts are parsed once; a text that is there twice is covered as a whole. Counts
+Groups are ordered inside tasks, many to a task. A group of more than `CROWD` classes is parted before: the strings with
+the shorter and with the longer part of their phrase go apart, each with the bytes that equal strings of that part have
+in common (more of the parse, or more of the phrase) as its new name; and these again, down to strings of one length of
+phrase, which are equal where their names are. So no task orders more, whatever a passage's number of contexts. Equal texts are parsed once; a text that is there twice is covered as a whole. Counts
 of groups are pre-aggregated, and rows meet them in joins that deal hot parses and classes out over many tasks
 (`spread_join`). Texts are told apart by 128 bits of hash, runs by two 64-bit hashes, of the parse and of the extent.
 
@@ -31,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -48,7 +51,7 @@ _HIGH = np.uint64(0xFFFFFFFF00000000)
 _LOW = np.uint64(0x00000000FFFFFFFF)
 #: Bytes of texts that are parsed together.
 _TOGETHER = 1 << 20
-#: Classes of runs in a group that are ordered inside one task, and about how many a task takes.
+#: Classes of runs in a group that are ordered together at most, and about how many a task takes.
 CROWD, _BUCKET = 10_000, 4000
 
 
@@ -123,7 +126,7 @@ def _parse(texts: DataFrame, length: int) -> DataFrame:
 
 
 def _extents(asked: DataFrame, length: int) -> DataFrame:
-    """The bytes of the `asked` runs (parse, first, last, trigger, open, crowded) of texts."""
+    """The bytes of the `asked` runs (parse, first, last, trigger, open) of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
@@ -131,11 +134,11 @@ def _extents(asked: DataFrame, length: int) -> DataFrame:
             out = []
             for row in batch.to_pylist():
                 data = open_.decompress(row["packed"])
-                out += [(row["ka"], row["kb"], r["parse"], r["first"], r["trigger"], r["open"], r["crowded"], data[r["first"] : r["last"] + length]) for r in row["asked"]]
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types], ["ka", "kb", "parse", "first", "trigger", "open", "crowded", "bytes"])
+                out += [(row["ka"], row["kb"], r["parse"], r["first"], r["trigger"], r["open"], data[r["first"] : r["last"] + length]) for r in row["asked"]]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types], ["ka", "kb", "parse", "first", "trigger", "open", "bytes"])
 
-    return asked.select("ka", "kb", "packed", "asked").mapInArrow(run, "ka bigint, kb bigint, parse bigint, first int, trigger int, open boolean, crowded boolean, bytes binary")
+    return asked.select("ka", "kb", "packed", "asked").mapInArrow(run, "ka bigint, kb bigint, parse bigint, first int, trigger int, open boolean, bytes binary")
 
 
 def _in_order(data: list[bytes], among: list) -> tuple[np.ndarray, np.ndarray]:
@@ -152,9 +155,10 @@ def _in_order(data: list[bytes], among: list) -> tuple[np.ndarray, np.ndarray]:
     return np.array(order), common
 
 
-def neighbours(data: list[bytes], cut: np.ndarray, among: list, length: int) -> Iterator[tuple[int, np.ndarray]]:
+def neighbours(data: list[bytes], cut: np.ndarray, among: list, length: int, low: np.ndarray | None = None, high: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """By the suffix orders of phrases (`data` up to `cut`) and parses (behind it) of runs of the groups `among`: for each
-    length a of phrase suffixes, the runs whose string with that much of its phrase has an equal one in another run.
+    length a of phrase suffixes (from `low` to before `high`, if given for each run), the runs whose string with that much
+    of its phrase has an equal one in another run.
     """
     cuts = cut.tolist()
     parses, deep = _in_order([d[c:] for d, c in zip(data, cuts)], among)
@@ -164,10 +168,11 @@ def neighbours(data: list[bytes], cut: np.ndarray, among: list, length: int) ->
     number = {w: k for k, w in enumerate(words)}
     phrase = np.array([number[b] for b in backwards])
     _, long = _in_order(words, [0] * len(words))
-    least = cut - (np.array([len(d) for d in data]) - length)
+    least = np.maximum(cut - (np.array([len(d) for d in data]) - length), 0 if low is None else low)
+    most = cut if high is None else np.minimum(cut, high - 1)
     rest = np.zeros(len(data), dtype=np.int64)
-    for a in range(int(least.min()), int(cut.max()) + 1):
-        here = np.flatnonzero((least <= a) & (a <= cut))
+    for a in range(int(least.min()), int(most.max()) + 1):
+        here = np.flatnonzero((least <= a) & (a <= most))
         if len(here) < 2:
             continue
         suffix = np.cumsum(long < a)
@@ -178,13 +183,38 @@ def neighbours(data: list[bytes], cut: np.ndarray, among: list, length: int) ->
             yield a, found
 
 
-def _compare_groups(extents: DataFrame, n: int, length: int) -> DataFrame:
-    """Repeated strings (ka, kb, first, last) of open runs, whole groups of runs ordered inside a task."""
+_PART = "part bigint, low int, high int, ka bigint, kb bigint, first int, trigger int, open boolean, bytes binary"
+
+
+def _parted(parts: DataFrame, length: int) -> DataFrame:
+    """Runs (columns of `_PART`) for each half of their strings, by the length of the phrase in these; a half's name (`part`)
+    holds the bytes that equal strings of it have in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                cut, data = r["trigger"] - r["first"], r["bytes"]
+                least, middle = cut - (len(data) - length), (r["low"] + r["high"]) // 2
+                for low, high in ((r["low"], middle), (middle, r["high"])):
+                    if max(low, least) <= min(high - 1, cut):
+                        common = data[cut - low : cut + length - high + 1]
+                        name = xxhash.xxh3_64_intdigest(common, low & 0xFFFF) ^ (r["part"] & 0xFFFFFFFFFFFFFFFF)
+                        out.append({**r, "part": name - (1 << 64) if name >= 1 << 63 else name, "low": low, "high": high})
+            yield pa.RecordBatch.from_pylist(out, batch.schema)
+
+    return parts.mapInArrow(run, _PART)
+
+
+def _compare_groups(parts: DataFrame, n: int, length: int) -> DataFrame:
+    """Repeated strings (ka, kb, first, last) of open runs, whole parts of runs ordered inside a task."""
     buckets = max(1, -(-n // _BUCKET))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        first, cut = pdf["first"].to_numpy().astype(np.int64), (pdf["trigger"] - pdf["first"]).to_numpy().astype(np.int64)
-        hits = [(rows, first[rows] + cut[rows] - a) for a, rows in neighbours(pdf["bytes"].tolist(), cut, pdf["parse"].tolist(), length)]
+        first, cut, low, high = (pdf[c].to_numpy().astype(np.int64) for c in ("first", "trigger", "low", "high"))
+        cut -= first
+        among = list(zip(pdf["part"].tolist(), low.tolist()))
+        hits = [(rows, first[rows] + cut[rows] - a) for a, rows in neighbours(pdf["bytes"].tolist(), cut, among, length, low, high)]
         row, at = (np.concatenate([h[k] for h in hits]) if hits else np.zeros(0, dtype=np.int64) for k in (0, 1))
         mine = pdf["open"].to_numpy()[row]
         row, at = row[mine], at[mine]
@@ -195,27 +225,25 @@ def _compare_groups(extents: DataFrame, n: int, length: int) -> DataFrame:
         found = pdf.iloc[row[begins]]
         return pd.DataFrame({"ka": found["ka"].to_numpy(), "kb": found["kb"].to_numpy(), "first": at[begins], "last": at[ends]})
 
-    return extents.withColumn("bucket", F.pmod(F.xxhash64("parse"), F.lit(buckets))).groupBy("bucket").applyInPandas(run, "ka bigint, kb bigint, first int, last int")
-
+    return parts.withColumn("bucket", F.pmod(F.xxhash64("part", "low"), F.lit(buckets))).groupBy("bucket").applyInPandas(run, "ka bigint, kb bigint, first int, last int")
 
-def _compare_rows(extents: DataFrame, length: int) -> DataFrame:
-    """The same for groups of any size: each string is a row, counted and joined by its hash."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                data = r["bytes"]
-                n = len(data) - length + 1
-                h = np.fromiter((xxhash.xxh3_64_intdigest(data[p : p + length]) for p in range(n)), "<u8", n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, r["ka"])), pa.array(np.full(n, r["kb"])), pa.array(np.full(n, r["parse"])), pa.array(h.view("<i8")), pa.array(np.arange(r["first"], r["first"] + n, dtype=np.int32)), pa.array(np.full(n, r["open"]))],
-                    ["ka", "kb", "parse", "string", "at", "open"],
-                )
 
-    strings = extents.select("ka", "kb", "parse", "first", "open", "bytes").mapInArrow(run, "ka bigint, kb bigint, parse bigint, string bigint, at int, open boolean")
-    where = F.xxhash64("ka", "kb", "at")
-    found = strings.groupBy("parse", "string").agg(F.min(where).alias("lo"), F.max(where).alias("hi")).where("lo <> hi").select("parse", "string")
-    return strings.where("open").join(found, ["parse", "string"], "left_semi").select("ka", "kb", F.col("at").alias("first"), F.col("at").alias("last"))
+def _edges(extents: DataFrame, length: int) -> DataFrame:
+    """Repeated strings (ka, kb, first, last) of the open ones of edge runs: parts small enough are ordered, others parted again."""
+    parts = extents.select(F.col("parse").alias("part"), F.lit(0).alias("low"), F.lit(window_of(length)).alias("high"), "ka", "kb", "first", "trigger", "open", "bytes")
+    found = None
+    while True:
+        sizes = materialise(parts.groupBy("part", "low").agg(F.count("*").alias("n")).where("n > 1"), "part_sizes")
+        ordered, crowded = sizes.where(F.col("n") <= CROWD), sizes.where(F.col("n") > CROWD)
+        here = _compare_groups(parts.join(ordered.drop("n"), ["part", "low"]), ordered.agg(F.sum("n")).first()[0] or 0, length)
+        if crowded.isEmpty():
+            return found.union(here) if found else here
+        # strings of one length of phrase that have one name are equal
+        many = spread_join(parts, crowded, ["part", "low"])
+        start = F.col("trigger") - F.col("low")
+        equal = many.where((F.col("high") - F.col("low") == 1) & F.col("open")).select("ka", "kb", start.alias("first"), start.alias("last"))
+        found = reduce(DataFrame.union, [x for x in (found, here, equal) if x is not None])
+        parts = materialise(_parted(many.where(F.col("high") - F.col("low") > 1).select(*[c.split()[0] for c in _PART.split(", ")]), length), "parts")
 
 
 def _pack(data: pd.Series) -> pd.Series:
@@ -236,15 +264,14 @@ def spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     mixed = shared.where("mixed").drop("mixed")
     place = F.xxhash64("ka", "kb", "first")
     classes = mixed.groupBy("parse", "extent").agg(F.count("*").alias("n"), F.min(place).alias("one"))
-    sizes = classes.groupBy("parse").agg(F.count("*").alias("classes"))
-    classes = materialise(classes.join(sizes, "parse"), "classes")
+    classes = materialise(classes, "classes")
     named = spread_join(mixed, classes, ["parse", "extent"])
     repeated = named.where("n > 1").select("ka", "kb", "first", "last")
     # one run of each class is put in order
-    one = F.struct("parse", "first", "last", "trigger", (F.col("n") == 1).alias("open"), (F.col("classes") > CROWD).alias("crowded"))
+    one = F.struct("parse", "first", "last", "trigger", (F.col("n") == 1).alias("open"))
     asked = named.where(place == F.col("one")).groupBy("ka", "kb").agg(F.collect_set(one).alias("asked"))
     extents = materialise(_extents(texts.select("ka", "kb", "packed").join(asked, ["ka", "kb"]), length), "edge_runs")
-    edges = _compare_groups(extents.where("NOT crowded"), extents.count(), length).union(_compare_rows(extents.where("crowded"), length))
+    edges = _edges(extents, length)
 
     stretches = alike.union(repeated).union(edges).select("ka", "kb", "first", (F.col("last") + length).alias("end"))
     whole = texts.where("n > 1").select("ka", "kb", F.lit(0).alias("first"), F.col("size").alias("end"))
@@ -271,7 +298,11 @@ def marked(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFra
     rows = docs.select(doc.alias("doc"), data.cast("binary").alias("data"), F.xxhash64(data).alias("ka"), F.xxhash64(F.lit(1), data).alias("kb"))
     rows = rows.withColumn("packed", F.pandas_udf(_pack, "binary")("data")).withColumn("size", F.octet_length("data")).drop("data")
     texts = rows.where(F.col("size") >= length).groupBy("ka", "kb").agg(F.first("packed").alias("packed"), F.first("size").alias("size"), F.count("*").alias("n"))
-    return rows.drop("size").join(spans(materialise(texts, "texts"), length), ["ka", "kb"], "left").select("doc", "packed", "covered")
+    texts = materialise(texts, "texts")
+    keys = materialise(texts.select("ka", "kb", "n").join(spans(texts, length), ["ka", "kb"], "left"), "covered_texts")
+    # a text of many rows meets its stretches in many tasks
+    long = spread_join(rows.where(F.col("size") >= length), keys, ["ka", "kb"]).select("doc", "packed", "covered")
+    return long.union(rows.where(F.col("size") < length).select("doc", "packed", F.lit(None).cast(keys.schema["covered"].dataType).alias("covered")))
 
 
 def cut(found: DataFrame) -> DataFrame:
