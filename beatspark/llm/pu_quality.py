@@ -64,10 +64,11 @@ def feature_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id bigint, x array<double>")
 
 
-def sample(docs: DataFrame, ids: DataFrame, limit: int = SAMPLE, id_col: str = "doc_id") -> np.ndarray:
+def sample(docs: DataFrame, ids: DataFrame, limit: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """Features of at most `limit` documents among `ids`, chosen by a hash of the id."""
-    chosen = ids.select(F.col(id_col).alias("__id")).where("__id IS NOT NULL").distinct().orderBy(F.xxhash64("__id", F.lit(5)), "__id").limit(limit)
-    rows = feature_rows(docs.join(F.broadcast(chosen), docs[id_col] == F.col("__id"), "left_semi"), id_col).orderBy(F.xxhash64("id", F.lit(6)), "id").limit(2 * limit)
+    chosen = ids.select(F.col(id_col).alias("chosen")).where("chosen IS NOT NULL").distinct().orderBy(F.xxhash64("chosen", F.lit(5)), "chosen").limit(limit)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = feature_rows(texts.join(F.broadcast(chosen), F.col("id") == F.col("chosen"), "left_semi"), "id", "text").orderBy(F.xxhash64("id", F.lit(6)), "id").limit(2 * limit)
     found = [r.x for r in rows.collect()]
     return np.array(found, dtype=float).reshape(-1, len(FEATURES))
 
@@ -113,6 +114,20 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float =
     return float(np.clip(min(ratios), 0.05, 0.98))
 
 
+def risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the unbiased logistic risk: of positives as positives, and of negatives, estimated from the rest."""
+    loss = lambda z: float(np.mean(np.logaddexp(0, z)))
+    return prior * loss(-(p @ w)), loss(u @ w) - prior * loss(p @ w)
+
+
+def risk_gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float, decay: float) -> np.ndarray:
+    """Of both parts and the weights' decay; where the negatives' part is below zero, it alone is pushed back up."""
+    sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
+    negative = (u.T @ su) / len(u) - prior * (p.T @ sp) / len(p)
+    below = risk(w, p, u, prior)[1] < 0
+    return (-negative if below else prior * (p.T @ (sp - 1)) / len(p) + negative) + decay * w
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 1500, rate: float = 0.03, decay: float = 1e-3) -> Model:
     """The model of least non-negative risk. Deterministic: full batches, no random start."""
     if not len(positive) or not len(unlabelled):
@@ -127,15 +142,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 1500, rate: f
     first = _descend(plain, p.shape[1], 400, rate)
     prior = model.prior = estimate_prior(p @ first, u @ first)
 
-    def gradient(w: np.ndarray) -> np.ndarray:
-        sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
-        up = (p.T @ (sp - 1)) / len(p)
-        down_u, down_p = (u.T @ su) / len(u), (p.T @ sp) / len(p)
-        negative = np.mean(-np.log1p(-su + 1e-12)) - prior * np.mean(-np.log1p(-sp + 1e-12))
-        # below zero, only the negative part is pushed back up
-        return (prior * up + down_u - prior * down_p if negative >= 0 else prior * down_p - down_u) + decay * w
-
-    model.weights = _descend(gradient, p.shape[1], steps, rate)
+    model.weights = _descend(lambda w: risk_gradient(w, p, u, prior, decay), p.shape[1], steps, rate)
     return model
 
 
