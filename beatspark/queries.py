@@ -160,9 +160,10 @@ def w1b_zscore_pop(b):
 
 
 @query(f"""{B}, h AS (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY timestamp, cycle_index) AS k FROM b), m AS (SELECT patient_id, median(sbp_reference) AS s, median(ptt_peak_to_foot) AS p FROM h WHERE k <= 100 GROUP BY patient_id)
-SELECT b.patient_id, cycle_index, round(sbp_reference - s, 6) AS sbp_delta, round(ptt_peak_to_foot - p, 6) AS ptt_delta FROM b JOIN m ON b.patient_id = m.patient_id""")
+SELECT b.patient_id, count(*) AS n, {', '.join(f'round({f}({c} - {m}), 6) AS {d}_{f}' for c, m, d in (('sbp_reference', 's', 'sbp_delta'), ('ptt_peak_to_foot', 'p', 'ptt_delta')) for f in ('avg', 'min', 'max'))} FROM b JOIN m ON b.patient_id = m.patient_id GROUP BY b.patient_id""")
 def w2_baseline_delta(b):
-    return normalize.baseline_delta(b, {"sbp_reference": "sbp_delta", "ptt_peak_to_foot": "ptt_delta"}).select("patient_id", "cycle_index", "sbp_delta", "ptt_delta")
+    deltas = normalize.baseline_delta(b, {"sbp_reference": "sbp_delta", "ptt_peak_to_foot": "ptt_delta"})
+    return deltas.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n"), *[getattr(F, f)(c).alias(f"{c}_{f}") for c in ("sbp_delta", "ptt_delta") for f in ("avg", "min", "max")])
 
 
 @query(f"{B} SELECT patient_id, cycle_index, round(sbp_reference - avg(sbp_reference) OVER (PARTITION BY patient_id), 6) AS sbp_reference_dev FROM b")
@@ -598,9 +599,10 @@ def k5_stratified_sample(c):
 
 
 # ---- model input ----------------------------------------------------------------------------------------------------
-@query(f"{B} SELECT patient_id, cycle_index, round(coalesce(bmi, (SELECT avg(bmi) FROM b)), 6) AS bmi, coalesce(dx, 'Unknown') AS dx FROM b")
+@query(f"{B}, m AS (SELECT avg(bmi) AS m FROM b) SELECT patient_id, count(*) AS n, round(avg(coalesce(bmi, m)), 6) AS bmi, count(*) FILTER (coalesce(dx, 'Unknown') = 'Unknown') AS n_unknown FROM b, m GROUP BY patient_id")
 def p11_fill_static(b):
-    return modelprep.fill_static(b, ["bmi"], ["dx"]).select("patient_id", "cycle_index", "bmi", "dx")
+    filled = modelprep.fill_static(b, ["bmi"], ["dx"])
+    return filled.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n"), F.avg("bmi").alias("bmi"), F.count_if(F.col("dx") == "Unknown").alias("n_unknown"))
 
 
 @query(f"{B}, t AS (SELECT opname FROM b WHERE opname IS NOT NULL GROUP BY opname ORDER BY count(*) DESC, opname LIMIT 50) SELECT CASE WHEN t.opname IS NULL THEN 'Other' ELSE t.opname END AS opname, count(*) AS n FROM b LEFT JOIN t ON b.opname = t.opname GROUP BY 1")
