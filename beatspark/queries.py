@@ -1033,6 +1033,29 @@ def t2_recalibrate(spark, sf_dir):
     return _replayed(spark, sf_dir, fx.STREAM_BP_FX)
 
 
+def _long(name: str, sql: str, texts: tuple[str, ...] = ()) -> str:
+    """A report in long form: its texts as a line, each of its numbers as a row."""
+    listed = ", ".join(f'"{t}"' for t in texts)
+    line, numbers = (f"concat_ws('|', {listed})", f"COLUMNS(* EXCLUDE ({listed}))") if texts else ("''", "COLUMNS(*)")
+    return f"""SELECT '{name}' AS report, line, metric, round(value, 6) AS value FROM (SELECT {line} AS line, CAST({numbers} AS DOUBLE) FROM ({sql})) UNPIVOT INCLUDE NULLS (value FOR metric IN (COLUMNS(* EXCLUDE (line))))"""
+
+
+def _reports(**parts: tuple[str, ...]) -> str:
+    """Reports under each other: by their name, the query whose SQL (or the SQL) is the same, and the texts in it."""
+    return " UNION ALL ".join(_long(name, ORACLES.get(q, q), tuple(texts)) for name, (q, *texts) in parts.items())
+
+
+def _of_clean(name: str) -> str:
+    """The SQL of a report on the beats that cleaning keeps."""
+    return ORACLES[name].replace(B, f"WITH b AS MATERIALIZED (SELECT * FROM ({fx.BEATS_FX}) WHERE ({_RULE}) IS NULL)", 1)
+
+
+_TYPES = {"int": ("patient_id", "cycle_index"), "string": ("session_id", "sex", "position", "approach", "dx", "opname"), "double": ("timestamp", "sbp_reference", "dbp_reference", "cycle_correlation", "pat_ecg_ppg", "ptt_peak_to_foot", "ptt_peak_to_peak", "amplitude_ratio_ra", "hr_bpm", "max_upslope", "stat_std", "age", "bmi")}
+_NULLS = f"{B} " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{t}' AS type, count(*) - count({c}) AS nulls FROM b" for t, names in _TYPES.items() for c in names)
+_PAIRS = f"{B}, f AS (SELECT * FROM b WHERE {' AND '.join(f'{c} IS NOT NULL' for c in FEATURES)}) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{c}' AS b, {_r(a, c)} AS r FROM f" for a, c in combinations(FEATURES, 2))
+_PROFILE = dict(ranges=("a39_feature_ranges", "feature"), outliers=("a38_sigma_outliers", "column"), categories=("a34_category_stats", "column", "value"), patients=("a10_samples_per_patient",))
+
+
 # ---- composed jobs ------------------------------------------------------------------------------------------------
 def _published(name: str, rows: str) -> str:
     return f"""SELECT '{name}' AS dataset, count(*) AS n, round(sum(z * z), 4) AS z2, round(avg(d), 5) AS sbp_delta FROM (
@@ -1049,29 +1072,37 @@ def x2_publish_datasets(b):
     return one("full").union(one("validated")).union(one("strict"))
 
 
-@query()
+@query(f"""{B}, p AS MATERIALIZED (SELECT * FROM b WHERE {_P9}), {_a6('p', True)}, s AS MATERIALIZED (SELECT * FROM p WHERE patient_id IN (SELECT patient_id FROM v WHERE reason = '')),
+ h AS (SELECT patient_id AS pid, median(sbp_reference) AS m FROM (SELECT patient_id, sbp_reference, row_number() OVER (PARTITION BY patient_id ORDER BY timestamp, cycle_index) AS k FROM s) WHERE k <= 100 GROUP BY 1),
+ n AS MATERIALIZED (SELECT sbp_reference, dbp_reference, sbp_reference - m AS sbp_delta, {', '.join(f'({c} - avg({c}) OVER w) / (stddev_samp({c}) OVER w + 1e-6) AS {c}_norm' for c in FEATURES[:4])} FROM s JOIN h ON pid = patient_id WINDOW w AS (PARTITION BY patient_id)),
+ f AS ({' UNION ALL '.join(f"SELECT '{c}_norm' AS feature, {_r(c + '_norm', 'sbp_reference')} AS r_sbp, {_r(c + '_norm', 'dbp_reference')} AS r_dbp, {_r(c + '_norm', 'sbp_delta')} AS r_sbp_delta FROM n" for c in FEATURES[:4])})
+SELECT *, CASE WHEN abs(r_sbp) > 0.3 THEN 'strong' WHEN abs(r_sbp) > 0.1 THEN 'moderate' ELSE 'weak' END AS strength FROM f""")
 def x2_published_correlations(b):
     return jobs.publish_datasets(b, FEATURES[:4])["correlations"]
 
 
-@query()
+@query(_reports(before=("a3_quality_report",), after=(_of_clean("a3_quality_report"),), changes=("j8_compare_reports",), removed=("p7_cleaning_stats", "rule"), verdict=(_of_clean("a43_validation_verdict"), "warnings", "errors")))
 def x3_clean_and_report(b):
     made = jobs.clean_and_report(b)
     return jobs.long_form({n: made[n] for n in ("before", "after", "changes", "removed", "verdict")})
 
 
-@query()
+@query(_reports(nulls=(_NULLS, "column", "type"), time=("w7_temporal_integrity", "session_id"), sessions=("a41_session_duration",), **_PROFILE))
 def x4_profile_dataset(b):
     made = jobs.profile_dataset(b, _RANGES, ["dx", "sex", "position"])
     return jobs.long_form(made)
 
 
-@query()
+@query(_reports(
+    percentiles=("a37_target_percentiles", "column"), category_profile=("a34_category_profile", "column"), top_patients=("a11_top_patient_share",), correlations=(_PAIRS, "a", "b"), redundant=(f"SELECT * FROM ({_PAIRS}) WHERE abs(r) > 0.9", "a", "b"),
+    related=("a14_feature_bp_correlation", "feature", "strength"), autocorrelation=("w8_autocorrelation",), variance=("a20_variance_decomposition",), issues=("a44_diagnostic_issues", "issues"), **_PROFILE))
 def x5_forensic_report(b):
     return jobs.long_form(jobs.forensic_report(b, FEATURES, _RANGES, ["dx", "sex", "position"]))
 
 
-@query()
+@query(_reports(
+    patients=("a10_samples_per_patient",), autocorrelation=("w8_autocorrelation",), effective=("a24_effective_sample_size",), variance=("a20_variance_decomposition",), within=("a19_global_vs_within_corr", "feature"),
+    quarters=("w9_quarter_correlation",), slopes=("a21_slope_summary",), limits=("a23_theoretical_limits",), norm=("a25_norm_check", "feature")))
 def x6_dataset_limits(b):
     return jobs.long_form(jobs.dataset_limits(b, FEATURES[:4]))
 
