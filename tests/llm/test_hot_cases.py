@@ -3,10 +3,10 @@
 import collections
 import time
 
-import numpy as np
+import duckdb
 from pyspark.sql import functions as F
 
-from beatspark.llm import license_scan, packing, warc
+from beatspark.llm import license_scan, packing, queries, warc
 
 
 def test_payload_of_a_third_of_all_pages(spark):
@@ -59,3 +59,11 @@ def test_a_text_of_two_thousand_notices(spark):
     assert [(s.first, s.last) for s in mine] == [(at, at + n - 1) for at in range(0, 2000 * (n + 1), n + 1)] and all(s.share == 1.0 for s in mine)
     assert len([s for s in got[2] if s.template == k]) == 2
     assert took < 120
+
+
+def test_warc_query_matches_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    c.sql(f"create view pages as select * from '{sf}/pages.parquet'")
+    want = c.sql(queries.ORACLES["op6_warc"]).fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in queries.QUERIES["op6_warc"](spark, sf).collect()) and want
