@@ -80,16 +80,24 @@ WINDOW w AS (PARTITION BY patient_id ORDER BY timestamp, cycle_index)
 """
 
 
-#: Recordings made from the suppliers: four chunks of 10,000 samples of each, with a period, size and polarity of its own.
+#: Recordings made from the suppliers and their events: four chunks of 10,000 samples of each, with a period, size and
+#: polarity of its own. The events set how the period sways, how high a chunk's pulse is, where samples are missing (chunks
+#: of a signup) and which beat has next to no pulse (chunks of an error).
 WAVES_FX = """
-WITH c AS (SELECT CAST(s_suppkey AS INT) AS caseid, CAST(k AS INT) AS chunk_id, CAST(k * 10000 AS BIGINT) AS start_sample, CAST(330 + s_suppkey * 37 % 160 AS INT) AS period,
+WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k, value, event_type, event_id, first(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sway FROM events),
+     c AS (SELECT CAST(s_suppkey AS INT) AS caseid, CAST(k AS INT) AS chunk_id, CAST(k * 10000 AS BIGINT) AS start_sample, CAST(330 + s_suppkey * 37 % 160 AS INT) AS period,
                   CASE WHEN s_suppkey % 4 = 3 THEN -1.0D ELSE 1.0D END AS side, 1.0D + s_suppkey % 5 / 10D AS size
            FROM supplier LATERAL VIEW explode(sequence(0, 3)) AS k),
-     p AS (SELECT *, transform(sequence(start_sample, start_sample + 9999), i -> i % period) AS phase, sequence(start_sample, start_sample + 9999) AS at FROM c)
+     d AS (SELECT c.*, coalesce(e.sway, 0D) AS sway, 1 + coalesce(e.value, 0D) % 10 / 100 AS height,
+                  CASE WHEN event_type = 'signup' THEN event_id * 37 % 9000 ELSE -1000 END AS gap, CASE WHEN event_type = 'error' THEN event_id % 20 ELSE -1 END AS weak
+           FROM c LEFT JOIN e ON e.user_id = c.caseid AND e.k = c.chunk_id),
+     p AS (SELECT *, transform(sequence(start_sample, start_sample + 9999), i -> i + 5 * sin(i / 900D + sway)) AS swayed, sequence(start_sample, start_sample + 9999) AS at FROM d),
+     q AS (SELECT *, transform(swayed, x -> x - period * floor(x / period)) AS phase, transform(swayed, x -> floor((x - start_sample) / period)) AS beat FROM p)
 SELECT caseid, chunk_id, start_sample,
        zip_with(phase, at, (f, i) -> 100 * exp(-pow((f - 20) / 4D, 2)) + 0.5 * sin(i * 12.9898D)) AS ecg,
-       zip_with(phase, at, (f, i) -> side * size * (40 * exp(-pow((f - 130) / 25D, 2)) + 15 * exp(-pow((f - 230) / 40D, 2))) + 2 * sin(i / 1400D)) AS ppg
-FROM p
+       zip_with(zip_with(phase, beat, (f, n) -> struct(f, CASE WHEN n = weak THEN 0.05D ELSE 1D END AS w)), at, (x, i) -> CASE WHEN i - start_sample BETWEEN gap AND gap + 149 THEN CAST(NULL AS DOUBLE)
+         ELSE side * size * height * x.w * (40 * exp(-pow((x.f - 130) / 25D, 2)) + 15 * exp(-pow((x.f - 230) / 40D, 2))) + 2 * sin(i / 1400D) END) AS ppg
+FROM q
 """
 
 #: Pressures of these recordings, one every two seconds.

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .kernels import FS, find_peaks, prominence, quality_gate, remove_spikes, smooth, welch_power
+from .kernels import FS, bridged, find_peaks, prominence, quality_gate, remove_spikes, smooth, welch_power
 
 # Search ranges in ms from the R-peak (the peak's and the foot's) or from the peak (the notch's), the parts
 # of a beat that bound them, and ratios that count as clear, or that a substitute is held to.
@@ -111,11 +111,12 @@ def _half_width(y: np.ndarray, fs: int) -> float:
 
 def extract(beat: np.ndarray, inverted: bool | None = None, fs: int = FS, gate: bool = True) -> tuple[dict[str, float] | None, str]:
     """The features of a beat, or None and why there are none. Without a known polarity, a beat that is higher in its
-    first quarter than in its second counts as inverted.
+    first quarter than in its second counts as inverted. Missing samples that the gate lets pass lie on a line between their
+    neighbours.
     """
     if gate and (reason := quality_gate(beat)):
         return None, reason
-    n = len(beat)
+    beat, n = bridged(beat), len(beat)
     if inverted is None:
         inverted = beat[: n // 4].mean() > beat[n // 4 : n // 2].mean()
     y = scaled(-beat if inverted else beat)

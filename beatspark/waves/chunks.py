@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import FS, r_peaks
+from .kernels import FS, bridged, r_peaks
 
 #: Samples of context on either side: the threshold looks back 2 s, and chains of close peaks settle within a few more.
 HALO = 4 * FS
@@ -31,7 +31,7 @@ def detect_r_peaks(chunks: DataFrame, column: str = "ecg", halo: int = HALO, fs:
             for r in pdf.itertuples(index=False):
                 own = np.asarray(r.x, dtype=float)
                 left, right = np.asarray(r.left_halo, dtype=float), np.asarray(r.right_halo, dtype=float)
-                found = r_peaks(np.concatenate((left, own, right)), fs) - len(left)
+                found = r_peaks(bridged(np.concatenate((left, own, right))), fs) - len(left)
                 found = found[(found >= 0) & (found < len(own))]
                 yield pd.DataFrame({"caseid": r.caseid, "sample_idx": found + r.start_sample})
 

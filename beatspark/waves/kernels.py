@@ -55,6 +55,14 @@ def trailing(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return (total[at] - total[lo]) / (at - lo), np.lib.stride_tricks.sliding_window_view(padded, size).max(axis=1)
 
 
+def bridged(x: np.ndarray) -> np.ndarray:
+    """A signal with its missing samples on a line between their neighbours; zeros where there are none."""
+    fine = np.isfinite(x)
+    if fine.all():
+        return x
+    return np.interp(np.arange(len(x)), np.flatnonzero(fine), x[fine]) if fine.any() else np.zeros(len(x))
+
+
 def r_peaks(ecg: np.ndarray, fs: int = FS) -> np.ndarray:
     """Peaks of the absolute slope, a quarter of a second apart, above a threshold of the last two seconds."""
     if len(ecg) < 2:
@@ -135,12 +143,13 @@ def bandpass(x: np.ndarray, fs: int = FS, despike: bool = True) -> np.ndarray:
 
 def energy_r_peaks(ecg: np.ndarray, fs: int = FS) -> np.ndarray:
     """R-peaks by energy from 5 to 15 Hz: half a second apart, above 30 % of its 95th percentile."""
-    energy = zero_phase(ecg, 5, 15, 2, fs) ** 2
+    energy = zero_phase(bridged(ecg), 5, 15, 2, fs) ** 2
     return find_peaks(energy, height=0.3 * np.percentile(energy, 95), distance=fs // 2)
 
 
 def adaptive_peaks(x: np.ndarray, fs: int = FS) -> np.ndarray:
     """Peaks half a spread above the mean, 0.4 s apart, that stand out by 0.3 of the spread."""
+    x = bridged(x)
     if len(x) < 10 or x.std() < 1e-6:
         return np.zeros(0, dtype=int)
     return find_peaks(x, height=x.mean() + 0.5 * x.std(), distance=max(int(0.4 * fs), 1), least=0.3 * x.std())

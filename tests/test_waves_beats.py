@@ -73,6 +73,15 @@ def test_unusable_beats_have_a_reason():
         assert why == "" and 0 <= found["ptt_peak_to_foot"] <= len(shape) * 2 and all(np.isfinite(list(found.values())))
 
 
+def test_beats_with_missing_samples():
+    for first in (0, 60, 120, 370):
+        x = pulse()
+        x[first : first + 30] = np.nan
+        found, why = beats.extract(x, False)
+        assert why == "" and all(np.isfinite(list(found.values()))) and abs(found["pat_to_peak"] - 260) < 40
+    assert beats.extract(np.full(300, np.nan))[1] == "all_null" and beats.extract(np.full(300, np.nan), gate=False) == (None, "flat")
+
+
 def test_polarity():
     x = pulse(300) - pulse(300).mean()
     assert beats.polarity_vote(x) == 0 and beats.polarity_vote(-x) == 1 and beats.polarity_vote(np.zeros(300)) == -1

@@ -88,3 +88,15 @@ def test_idle_patients_are_calibrated_anew_and_late_rows_counted(spark, tmp_path
         late += late_rows(q)
     got = {r.event_id: (r.sbp_pred, r.dbp_pred) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {1: (100.0, 60.0), 2: (110.0, None), 4: (100.0, 60.0), 3: (100.0, 65.0), 5: (150.0, 80.0), 7: (130.0, 90.0), 8: (130.0, 90.0)} and late == 1
+
+
+def test_peaks_over_missing_samples(spark):
+    """A gap between two R-peaks changes nothing; a recording without samples has no peaks."""
+    at = np.arange(12_000) % 400
+    ecg = 100 * np.exp(-(((at - 20) / 4) ** 2))
+    gap = [None if 4100 <= i < 4300 else float(v) for i, v in enumerate(ecg)]
+    rows = [(c, k, k * 6000, list(x[k * 6000 : (k + 1) * 6000])) for c, x in ((1, ecg.tolist()), (2, gap), (3, [None] * 12_000)) for k in range(2)]
+    found = {}
+    for r in chunks.detect_r_peaks(spark.createDataFrame(rows, "caseid int, chunk_id int, start_sample bigint, ecg array<double>")).collect():
+        found.setdefault(r.caseid, []).append(r.sample_idx)
+    assert sorted(found[1]) == sorted(found[2]) and len(found[1]) >= 29 and 3 not in found
