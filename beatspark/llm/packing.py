@@ -86,19 +86,19 @@ class WordTokenizer:
         return np.frombuffer(self.encode_batch([text])[0], dtype="<u4")
 
 
-def _tokenizer(path: str) -> WordTokenizer:
+def _tokenizer(path: str, remembered: int) -> WordTokenizer:
     if path not in _memory:
         _memory.clear()
-        _memory[path] = WordTokenizer(path)
+        _memory[path] = WordTokenizer(path, remembered)
     return _memory[path]
 
 
-def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32 and, if asked for, the token ids."""
     check_columns(docs, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _tokenizer(tokenizer_path).encode_batch
+        encode = _tokenizer(tokenizer_path, remembered).encode_batch
         end = end_id.to_bytes(4, "little")
         for batch in (whole.slice(at, _TEXTS) for whole in batches for at in range(0, whole.num_rows, _TEXTS)):
             rows = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
@@ -208,6 +208,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
     return rows.where(~full).withColumn("__group", deal).groupBy("__group").applyInPandas(run, schema).unionByName(whole)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, group: int = GROUP) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, group: int = GROUP, remembered: int = REMEMBERED) -> DataFrame:
     """Pieces of all documents with their places: `tokenise`, then `pack`."""
-    return pack(tokenise(docs, tokenizer_path, capacity, end_id), capacity, group)
+    return pack(tokenise(docs, tokenizer_path, capacity, end_id, remembered=remembered), capacity, group)
