@@ -31,3 +31,11 @@ def test_matches_sql(spark, duck, name):
 def test_alpha_sweep(spark):
     out = queries.QUERIES["a48_alpha_sweep"](spark, SF).toPandas().sort_values("alpha")
     assert list(out["alpha"]) == [0.05, 0.1, 0.2, 0.3] and (out["n_patients"] > 0).all()
+
+
+def test_baseline_delta_keeps_every_beat(spark):
+    """A row for each beat, in the query and in its SQL."""
+    beats = fixtures.beats(spark, SF).select("patient_id", "cycle_index")
+    made = queries.QUERIES["w2_baseline_delta"](spark, SF)
+    assert {"cycle_index", "sbp_delta", "ptt_delta"} <= set(made.columns) and "GROUP BY b.patient_id" not in queries.ORACLES["w2_baseline_delta"]
+    assert made.count() == beats.count() and made.select("patient_id", "cycle_index").exceptAll(beats).count() == 0
