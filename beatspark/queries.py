@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -920,8 +921,14 @@ def f14_waveform_correlation(c):
     return c.join(select.median_template(c), "caseid").select("cycle_index", recordings.waveform_correlation("ppg", "template").alias("likeness"))
 
 
+def _range_and_sum(x: np.ndarray) -> np.ndarray:
+    """Least and largest value of a signal, and a sum that tells places apart."""
+    fine = x[~np.isnan(x)]
+    return np.array([*((fine.min(), fine.max()) if len(fine) else (np.nan, np.nan)), (x * (np.arange(len(x)) % 7 + 1)).sum()])
+
+
 def _waves(spark, sf_dir):
-    return fx.view(spark, sf_dir, fx.WAVES_FX), fx.view(spark, sf_dir, fx.WAVE_NUMERICS_FX)
+    return fx.waves(spark, sf_dir), fx.view(spark, sf_dir, fx.WAVE_NUMERICS_FX)
 
 
 @query(source=None)
@@ -934,7 +941,8 @@ def g2_wavelet_filter(spark, sf_dir):
     chunks = _waves(spark, sf_dir)[0]
     rates = joins.rr_stats(joins.rr_intervals(detect_r_peaks(chunks)))
     made = recordings.wavelet_filter(chunks, rates, "ppg", "ppg")
-    return made.select("caseid", "chunk_id", F.array_min("ppg").alias("least"), F.array_max("ppg").alias("most"), _summed("ppg").alias("total"))
+    found = made.select("caseid", "chunk_id", recordings.per_array(_range_and_sum)("ppg").alias("y"))
+    return found.select("caseid", "chunk_id", *[F.get("y", F.lit(k)).alias(name) for k, name in enumerate(("least", "most", "total"))])
 
 
 @query(source=None, digits=4)

@@ -16,7 +16,14 @@ HALO = 4 * FS
 
 
 def with_halo(chunks: DataFrame, column: str, halo: int = HALO) -> DataFrame:
-    """chunks (caseid, chunk_id, start_sample, column) with the end of the chunk before and the start of the one after."""
+    """chunks (caseid, chunk_id, start_sample, column) with the end of the chunk before and the start of the one after.
+
+    A source that reads beyond its chunks gives these itself, as `<column>_left` and `<column>_right` of HALO samples (fewer at
+    the ends of a recording); then no samples are moved.
+    """
+    if halo <= HALO and {f"{column}_left", f"{column}_right"} <= set(chunks.columns):
+        left, right = F.col(f"{column}_left"), F.col(f"{column}_right")
+        return chunks.withColumn("left_halo", F.slice(left, F.greatest(F.lit(1), F.size(left) - halo + 1), halo)).withColumn("right_halo", F.slice(right, 1, halo))
     order = Window.partitionBy("caseid").orderBy("chunk_id")
     before, after = F.lag(column).over(order), F.lead(column).over(order)
     empty = F.array().cast("array<double>")

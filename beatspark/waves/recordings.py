@@ -10,6 +10,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,13 +32,29 @@ VOTERS = 30
 _DRIFT_HALO = 4 * FS
 
 
+def _views(arrays: pa.Array) -> Iterator[np.ndarray | None]:
+    """Each array of a column as doubles, NaN where a value is missing; None where the array is."""
+    flat, ends = np.asarray(arrays.values.to_numpy(zero_copy_only=False), dtype=float), arrays.offsets.to_numpy()
+    return (flat[a:b] if there else None for a, b, there in zip(ends[:-1], ends[1:], arrays.is_valid().to_pylist()))
+
+
+def _column(made: list, kind: str) -> pa.Array:
+    """A column of arrays or numbers, without boxing each value; NaN becomes NULL."""
+    if not kind.startswith("array"):
+        return pa.array(made, {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}[kind], from_pandas=True)
+    held = [np.zeros(0) if x is None else x for x in made]
+    flat = np.concatenate([np.zeros(0), *held]) if kind == "array<double>" else np.concatenate([np.zeros(0, dtype=np.int64), *held])
+    ends = pa.array(np.cumsum([0, *map(len, held)]), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array(flat, from_pandas=True), mask=pa.array([x is None for x in made], pa.bool_()))
+
+
 def per_array(kernel: Callable[[np.ndarray], np.ndarray], kind: str = "array<double>") -> Callable[[Column], Column]:
     """A kernel as a function of an array column; NULL arrays stay NULL."""
 
-    def run(column: pd.Series) -> pd.Series:
-        return column.map(lambda x: None if x is None else kernel(np.asarray(x, dtype=float)))
+    def run(column: pa.Array) -> pa.Array:
+        return _column([None if x is None else kernel(x) for x in _views(column)], kind)
 
-    return F.pandas_udf(run, kind)
+    return F.arrow_udf(run, kind)
 
 
 def remove_spikes(column: str | Column, limit: float = 5.0) -> Column:
@@ -87,20 +104,41 @@ def ecg_ppg_lag(chunks: DataFrame, seconds: int = 10, most_ms: int = 500, fs: in
     return first.select("caseid", (best_lag("ecg", "ppg", most_ms * fs // 1000) * 1000.0 / fs).alias("lag_ms"))
 
 
+def _sums(samples: pd.Series) -> pd.DataFrame:
+    fine = [x[~np.isnan(x)] for x in (np.zeros(0) if x is None else np.asarray(x, dtype=float) for x in samples)]
+    return pd.DataFrame({"total": [float(x.sum()) for x in fine], "n": [len(x) for x in fine]})
+
+
+def _means(chunks: DataFrame, column: str) -> DataFrame:
+    """caseid and the mean of a recording's samples: sums of chunks, added up by case."""
+    sums = chunks.select("caseid", F.pandas_udf(_sums, "total double, n bigint")(column).alias("s"))
+    return sums.groupBy("caseid").agg(F.try_divide(F.sum("s.total"), F.sum("s.n")).alias("__mean"))
+
+
+def _without_gaps(x: np.ndarray, mean: float | None) -> np.ndarray:
+    return np.where(np.isnan(x), np.nan if mean is None else mean, x)
+
+
 def filled(chunks: DataFrame, column: str) -> DataFrame:
-    """Missing samples of a signal become the mean of their recording: sums of chunks, added up by case."""
-    there = F.filter(column, lambda x: x.isNotNull() & ~F.isnan(x))
-    sums = chunks.groupBy("caseid").agg((F.sum(F.aggregate(there, F.lit(0.0), lambda a, x: a + x)) / F.sum(F.size(there))).alias("__mean"))
-    return chunks.join(sums, "caseid").withColumn(column, F.transform(column, lambda x: F.coalesce(F.nanvl(x, F.lit(None).cast("double")), F.col("__mean")))).drop("__mean")
+    """Missing samples of a signal become the mean of their recording."""
+
+    def run(x: pa.Array, mean: pa.Array) -> pa.Array:
+        return _column([None if v is None else _without_gaps(v, m) for v, m in zip(_views(x), mean.to_pylist())], "array<double>")
+
+    own = chunks.drop(f"{column}_left", f"{column}_right")
+    return own.join(_means(chunks, column), "caseid").withColumn(column, F.arrow_udf(run, "array<double>")(column, "__mean")).drop("__mean")
 
 
 def wavelet_filter(chunks: DataFrame, rates: DataFrame, column: str, kind: str, fs: int = FS) -> DataFrame:
-    """Chunks with a signal reduced to multiples of the case's heart rate (`rates`: caseid, hr); each chunk by itself."""
+    """Chunks with a signal, its gaps filled, reduced to multiples of the case's heart rate (`rates`: caseid, hr); each chunk by
+    itself. Means and rates are joined first, so the samples move once at most."""
 
-    def run(x: pd.Series, hr: pd.Series) -> pd.Series:
-        return pd.Series([kernels.morlet_band(np.asarray(v, dtype=float), *kernels.filter_band(r, kind, fs), fs) if len(v) > 1 else np.zeros(len(v)) for v, r in zip(x, hr)])
+    def run(x: pa.Array, mean: pa.Array, hr: pa.Array) -> pa.Array:
+        band = lambda v, m, r: kernels.morlet_band(_without_gaps(v, m), *kernels.filter_band(r, kind, fs), fs)
+        return _column([band(v, m, r) if len(v) > 1 else np.zeros(len(v)) for v, m, r in zip(_views(x), mean.to_pylist(), hr.to_pylist())], "array<double>")
 
-    return filled(chunks, column).join(rates.select("caseid", "hr"), "caseid").withColumn(column, F.pandas_udf(run, "array<double>")(column, "hr")).drop("hr")
+    own, cases = chunks.drop(f"{column}_left", f"{column}_right"), _means(chunks, column).join(rates.select("caseid", "hr"), "caseid")
+    return own.join(cases, "caseid").withColumn(column, F.arrow_udf(run, "array<double>")(column, "__mean", "hr")).drop("hr", "__mean")
 
 
 def cut_beats(chunks: DataFrame, spans: DataFrame, column: str, fs: int = FS) -> DataFrame:
@@ -108,21 +146,23 @@ def cut_beats(chunks: DataFrame, spans: DataFrame, column: str, fs: int = FS) ->
     in and the beginning of the next one. Beats that reach beyond are left out.
     """
     reach = LONGEST_MS * fs // 1000
-    rows = with_halo(chunks, column, reach).select("caseid", "start_sample", F.size(column).alias("held"), F.concat(column, "right_halo").alias("__x"))
-    chunk = rows.groupBy().agg(F.max("held").alias("size"))
-    sized = spans.join(F.broadcast(chunk), F.lit(True)).withColumn("start_sample", F.col("sample_idx") - F.col("sample_idx") % F.col("size"))
+    rows = with_halo(chunks, column, reach).select("caseid", "start_sample", F.concat(column, "right_halo").alias("__x"))
+    # the length of a chunk, from its number and where it starts; where there are first chunks only, all beats are theirs
+    chunk = chunks.where("chunk_id > 0").agg(F.max(F.col("start_sample") / F.col("chunk_id")).cast("bigint").alias("size"))
+    start = F.coalesce(F.col("sample_idx") - F.col("sample_idx") % F.col("size"), F.lit(0))
+    sized = spans.join(F.broadcast(chunk), F.lit(True)).withColumn("start_sample", start.cast("bigint"))
     cut = sized.join(rows, ["caseid", "start_sample"]).withColumn(column, F.slice("__x", (F.col("sample_idx") - F.col("start_sample") + 1).cast("int"), (F.col("end_idx") - F.col("sample_idx")).cast("int")))
-    return cut.where(F.size(column) == F.col("end_idx") - F.col("sample_idx")).drop("__x", "held", "size", "start_sample")
+    return cut.where(F.size(column) == F.col("end_idx") - F.col("sample_idx")).drop("__x", "size", "start_sample")
 
 
 def without_drift(chunks: DataFrame, column: str = "ppg", fs: int = FS) -> DataFrame:
     """caseid, chunk_id, start_sample and the signal high-passed at half a Hertz, each chunk with the context of its neighbours."""
 
-    def flat(left: pd.Series, own: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([kernels.zero_phase(np.concatenate([np.asarray(x, dtype=float) for x in parts]), 0.5, None, 2, fs)[len(parts[0]) : len(parts[0]) + len(parts[1])] for parts in zip(left, own, right)])
+    def flat(left: pa.Array, own: pa.Array, right: pa.Array) -> pa.Array:
+        return _column([kernels.zero_phase(np.concatenate(parts), 0.5, None, 2, fs)[len(parts[0]) : len(parts[0]) + len(parts[1])] for parts in zip(_views(left), _views(own), _views(right))], "array<double>")
 
     halo = with_halo(chunks, column, _DRIFT_HALO)
-    return halo.select("caseid", "chunk_id", "start_sample", F.pandas_udf(flat, "array<double>")("left_halo", column, "right_halo").alias(column))
+    return halo.select("caseid", "chunk_id", "start_sample", F.arrow_udf(flat, "array<double>")("left_halo", column, "right_halo").alias(column))
 
 
 def beat_votes(steady: DataFrame, peaks: DataFrame, fs: int = FS) -> DataFrame:

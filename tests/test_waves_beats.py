@@ -145,3 +145,30 @@ def test_f_tail():
         density = x ** (d1 / 2 - 1) * (1 + d1 * x / d2) ** (-(d1 + d2) / 2)
         assert abs(stats.f_tail(f, d1, d2) - np.trapezoid(density[x >= f], x[x >= f]) / np.trapezoid(density, x)) < 2e-3
     assert stats.f_tail(0.0, 3, 9) == 1.0
+
+
+def test_waves_are_the_rows_of_their_text(spark):
+    """Samples made an array at a time are those of the SQL text, with the neighbours' ends; nothing moves them to find peaks."""
+    want = {(r.caseid, r.chunk_id): r for r in fx.view(spark, SF, fx.WAVES_FX).where("caseid < 5").collect()}
+    made = fx.waves(spark, SF)
+    got = made.where("caseid < 5").collect()
+    plain = lambda x: np.array([np.nan if v is None else v for v in x])
+    assert {(r.caseid, r.chunk_id) for r in got} == set(want) and len(got) == len(want)
+    for r in got:
+        for c in ("ecg", "ppg"):
+            before, after = (want.get((r.caseid, r.chunk_id + k)) for k in (-1, 1))
+            for mine, theirs in ((r[c], want[r.caseid, r.chunk_id][c]), (r[f"{c}_left"], before[c][-2000:] if before else []), (r[f"{c}_right"], after[c][:2000] if after else [])):
+                assert len(mine) == len(theirs) and np.allclose(plain(mine), plain(theirs), rtol=0, atol=1e-9, equal_nan=True)
+    plan = recordings.with_halo(made.select("caseid", "chunk_id", "start_sample", "ecg", "ecg_left", "ecg_right"), "ecg")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("ArrowEvalPython")] and made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_fast_kernels_equal_plain_ones():
+    x = np.random.default_rng(5).normal(size=3001).cumsum()
+    mean, most = kernels.trailing(x, 1000)
+    assert all(most[k] == x[max(0, k - 999) : k + 1].max() for k in range(0, 3001, 37))
+    for low, high in ((0.5, 0.9), (0.7, 2.4), (20.0, 238.0)):
+        size = 1 << (2 * len(x) - 1).bit_length()
+        f, spectrum = np.fft.fftfreq(size, 1 / 500), np.fft.fft(x, size)
+        each = [np.fft.ifft(spectrum * np.sqrt(500 / c) * np.exp(-(np.pi**2) * 1.5 * (f / c - 1) ** 2))[: len(x)].real for c in np.linspace(low, high, 32)]
+        assert np.allclose(kernels.morlet_band(x, low, high), sum(each), atol=1e-8 * np.abs(sum(each)).max())
