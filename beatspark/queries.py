@@ -928,7 +928,7 @@ def _range_and_sum(x: np.ndarray) -> np.ndarray:
 
 
 def _waves(spark, sf_dir):
-    return fx.waves(spark, sf_dir), fx.view(spark, sf_dir, fx.WAVE_NUMERICS_FX)
+    return fx.wave_source(spark, sf_dir), fx.view(spark, sf_dir, fx.WAVE_NUMERICS_FX)
 
 
 @query(source=None)
@@ -947,7 +947,7 @@ def g2_wavelet_filter(spark, sf_dir):
 
 @query(source=None, digits=4)
 def g5_bandpass(spark, sf_dir):
-    made = _waves(spark, sf_dir)[0].select("caseid", "chunk_id", recordings.bandpass("ppg").alias("y"))
+    made = fx.waves(spark, sf_dir).select("caseid", "chunk_id", recordings.bandpass("ppg").alias("y"))
     return made.select("caseid", "chunk_id", F.array_min("y").alias("least"), F.array_max("y").alias("most"))
 
 
@@ -959,17 +959,17 @@ def g6_detect_polarity(spark, sf_dir):
 
 @query(source=None)
 def g14_energy_r_peaks(spark, sf_dir):
-    return _waves(spark, sf_dir)[0].select("caseid", "chunk_id", recordings.energy_r_peaks("ecg").alias("peaks")).select("caseid", "chunk_id", F.size("peaks").alias("n_peaks"), F.get("peaks", F.lit(0)).alias("first_peak"))
+    return fx.waves(spark, sf_dir).select("caseid", "chunk_id", recordings.energy_r_peaks("ecg").alias("peaks")).select("caseid", "chunk_id", F.size("peaks").alias("n_peaks"), F.get("peaks", F.lit(0)).alias("first_peak"))
 
 
 @query(source=None)
 def g15_adaptive_peaks(spark, sf_dir):
-    return _waves(spark, sf_dir)[0].select("caseid", "chunk_id", recordings.adaptive_peaks("ppg").alias("peaks")).select("caseid", "chunk_id", F.size("peaks").alias("n_peaks"), F.get("peaks", F.lit(0)).alias("first_peak"))
+    return fx.waves(spark, sf_dir).select("caseid", "chunk_id", recordings.adaptive_peaks("ppg").alias("peaks")).select("caseid", "chunk_id", F.size("peaks").alias("n_peaks"), F.get("peaks", F.lit(0)).alias("first_peak"))
 
 
 @query(source=None)
 def g13_ecg_ppg_lag(spark, sf_dir):
-    return recordings.ecg_ppg_lag(_waves(spark, sf_dir)[0])
+    return recordings.ecg_ppg_lag(fx.waves(spark, sf_dir))
 
 
 def _raw_cycles(spark, sf_dir):

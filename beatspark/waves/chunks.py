@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,32 @@ def with_halo(chunks: DataFrame, column: str, halo: int = HALO) -> DataFrame:
     return chunks.withColumn("left_halo", F.coalesce(F.slice(before, F.greatest(F.lit(1), F.size(before) - halo + 1), halo), empty)).withColumn("right_halo", F.coalesce(F.slice(after, 1, halo), empty))
 
 
-def detect_r_peaks(chunks: DataFrame, column: str = "ecg", halo: int = HALO, fs: int = FS) -> DataFrame:
+@dataclass(frozen=True)
+class Source:
+    """Chunks whose samples are read where they are needed: `rows` (caseid, chunk_id, start_sample, and what the source wants)
+    are small and can be joined with anything; `samples` deals such rows over the tasks and adds the arrays of the signals
+    and of their neighbours (`<signal>_left`, `<signal>_right`) to them. So no exchange ever moves samples.
+    """
+
+    rows: DataFrame
+    samples: Callable[[DataFrame], DataFrame]
+
+
+def sourced(chunks: DataFrame | Source, column: str, halo: int) -> Source:
+    """A table of chunks as a source whose rows hold their samples already; then a join moves them."""
+    if isinstance(chunks, Source):
+        return chunks
+    if not {f"{column}_left", f"{column}_right"} <= set(chunks.columns):
+        chunks = with_halo(chunks, column, halo).withColumnsRenamed({"left_halo": f"{column}_left", "right_halo": f"{column}_right"})
+    return Source(chunks, lambda rows: rows)
+
+
+def sampled(chunks: DataFrame | Source) -> DataFrame:
+    """All chunks with their samples."""
+    return chunks.samples(chunks.rows) if isinstance(chunks, Source) else chunks
+
+
+def detect_r_peaks(chunks: DataFrame | Source, column: str = "ecg", halo: int = HALO, fs: int = FS) -> DataFrame:
     """caseid, peak_no and sample_idx of all peaks; each chunk gives those inside itself."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -42,6 +68,6 @@ def detect_r_peaks(chunks: DataFrame, column: str = "ecg", halo: int = HALO, fs:
                 found = found[(found >= 0) & (found < len(own))]
                 yield pd.DataFrame({"caseid": r.caseid, "sample_idx": found + r.start_sample})
 
-    rows = with_halo(chunks, column, halo).select("caseid", "start_sample", F.col(column).alias("x"), "left_halo", "right_halo")
+    rows = with_halo(sampled(chunks), column, halo).select("caseid", "start_sample", F.col(column).alias("x"), "left_halo", "right_halo")
     peaks = rows.mapInPandas(run, "caseid int, sample_idx bigint")
     return peaks.withColumn("peak_no", F.row_number().over(Window.partitionBy("caseid").orderBy("sample_idx")) - 1)

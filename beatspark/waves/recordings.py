@@ -19,7 +19,7 @@ from ..operators import joins, physiology, quality, select
 from ..sources.stages import Stages
 from . import beats as beat_kernels
 from . import kernels
-from .chunks import detect_r_peaks, with_halo
+from .chunks import Source, detect_r_peaks, sampled, sourced, with_halo
 from .kernels import FS
 
 #: Points that beats are resampled to before they are compared, and least likeness to their case's median beat.
@@ -109,9 +109,9 @@ def _sums(samples: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"total": [float(x.sum()) for x in fine], "n": [len(x) for x in fine]})
 
 
-def _means(chunks: DataFrame, column: str) -> DataFrame:
+def _means(chunks: DataFrame | Source, column: str) -> DataFrame:
     """caseid and the mean of a recording's samples: sums of chunks, added up by case."""
-    sums = chunks.select("caseid", F.pandas_udf(_sums, "total double, n bigint")(column).alias("s"))
+    sums = sampled(chunks).select("caseid", F.pandas_udf(_sums, "total double, n bigint")(column).alias("s"))
     return sums.groupBy("caseid").agg(F.try_divide(F.sum("s.total"), F.sum("s.n")).alias("__mean"))
 
 
@@ -129,39 +129,57 @@ def filled(chunks: DataFrame, column: str) -> DataFrame:
     return own.join(_means(chunks, column), "caseid").withColumn(column, F.arrow_udf(run, "array<double>")(column, "__mean")).drop("__mean")
 
 
-def wavelet_filter(chunks: DataFrame, rates: DataFrame, column: str, kind: str, fs: int = FS) -> DataFrame:
+def wavelet_filter(chunks: DataFrame | Source, rates: DataFrame, column: str, kind: str, fs: int = FS) -> DataFrame:
     """Chunks with a signal, its gaps filled, reduced to multiples of the case's heart rate (`rates`: caseid, hr); each chunk by
-    itself. Means and rates are joined first, so the samples move once at most."""
+    itself. Means and rates are joined to the rows of a source, so its samples don't move; those of a table move once."""
 
     def run(x: pa.Array, mean: pa.Array, hr: pa.Array) -> pa.Array:
         band = lambda v, m, r: kernels.morlet_band(_without_gaps(v, m), *kernels.filter_band(r, kind, fs), fs)
         return _column([band(v, m, r) if len(v) > 1 else np.zeros(len(v)) for v, m, r in zip(_views(x), mean.to_pylist(), hr.to_pylist())], "array<double>")
 
-    own, cases = chunks.drop(f"{column}_left", f"{column}_right"), _means(chunks, column).join(rates.select("caseid", "hr"), "caseid")
-    return own.join(cases, "caseid").withColumn(column, F.arrow_udf(run, "array<double>")(column, "__mean", "hr")).drop("hr", "__mean")
+    own = chunks if isinstance(chunks, Source) else Source(chunks.drop(f"{column}_left", f"{column}_right"), lambda rows: rows)
+    cases = _means(chunks, column).join(rates.select("caseid", "hr"), "caseid")
+    joined = own.samples(own.rows.join(cases, "caseid")).drop(f"{column}_left", f"{column}_right")
+    return joined.withColumn(column, F.arrow_udf(run, "array<double>")(column, "__mean", "hr")).drop("hr", "__mean")
 
 
-def cut_beats(chunks: DataFrame, spans: DataFrame, column: str, fs: int = FS) -> DataFrame:
+def _cut(own: pa.Array, right: pa.Array, starts: pa.Array, ends: pa.Array, reach: int) -> pa.Array:
+    """The samples between each start and end of a chunk, counted from its first sample, NULL where they reach beyond what
+    is there. Arrays of arrays."""
+    made, counts = [], [0]
+    for x, beyond, begun, ended in zip(_views(own), _views(right), starts.to_pylist(), ends.to_pylist()):
+        held = None if x is None or beyond is None else np.concatenate((x, beyond[:reach]))
+        made += [None if held is None or b > len(held) else held[a:b] for a, b in zip(begun, ended)]
+        counts.append(len(made))
+    return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), _column(made, "array<double>"))
+
+
+def cut_beats(chunks: DataFrame | Source, spans: DataFrame, column: str, fs: int = FS) -> DataFrame:
     """`spans` (caseid, sample_idx, end_idx) with the samples of a signal between: each beat from the chunk that it starts
-    in and the beginning of the next one. Beats that reach beyond are left out.
+    in and the beginning of the next one. Beats that reach beyond are left out. The spans of a chunk come to it as one list.
     """
-    reach = LONGEST_MS * fs // 1000
-    rows = with_halo(chunks, column, reach).select("caseid", "start_sample", F.concat(column, "right_halo").alias("__x"))
+    reach, names = LONGEST_MS * fs // 1000, [c for c in spans.columns if c != "caseid"]
+    source = sourced(chunks, column, reach)
     # the length of a chunk, from its number and where it starts; where there are first chunks only, all beats are theirs
-    chunk = chunks.where("chunk_id > 0").agg(F.max(F.col("start_sample") / F.col("chunk_id")).cast("bigint").alias("size"))
-    start = F.coalesce(F.col("sample_idx") - F.col("sample_idx") % F.col("size"), F.lit(0))
-    sized = spans.join(F.broadcast(chunk), F.lit(True)).withColumn("start_sample", start.cast("bigint"))
-    cut = sized.join(rows, ["caseid", "start_sample"]).withColumn(column, F.slice("__x", (F.col("sample_idx") - F.col("start_sample") + 1).cast("int"), (F.col("end_idx") - F.col("sample_idx")).cast("int")))
-    return cut.where(F.size(column) == F.col("end_idx") - F.col("sample_idx")).drop("__x", "size", "start_sample")
-
-
-def without_drift(chunks: DataFrame, column: str = "ppg", fs: int = FS) -> DataFrame:
+    chunk = source.rows.where("chunk_id > 0").agg(F.max(F.col("start_sample") / F.col("chunk_id")).cast("bigint").alias("__size"))
+    start = F.coalesce(F.col("sample_idx") - F.col("sample_idx") % F.col("__size"), F.lit(0))
+    sized = spans.join(F.broadcast(chunk), F.lit(True)).select("caseid", start.cast("bigint").alias("start_sample"), F.struct(*names).alias("__span"))
+    held = sized.groupBy("caseid", "start_sample").agg(F.collect_list("__span").alias("__spans"))
+    rows = source.samples(source.rows.join(held, ["caseid", "start_sample"]))
+    cut = F.arrow_udf(lambda *c: _cut(*c, reach), "array<array<double>>")
+    at = lambda name: F.transform("__spans", lambda s: (s[name] - F.col("start_sample")).cast("bigint"))
+    each = rows.select("caseid", "__spans", cut(F.col(column), F.col(f"{column}_right"), at("sample_idx"), at("end_idx")).alias("__cut"))
+    beats = each.select("caseid", F.explode(F.arrays_zip("__spans", "__cut")).alias("__beat"))
+    return beats.select("caseid", *[F.col(f"__beat.__spans.{c}").alias(c) for c in names], F.col("__beat.__cut").alias(column)).where(F.col(column).isNotNull())
+
+
+def without_drift(chunks: DataFrame | Source, column: str = "ppg", fs: int = FS) -> DataFrame:
     """caseid, chunk_id, start_sample and the signal high-passed at half a Hertz, each chunk with the context of its neighbours."""
 
     def flat(left: pa.Array, own: pa.Array, right: pa.Array) -> pa.Array:
         return _column([kernels.zero_phase(np.concatenate(parts), 0.5, None, 2, fs)[len(parts[0]) : len(parts[0]) + len(parts[1])] for parts in zip(_views(left), _views(own), _views(right))], "array<double>")
 
-    halo = with_halo(chunks, column, _DRIFT_HALO)
+    halo = with_halo(sampled(chunks), column, _DRIFT_HALO)
     return halo.select("caseid", "chunk_id", "start_sample", F.arrow_udf(flat, "array<double>")("left_halo", column, "right_halo").alias(column))
 
 
@@ -188,15 +206,16 @@ def window_votes(steady: DataFrame, fs: int = FS) -> DataFrame:
     return votes.groupBy("caseid").agg(F.count(F.lit(1)).alias("votes"), F.avg("vote").alias("share")).where(F.col("votes") >= beat_kernels.LEAST_WINDOWS)
 
 
-def detect_polarity(chunks: DataFrame, peaks: DataFrame, fs: int = FS, stages: Stages | None = None) -> DataFrame:
+def detect_polarity(chunks: DataFrame | Source, peaks: DataFrame, fs: int = FS, stages: Stages | None = None) -> DataFrame:
     """caseid and inverted, for each recording: by its beats, or by windows of slopes where no beat says anything; upright
     where these do not either. The high-passed signal is written once for both."""
-    stages = stages or Stages(chunks.sparkSession)
+    rows = chunks.rows if isinstance(chunks, Source) else chunks
+    stages = stages or Stages(rows.sparkSession)
     steady = stages.table("steady", lambda: without_drift(chunks, "ppg", fs))
     by_beats = stages.table("beat_votes", lambda: beat_votes(steady, peaks, fs))
     by_windows = window_votes(steady.join(by_beats.select("caseid"), "caseid", "left_anti"), fs)
     votes = by_beats.unionByName(by_windows).select("caseid", (F.col("share") > beat_kernels.INVERTED_SHARE).alias("inverted"))
-    return chunks.select("caseid").distinct().join(votes, "caseid", "left").select("caseid", F.coalesce("inverted", F.lit(False)).alias("inverted"))
+    return rows.select("caseid").distinct().join(votes, "caseid", "left").select("caseid", F.coalesce("inverted", F.lit(False)).alias("inverted"))
 
 
 def extract_features(cycles: DataFrame, fs: int = FS, gate: bool = True) -> DataFrame:
@@ -223,13 +242,13 @@ def judged_spans(spans: DataFrame, numerics: DataFrame, fs: int = FS) -> DataFra
     return pressed.withColumn("reason", F.coalesce(reason, F.lit(""))).drop("__there")
 
 
-def synchronised_cycles(chunks: DataFrame, numerics: DataFrame, fs: int = FS, least: float = LEAST_LIKENESS, stages: Stages | None = None) -> tuple[DataFrame, DataFrame]:
+def synchronised_cycles(chunks: DataFrame | Source, numerics: DataFrame, fs: int = FS, least: float = LEAST_LIKENESS, stages: Stages | None = None) -> tuple[DataFrame, DataFrame]:
     """Beats with their pulse signal, pressures and likeness to their case's median beat, and the polarity of each case.
 
     Peaks, heart rates, band filter, beats of a plausible length, the nearest pressure in the recordable range, and beats
     that resemble the median beat. What several steps read is a written stage, so each kernel runs once.
     """
-    stages = stages or Stages(chunks.sparkSession)
+    stages = stages or Stages((chunks.rows if isinstance(chunks, Source) else chunks).sparkSession)
     peaks = stages.table("peaks", lambda: detect_r_peaks(chunks, "ecg", fs=fs))
     spans = joins.rr_intervals(peaks, fs)
     rates = joins.rr_stats(spans)
@@ -242,7 +261,7 @@ def synchronised_cycles(chunks: DataFrame, numerics: DataFrame, fs: int = FS, le
     return alike, detect_polarity(filtered, peaks.join(rates.select("caseid"), "caseid", "left_semi"), fs, stages)
 
 
-def process_recordings(chunks: DataFrame, numerics: DataFrame, fs: int = FS, least: float = LEAST_LIKENESS, stages: Stages | None = None) -> DataFrame:
+def process_recordings(chunks: DataFrame | Source, numerics: DataFrame, fs: int = FS, least: float = LEAST_LIKENESS, stages: Stages | None = None) -> DataFrame:
     """The beat table of recordings, with `reason` where a beat has no features or implausible ones."""
     cycles, polarity = synchronised_cycles(chunks, numerics, fs, least, stages)
     rows = cycles.join(polarity, "caseid").select("caseid", F.col("peak_no").cast("int").alias("cycle_index"), "timestamp", "sbp_reference", "dbp_reference", "cycle_correlation", F.col("hr").alias("hr_bpm"), "ppg", "inverted")
@@ -251,7 +270,7 @@ def process_recordings(chunks: DataFrame, numerics: DataFrame, fs: int = FS, lea
 
 
 def build_beats(
-    chunks: DataFrame, numerics: DataFrame, cases: DataFrame, text: tuple[str, ...] = (), numbers: tuple[str, ...] = (), fs: int = FS, complete: list[str] | None = None,
+    chunks: DataFrame | Source, numerics: DataFrame, cases: DataFrame, text: tuple[str, ...] = (), numbers: tuple[str, ...] = (), fs: int = FS, complete: list[str] | None = None,
     stages: Stages | None = None, done: DataFrame | None = None,
 ) -> DataFrame:
     """Valid beats of all recordings with clinical columns, without incomplete rows (in `complete`, or any column).
@@ -260,8 +279,9 @@ def build_beats(
     folder of its own, a run that was stopped goes on behind its last whole stage.
     """
     if done is not None:
-        chunks = joins.pending_cases(chunks, done.select(F.col("patient_id").alias("caseid")).distinct())
-    stages = stages or Stages(chunks.sparkSession)
+        left = lambda rows: joins.pending_cases(rows, done.select(F.col("patient_id").alias("caseid")).distinct())
+        chunks = Source(left(chunks.rows), chunks.samples) if isinstance(chunks, Source) else left(chunks)
+    stages = stages or Stages((chunks.rows if isinstance(chunks, Source) else chunks).sparkSession)
     beats = stages.table("beats", lambda: process_recordings(chunks, numerics, fs, stages=stages))
     valid = beats.where("reason = ''").drop("reason")
     named = joins.attach_clinical(valid, cases, text, numbers).withColumn("session_id", F.format_string("case_%05d.npz", "caseid")).withColumnRenamed("caseid", "patient_id")
