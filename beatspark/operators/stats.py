@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import masked_corr, percent, ptt_column, safe_corr
-from .moments import correlation, merged, record, shifted, single, variance
+from .moments import correlation, merged, pair_correlations, record, shifted, single, variance
 from .ordered import BLOCK, SPAN, blocks, in_block, ranked
 from .quantiles import quantiles, summarised, wide_quantiles
 
@@ -36,11 +36,10 @@ def top_patients(df: DataFrame, k: int = 10) -> DataFrame:
 
 
 def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, r) for each pair of columns, over the rows where both are there: one aggregation."""
+    """(a, b, r) for each pair of columns, over the rows where both are there: one scan."""
     pairs = list(combinations(columns, 2))
-    one = df.agg(*[safe_corr(a, b).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
-    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{k}").alias("r")) for k, (a, b) in enumerate(pairs)])
-    return one.select(F.inline(rows))
+    named = F.get(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs]), F.col("pair"))
+    return pair_correlations(df, pairs).select(named["a"].alias("a"), named["b"].alias("b"), "r")
 
 
 def complete_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -64,9 +63,11 @@ def masked_correlations(df: DataFrame, target: str = "sbp_reference", more_than:
 def feature_bp_correlation(df: DataFrame, features: list[str], targets: tuple[str, ...] = ("sbp_reference", "dbp_reference")) -> DataFrame:
     """r of each feature with each target (`r_sbp` for sbp_reference, and so on), with a label by the first."""
     short = {t: "r_" + t.removesuffix("_reference") for t in targets}
-    rows = [F.struct(F.lit(f).alias("feature"), *[safe_corr(f, t).alias(n) for t, n in short.items()]).alias(f"f{k}") for k, f in enumerate(features)]
+    pairs = [(f, t) for f in features for t in targets]
+    at = lambda k: F.max(F.when(F.col("pair") % len(targets) == k, F.col("r")))
+    found = pair_correlations(df, pairs).groupBy(F.floor(F.col("pair") / len(targets)).cast("int").alias("__f")).agg(*[at(k).alias(n) for k, n in enumerate(short.values())])
+    one = found.select(F.get(F.array(*[F.lit(f) for f in features]), F.col("__f")).alias("feature"), *short.values())
     strong = F.abs(next(iter(short.values())))
-    one = df.agg(*rows).select(F.inline(F.array(*[f"f{k}" for k in range(len(features))])))
     return one.withColumn("strength", F.when(strong > 0.3, "strong").when(strong > 0.1, "moderate").otherwise("weak"))
 
 
