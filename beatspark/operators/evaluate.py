@@ -102,11 +102,15 @@ def _ema(rows: DataFrame, alphas: tuple[float, ...], warmup: int | None) -> Data
         return pa.Table.from_pylist(made, _schema(_PART))
 
     def carry(table: pa.Table) -> pa.Table:
-        """Of one patient and alpha, for each range: the rows before it, and the average that its first prediction comes from."""
+        """Of one patient, for each alpha and range: the rows before it, and the average that its first prediction comes from."""
+        ranges = table.sort_by("slot").to_pylist()
+        return pa.Table.from_pylist([start for a in alphas for start in along([r for r in ranges if r["alpha"] == a])], _schema(_START))
+
+    def along(ranges: list[dict]) -> list[dict]:
         before, state = 0, dict.fromkeys(_TARGETS)
         warm: dict[str, list[float]] = {t: [] for t in _TARGETS}
         made = []
-        for r in table.sort_by("slot").to_pylist():
+        for r in ranges:
             m = min(max(head - before, 0), r["n"])  # rows of the warm-up
             for t in _TARGETS:
                 warm[t] += [y for y in r[f"{t}_head"][:m] if y is not None]
@@ -119,7 +123,7 @@ def _ema(rows: DataFrame, alphas: tuple[float, ...], warmup: int | None) -> Data
                     state[t] = _after(state[t], r[f"{t}_head"][m:], r["alpha"])
                     if (first := r[f"{t}_first"]) is not None:
                         state[t] = r[f"{t}_factor"] * (first if state[t] is None else state[t]) + r[f"{t}_offset"]
-        return pa.Table.from_pylist(made, _schema(_START))
+        return made
 
     def run(table: pa.Table, starts: pa.Table) -> pa.Table:
         table = _in_order(table)
@@ -139,7 +143,7 @@ def _ema(rows: DataFrame, alphas: tuple[float, ...], warmup: int | None) -> Data
             made.append(pa.table(out, schema=_schema(_EMA)))
         return pa.concat_tables(made)
 
-    starts = rows.groupBy("patient_id", "slot").applyInArrow(parts, _PART).groupBy("patient_id", "alpha").applyInArrow(carry, _START)
+    starts = rows.groupBy("patient_id", "slot").applyInArrow(parts, _PART).groupBy("patient_id").applyInArrow(carry, _START)
     return rows.groupBy("patient_id", "slot").cogroup(starts.groupBy("patient_id", "slot")).applyInArrow(run, _EMA)
 
 
