@@ -8,8 +8,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stages import Stages
+
 #: Rank error of the sketches is a part in so many of all rows; groups of fewer values are counted as they are.
 SKETCH = 10_000
+#: Rows that a task numbers, about.
+TASK_ROWS = 500_000
 
 
 def summarised(long: DataFrame, key: str | None, x: str, at: Sequence[float], plain: Sequence[Column] = (), parts: int = SKETCH) -> DataFrame:
@@ -75,18 +79,22 @@ def numbered(rows: DataFrame, order: Column, prefix: Sequence[int] = (1, 2, 4, 8
 
     Rows with the same beginning lie together in the order: rows of longer and longer beginnings are summed inside the
     next shorter one, and rows are only sorted inside the longest. The shortest beginnings are few; no other window spans
-    the table.
+    the table. Rows are dealt by the longest beginning over as many tasks as their number asks for, and sorted once, so a task
+    holds as many of them in any table.
     """
     text = rows.withColumn("__order", order)
-    deep = text.withColumns({f"__p{k}": F.substring("__order", 1, n) for k, n in enumerate(prefix)})
+    deep = text.withColumn("__at", F.substring("__order", 1, prefix[-1]))
+    held = Stages(rows.sparkSession).table("beginnings", lambda: deep.groupBy("__at").agg(F.count(F.lit(1)).alias("__n")))
     names = [f"__p{k}" for k in range(len(prefix))]
-    counts = deep.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
+    counts = held.withColumns({p: F.substring("__at", 1, n) for p, n in zip(names, prefix)})
     # the shortest beginnings are few: their numbers come from a table of their own
     top = counts.groupBy(names[0]).agg(F.sum("__n").alias("__held"))
     counts = counts.join(top.select(names[0], (F.sum("__held").over(Window.partitionBy(F.lit(0)).orderBy(names[0])) - F.col("__held")).alias("__start")), names[0])
     for k in range(1, len(prefix)):
         upto = F.sum("__n").over(Window.partitionBy(*names[:k]).orderBy(names[k]).rangeBetween(Window.unboundedPreceding, 0))
         counts = counts.withColumn("__start", F.col("__start") + upto - F.sum("__n").over(Window.partitionBy(*names[: k + 1])))
-    starts = counts.drop("__n")
-    number = F.col("__start") + F.row_number().over(Window.partitionBy(*names).orderBy("__order"))
-    return deep.join(starts, names).withColumn(name, number).drop("__order", "__start", *names)
+    total = held.agg(F.sum("__n")).first()[0] or 0
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_ROWS))
+    inside = F.row_number().over(Window.partitionBy("__at").orderBy("__order"))
+    placed = deep.repartition(parts, "__at").withColumn("__inside", inside)
+    return placed.join(counts.select("__at", "__start"), "__at").withColumn(name, F.col("__start") + F.col("__inside")).drop("__order", "__start", "__inside", "__at")
