@@ -55,9 +55,14 @@ def clean_samples(df: DataFrame, strict: bool = True, limits: Thresholds = Thres
 
 def cleaning_stats(df: DataFrame, strict: bool = True, limits: Thresholds = Thresholds()) -> DataFrame:
     """Rows removed by each rule that removes any, in one pass. The zero rules report rows equal to zero only."""
+    return removed_by_rule(first_failed_rule(df, strict, limits))
+
+
+def removed_by_rule(judged: DataFrame) -> DataFrame:
+    """The same of rows with their `first_failed_rule`."""
     zero = (F.col("first_failed_rule") == "ptt_peak_zero") & (F.col("ptt_peak_to_peak") == 0) | (F.col("first_failed_rule") == "ptt_foot_zero") & (F.col("ptt_peak_to_foot") == 0)
     counted = F.when(F.col("first_failed_rule").isin("ptt_peak_zero", "ptt_foot_zero"), F.when(zero, 1).otherwise(0)).otherwise(1)
-    return first_failed_rule(df, strict, limits).where("first_failed_rule IS NOT NULL").groupBy(F.col("first_failed_rule").alias("rule")).agg(F.sum(counted).alias("removed"))
+    return judged.where("first_failed_rule IS NOT NULL").groupBy(F.col("first_failed_rule").alias("rule")).agg(F.sum(counted).alias("removed"))
 
 
 def removed_rows(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,6 +10,10 @@ from .ordered import BLOCK, blocks, in_block, ranked
 from .quantiles import summarised, wide_quantiles
 
 
+#: Columns that the report of a beat table, its verdict and the counts of removed rows read.
+REPORTED = ("patient_id", "session_id", "ptt_peak_to_peak", "ptt_peak_to_foot", "pat_ecg_ppg", "amplitude_ratio_ra", "sbp_reference", "dbp_reference", "hr_bpm", "cycle_correlation")
+
+
 def quality_report(df: DataFrame, low_correlation: float = 0.7) -> DataFrame:
     """All metrics and flags of a beat table in one row: counts, shares, means and spreads on valid rows, correlations on
     valid rows (0 up to 100 of them). One aggregation, one for rows per patient and one for the median.
