@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import masked_corr, percent, ptt_column, reasons, safe_corr
-from .ordered import BLOCK, blocks, in_block, ranked
+from .ordered import SPAN, slot
 from .quantiles import summarised, wide_quantiles
 
 
@@ -131,16 +131,27 @@ def summary_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     return summarised(long, "column", "x", (0.25, 0.5, 0.75), plain).select("column", "n", "mean", "std", "least", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q25", "q50", "q75"))], "most")
 
 
-def temporal_integrity(df: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Per session: repeated time stamps, steps back, gaps over 5 s, and breaks in the cycle numbers. A row is compared
-    with the one before in blocks that begin with the last row of the block before."""
-    order = in_block("session_id")
-    rows = blocks(ranked(df.select("session_id", "timestamp", "cycle_index"), "session_id", ("cycle_index",), block), 1, block)
-    steps = rows.select("session_id", "own", (F.col("timestamp") - F.lag("timestamp").over(order)).alias("d"), (F.col("cycle_index") - F.lag("cycle_index").over(order)).alias("step")).where("own")
-    seen = steps.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("d") <= 0).alias("backward"), F.count_if(F.col("d") > 5).alias("gaps"), F.count_if(F.col("step") != 1).alias("breaks"))
-    times = df.groupBy("session_id", "timestamp").agg(F.lit(1)).groupBy(F.col("session_id").alias("__session")).agg(F.count("timestamp").alias("times"))
-    both = seen.join(times, F.col("session_id").eqNullSafe(F.col("__session")))
-    return both.select("session_id", "n", (F.col("n") - F.col("times")).alias("duplicates"), "backward", "gaps", "breaks")
+def temporal_integrity(df: DataFrame, span: float = SPAN) -> DataFrame:
+    """Per session: repeated time stamps, steps back, gaps over 5 s, and breaks in the cycle numbers. A row is compared with
+    the one before inside ranges of `span` cycles, which are sorted once; a range's first row with the last one of the
+    range before it."""
+    group, row = F.struct("session_id").alias("group"), F.struct("timestamp", "cycle_index")  # a struct, so that null keys meet
+    order = Window.partitionBy("group", "slot").orderBy("cycle_index")
+    rows = df.select(group, slot("cycle_index", span).alias("slot"), "timestamp", "cycle_index")
+    near = rows.select("*", *[F.lag(c).over(order).alias(f"prev_{c}") for c in ("timestamp", "cycle_index")], F.row_number().over(order).alias("k"), F.lead(F.lit(True)).over(order).alias("more"))
+
+    def steps(timestamp: Column, cycle_index: Column) -> list[Column]:
+        return [F.count_if(timestamp <= 0).alias("backward"), F.count_if(timestamp > 5).alias("gaps"), F.count_if(cycle_index != 1).alias("breaks")]
+
+    own = steps(F.col("timestamp") - F.col("prev_timestamp"), F.col("cycle_index") - F.col("prev_cycle_index"))
+    inside = near.groupBy("group", "slot").agg(F.count(F.lit(1)).alias("n"), *own, F.max(F.when(F.col("k") == 1, row)).alias("first"), F.max(F.when(F.col("more").isNull(), row)).alias("last"))
+    along = Window.partitionBy("group").orderBy("slot")  # a row for each range of a session
+    crossed = steps(*[F.col(f"first.{c}") - F.col(f"before.{c}") for c in ("timestamp", "cycle_index")])
+    edges = inside.withColumn("before", F.lag("last").over(along)).groupBy("group").agg(*crossed)
+    sums = inside.groupBy("group").agg(*[F.sum(c).alias(f"__{c}") for c in ("n", "backward", "gaps", "breaks")])
+    times = df.groupBy("session_id", "timestamp").agg(F.lit(1)).groupBy(group).agg(F.count("timestamp").alias("times"))
+    both = sums.join(edges, "group").join(times, "group")
+    return both.select("group.session_id", F.col("__n").alias("n"), (F.col("__n") - F.col("times")).alias("duplicates"), *[(F.col(f"__{c}") + F.col(c)).alias(c) for c in ("backward", "gaps", "breaks")])
 
 
 def validation_verdict(df: DataFrame) -> DataFrame:
