@@ -153,6 +153,18 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     return found.join(named.join(least, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
 
 
+def drop_fingerprint_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2) -> DataFrame:
+    """`docs` with one row of each of `groups`: that with the smallest id (null last). Of repeated rows one stays; columns are
+    kept as they are. `docs` is read more than once and has to give its rows in the same order, as a plain scan does.
+    """
+    check_columns(docs, id_col, text_col)
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("at"), F.col(text_col).alias("text"))
+    named = groups(rows.select("at", "text"), "at", "text", size, radius).select(F.col("id").alias("at"), "component_id")
+    which = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at")).alias("which")
+    kept = rows.select("id", "at").join(named, "at").groupBy("component_id").agg(which).select(F.col("which.at").alias("at"))
+    return rows.select("row", "at").join(kept, "at", "left_semi").select("row.*")
+
+
 # Near duplicates of a stated similarity: bands of a sketch of five-word shingles propose groups, which may be too wide
 # but lose no pair; inside them texts are compared by their sets of shingles, and only what that confirms is linked.
 # Shingle fingerprints do not do here: texts of shingle similarity 0.8 differ in about ten of 64 bits, where covering

@@ -26,8 +26,11 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact and near copies, the one with the smallest id; a null id comes last. Texts
-    without words (null and empty ones are equal) are copies only of their like; of repeated rows one stays."""
+    """One document of each group of copies, the one with the smallest id; a null id comes last. Groups are those of SimHash
+    (fingerprints within 2 bits, found by covering masks), as in op1; of what they leave, those of shingle similarity 0.8, of
+    which most differ in more bits. Texts without words (null and empty ones are equal) are copies of their like; of
+    repeated rows one stays."""
+    docs = materialise(simhash.drop_fingerprint_copies(docs), "fingerprint_copies_dropped")
     return simhash.drop_near_duplicates(docs)
 
 

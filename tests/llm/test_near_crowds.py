@@ -81,3 +81,22 @@ def test_a_large_group_of_copies(spark, monkeypatch):
     rows = [(k, " ".join([f"v{k}", *base, f"u{k}"])) for k in range(150)] + [(1000 + k, " ".join(f"w{j}" for j in rng.integers(0, 5000, 120))) for k in range(300)]
     got = {r.node: r.root for r in simhash.near_duplicates(spark.createDataFrame(rows, "node bigint, text string")).collect()}
     assert got == {k: 0 for k in range(150)}
+
+
+def test_pipeline_drops_fingerprint_copies(spark):
+    """Texts within 2 bits of each other are copies in the pipeline too, where their shingles are less alike than 0.8."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(21)
+    low = " ".join("abc" for _ in range(60))  # one shingle outweighs all others: equal fingerprints whatever follows
+    far = [" ".join([low, *(f"n{k}x{j}" for j in range(20))]) for k in range(3)]
+    other = " ".join(f"w{j}" for j in rng.integers(0, 5000, 80))
+    rows = [(5, far[0]), (3, far[1]), (None, far[2]), (8, other), (9, other.upper()), (1, None), (2, "")]
+    sets = [set(simhash.shingles(t).tolist()) for t in far]
+    assert 5 * len(sets[0] & sets[1]) < 4 * len(sets[0] | sets[1])
+    fps = [simhash.simhash(t) for t in far]
+    assert max((a ^ b).bit_count() for a in fps for b in fps) <= 2
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    kept = dict(corpus_pipeline.STAGES)["near duplicates"](spark, frame, "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 8]
+    assert kept.columns == frame.columns
