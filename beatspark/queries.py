@@ -975,14 +975,14 @@ def g13_ecg_ppg_lag(spark, sf_dir):
 def _raw_cycles(spark, sf_dir):
     """Beats of the recordings, unfiltered, with the known polarity of their case."""
     chunks = _waves(spark, sf_dir)[0]
-    spans = joins.cycle_length_filter(joins.rr_intervals(detect_r_peaks(chunks)))
+    spans = joins.cycle_length_filter(joins.rr_intervals(detect_r_peaks(chunks))).select("caseid", "peak_no", "sample_idx", "end_idx")
     cycles = recordings.cut_beats(chunks, spans, "ppg")
-    return cycles.select("caseid", F.col("peak_no").alias("cycle_index"), F.col("hr").alias("hr_bpm"), "ppg", (F.col("caseid") % 4 == 3).alias("inverted"))
+    return cycles.select("caseid", F.col("peak_no").alias("cycle_index"), "ppg", (F.col("caseid") % 4 == 3).alias("inverted"))
 
 
 def _landmarks(columns: tuple[str, ...]):
     def run(spark, sf_dir):
-        return rounded(recordings.extract_features(_raw_cycles(spark, sf_dir)).select("caseid", "cycle_index", *columns, "reason"), 6)
+        return rounded(recordings.extract_features(_raw_cycles(spark, sf_dir), features=columns).select("caseid", "cycle_index", *columns, "reason"), 6)
 
     return run
 

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,15 +31,28 @@ def with_halo(chunks: DataFrame, column: str, halo: int = HALO) -> DataFrame:
     return chunks.withColumn("left_halo", F.coalesce(F.slice(before, F.greatest(F.lit(1), F.size(before) - halo + 1), halo), empty)).withColumn("right_halo", F.coalesce(F.slice(after, 1, halo), empty))
 
 
+def views(arrays: pa.Array) -> Iterator[np.ndarray | None]:
+    """Each array of a column as doubles, NaN where a value is missing; None where the array is."""
+    flat, ends = np.asarray(arrays.values.to_numpy(zero_copy_only=False), dtype=float), arrays.offsets.to_numpy()
+    return (flat[a:b] if there else None for a, b, there in zip(ends[:-1], ends[1:], arrays.is_valid().to_pylist()))
+
+
 @dataclass(frozen=True)
 class Source:
     """Chunks whose samples are read where they are needed: `rows` (caseid, chunk_id, start_sample, and what the source wants)
-    are small and can be joined with anything; `samples` deals such rows over the tasks and adds the arrays of the signals
-    and of their neighbours (`<signal>_left`, `<signal>_right`) to them. So no exchange ever moves samples.
+    are small and can be joined with anything; `deal` deals such rows, or others with a caseid and chunk_id, over the tasks, and
+    `samples` adds the arrays of the signals and of their neighbours (`<signal>_left`, `<signal>_right`) to dealt ones. So no
+    exchange ever moves samples. `size`: samples of a chunk, where it is known.
     """
 
     rows: DataFrame
     samples: Callable[[DataFrame], DataFrame]
+    deal: Callable[[DataFrame], DataFrame] | None = None
+    size: int | None = None
+
+    def made(self, rows: DataFrame) -> DataFrame:
+        """`rows`, dealt, with their samples."""
+        return self.samples(self.deal(rows) if self.deal else rows)
 
 
 def sourced(chunks: DataFrame | Source, column: str, halo: int) -> Source:
@@ -53,21 +66,21 @@ def sourced(chunks: DataFrame | Source, column: str, halo: int) -> Source:
 
 def sampled(chunks: DataFrame | Source) -> DataFrame:
     """All chunks with their samples."""
-    return chunks.samples(chunks.rows) if isinstance(chunks, Source) else chunks
+    return chunks.made(chunks.rows) if isinstance(chunks, Source) else chunks
 
 
 def detect_r_peaks(chunks: DataFrame | Source, column: str = "ecg", halo: int = HALO, fs: int = FS) -> DataFrame:
     """caseid, peak_no and sample_idx of all peaks; each chunk gives those inside itself."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for r in pdf.itertuples(index=False):
-                own = np.asarray(r.x, dtype=float)
-                left, right = np.asarray(r.left_halo, dtype=float), np.asarray(r.right_halo, dtype=float)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = []
+            for start, own, left, right in zip(batch.column(1).to_pylist(), *(views(batch.column(k)) for k in (2, 3, 4))):
                 found = r_peaks(bridged(np.concatenate((left, own, right))), fs) - len(left)
-                found = found[(found >= 0) & (found < len(own))]
-                yield pd.DataFrame({"caseid": r.caseid, "sample_idx": found + r.start_sample})
+                each.append(found[(found >= 0) & (found < len(own))] + start)
+            cases = np.repeat(batch.column(0).to_numpy(), [len(found) for found in each])
+            yield pa.RecordBatch.from_arrays([pa.array(cases, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *each]))], ["caseid", "sample_idx"])
 
-    rows = with_halo(sampled(chunks), column, halo).select("caseid", "start_sample", F.col(column).alias("x"), "left_halo", "right_halo")
-    peaks = rows.mapInPandas(run, "caseid int, sample_idx bigint")
+    rows = with_halo(sampled(chunks), column, halo).select(F.col("caseid").cast("int").alias("caseid"), "start_sample", F.col(column).alias("x"), "left_halo", "right_halo")
+    peaks = rows.mapInArrow(run, "caseid int, sample_idx bigint")
     return peaks.withColumn("peak_no", F.row_number().over(Window.partitionBy("caseid").orderBy("sample_idx")) - 1)

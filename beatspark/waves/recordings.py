@@ -6,11 +6,13 @@ chunks: caseid, chunk_id, start_sample, ecg, ppg (arrays of doubles, NULL or NaN
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ from ..operators import joins, physiology, quality, select
 from ..sources.stages import Stages
 from . import beats as beat_kernels
 from . import kernels
-from .chunks import Source, detect_r_peaks, sampled, sourced, with_halo
+from .chunks import Source, detect_r_peaks, sampled, sourced, views, with_halo
 from .kernels import FS
 
 #: Points that beats are resampled to before they are compared, and least likeness to their case's median beat.
@@ -32,12 +34,6 @@ VOTERS = 30
 _DRIFT_HALO = 4 * FS
 
 
-def _views(arrays: pa.Array) -> Iterator[np.ndarray | None]:
-    """Each array of a column as doubles, NaN where a value is missing; None where the array is."""
-    flat, ends = np.asarray(arrays.values.to_numpy(zero_copy_only=False), dtype=float), arrays.offsets.to_numpy()
-    return (flat[a:b] if there else None for a, b, there in zip(ends[:-1], ends[1:], arrays.is_valid().to_pylist()))
-
-
 def _column(made: list, kind: str) -> pa.Array:
     """A column of arrays or numbers, without boxing each value; NaN becomes NULL."""
     if not kind.startswith("array"):
@@ -52,7 +48,7 @@ def per_array(kernel: Callable[[np.ndarray], np.ndarray], kind: str = "array<dou
     """A kernel as a function of an array column; NULL arrays stay NULL."""
 
     def run(column: pa.Array) -> pa.Array:
-        return _column([None if x is None else kernel(x) for x in _views(column)], kind)
+        return _column([None if x is None else kernel(x) for x in views(column)], kind)
 
     return F.arrow_udf(run, kind)
 
@@ -123,7 +119,7 @@ def filled(chunks: DataFrame, column: str) -> DataFrame:
     """Missing samples of a signal become the mean of their recording."""
 
     def run(x: pa.Array, mean: pa.Array) -> pa.Array:
-        return _column([None if v is None else _without_gaps(v, m) for v, m in zip(_views(x), mean.to_pylist())], "array<double>")
+        return _column([None if v is None else _without_gaps(v, m) for v, m in zip(views(x), mean.to_pylist())], "array<double>")
 
     own = chunks.drop(f"{column}_left", f"{column}_right")
     return own.join(_means(chunks, column), "caseid").withColumn(column, F.arrow_udf(run, "array<double>")(column, "__mean")).drop("__mean")
@@ -135,11 +131,11 @@ def wavelet_filter(chunks: DataFrame | Source, rates: DataFrame, column: str, ki
 
     def run(x: pa.Array, mean: pa.Array, hr: pa.Array) -> pa.Array:
         band = lambda v, m, r: kernels.morlet_band(_without_gaps(v, m), *kernels.filter_band(r, kind, fs), fs)
-        return _column([band(v, m, r) if len(v) > 1 else np.zeros(len(v)) for v, m, r in zip(_views(x), mean.to_pylist(), hr.to_pylist())], "array<double>")
+        return _column([band(v, m, r) if len(v) > 1 else np.zeros(len(v)) for v, m, r in zip(views(x), mean.to_pylist(), hr.to_pylist())], "array<double>")
 
     own = chunks if isinstance(chunks, Source) else Source(chunks.drop(f"{column}_left", f"{column}_right"), lambda rows: rows)
     cases = _means(chunks, column).join(rates.select("caseid", "hr"), "caseid")
-    joined = own.samples(own.rows.join(cases, "caseid")).drop(f"{column}_left", f"{column}_right")
+    joined = own.made(own.rows.join(cases, "caseid")).drop(f"{column}_left", f"{column}_right")
     return joined.withColumn(column, F.arrow_udf(run, "array<double>")(column, "__mean", "hr")).drop("hr", "__mean")
 
 
@@ -147,7 +143,7 @@ def _cut(own: pa.Array, right: pa.Array, starts: pa.Array, ends: pa.Array, reach
     """The samples between each start and end of a chunk, counted from its first sample, NULL where they reach beyond what
     is there. Arrays of arrays."""
     made, counts = [], [0]
-    for x, beyond, begun, ended in zip(_views(own), _views(right), starts.to_pylist(), ends.to_pylist()):
+    for x, beyond, begun, ended in zip(views(own), views(right), starts.to_pylist(), ends.to_pylist()):
         held = None if x is None or beyond is None else np.concatenate((x, beyond[:reach]))
         made += [None if held is None or b > len(held) else held[a:b] for a, b in zip(begun, ended)]
         counts.append(len(made))
@@ -160,12 +156,18 @@ def cut_beats(chunks: DataFrame | Source, spans: DataFrame, column: str, fs: int
     """
     reach, names = LONGEST_MS * fs // 1000, [c for c in spans.columns if c != "caseid"]
     source = sourced(chunks, column, reach)
-    # the length of a chunk, from its number and where it starts; where there are first chunks only, all beats are theirs
-    chunk = source.rows.where("chunk_id > 0").agg(F.max(F.col("start_sample") / F.col("chunk_id")).cast("bigint").alias("__size"))
-    start = F.coalesce(F.col("sample_idx") - F.col("sample_idx") % F.col("__size"), F.lit(0))
-    sized = spans.join(F.broadcast(chunk), F.lit(True)).select("caseid", start.cast("bigint").alias("start_sample"), F.struct(*names).alias("__span"))
-    held = sized.groupBy("caseid", "start_sample").agg(F.collect_list("__span").alias("__spans"))
-    rows = source.samples(source.rows.join(held, ["caseid", "start_sample"]))
+    if source.size and source.deal:
+        # both sides are dealt alike, so that the spans move once
+        chunk = F.floor(F.col("sample_idx") / source.size).cast("int").alias("chunk_id")
+        held = spans.select("caseid", chunk, F.struct(*names).alias("__span")).groupBy("caseid", "chunk_id").agg(F.collect_list("__span").alias("__spans"))
+        rows = source.samples(source.deal(source.rows).join(source.deal(held), ["caseid", "chunk_id"]))
+    else:
+        # the length of a chunk, from its number and where it starts; where there are first chunks only, all beats are theirs
+        chunk = source.rows.where("chunk_id > 0").agg(F.max(F.col("start_sample") / F.col("chunk_id")).cast("bigint").alias("__size"))
+        start = F.coalesce(F.col("sample_idx") - F.col("sample_idx") % F.col("__size"), F.lit(0))
+        sized = spans.join(F.broadcast(chunk), F.lit(True)).select("caseid", start.cast("bigint").alias("start_sample"), F.struct(*names).alias("__span"))
+        held = sized.groupBy("caseid", "start_sample").agg(F.collect_list("__span").alias("__spans"))
+        rows = source.made(source.rows.join(held, ["caseid", "start_sample"]))
     cut = F.arrow_udf(lambda *c: _cut(*c, reach), "array<array<double>>")
     at = lambda name: F.transform("__spans", lambda s: (s[name] - F.col("start_sample")).cast("bigint"))
     each = rows.select("caseid", "__spans", cut(F.col(column), F.col(f"{column}_right"), at("sample_idx"), at("end_idx")).alias("__cut"))
@@ -177,7 +179,7 @@ def without_drift(chunks: DataFrame | Source, column: str = "ppg", fs: int = FS)
     """caseid, chunk_id, start_sample and the signal high-passed at half a Hertz, each chunk with the context of its neighbours."""
 
     def flat(left: pa.Array, own: pa.Array, right: pa.Array) -> pa.Array:
-        return _column([kernels.zero_phase(np.concatenate(parts), 0.5, None, 2, fs)[len(parts[0]) : len(parts[0]) + len(parts[1])] for parts in zip(_views(left), _views(own), _views(right))], "array<double>")
+        return _column([kernels.zero_phase(np.concatenate(parts), 0.5, None, 2, fs)[len(parts[0]) : len(parts[0]) + len(parts[1])] for parts in zip(views(left), views(own), views(right))], "array<double>")
 
     halo = with_halo(sampled(chunks), column, _DRIFT_HALO)
     return halo.select("caseid", "chunk_id", "start_sample", F.arrow_udf(flat, "array<double>")("left_halo", column, "right_halo").alias(column))
@@ -218,18 +220,21 @@ def detect_polarity(chunks: DataFrame | Source, peaks: DataFrame, fs: int = FS,
     return rows.select("caseid").distinct().join(votes, "caseid", "left").select("caseid", F.coalesce("inverted", F.lit(False)).alias("inverted"))
 
 
-def extract_features(cycles: DataFrame, fs: int = FS, gate: bool = True) -> DataFrame:
-    """All columns of `cycles` (ppg, inverted, and more) with one column for each feature, and `reason`: empty, or why there are none."""
+def extract_features(cycles: DataFrame, fs: int = FS, gate: bool = True, features: tuple[str, ...] = beat_kernels.FEATURES) -> DataFrame:
+    """All columns of `cycles` (ppg, inverted, and more) with one column for each of `features`, and `reason`: empty, or why
+    there are none. Only what these features need is made."""
     kept = [c for c in cycles.columns if c not in ("ppg", "inverted")]
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in cycles.dtypes if c in kept), *(f"{f} double" for f in beat_kernels.FEATURES), "reason string"])
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in cycles.dtypes if c in kept), *(f"{f} double" for f in features), "reason string"])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            found = [beat_kernels.extract(np.asarray(x, dtype=float), None if pd.isna(i) else bool(i), fs, gate) for x, i in zip(pdf["ppg"], pdf["inverted"])]
-            made = pd.DataFrame([values or {} for values, _ in found], columns=list(beat_kernels.FEATURES), index=pdf.index, dtype=float)
-            yield pd.concat([pdf[kept], made], axis=1).assign(reason=[why for _, why in found])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ppg, inverted = batch.column(len(kept)), batch.column(len(kept) + 1)
+            made, reasons = beat_kernels.extract_all(list(views(ppg)), inverted.to_pylist(), fs, gate, features)
+            held = pa.array([why == "" for why in reasons])
+            columns = [pc.if_else(held, pa.array(x), pa.scalar(None, pa.float64())) for x in made.T]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *columns, pa.array(reasons, pa.string())], [*kept, *features, "reason"])
 
-    return cycles.select(*kept, "ppg", "inverted").mapInPandas(run, schema)
+    return cycles.select(*kept, "ppg", "inverted").mapInArrow(run, schema)
 
 
 def judged_spans(spans: DataFrame, numerics: DataFrame, fs: int = FS) -> DataFrame:
@@ -280,7 +285,7 @@ def build_beats(
     """
     if done is not None:
         left = lambda rows: joins.pending_cases(rows, done.select(F.col("patient_id").alias("caseid")).distinct())
-        chunks = Source(left(chunks.rows), chunks.samples) if isinstance(chunks, Source) else left(chunks)
+        chunks = replace(chunks, rows=left(chunks.rows)) if isinstance(chunks, Source) else left(chunks)
     stages = stages or Stages((chunks.rows if isinstance(chunks, Source) else chunks).sparkSession)
     beats = stages.table("beats", lambda: process_recordings(chunks, numerics, fs, stages=stages))
     valid = beats.where("reason = ''").drop("reason")
