@@ -83,3 +83,13 @@ def test_spans_move_once_to_their_chunks(spark):
     assert "user_id" not in plan, "the events are put in order once, not for each use of the chunks"
     moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "ENSURE_REQUIREMENTS" in line]
     assert moved and not any("chunk_id" in line or "start_sample" in line for line in moved), moved
+
+
+def test_band_filter_is_the_sum_of_its_scales_and_its_gain_is_made_once():
+    kernels._morlet_gain.cache_clear()
+    x, (low, high), fs, size = np.cumsum(np.random.default_rng(4).normal(size=700)), (0.5, 2.0), kernels.FS, 2048
+    made = [kernels.morlet_band(x, low, high) for _ in range(4)]
+    assert kernels._morlet_gain.cache_info().misses == 1  # the chunks of a recording share their heart rate
+    f, spectrum = np.fft.fftfreq(size, 1 / fs), np.fft.fft(x, size)
+    each = [np.fft.ifft(spectrum * np.sqrt(fs / c) * np.exp(-(np.pi**2) * 1.5 * (f / c - 1) ** 2)).real for c in np.linspace(low, high, 32)]
+    assert np.allclose(made[0], sum(each)[:700], atol=1e-9 * np.abs(sum(each)).max())
