@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import first_failed
@@ -175,47 +175,93 @@ def cut_beats(chunks: DataFrame | Source, spans: DataFrame, column: str, fs: int
     return beats.select("caseid", *[F.col(f"__beat.__spans.{c}").alias(c) for c in names], F.col("__beat.__cut").alias(column)).where(F.col(column).isNotNull())
 
 
-def without_drift(chunks: DataFrame | Source, column: str = "ppg", fs: int = FS) -> DataFrame:
-    """caseid, chunk_id, start_sample and the signal high-passed at half a Hertz, each chunk with the context of its neighbours."""
+def without_drift(chunks: DataFrame | Source, column: str = "ppg", fs: int = FS, more: tuple[str, ...] = ()) -> DataFrame:
+    """caseid, chunk_id, start_sample, the signal high-passed at half a Hertz, each chunk with the context of its neighbours,
+    and `more` columns as they are."""
 
     def flat(left: pa.Array, own: pa.Array, right: pa.Array) -> pa.Array:
         return _column([kernels.zero_phase(np.concatenate(parts), 0.5, None, 2, fs)[len(parts[0]) : len(parts[0]) + len(parts[1])] for parts in zip(views(left), views(own), views(right))], "array<double>")
 
     halo = with_halo(sampled(chunks), column, _DRIFT_HALO)
-    return halo.select("caseid", "chunk_id", "start_sample", F.arrow_udf(flat, "array<double>")("left_halo", column, "right_halo").alias(column))
+    return halo.select("caseid", "chunk_id", "start_sample", *more, F.arrow_udf(flat, "array<double>")("left_halo", column, "right_halo").alias(column))
 
 
-def beat_votes(steady: DataFrame, peaks: DataFrame, fs: int = FS) -> DataFrame:
+def _votes(steady: Callable[[DataFrame], DataFrame], spans: DataFrame, size: Column, stage: Callable[[DataFrame], DataFrame], kernel: Callable[[np.ndarray], int]) -> DataFrame:
+    """caseid and the kernel's vote of each span (caseid, sample_idx, end_idx) of the high-passed signal.
+
+    A span inside a chunk votes where the chunk is made; of one that crosses an edge, each chunk gives its part, and only
+    these parts move. Spans that reach beyond what is there don't vote. `steady` makes the signal for rows with their chunk_id
+    and `__spans`, which are all that is wanted of it; `stage` writes votes and parts.
+    """
+
+    def run(x: pa.Array, starts: pa.Array, begins: pa.Array, ends: pa.Array) -> pa.Array:
+        votes, parts, counts = [], [], [0]
+        for own, start, begun, ended in zip(views(x), starts.to_pylist(), begins.to_pylist(), ends.to_pylist()):
+            for b, e in zip(begun, ended):
+                part = own[max(b - start, 0) : max(e - start, 0)]
+                votes.append(kernel(part) if len(part) == e - b else None)
+                parts.append(None if len(part) == e - b else part)
+            counts.append(len(votes))
+        each = pa.StructArray.from_arrays([pa.array(votes, pa.int32()), _column(parts, "array<double>")], ["vote", "part"])
+        return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), each)
+
+    over = F.explode(F.sequence(*[F.floor(x / size).cast("int") for x in (F.col("sample_idx"), F.col("end_idx") - 1)]))
+    held = spans.select("caseid", "sample_idx", "end_idx", over.alias("chunk_id")).groupBy("caseid", "chunk_id").agg(F.collect_list(F.struct("sample_idx", "end_idx")).alias("__spans"))
+    made = F.arrow_udf(run, "array<struct<vote: int, part: array<double>>>")("ppg", "start_sample", "__spans.sample_idx", "__spans.end_idx")
+    each = steady(held).select("caseid", "start_sample", "__spans", made.alias("__made")).select("caseid", "start_sample", F.explode(F.arrays_zip("__spans", "__made")).alias("x"))
+    written = stage(each.select("caseid", "start_sample", F.col("x.__spans.sample_idx").alias("sample_idx"), F.col("x.__spans.end_idx").alias("end_idx"), "x.__made.vote", "x.__made.part"))
+    parts = written.where("part IS NOT NULL").groupBy("caseid", "sample_idx", "end_idx").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start_sample", "part"))), lambda p: p["part"])).alias("ppg"))
+    whole = parts.where(F.size("ppg") == F.col("end_idx") - F.col("sample_idx")).select("caseid", per_array(kernel, "int")("ppg").alias("vote"))
+    return written.where("part IS NULL").select("caseid", "vote").unionByName(whole)
+
+
+def beat_votes(steady: Callable[[DataFrame], DataFrame], peaks: DataFrame, size: Column, stage: Callable[[DataFrame], DataFrame], fs: int = FS) -> DataFrame:
     """caseid, votes and share (of votes for inverted): beats from the start, the first quarter, the middle and the end of
     each recording, or all beats where there are few."""
     n, k = F.col("n"), F.least(F.lit(VOTERS), F.floor(F.col("n") / 4))
     at = lambda start: F.col("peak_no").between(start, start + k - 1)
     few = (n <= 100) & (F.col("peak_no") < n - 1)
     chosen = few | ((n > 100) & (at(F.lit(0)) | at(F.floor(n / 4)) | at(F.floor(n / 2)) | at(n - k - 1)))
-    voters = peaks.join(peaks.groupBy("caseid").agg(F.count(F.lit(1)).alias("n")), "caseid").where(chosen).select("caseid", "sample_idx", (F.col("sample_idx") + int(0.6 * fs)).alias("end_idx"))
-    votes = cut_beats(steady, voters, "ppg", fs=fs).select("caseid", per_array(lambda x: beat_kernels.polarity_vote(x, fs), "int")("ppg").alias("vote")).where("vote >= 0")
+    # counted in a window, as a join with the counts would find the peaks twice
+    voters = peaks.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("caseid"))).where(chosen).select("caseid", "sample_idx", (F.col("sample_idx") + int(0.6 * fs)).alias("end_idx"))
+    votes = _votes(steady, voters, size, stage, lambda x: beat_kernels.polarity_vote(x, fs)).where("vote >= 0")
     return votes.groupBy("caseid").agg(F.count(F.lit(1)).alias("votes"), F.avg("vote").alias("share"))
 
 
-def window_votes(steady: DataFrame, fs: int = FS) -> DataFrame:
-    """The same for recordings without usable beats: windows of slopes from their start, which may cross the edges of chunks."""
-    size = beat_kernels.WINDOW_MS * fs // 1000
-    held = steady.groupBy("caseid").agg(F.sum(F.size("ppg")).alias("samples"))
-    count = F.least(F.lit(beat_kernels.WINDOWS), F.floor((F.col("samples") - 1) / size)).cast("int")
-    spans = held.where(count > 0).select("caseid", F.explode(F.sequence(F.lit(0), count - 1)).alias("w")).select("caseid", (F.col("w") * size).cast("bigint").alias("sample_idx"), ((F.col("w") + 1) * size + 1).cast("bigint").alias("end_idx"))
-    fall = per_array(lambda x: int(beat_kernels.falls_first(np.diff(x))), "int")
-    votes = cut_beats(steady, spans, "ppg", fs=fs).select("caseid", fall("ppg").alias("vote"))
+def window_votes(steady: Callable[[DataFrame], DataFrame], held: DataFrame, size: Column, stage: Callable[[DataFrame], DataFrame], fs: int = FS) -> DataFrame:
+    """The same for recordings (caseid, samples) without usable beats: windows of slopes from their start, which may cross
+    the edges of chunks."""
+    long = beat_kernels.WINDOW_MS * fs // 1000
+    count = F.least(F.lit(beat_kernels.WINDOWS), F.floor((F.col("samples") - 1) / long)).cast("int")
+    each = held.where(count > 0).select("caseid", F.explode(F.sequence(F.lit(0), count - 1)).alias("w"))
+    spans = each.select("caseid", (F.col("w") * long).cast("bigint").alias("sample_idx"), ((F.col("w") + 1) * long + 1).cast("bigint").alias("end_idx"))
+    votes = _votes(steady, spans, size, stage, lambda x: int(beat_kernels.falls_first(np.diff(x))))
     return votes.groupBy("caseid").agg(F.count(F.lit(1)).alias("votes"), F.avg("vote").alias("share")).where(F.col("votes") >= beat_kernels.LEAST_WINDOWS)
 
 
 def detect_polarity(chunks: DataFrame | Source, peaks: DataFrame, fs: int = FS, stages: Stages | None = None) -> DataFrame:
     """caseid and inverted, for each recording: by its beats, or by windows of slopes where no beat says anything; upright
-    where these do not either. The high-passed signal is written once for both."""
+    where these do not either.
+
+    Only votes are kept of the high-passed signal. That of a table of chunks is written once; that of a source is made again
+    for the recordings that vote by windows, so no samples are written or moved.
+    """
     rows = chunks.rows if isinstance(chunks, Source) else chunks
     stages = stages or Stages(rows.sparkSession)
-    steady = stages.table("steady", lambda: without_drift(chunks, "ppg", fs))
-    by_beats = stages.table("beat_votes", lambda: beat_votes(steady, peaks, fs))
-    by_windows = window_votes(steady.join(by_beats.select("caseid"), "caseid", "left_anti"), fs)
+    if isinstance(chunks, Source) and chunks.size and chunks.deal:
+        size, lengths = F.lit(chunks.size), rows.groupBy("caseid").agg(F.count(F.lit(1)) * chunks.size).toDF("caseid", "samples")
+        steady = lambda held: without_drift(chunks.samples(chunks.deal(rows).join(chunks.deal(held), ["caseid", "chunk_id"])), "ppg", fs, ("__spans",))
+    else:
+        flat = stages.table("steady", lambda: without_drift(chunks, "ppg", fs))
+        lengths = flat.groupBy("caseid").agg(F.sum(F.size("ppg")).alias("samples"))
+        # from the number of a chunk and where it starts; where there are first chunks only, all spans are theirs
+        longest = flat.where("chunk_id > 0").agg(F.max(F.col("start_sample") / F.col("chunk_id")).cast("bigint")).first()[0]
+        size = F.lit(longest or 1 << 62)
+        steady = lambda held: flat.join(held, ["caseid", "chunk_id"])
+    part = lambda name: lambda df: stages.table(name, lambda: df)
+    by_beats = stages.table("beat_votes", lambda: beat_votes(steady, peaks, size, part("beat_parts"), fs))
+    without = lengths.join(by_beats.select("caseid"), "caseid", "left_anti")
+    by_windows = window_votes(steady, without, size, part("window_parts"), fs)
     votes = by_beats.unionByName(by_windows).select("caseid", (F.col("share") > beat_kernels.INVERTED_SHARE).alias("inverted"))
     return rows.select("caseid").distinct().join(votes, "caseid", "left").select("caseid", F.coalesce("inverted", F.lit(False)).alias("inverted"))
 

@@ -4,6 +4,7 @@ import numpy as np
 
 from beatspark import fixtures as fx
 from beatspark.operators import joins
+from beatspark.sources.stages import Stages
 from beatspark.waves import beats, kernels, recordings
 from beatspark.waves.chunks import detect_r_peaks
 
@@ -85,6 +86,16 @@ def test_spans_move_once_to_their_chunks(spark):
     assert moved and not any("chunk_id" in line or "start_sample" in line for line in moved), moved
 
 
+def test_polarity_of_a_source_is_that_of_a_table_and_its_signal_is_not_written(spark, tmp_path):
+    source, table = fx.wave_source(spark, SF), fx.waves(spark, SF)
+    peaks = detect_r_peaks(source).where("caseid % 3 > 0").cache()  # the others vote by windows, which cross chunks
+    folders = [f"file://{tmp_path}/{name}" for name in ("source", "table")]
+    made, want = ({r.caseid: r.inverted for r in recordings.detect_polarity(chunks, peaks, stages=Stages(spark, folder)).collect()} for chunks, folder in zip((source, table), folders))
+    assert made == want and {c: c % 4 == 3 for c in made} == made and len(made) > 5
+    assert not Stages(spark, folders[0]).done("steady") and Stages(spark, folders[1]).done("steady")
+    peaks.unpersist()
+
+
 def test_band_filter_is_the_sum_of_its_scales_and_its_gain_is_made_once():
     kernels._morlet_gain.cache_clear()
     x, (low, high), fs, size = np.cumsum(np.random.default_rng(4).normal(size=700)), (0.5, 2.0), kernels.FS, 2048
