@@ -37,17 +37,28 @@ def views(arrays: pa.Array) -> Iterator[np.ndarray | None]:
     return (flat[a:b] if there else None for a, b, there in zip(ends[:-1], ends[1:], arrays.is_valid().to_pylist()))
 
 
+def arrow_column(made: list, kind: str) -> pa.Array:
+    """A column of arrays or numbers, without boxing each value; NaN becomes NULL."""
+    if not kind.startswith("array"):
+        return pa.array(made, {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}[kind], from_pandas=True)
+    held = [np.zeros(0) if x is None else x for x in made]
+    flat = np.concatenate([np.zeros(0), *held]) if kind == "array<double>" else np.concatenate([np.zeros(0, dtype=np.int64), *held])
+    ends = pa.array(np.cumsum([0, *map(len, held)]), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array(flat, from_pandas=True), mask=pa.array([x is None for x in made], pa.bool_()))
+
+
 @dataclass(frozen=True)
 class Source:
     """Chunks whose samples are read where they are needed: `rows` (caseid, chunk_id, start_sample, and what the source wants)
-    are small and can be joined with anything; `deal` deals such rows, or others with a caseid and chunk_id, over the tasks, and
-    `samples` adds the arrays of the signals and of their neighbours (`<signal>_left`, `<signal>_right`) to dealt ones. So no
-    exchange ever moves samples. `size`: samples of a chunk, where it is known.
+    are small and can be joined with anything; `deal` deals such rows, or others with a caseid and chunk_id (or another number,
+    whose column it is given), over the tasks, and `samples` adds the arrays of the signals and of their neighbours
+    (`<signal>_left`, `<signal>_right`) to dealt ones. So no exchange ever moves samples. `size`: samples of a chunk, where it
+    is known.
     """
 
     rows: DataFrame
     samples: Callable[[DataFrame], DataFrame]
-    deal: Callable[[DataFrame], DataFrame] | None = None
+    deal: Callable[..., DataFrame] | None = None
     size: int | None = None
 
     def made(self, rows: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""From chunks of recordings to the beat table. Chunks and beats are the rows; a recording is never in one task.
+"""From chunks of recordings to the beat table. Chunks and beats are the rows; a task holds a block of chunks at most.
 
 chunks: caseid, chunk_id, start_sample, ecg, ppg (arrays of doubles, NULL or NaN where a sample is missing).
 """
@@ -20,35 +20,24 @@ from ..functions.expr import first_failed
 from ..operators import joins, physiology, quality, select
 from ..sources.stages import Stages
 from . import beats as beat_kernels
-from . import kernels
-from .chunks import Source, detect_r_peaks, sampled, sourced, views, with_halo
+from . import blocks, kernels
+from .blocks import DRIFT_HALO, band_filtered, drift_free, without_gaps
+from .chunks import Source, arrow_column, detect_r_peaks, sampled, sourced, views, with_halo
 from .kernels import FS
 
 #: Points that beats are resampled to before they are compared, and least likeness to their case's median beat.
 POINTS, LEAST_LIKENESS = 200, 0.85
 #: Longest beat in ms; a beat may reach so far into the next chunk.
 LONGEST_MS = 1500
-#: Beats of a polarity vote.
-VOTERS = 30
-#: Samples of context of the polarity's high-pass.
-_DRIFT_HALO = 4 * FS
-
-
-def _column(made: list, kind: str) -> pa.Array:
-    """A column of arrays or numbers, without boxing each value; NaN becomes NULL."""
-    if not kind.startswith("array"):
-        return pa.array(made, {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}[kind], from_pandas=True)
-    held = [np.zeros(0) if x is None else x for x in made]
-    flat = np.concatenate([np.zeros(0), *held]) if kind == "array<double>" else np.concatenate([np.zeros(0, dtype=np.int64), *held])
-    ends = pa.array(np.cumsum([0, *map(len, held)]), pa.int32())
-    return pa.ListArray.from_arrays(ends, pa.array(flat, from_pandas=True), mask=pa.array([x is None for x in made], pa.bool_()))
+#: Beats of a polarity vote, and how much of a beat votes, in ms.
+VOTERS, VOTE_MS = 30, 600
 
 
 def per_array(kernel: Callable[[np.ndarray], np.ndarray], kind: str = "array<double>") -> Callable[[Column], Column]:
     """A kernel as a function of an array column; NULL arrays stay NULL."""
 
     def run(column: pa.Array) -> pa.Array:
-        return _column([None if x is None else kernel(x) for x in views(column)], kind)
+        return arrow_column([None if x is None else kernel(x) for x in views(column)], kind)
 
     return F.arrow_udf(run, kind)
 
@@ -111,15 +100,11 @@ def _means(chunks: DataFrame | Source, column: str) -> DataFrame:
     return sums.groupBy("caseid").agg(F.try_divide(F.sum("s.total"), F.sum("s.n")).alias("__mean"))
 
 
-def _without_gaps(x: np.ndarray, mean: float | None) -> np.ndarray:
-    return np.where(np.isnan(x), np.nan if mean is None else mean, x)
-
-
 def filled(chunks: DataFrame, column: str) -> DataFrame:
     """Missing samples of a signal become the mean of their recording."""
 
     def run(x: pa.Array, mean: pa.Array) -> pa.Array:
-        return _column([None if v is None else _without_gaps(v, m) for v, m in zip(views(x), mean.to_pylist())], "array<double>")
+        return arrow_column([None if v is None else without_gaps(v, m) for v, m in zip(views(x), mean.to_pylist())], "array<double>")
 
     own = chunks.drop(f"{column}_left", f"{column}_right")
     return own.join(_means(chunks, column), "caseid").withColumn(column, F.arrow_udf(run, "array<double>")(column, "__mean")).drop("__mean")
@@ -130,8 +115,7 @@ def wavelet_filter(chunks: DataFrame | Source, rates: DataFrame, column: str, ki
     itself. Means and rates are joined to the rows of a source, so its samples don't move; those of a table move once."""
 
     def run(x: pa.Array, mean: pa.Array, hr: pa.Array) -> pa.Array:
-        band = lambda v, m, r: kernels.morlet_band(_without_gaps(v, m), *kernels.filter_band(r, kind, fs), fs)
-        return _column([band(v, m, r) if len(v) > 1 else np.zeros(len(v)) for v, m, r in zip(views(x), mean.to_pylist(), hr.to_pylist())], "array<double>")
+        return arrow_column([band_filtered(v, m, r, kind, fs) for v, m, r in zip(views(x), mean.to_pylist(), hr.to_pylist())], "array<double>")
 
     own = chunks if isinstance(chunks, Source) else Source(chunks.drop(f"{column}_left", f"{column}_right"), lambda rows: rows)
     cases = _means(chunks, column).join(rates.select("caseid", "hr"), "caseid")
@@ -147,7 +131,7 @@ def _cut(own: pa.Array, right: pa.Array, starts: pa.Array, ends: pa.Array, reach
         held = None if x is None or beyond is None else np.concatenate((x, beyond[:reach]))
         made += [None if held is None or b > len(held) else held[a:b] for a, b in zip(begun, ended)]
         counts.append(len(made))
-    return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), _column(made, "array<double>"))
+    return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), arrow_column(made, "array<double>"))
 
 
 def cut_beats(chunks: DataFrame | Source, spans: DataFrame, column: str, fs: int = FS) -> DataFrame:
@@ -180,9 +164,9 @@ def without_drift(chunks: DataFrame | Source, column: str = "ppg", fs: int = FS,
     and `more` columns as they are."""
 
     def flat(left: pa.Array, own: pa.Array, right: pa.Array) -> pa.Array:
-        return _column([kernels.zero_phase(np.concatenate(parts), 0.5, None, 2, fs)[len(parts[0]) : len(parts[0]) + len(parts[1])] for parts in zip(views(left), views(own), views(right))], "array<double>")
+        return arrow_column([drift_free(*parts, fs) for parts in zip(views(left), views(own), views(right))], "array<double>")
 
-    halo = with_halo(sampled(chunks), column, _DRIFT_HALO)
+    halo = with_halo(sampled(chunks), column, DRIFT_HALO)
     return halo.select("caseid", "chunk_id", "start_sample", *more, F.arrow_udf(flat, "array<double>")("left_halo", column, "right_halo").alias(column))
 
 
@@ -202,7 +186,7 @@ def _votes(steady: Callable[[DataFrame], DataFrame], spans: DataFrame, size: Col
                 votes.append(kernel(part) if len(part) == e - b else None)
                 parts.append(None if len(part) == e - b else part)
             counts.append(len(votes))
-        each = pa.StructArray.from_arrays([pa.array(votes, pa.int32()), _column(parts, "array<double>")], ["vote", "part"])
+        each = pa.StructArray.from_arrays([pa.array(votes, pa.int32()), arrow_column(parts, "array<double>")], ["vote", "part"])
         return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), each)
 
     over = F.explode(F.sequence(*[F.floor(x / size).cast("int") for x in (F.col("sample_idx"), F.col("end_idx") - 1)]))
@@ -215,27 +199,34 @@ def _votes(steady: Callable[[DataFrame], DataFrame], spans: DataFrame, size: Col
     return written.where("part IS NULL").select("caseid", "vote").unionByName(whole)
 
 
-def beat_votes(steady: Callable[[DataFrame], DataFrame], peaks: DataFrame, size: Column, stage: Callable[[DataFrame], DataFrame], fs: int = FS) -> DataFrame:
-    """caseid, votes and share (of votes for inverted): beats from the start, the first quarter, the middle and the end of
-    each recording, or all beats where there are few."""
-    n, k = F.col("n"), F.least(F.lit(VOTERS), F.floor(F.col("n") / 4))
+def _is_voter(n: Column) -> Column:
+    """Whether a peak's beat votes, of n peaks of its recording: those from the start, the first quarter, the middle and the
+    end, or all where there are few."""
+    k = F.least(F.lit(VOTERS), F.floor(n / 4))
     at = lambda start: F.col("peak_no").between(start, start + k - 1)
-    few = (n <= 100) & (F.col("peak_no") < n - 1)
-    chosen = few | ((n > 100) & (at(F.lit(0)) | at(F.floor(n / 4)) | at(F.floor(n / 2)) | at(n - k - 1)))
+    return ((n <= 100) & (F.col("peak_no") < n - 1)) | ((n > 100) & (at(F.lit(0)) | at(F.floor(n / 4)) | at(F.floor(n / 2)) | at(n - k - 1)))
+
+
+def beat_votes(steady: Callable[[DataFrame], DataFrame], peaks: DataFrame, size: Column, stage: Callable[[DataFrame], DataFrame], fs: int = FS) -> DataFrame:
+    """caseid, votes and share (of votes for inverted) of the beats that vote."""
     # counted in a window, as a join with the counts would find the peaks twice
-    voters = peaks.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("caseid"))).where(chosen).select("caseid", "sample_idx", (F.col("sample_idx") + int(0.6 * fs)).alias("end_idx"))
+    voters = peaks.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("caseid"))).where(_is_voter(F.col("n"))).select("caseid", "sample_idx", (F.col("sample_idx") + int(VOTE_MS / 1000 * fs)).alias("end_idx"))
     votes = _votes(steady, voters, size, stage, lambda x: beat_kernels.polarity_vote(x, fs)).where("vote >= 0")
     return votes.groupBy("caseid").agg(F.count(F.lit(1)).alias("votes"), F.avg("vote").alias("share"))
 
 
-def window_votes(steady: Callable[[DataFrame], DataFrame], held: DataFrame, size: Column, stage: Callable[[DataFrame], DataFrame], fs: int = FS) -> DataFrame:
-    """The same for recordings (caseid, samples) without usable beats: windows of slopes from their start, which may cross
-    the edges of chunks."""
+def _windows(held: DataFrame, fs: int) -> DataFrame:
+    """caseid, sample_idx and end_idx of the windows that recordings (caseid, samples) vote by."""
     long = beat_kernels.WINDOW_MS * fs // 1000
     count = F.least(F.lit(beat_kernels.WINDOWS), F.floor((F.col("samples") - 1) / long)).cast("int")
     each = held.where(count > 0).select("caseid", F.explode(F.sequence(F.lit(0), count - 1)).alias("w"))
-    spans = each.select("caseid", (F.col("w") * long).cast("bigint").alias("sample_idx"), ((F.col("w") + 1) * long + 1).cast("bigint").alias("end_idx"))
-    votes = _votes(steady, spans, size, stage, lambda x: int(beat_kernels.falls_first(np.diff(x))))
+    return each.select("caseid", (F.col("w") * long).cast("bigint").alias("sample_idx"), ((F.col("w") + 1) * long + 1).cast("bigint").alias("end_idx"))
+
+
+def window_votes(steady: Callable[[DataFrame], DataFrame], held: DataFrame, size: Column, stage: Callable[[DataFrame], DataFrame], fs: int = FS) -> DataFrame:
+    """The same for recordings (caseid, samples) without usable beats: windows of slopes from their start, which may cross
+    the edges of chunks."""
+    votes = _votes(steady, _windows(held, fs), size, stage, lambda x: int(beat_kernels.falls_first(np.diff(x))))
     return votes.groupBy("caseid").agg(F.count(F.lit(1)).alias("votes"), F.avg("vote").alias("share")).where(F.col("votes") >= beat_kernels.LEAST_WINDOWS)
 
 
@@ -293,29 +284,56 @@ def judged_spans(spans: DataFrame, numerics: DataFrame, fs: int = FS) -> DataFra
     return pressed.withColumn("reason", F.coalesce(reason, F.lit(""))).drop("__there")
 
 
-def synchronised_cycles(chunks: DataFrame | Source, numerics: DataFrame, fs: int = FS, least: float = LEAST_LIKENESS, stages: Stages | None = None) -> tuple[DataFrame, DataFrame]:
-    """Beats with their pulse signal, pressures and likeness to their case's median beat, and the polarity of each case.
+def synchronised_cycles(chunks: DataFrame | Source, numerics: DataFrame, fs: int = FS, least: float = LEAST_LIKENESS, stages: Stages | None = None, block: int = blocks.BLOCK) -> DataFrame:
+    """Beats with their pulse signal, pressures, likeness to their case's median beat, and whether their case is inverted.
 
     Peaks, heart rates, band filter, beats of a plausible length, the nearest pressure in the recordable range, and beats
-    that resemble the median beat. What several steps read is a written stage, so each kernel runs once.
+    that resemble the median beat. What several steps read is a written stage, so each kernel runs once; but the samples of a
+    source are filtered in two passes, in blocks of chunks, as writing and moving them takes more than making them again.
     """
     stages = stages or Stages((chunks.rows if isinstance(chunks, Source) else chunks).sparkSession)
     peaks = stages.table("peaks", lambda: detect_r_peaks(chunks, "ecg", fs=fs))
     spans = joins.rr_intervals(peaks, fs)
     rates = joins.rr_stats(spans)
+    if isinstance(chunks, Source) and chunks.size and chunks.deal:
+        return _synchronised_blocks(chunks, spans, rates, numerics, fs, least, stages, block)
     filtered = stages.table("filtered", lambda: wavelet_filter(chunks, rates, "ppg", "ppg", fs).select("caseid", "chunk_id", "start_sample", "ppg"))
 
     judged = stages.table("spans", lambda: judged_spans(spans, numerics, fs))
     cut = lambda: cut_beats(filtered, judged.where("reason = ''").drop("reason"), "ppg", fs=fs).withColumn("shape", resample("ppg"))
     cycles = stages.table("cycles", cut)
     alike = select.template_correlation_filter(cycles, select.median_template(cycles, "shape"), "shape", least).drop("shape")
-    return alike, detect_polarity(filtered, peaks.join(rates.select("caseid"), "caseid", "left_semi"), fs, stages)
-
-
-def process_recordings(chunks: DataFrame | Source, numerics: DataFrame, fs: int = FS, least: float = LEAST_LIKENESS, stages: Stages | None = None) -> DataFrame:
+    return alike.join(detect_polarity(filtered, peaks.join(rates.select("caseid"), "caseid", "left_semi"), fs, stages), "caseid")
+
+
+def _synchronised_blocks(source: Source, spans: DataFrame, rates: DataFrame, numerics: DataFrame, fs: int, least: float, stages: Stages, block: int) -> DataFrame:
+    """The same of a source. The first pass gives templates and votes, the second the beats; what is written of either is
+    `first_look`."""
+    reach, n = LONGEST_MS * fs // 1000, F.count(F.lit(1)).over(Window.partitionBy("caseid")) + 1
+    # the last peak begins no span, so there is one peak more
+    voting = spans.withColumn("vote_end", F.when(_is_voter(n), F.col("sample_idx") + int(VOTE_MS / 1000 * fs)))
+    judged = stages.table("spans", lambda: judged_spans(voting, numerics, fs))
+    cases = stages.table("cases", lambda: _means(source, "ppg").join(rates.select("caseid", F.col("hr").alias("__hr")), "caseid"))
+    looked = judged.select("caseid", "peak_no", "sample_idx", "end_idx", (F.col("reason") == "").alias("is_beat"), "vote_end").where("is_beat OR vote_end IS NOT NULL")
+    look = stages.table("first_look", lambda: blocks.first_look(source, cases, looked, "ppg", "ppg", lambda x: beat_kernels.polarity_vote(x, fs), POINTS, reach, fs, block))
+    stages.table("cycles", lambda: look.select("caseid", F.explode("beats").alias("peak_no")))
+
+    shares = lambda df: df.groupBy("caseid").agg(F.sum("votes").alias("votes"), F.try_divide(F.sum("ones"), F.sum("votes")).alias("share"))
+    by_beats = shares(look).where("votes > 0")
+    windows = _windows(source.rows.groupBy("caseid").agg((F.count(F.lit(1)) * source.size).alias("samples")).join(cases.select("caseid"), "caseid", "left_semi").join(by_beats.select("caseid"), "caseid", "left_anti"), fs)
+    asked = windows.select("caseid", F.lit(0).alias("peak_no"), "sample_idx", "end_idx", F.lit(False).alias("is_beat"), F.col("end_idx").alias("vote_end"))
+    by_windows = stages.table("window_look", lambda: blocks.first_look(source, cases, asked, "ppg", "ppg", lambda x: int(beat_kernels.falls_first(np.diff(x))), POINTS, reach, fs, block))
+    votes = by_beats.unionByName(shares(by_windows).where(F.col("votes") >= beat_kernels.LEAST_WINDOWS))
+    inverted = votes.select("caseid", (F.col("share") > beat_kernels.INVERTED_SHARE).alias("inverted"))
+    known = cases.join(blocks.templates(look), "caseid").join(inverted, "caseid", "left").withColumn("inverted", F.coalesce("inverted", F.lit(False)))
+    beats = judged.where("reason = ''").select("caseid", "peak_no", "sample_idx", "end_idx", "timestamp", "hr", "sbp_reference", "dbp_reference")
+    return blocks.alike_beats(source, known, beats, "ppg", "ppg", least, POINTS, reach, fs, block)
+
+
+def process_recordings(chunks: DataFrame | Source, numerics: DataFrame, fs: int = FS, least: float = LEAST_LIKENESS, stages: Stages | None = None, block: int = blocks.BLOCK) -> DataFrame:
     """The beat table of recordings, with `reason` where a beat has no features or implausible ones."""
-    cycles, polarity = synchronised_cycles(chunks, numerics, fs, least, stages)
-    rows = cycles.join(polarity, "caseid").select("caseid", F.col("peak_no").cast("int").alias("cycle_index"), "timestamp", "sbp_reference", "dbp_reference", "cycle_correlation", F.col("hr").alias("hr_bpm"), "ppg", "inverted")
+    cycles = synchronised_cycles(chunks, numerics, fs, least, stages, block)
+    rows = cycles.select("caseid", F.col("peak_no").cast("int").alias("cycle_index"), "timestamp", "sbp_reference", "dbp_reference", "cycle_correlation", F.col("hr").alias("hr_bpm"), "ppg", "inverted")
     made = extract_features(rows, fs)
     return made.withColumn("reason", F.when((F.col("reason") == "") & ~physiology.valid_beat(), "invalid_features").otherwise(F.col("reason")))
 
