@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import template_corr
 
 def drop_incomplete(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Rows without a missing value (in `columns`, or any) and with systolic above diastolic pressure."""
-    return df.na.drop("any", subset=columns).where("sbp_reference > dbp_reference")
+    """Rows without a missing value (in `columns`, or any) and with systolic above diastolic pressure. A condition for each
+    column, so that a join before has each checked on its own side, and columns that nobody asks for stay there."""
+    kinds = dict(df.dtypes)
+    there = [F.col(f"`{c}`").isNotNull() & (~F.isnan(f"`{c}`") if kinds[c] in ("float", "double") else F.lit(True)) for c in (df.columns if columns is None else columns)]
+    return df.where(reduce(Column.__and__, there, F.col("sbp_reference") > F.col("dbp_reference")))
 
 
 def impute_mean(df: DataFrame, column: str, by: str = "caseid") -> DataFrame:

@@ -11,7 +11,7 @@ from beatspark import fixtures as fx
 from beatspark.functions import arrays
 from beatspark.operators import select
 from beatspark.sources.stages import Stages
-from beatspark.waves import blocks, recordings
+from beatspark.waves import beats, blocks, recordings
 from beatspark.waves.chunks import sampled
 
 SF = "/root/testdata/sf0.001"
@@ -72,6 +72,28 @@ def test_a_build_of_a_source_writes_no_samples(spark, tmp_path):
     assert above.count("MapInArrow") == 2 and "Exchange" not in above, above
 
 
+def test_a_build_moves_the_columns_asked_for(spark, tmp_path):
+    """Where the catalogue is too large to be broadcast, a join moves beats; what is only checked for missing values stays."""
+    names = ["caseid", "cycle_index", "timestamp", "sbp_reference", "dbp_reference", *beats.FEATURES]
+    missing = lambda k: None if k % 7 == 3 else float("nan") if k % 7 == 5 else 1.0
+    rows = [(k % 3, k, float(k), 120.0, 80.0 + 50 * (k % 5 == 0), *[missing(k) if f == "stat_kurtosis" else 2.0 for f in beats.FEATURES], "late" if k % 11 == 0 else "") for k in range(60)]
+    schema = ", ".join(f"{n} {'int' if n in ('caseid', 'cycle_index') else 'double'}" for n in names) + ", reason string"
+    stages = Stages(spark, f"file://{tmp_path}/run")
+    stages.table("beats", lambda: spark.createDataFrame(rows, schema))
+    cases = spark.createDataFrame([(0, "M", 40.0), (1, None, 50.0), (2, "F", None)], "caseid int, sex string, age double")
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = recordings.build_beats(fx.wave_source(spark, SF), None, cases, ("sex",), ("age",), stages=stages).select("patient_id", "cycle_index", "sex")
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        found = {(r.patient_id, r.cycle_index, r.sex) for r in made.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert found == {(k % 3, k, "M" if k % 3 == 0 else "unknown") for k in range(60) if k % 3 < 2 and k % 5 and k % 11 and k % 7 not in (3, 5)}
+    join = plan.index("Join")
+    assert "stat_kurtosis" not in plan[:join] and "stat_kurtosis" in plan[join:] and [line for line in plan[join:].splitlines() if "Project" in line and "stat_kurtosis" not in line], plan
+
+
 def test_templates_and_likeness_are_those_of_the_expressions(spark):
     random = np.random.default_rng(7)
     shapes = {case: random.normal(size=(n, 9)).cumsum(axis=1) for case, n in ((1, 1), (2, 6), (3, 7))}
